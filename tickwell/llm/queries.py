@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tickwell.llm import topk
+from tickwell.llm import jaccard_join, topk
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard_join.query,
     "op10_exact_top_k": topk.query,
 }
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": jaccard_join.SQL,
     "op10_exact_top_k": topk.SQL,
 }
