@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tickwell.llm import jaccard_join, topk
+from tickwell.llm import fingerprints, jaccard_join, topk
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.query,
+    "op2_fingerprints": fingerprints.query,
     "op10_exact_top_k": topk.query,
 }
 ORACLE_SQL = {
