@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tickwell.llm import fingerprints, jaccard_join, topk
+from tickwell.llm import fingerprints, jaccard_join, packing, topk
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.query,
     "op2_fingerprints": fingerprints.query,
+    "op6_packing": packing.query,
     "op10_exact_top_k": topk.query,
 }
 ORACLE_SQL = {
