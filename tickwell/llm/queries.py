@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tickwell.llm import fingerprints, jaccard_join, packing, topk
+from tickwell.llm import fingerprints, jaccard_join, language, packing, quality, topk
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.query,
     "op2_fingerprints": fingerprints.query,
+    "op4_language_id": language.query,
+    "op5_quality": quality.query,
     "op6_packing": packing.query,
     "op10_exact_top_k": topk.query,
 }
