@@ -22,6 +22,8 @@ TRAIN_ROWS = 2_000
 CENTROIDS = 4
 #: A text farther from its nearest centroid than any training text of that language was from its own, by this much, is rejected.
 MARGIN = 0.1
+#: Texts with fewer distinct n-grams lie far from every centroid by their shortness alone: they are not rejected for distance.
+LEAST_NGRAMS = 200
 HELD_OUT_OF, HELD_OUT = 4, 2
 
 _BLANKED = np.arange(256, dtype=np.int64)
@@ -64,14 +66,15 @@ class Model:
         lettered = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         if not len(self.language):
             return [UNKNOWN] * len(column), np.zeros(len(column)), np.ones(len(column), bool)
-        near, best = [np.zeros(0)], [np.zeros(0, np.int64)]
+        near, best, enough = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for counts in ngram_counts(column):
             cosine = vectors(counts, self.idf) @ self.centroids.T
+            enough.append((counts > 0).sum(axis=1) >= LEAST_NGRAMS)
             best.append(cosine.argmax(axis=1))
             near.append(cosine[np.arange(len(cosine)), best[-1]])
         at, score = np.concatenate(best), np.clip(np.concatenate(near).astype(float), 0, 1) * lettered
         found = [self.language[c] if ok else UNKNOWN for c, ok in zip(at.tolist(), lettered.tolist(), strict=True)]
-        return found, score, ~lettered | (1 - score > self.radius[at] + MARGIN)
+        return found, score, ~lettered | (np.concatenate(enough) & (1 - score > self.radius[at] + MARGIN))
 
 
 def _clusters(v: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
