@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickwell.llm.shingles import mix64
 from tickwell.llm.work import crc_mod, table
 
 #: Bound (in expectation) of the labelled texts of either label that are learnt from: ids of the smallest hashes.
@@ -183,11 +184,18 @@ def train(words: list[list[str]], toxic: np.ndarray) -> Model:
     nothing = Model(np.zeros(_BASE**3, np.float32), -1.0, 4.0, 0.0)
     if not names or not toxic.any() or toxic.all():
         return nothing if not toxic.any() else Model(nothing.weights, 1.0, 4.0, 0.0)
-    in_toxic = np.bincount(np.concatenate([i for i, t in zip(ids, toxic, strict=True) if t]), minlength=len(names))
+    of_toxic = [i for i, t in zip(ids, toxic, strict=True) if t]
+    weight = np.concatenate([np.full(len(i), w) for i, w in zip(of_toxic, 1 / _copies(of_toxic, len(names)), strict=True)])
+    in_toxic = np.bincount(np.concatenate(of_toxic), weight, minlength=len(names))  # copies of a text count once
     in_clean = np.bincount(np.concatenate([i for i, t in zip(ids, toxic, strict=True) if not t]), minlength=len(names))
     stream, begin, text = words_of(names)
     first = np.searchsorted(text, np.arange(len(names)))  # a name is one word again
     worth = np.log((in_toxic + 0.5) / (toxic.sum() + 1)) - np.log((in_clean + 0.5) / ((~toxic).sum() + 1))
+    # Words that so many toxic texts have, and no clean one, that chance would give less than one such word.
+    in_all = np.bincount(np.concatenate(ids), minlength=len(names))
+    chance = toxic.mean()
+    least = next(k for k in range(1, 200) if (in_all >= k).sum() * chance**k < 0.5)
+    proven = np.flatnonzero((in_clean == 0) & (in_toxic >= least))
     sure = np.argsort(-in_clean, kind="stable")
     clean = sure[in_clean[sure] > 0]
 
@@ -200,7 +208,7 @@ def train(words: list[list[str]], toxic: np.ndarray) -> Model:
     weights, bias = nothing.weights, 0.0
     for _ in range(ROUNDS):
         worst = np.array([own[worth[own].argmax()] for own, t in zip(ids, toxic, strict=True) if t and len(own)])
-        found, times = np.unique(worst, return_counts=True)
+        found, times = np.unique(np.concatenate((worst, np.repeat(proven, np.ceil(in_toxic[proven]).astype(int)))), return_counts=True)
         often = (in_clean[found] == 0) | (in_toxic[found] > 20 * in_clean[found])
         found, times = found[often], times[often]
         if not len(found):
@@ -229,6 +237,18 @@ def train(words: list[list[str]], toxic: np.ndarray) -> Model:
     return Model(weights, bias, slope, offset)
 
 
+def _copies(ids: list[np.ndarray], names: int) -> np.ndarray:
+    """For each text, about how many have nearly the same words: those that share a min-hash of the words that are not common."""
+    df = np.bincount(np.concatenate(ids), minlength=names)
+    out = np.ones(len(ids))
+    for seed in range(3):
+        h = mix64(np.arange(names, dtype=np.uint64) + np.uint64((seed + 1) << 40))
+        least = np.array([h[i[(df[i] > 1) & (df[i] <= 64)]].min() if ((df[i] > 1) & (df[i] <= 64)).any() else np.uint64(n) for n, i in enumerate(ids)], np.uint64)
+        _, group, size = np.unique(least, return_inverse=True, return_counts=True)
+        out = np.maximum(out, size[group])
+    return out
+
+
 def _bent(words: list[str]) -> list[str]:
     """Words of five letters and more with one letter doubled, or another put in, at each place in turn."""
     return [w[:i] + x + w[i:] for w in words if len(w) >= 5 for i in range(1, len(w)) for x in (w[i], "xoz"[i % 3])]
