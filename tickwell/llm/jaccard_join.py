@@ -44,8 +44,8 @@ from tickwell.llm.work import stored, table
 PERCENT = 75
 #: Share of the hash range whose shingles are looked up for their rarity: somewhat over the quarter that a prefix needs.
 POOL = 0.30
-#: Members, and shingles of all members, of a block of a region.
-BLOCK_MEMBERS = 256
+#: Bounds of a block of a region: members (a count matrix of two blocks is 16 MB) and shingles of all members (2 MB).
+BLOCK_MEMBERS = 1024
 BLOCK_SHINGLES = 1 << 18
 _LEAF = 64
 _COLUMNS = 4096

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickwell.llm import fingerprints, jaccard_join, language, packing, quality, topk, toxicity
+from tickwell.llm import fingerprints, html_text, jaccard_join, language, packing, quality, topk, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language_id": language.query,
     "op5_quality": quality.query,
     "op6_packing": packing.query,
+    "op7_html_text": html_text.query,
     "op9_toxicity": toxicity.query,
     "op10_exact_top_k": topk.query,
 }
