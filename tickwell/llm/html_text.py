@@ -107,17 +107,28 @@ LABELLED = """
 1 100 0 0 1 100 1 0 0 | 1 100 1 100 1 100 1 0 0 | 2 100 1 100 12 0 1 0 0 | 9 0 1 100 9 0 1 0 0 | 14 0 3 100 8 0 1 0 0
 30 0 12 0 60 0 1 0 0 | 8 0 45 0 0 0 1 0 0 | 12 10 80 0 0 0 1 0 0 | 60 0 20 0 40 0 1 0 0 | 25 4 70 0 25 4 1 0 0
 120 1 90 0 45 0 1 0 0 | 5 0 12 0 18 0 1 0 0 | 3 0 2 0 3 0 1 0 0 | 40 20 10 50 15 0 1 0 0 | 6 100 40 0 6 100 1 1 0
+50 0 60 0 70 0 1 0 0 | 80 0 5 0 4 0 1 0 0 | 15 0 20 0 2 0 1 0 0 | 45 5 40 0 10 0 1 1 0 | 90 0 120 0 45 0 1 1 0
+20 0 60 0 90 0 1 1 0 | 35 0 30 0 50 0 1 0 0 | 70 0 70 0 80 0 1 0 0 | 11 0 55 0 75 0 1 0 0 | 28 0 9 0 44 0 1 0 0
+9 0 9 0 35 0 1 0 0 | 10 0 6 100 62 0 1 0 0 | 150 0 30 0 30 0 1 0 0 | 33 12 3 100 38 0 1 0 0 | 18 0 40 0 120 0 1 1 0
+7 0 3 0 6 0 1 0 0 | 22 0 0 0 31 0 1 0 0 | 4 0 0 0 40 0 1 0 0 | 16 40 100 0 0 0 1 0 0 | 65 0 4 0 130 0 1 0 0
 9 0 12 0 9 0 0 1 1 | 9 0 14 0 60 0 0 1 1 | 60 0 9 0 25 0 0 1 1 | 2 0 2 0 2 0 0 1 1 | 1 0 30 0 40 0 0 1 1
 3 0 70 0 10 0 0 1 1 | 25 0 60 0 4 0 0 1 1 | 120 2 30 0 80 0 0 1 1 | 45 10 80 0 30 5 0 1 1 | 4 0 20 0 12 0 0 1 1
 12 0 30 5 8 0 0 1 1 | 20 30 45 0 50 0 0 1 1 | 15 45 40 0 60 0 0 1 1 | 8 0 0 0 30 0 0 1 1 | 6 50 40 0 50 0 0 1 1
 4 100 50 0 45 0 0 1 1 | 3 100 80 0 30 0 0 1 1 | 40 0 12 0 3 100 0 1 1 | 30 3 25 0 0 0 0 1 1 | 250 1 90 0 120 0 0 1 1
-4 100 4 100 5 100 0 1 0 | 6 100 3 100 4 100 0 1 0 | 2 100 2 100 2 100 0 1 0 | 3 100 5 100 8 0 0 1 0 | 5 100 4 0 6 100 0 1 0
+1 0 1 0 1 0 0 1 1 | 5 0 9 0 9 0 0 1 1 | 9 0 3 100 2 0 0 1 1 | 17 0 4 0 5 0 0 1 1 | 3 0 4 0 14 0 0 1 1
+2 0 60 0 12 0 0 1 1 | 33 0 10 0 12 0 0 1 1 | 7 0 5 0 0 0 0 1 1 | 14 0 12 0 25 0 0 1 1 | 70 0 10 0 12 10 0 1 1
+22 100 60 0 45 0 0 1 1 | 10 100 40 0 80 0 0 1 1 | 6 0 5 100 9 0 0 1 1 | 11 0 6 0 8 0 0 1 1 | 2 0 7 0 26 0 0 1 1
+8 0 40 0 2 100 0 1 1 | 12 0 20 0 4 100 0 1 1 | 3 0 9 0 1 100 0 1 1 | 20 5 40 0 3 100 0 1 1 | 5 0 5 0 5 60 0 1 1
+30 0 10 0 6 90 0 1 1 | 1 0 12 0 3 100 0 1 1 | 16 0 16 0 1 100 0 1 1 | 26 10 30 0 2 50 0 1 1 | 10 0 60 0 9 80 0 1 1
+4 100 4 100 5 100 0 1 0 | 6 100 3 100 4 100 0 1 0 | 2 100 2 100 2 100 0 1 0 | 8 100 9 100 7 100 0 1 0 | 5 100 6 100 6 100 0 1 0
 1 100 0 0 1 100 0 0 0 | 1 100 1 100 1 100 0 0 0 | 3 100 1 100 9 0 0 0 0 | 5 80 4 100 6 100 0 0 0 | 12 60 2 100 3 100 0 0 0
 4 0 1 100 5 0 0 0 0 | 6 0 4 0 3 0 0 0 0 | 3 0 12 0 0 0 0 0 0 | 8 25 30 60 0 0 0 0 0 | 2 0 0 0 1 100 0 0 0
-9 0 1 100 7 20 0 0 0 | 7 0 5 0 6 0 0 0 0 | 10 50 20 0 4 100 0 0 0 | 5 0 60 0 2 100 0 0 0 | 6 0 45 0 0 0 0 0 0
+9 0 1 100 7 20 0 0 0 | 7 0 5 0 6 0 0 0 0 | 10 50 20 0 4 100 0 0 0 | 5 0 10 0 2 100 0 0 0 | 6 0 12 0 0 0 0 0 0
+20 90 6 100 7 100 0 0 0 | 25 70 5 100 30 80 0 0 0 | 40 60 12 50 9 80 0 0 0 | 18 55 30 0 4 100 0 0 0 | 11 0 3 0 2 0 0 0 0
 40 0 6 0 55 0 0 0 1 | 70 2 50 0 60 0 0 0 1 | 25 0 60 0 45 0 0 0 1 | 120 5 8 0 90 0 0 0 1 | 18 0 40 0 35 0 0 0 1
 35 0 4 100 50 0 0 0 1 | 60 0 80 0 3 100 0 0 1 | 8 0 60 0 75 0 0 0 1 | 6 0 45 0 50 0 0 0 1 | 90 10 40 5 60 0 0 0 1
 4 0 50 0 60 0 0 0 1 | 45 0 9 0 3 0 0 0 1 | 200 3 20 0 30 0 0 0 1 | 22 8 90 0 50 0 0 0 1 | 30 15 40 0 55 0 0 0 1
+5 0 3 0 48 0 0 0 1 | 7 0 2 100 70 0 0 0 1 | 28 0 1 100 33 0 0 0 1 | 19 5 22 0 3 0 0 0 1 | 50 0 0 0 0 0 0 0 1
 """
 
 
