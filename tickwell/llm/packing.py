@@ -10,6 +10,7 @@ the whole corpus. Neither pass shuffles.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import accumulate
@@ -25,17 +26,22 @@ from tickwell.llm.work import stored, table
 WINDOW = 2048
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks whose ids a worker remembers: a bound on its memory, not on what is encoded.
-_REMEMBERED = 400_000
+#: Words whose ids a worker remembers: a bound on its memory, not on what is encoded.
+_REMEMBERED = 600_000
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
+#: Texts of these characters alone are split here, by the rule of the tokenizer's own file: a text is lower-cased
+#: (they are all in normal form) and its contractions, runs of letters, digits and runs of other signs are encoded one by one.
+_PLAIN = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u203a\u20ac]*")
+_LETTER, _DIGIT, _BLANK = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_BLANK}{_LETTER}{_DIGIT}]+")
 
 
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids (little-endian uint16), the same as ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    The tokenizer treats what stands between blanks or line ends separately, so texts are split
-    there and each new chunk is encoded once. New chunks go to the tokenizer together, with its
-    own end mark between them; chunks that hold a special token's text go alone.
+    Words of plain texts are encoded once and remembered; new ones go to the tokenizer together,
+    with its own end mark between them. All other texts, and those that may hold a special token,
+    go to the tokenizer whole.
     """
     if path in _encoders:
         return _encoders[path]
@@ -47,32 +53,46 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         raise ValueError("ids over 65535 are not supported")
     special = {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items()}
     mark, mark_id = max(special.items(), key=lambda x: x[1])
-    known: dict[str, bytes] = {"": b""}
-
-    def learn(chunks: list[str]) -> dict[str, bytes]:
-        alone = [c for c in chunks if any(s in c for s in special)]
-        plain = [c for c in chunks if not any(s in c for s in special)] if alone else chunks
-        out = {c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, np.uint16).tobytes() for c in alone}
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
+    known: dict[str, bytes] = {}
+
+    def whole(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+
+    def learn(words: list[str]) -> dict[str, bytes]:
+        out = {}
+        for i in range(0, len(words), 4096):
+            some = words[i : i + 4096]
             ids = np.array(tokenizer.encode(mark.join(some), add_special_tokens=False).ids, np.uint16)
+            raw, begin = ids.tobytes(), 0
             ends = [*np.flatnonzero(ids == mark_id).tolist(), len(ids)]
-            begin = 0
-            for c, end in zip(some, ends, strict=True):
-                out[c] = ids[begin:end].tobytes()
+            for w, end in zip(some, ends, strict=True):
+                out[w] = raw[2 * begin : 2 * end]
                 begin = end + 1
         return out
 
     def encode(texts: list[str]) -> list[bytes]:
-        parts = [x.replace("\n", " ").split(" ") for x in texts]
-        met: set[str] = set().union(*parts)
-        new = learn([c for c in met if c not in known])
-        if len(known) + len(new) <= _REMEMBERED:
-            known.update(new)
-            new = {}
-        if not new:
-            return [b"".join([known[c] for c in p]) for p in parts]
-        return [b"".join([known[c] if c in known else new[c] for c in p]) for p in parts]
+        out: list[bytes] = []
+        later: list[tuple[int, list[str]]] = []
+        new: set[str] = set()
+        for x in texts:
+            if _PLAIN.fullmatch(x) is None or "<|" in x:
+                out.append(whole(x))
+                continue
+            words = _WORD.findall(x.lower())
+            try:
+                out.append(b"".join([known[w] for w in words]))
+            except KeyError:
+                new.update([w for w in words if w not in known])
+                later.append((len(out), words))
+                out.append(b"")
+        if later:
+            got = learn(list(new))
+            if len(known) + len(got) <= _REMEMBERED:
+                known.update(got)
+                got = {}
+            for i, words in later:
+                out[i] = b"".join([known[w] if w in known else got[w] for w in words])
+        return out
 
     _encoders[path] = encode
     return encode
