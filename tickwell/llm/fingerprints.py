@@ -10,17 +10,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwell.llm.shingles import WIDTH, shingle_sets
-from tickwell.llm.work import table
+from tickwell.llm.work import small, table
 
 K = 128
 _RANGE = float(2**64)
@@ -78,7 +79,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     """doc_id, n_shingles (estimate) and fingerprint of every row; null and empty texts have an empty sketch. Rows pass through one by one: no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             made = sketches([x or "" for x in batch.column(1).to_pylist()], k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([distinct_count(x, k) for x in made]), pa.array([encode(x) for x in made], pa.string())], ["doc_id", "n_shingles", "fingerprint"])
 
@@ -89,7 +90,7 @@ def _edited(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
     """Rows of one range in ascending order, then the row that follows the range (``guest``)."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     held: tuple[int, str, np.ndarray] | None = None
-    for batch in batches:
+    for batch in small(batches):
         ids, guests = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         texts = [x or "" for x in batch.column(1).to_pylist()]
         rows = list(zip(ids, texts, sketches(texts, k), guests, strict=True))
@@ -129,17 +130,19 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     order = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
     ids = docs.select(order.alias("o"))
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = np.array(sorted(set(ids.approxQuantile("o", [i / parts for i in range(1, parts)], 0.2 / parts))), np.float64)
+    cuts = sorted(set(ids.approxQuantile("o", [i / parts for i in range(1, parts)], 0.2 / parts)))
 
-    @F.pandas_udf("int")
-    def part(o: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, o.to_numpy(np.float64), side="right"))
+    def part(df: DataFrame) -> DataFrame:
+        if not cuts:
+            return df.withColumn("part", F.lit(0))
+        at = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="cell").transform(df.withColumn("at", F.col("o").cast("double")))
+        return at.withColumn("part", F.col("cell").cast("int")).drop("at", "cell")
 
-    firsts = sorted((r[0], r[1]) for r in ids.groupBy(part("o").alias("part")).agg(F.min("o").alias("o")).collect())
+    firsts = sorted((r[0], r[1]) for r in part(ids).groupBy("part").agg(F.min("o").alias("o")).collect())
     to = spark.createDataFrame([(o, firsts[i - 1][0]) for i, (_, o) in enumerate(firsts)], "o long, part int")
     rows = docs.select(order.alias("o"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     guests = rows.join(F.broadcast(to), "o").groupBy("part", "o").agg(F.min(F.struct("text", "doc_id")).alias("r")).select("part", "o", "r.doc_id", "r.text", F.lit(True).alias("guest"))
-    rows = rows.select(part("o").alias("part"), "o", "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests)
+    rows = part(rows).select("part", "o", "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests)
     rows = rows.repartition(parts // 2, "part").sortWithinPartitions("part", "guest", "o", "text").select("doc_id", "text", "guest")
     return rows.mapInArrow(
         partial(_edited, k=k), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

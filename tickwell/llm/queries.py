@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tickwell.llm import fingerprints, html_text, jaccard_join, language, packing, quality, topk, toxicity
+from tickwell.llm import fingerprints, html_text, jaccard_join, language, mixing, packing, quality, topk, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.query,
     "op2_fingerprints": fingerprints.query,
+    "op3_mixing": mixing.query,
     "op4_language_id": language.query,
     "op5_quality": quality.query,
     "op6_packing": packing.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_exact_top_k": topk.query,
 }
 ORACLE_SQL = {
+    "op3_mixing": mixing.SQL,
     "op1_ngram_jaccard_join": jaccard_join.SQL,
     "op10_exact_top_k": topk.SQL,
 }
