@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickwell.llm import fingerprints, html_text, jaccard_join, language, mixing, packing, quality, topk, toxicity
+from tickwell.llm import fingerprints, html_text, jaccard_join, language, mixing, packing, pseudo_likelihood, quality, topk, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": quality.query,
     "op6_packing": packing.query,
     "op7_html_text": html_text.query,
+    "op8_lm_scoring": pseudo_likelihood.query,
     "op9_toxicity": toxicity.query,
     "op10_exact_top_k": topk.query,
 }
