@@ -221,6 +221,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return rows.join(first, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: float) -> DataFrame:
+    """One row of ``docs`` for each group of linked documents, that of the smallest id, with all its columns.
+
+    Rows that repeat an id and its text count as one; rows without an id stay, as no group can be named after them.
+    """
+    groups = stored(jaccard_components(docs, doc_id, text, **options), "groups")
+    heads = groups.where("doc_id = component_id")
+    repeated = heads.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    kept = docs.join(heads.select(F.col("doc_id").alias("__head")).distinct(), F.col(doc_id) == F.col("__head"), "left_semi")
+    if repeated:
+        kept = kept.withColumn("__text", F.xxhash64(F.col(text))).dropDuplicates([doc_id, "__text"]).drop("__text")
+    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 

@@ -151,6 +151,17 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     return named.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), HELD_OUT_OF) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~model.predict(batch.column(place).cast(pa.string()))[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, fit(docs))

@@ -79,6 +79,17 @@ def score(docs: DataFrame, model: boosting.Forest, doc_id: str = "doc_id", text:
     return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), HELD_OUT_OF) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model: boosting.Forest, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is 0.5 or more, with all their columns."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(statistics(batch.column(place).cast(pa.string()))) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
