@@ -19,74 +19,86 @@ DUST = 1e-6
 
 @dataclass
 class RiskLimits:
-    max_drawdown: float = 0.2
-    daily_loss: float = 0.05
-    resume_share: float = 0.5
-    max_leverage: float = 3.0
-    max_position_share: float = 3.0
-    max_order_share: float = 3.0
+    """Caps on notional and leverage, the drawdown that ends a session, and the loss from its start that halts it until equity is ``hysteresis`` above the floor again."""
+
+    order_notional: float = 5_000.0
+    position_notional: float = 15_000.0
+    daily_loss: float = 500.0
+    leverage: float = 5.0
+    drawdown: float = 0.15
+    hysteresis: float = 0.0
     live: bool = False
 
 
 @dataclass
 class RiskGate:
-    """Watches equity and cuts targets. A drawdown at the limit invalidates the session for good; a loss at the limit (from the session's start) halts it until part of the loss is regained."""
-
     limits: RiskLimits
     start: float
     peak: float = 0.0
     worst: float = 0.0
     invalidated: bool = False
     halted: bool = False
+    rejects: int = 0
 
     def __post_init__(self) -> None:
-        self.peak = self.peak or self.start
+        self.peak = self.peak if self.peak > 0 else self.start
+
+    @property
+    def floor(self) -> float:
+        return self.start - self.limits.daily_loss
+
+    def drawdown(self, equity: float) -> float:
+        return max(0.0, 1 - equity / self.peak) if self.peak > 0 else 0.0
 
     def update(self, equity: float) -> None:
         self.peak = max(self.peak, equity)
-        drawdown = 1 - equity / self.peak if self.peak > 0 else 0.0
-        self.worst = max(self.worst, drawdown)
-        if self.worst + FLAT >= self.limits.max_drawdown:
+        now = (self.peak - equity) / self.peak if self.peak > 0 else 0.0
+        self.worst = max(self.worst, now)
+        if 0 < self.limits.drawdown <= now + FLAT:
             self.invalidated = True
-        floor = self.start * (1 - self.limits.daily_loss)
-        if equity <= floor + FLAT:
-            self.halted = True
-        elif self.halted and equity >= self.start * (1 - self.limits.daily_loss * self.limits.resume_share):
-            self.halted = False
-
-    @property
-    def phase(self) -> str:
-        return "LIVE_BLOCKED" if self.limits.live else "INVALIDATED" if self.invalidated else "LOSS_HALTED" if self.halted else "ACTIVE"
-
-    def cut(self, target: float, current: float, equity: float, mark: float) -> tuple[float, str]:
-        """The allowed leverage target and why: the first rule that bites, then caps, then dust."""
-        if self.limits.live:
-            return current, "live_blocked"
-        if not (target == target and equity == equity and mark == mark) or mark <= 0 or equity <= 0:
-            return current, "invalid_input"
-        if self.invalidated:
-            return 0.0, "invalidated"
         if self.halted:
-            return 0.0, "loss_halted"
-        reason = "ok"
-        cap = min(self.limits.max_leverage, self.limits.max_position_share)
-        if abs(target) > cap:
-            target, reason = (cap if target > 0 else -cap), "leverage_cap" if cap == self.limits.max_leverage else "position_cap"
-        if abs(target - current) > self.limits.max_order_share:
-            target, reason = current + (self.limits.max_order_share if target > current else -self.limits.max_order_share), "order_cap"
-        if abs(target - current) * equity < DUST:
-            return current, "dust"
-        return target, reason
+            self.halted = equity < self.floor + self.limits.hysteresis
+        else:
+            self.halted = equity < self.floor
+
+    def phase(self, liquidated: bool = False) -> str:
+        states = (("LIQUIDATED", liquidated), ("INVALIDATED", self.invalidated), ("LOSS_HALTED", self.halted), ("LIVE_BLOCKED", self.limits.live))
+        return next((name for name, on in states if on), "ACTIVE")
+
+    def cut(self, target: float, mark: float, equity: float, qty: float, leverage: float) -> tuple[bool, float, str]:
+        """Whether to trade, the leverage to go to, and why. Hard stops come first and only ever go flat; then the caps on leverage, position and order."""
+        stop = "live_blocked" if self.limits.live else "invalid_mark_or_equity" if mark <= 0 or equity <= 0 else None
+        flat = None if stop else "invalidated" if self.invalidated else "loss_halted" if self.halted else None
+        if stop or flat:
+            self.rejects += bool(stop) or abs(target) > FLAT
+            return not stop, 0.0, stop or flat or ""
+        sign = lambda x: 1.0 if x >= 0 else -1.0
+        within = min(abs(target), min(self.limits.leverage, leverage) if leverage > 0 else self.limits.leverage)
+        within = min(within, self.limits.position_notional / equity)
+        wanted = within * sign(target)
+        move = wanted * equity / mark - qty
+        if abs(move) * mark > self.limits.order_notional + 1e-9:
+            move = sign(move) * self.limits.order_notional / mark
+            wanted = (qty + move) * mark / equity
+            wanted = sign(wanted) * min(abs(wanted), self.limits.position_notional / equity)
+        if abs(wanted) < FLAT < abs(target) and abs(move) * mark < 1e-9:
+            self.rejects += 1
+            return False, 0.0, "order_dust"
+        return True, wanted, "ok" if abs(wanted - target) <= FLAT else "ok_clipped"
 
 
 @dataclass
 class FuturesBook:
-    """Isolated-margin book of one symbol: wallet, signed quantity, entry price. Fees go from the wallet with each leg, funding with each bar; equity below maintenance closes all for good."""
+    """Isolated-margin book of one symbol: wallet, signed quantity, entry price.
+
+    Each leg pays its fee from the wallet; each bar pays funding on the notional (longs pay a positive
+    rate). Exposure grows only as far as free margin goes. Equity below maintenance closes all for good.
+    """
 
     wallet: float = 10_000.0
-    fee_rate: float = 5e-4
-    maintenance: float = 5e-3
-    funding_rate: float = 1e-4
+    fee_bps: float = 4.0
+    maintenance: float = 0.005
+    funding_rate: float = 0.0
     leverage: float = 3.0
     qty: float = 0.0
     entry: float = 0.0
@@ -94,100 +106,103 @@ class FuturesBook:
     funding: float = 0.0
     fills: list[tuple] = field(default_factory=list)
 
-    def unrealized(self, mark: float) -> float:
-        return self.qty * (mark - self.entry)
-
     def equity(self, mark: float) -> float:
-        return self.wallet + self.unrealized(mark)
+        return self.wallet + self.qty * (mark - self.entry)
 
     def margin(self, mark: float) -> float:
-        return abs(self.qty) * self.entry / self.leverage if abs(self.qty) > FLAT else 0.0
-
-    def order(self, ts, delta: float, price: float, note: str = "") -> None:  # noqa: ANN001
-        """Trade ``delta`` at ``price``: what reduces the position is realised, what is left opens or adds, as far as free margin goes."""
-        closing = 0.0
-        if self.qty * delta < 0:
-            closing = -max(-abs(self.qty), -abs(delta)) * (1 if delta > 0 else -1)
-            gain = -closing * (price - self.entry)
-            fee = abs(closing) * price * self.fee_rate
-            self.wallet += gain - fee
-            self.qty += closing
-            if abs(self.qty) <= FLAT:
-                self.qty, self.entry = 0.0, 0.0
-            self.fills.append((ts, "buy" if closing > 0 else "sell", abs(closing), price, fee, gain, note))
-        opening = delta - closing
-        if abs(opening) <= FLAT:
-            return
+        return abs(self.qty) * mark / self.leverage
+
+    def _open(self, size: float, price: float) -> float:
+        """Add up to ``size`` (signed), as free margin allows; what was added."""
+        rate = self.fee_bps / 1e4
         free = self.equity(price) - self.margin(price)
-        most = max(0.0, free) / (price / self.leverage + price * self.fee_rate)
-        opening = max(-most, min(most, opening))
-        if abs(opening) <= FLAT:
+        most = max(0.0, free) / (price / self.leverage + price * rate)
+        size = max(-most, min(most, size))
+        if abs(size) < FLAT:
+            return 0.0
+        held = abs(self.qty)
+        self.entry = (held * self.entry + abs(size) * price) / (held + abs(size))
+        self.qty += size
+        self.wallet -= abs(size) * price * rate
+        return size
+
+    def order(self, ts, size: float, price: float, note: str = "") -> None:  # noqa: ANN001
+        """Trade ``size`` (signed) at ``price``: what is against the position closes it, the rest opens or adds. One fill."""
+        if self.liquidated or abs(size) < FLAT or price <= 0:
             return
-        fee = abs(opening) * price * self.fee_rate
-        total = abs(self.qty) + abs(opening)
-        self.entry = (abs(self.qty) * self.entry + abs(opening) * price) / total
-        self.qty += opening
-        self.wallet -= fee
-        self.fills.append((ts, "buy" if opening > 0 else "sell", abs(opening), price, fee, 0.0, note))
+        before, gain, closed = self.wallet, 0.0, 0.0
+        if self.qty * size < 0:
+            closed = -self.qty if abs(size) >= abs(self.qty) else size
+            gain = -closed * (price - self.entry)
+            self.wallet += gain - abs(closed) * price * self.fee_bps / 1e4
+            self.qty += closed
+            if abs(self.qty) < FLAT:
+                self.qty = self.entry = 0.0
+        opened = self._open(size - closed, price) if abs(size - closed) > FLAT else 0.0
+        if closed or opened:
+            self.fills.append((ts, "buy" if size > 0 else "sell", abs(closed + opened), price, before + gain - self.wallet, gain, note))
 
     def target(self, ts, leverage: float, mark: float, note: str = "") -> None:  # noqa: ANN001
         equity = self.equity(mark)
-        if equity <= 0 or mark <= 0:
-            return
-        delta = leverage * equity / mark - self.qty
-        if abs(delta) * mark > DUST:
-            self.order(ts, delta, mark, note)
-
-    def mark(self, ts, mark: float) -> None:  # noqa: ANN001
-        paid = self.qty * mark * self.funding_rate
-        self.wallet -= paid
-        self.funding += paid
-
-    def check(self, ts, mark: float) -> bool:  # noqa: ANN001
-        if abs(self.qty) > FLAT and self.equity(mark) + 1e-9 < abs(self.qty) * mark * self.maintenance:
+        size = leverage * equity / mark - self.qty if mark > 0 and equity > 0 else 0.0
+        if abs(size) * mark >= DUST:
+            self.order(ts, size, mark, note)
+
+    def settle(self, mark: float) -> float:
+        """Pay a bar's funding; the equity after it."""
+        if self.funding_rate and not self.liquidated:
+            paid = self.qty * mark * self.funding_rate
+            self.wallet -= paid
+            self.funding += paid
+        return self.equity(mark)
+
+    def check(self, ts, mark: float) -> None:  # noqa: ANN001
+        need = abs(self.qty) * mark * self.maintenance
+        if not self.liquidated and need > 0 and self.equity(mark) + 1e-9 < need:
             self.order(ts, -self.qty, mark, "liquidation")
             self.liquidated = True
-        return self.liquidated
 
 
-CURVE = "ts timestamp_ntz, close double, target double, allowed double, reason string, phase string, qty double, wallet double, equity double, funding double, drawdown double, liquidated boolean"
+CURVE = "ts timestamp_ntz, close double, target double, allowed double, reason string, phase string, qty double, wallet double, equity double, funding double, drawdown double, n_fills long, n_rejects long"
 
 
 @dataclass
 class Session:
-    """A book and its gate; ``step`` takes a bar and its wanted leverage to a row of CURVE, or to None once liquidated."""
+    """A book and its gate; ``step`` takes a bar and its wanted leverage to a row of CURVE, or to None once liquidated. Without ``watched`` the gate never sees the equity."""
 
     book: FuturesBook
     gate: RiskGate
+    watched: bool = True
 
     @staticmethod
-    def new(capital: float = 10_000.0, limits: RiskLimits | None = None, **book: float) -> Session:
-        return Session(FuturesBook(wallet=capital, **book), RiskGate(limits or RiskLimits(), capital))
+    def new(capital: float = 10_000.0, limits: RiskLimits | None = None, watched: bool = True, **book: float) -> Session:
+        return Session(FuturesBook(wallet=capital, **book), RiskGate(limits or RiskLimits(), capital), watched)
 
     def step(self, ts, close: float, target: float) -> tuple | None:  # noqa: ANN001
-        if self.book.liquidated:
+        book, gate = self.book, self.gate
+        if book.liquidated:
             return None
-        equity = self.book.equity(close)
-        self.gate.update(equity)
-        current = self.book.qty * close / equity if equity > 0 else 0.0
-        allowed, reason = self.gate.cut(target, current, equity, close)
-        if reason not in ("live_blocked", "invalid_input", "dust"):
-            self.book.target(ts, allowed, close, reason)
-        self.book.mark(ts, close)
-        after = self.book.equity(close)
-        self.gate.update(after)
-        row = (ts, close, target, allowed, reason, self.gate.phase, self.book.qty, self.book.wallet, after, self.book.funding, 1 - after / self.gate.peak, False)
-        self.book.check(ts, close)
-        return row
-
-
-def run_sessions(targets: DataFrame, by: Sequence[str] = ("symbol",), capital: float = 10_000.0, limits: RiskLimits | None = None, **book: float) -> DataFrame:
+        equity = book.equity(close)
+        if self.watched:
+            gate.update(equity)
+        go, allowed, reason = gate.cut(target, close, max(equity, 1e-9), book.qty, book.leverage)
+        if go:
+            book.target(ts, allowed, close, reason)
+        after = book.settle(close)
+        qty, wallet = book.qty, book.wallet
+        book.check(ts, close)  # the row shows the book before a liquidation
+        if self.watched:
+            gate.update(book.equity(close))
+        return (ts, close, target, allowed, reason, gate.phase(book.liquidated), qty, wallet, after, book.funding, gate.drawdown(after), len(book.fills), gate.rejects)
+
+
+def run_sessions(targets: DataFrame, by: Sequence[str] = ("symbol",), capital: float = 10_000.0, limits: RiskLimits | None = None, watched: bool = True, **book: float) -> DataFrame:
     """Curves of one session for each ``by`` over (by, ts, close, target), in time order. Scenarios run side by side; a session ends with its liquidation."""
     kinds = {f.name: f.dataType.simpleString() for f in targets.schema.fields}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), CURVE])
 
     def run(key: tuple, one: pd.DataFrame) -> pd.DataFrame:
-        session, out = Session.new(capital, limits, **book), []
+        session, out = Session.new(capital, limits, watched, **book), []
         for ts, close, target in one.sort_values("ts")[["ts", "close", "target"]].itertuples(index=False):
             if (row := session.step(ts, float(close), float(target))) is None:
                 break

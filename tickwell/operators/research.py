@@ -54,7 +54,7 @@ def statements(rows: DataFrame, by: tuple[str, ...] = ("entity",)) -> DataFrame:
 
 #: Gate, metric, comparison, threshold. A window is two rules.
 GATES = (
-    ("gate0_main_path", "turnover_annual", "<=", 12.0), ("gate0_main_path", "aum_scale", "<=", 1e8), ("gate0_main_path", "friction_cost", ">=", 0.002), ("gate0_main_path", "friction_cost", "<=", 0.005),
+    ("gate0_main_path", "turnover_annual", "<=", 30.0), ("gate0_main_path", "aum_scale", "<=", 5e6), ("gate0_main_path", "friction_cost", ">=", 0.002), ("gate0_main_path", "friction_cost", "<=", 0.005),
     ("gate1_contamination", "pc", "<=", 0.50), ("gate1_contamination", "isolation_days", ">=", 365.0),
     ("gate2_statistics", "dsr", ">=", 0.95), ("gate2_statistics", "pbo", "<=", 0.05), ("gate2_statistics", "zero_shot_r2", ">=", 0.02), ("gate2_statistics", "ebh_fdr", "<=", 0.05),
     ("gate3_capacity", "n_seeds", ">=", 20.0), ("gate3_capacity", "worst_path_alpha", ">=", 0.0), ("gate3_capacity", "pov", "<=", 0.10),

@@ -51,18 +51,14 @@ def walk_forward_months(rows: DataFrame, splits: int = 5, test_months: int = 1,
     return train.unionByName(test).join(F.broadcast(both), "fold", "left_semi")
 
 
-def walk_forward_bars(n: int, folds: int = 4, min_train: int | None = None, test_size: int | None = None, purge: int = 0) -> list[tuple[int, int, int, int]]:
-    """(fold, train_end, test_start, test_end) bounds over n bars; a test has five bars at least."""
-    min_train = n // 3 if min_train is None else min_train
-    size = max(5, (n - min_train - purge) // folds if test_size is None else test_size)
-    out = []
-    for k in range(folds):
-        start = min_train + purge + k * size
-        stop = min(n, start + size)
-        if stop - start < 5:
-            break
-        out.append((k, start - purge, start, stop))
-    return out
+def walk_forward_bars(n: int, folds: int = 4, min_train: int = 120, test_size: int | None = None, purge: int = 0) -> list[tuple[int, int, int, int]]:
+    """(fold, train_end, test_start, test_end) bounds over n bars. Tests tile what follows ``min_train``, of at least 20 bars by default and five in any case; a fold whose train part is under 20 bars is passed over."""
+    if n < min_train + 10 or folds < 1:
+        raise ValueError(f"{n} bars are too few for {folds} folds after {min_train}")
+    size = max(20, (n - min_train) // folds) if test_size is None else test_size
+    bounds = [(k, min_train + k * size - max(0, purge), min_train + k * size, min(n, min_train + (k + 1) * size)) for k in range(folds)]
+    whole = [b for b in bounds if b[3] - b[2] >= 5]
+    return [b for b in whole if b[1] >= 20]
 
 
 def with_warmup(bars: DataFrame, bounds: Sequence[tuple[int, int, int, int]], halo: int) -> DataFrame:
