@@ -108,20 +108,26 @@ def alpha158(bars: DataFrame, spans: Sequence[int] = SPANS, include: Sequence[st
 
 
 def alpha62(bars: DataFrame) -> DataFrame:
-    """(symbol, ts) and a smaller set: candle, lagged closes, averages, volatility, skew, kurtosis, volume relations, RSI, MACD, bands, ranges."""
-    c, v = F.col("close"), F.nullif(F.col("volume"), F.lit(0.0))
-    rows = I.exponential(bars, spans=(5, 10, 12, 20, 26)).withColumns({"__v": v, "__r": I.log_return("close"), "__ret": I.change("close"), "__dv": F.try_divide(v, W.lag(v)) - 1, "__tr": I.true_range(), "__range": F.try_divide(F.col("high") - F.col("low"), c)})
-    k = kbar()
-    out = {n: k[n] for n in ("KMID", "KLEN", "KMID2", "KUP", "KLOW", "KSFT", "KSFT2")}
-    out |= {f"ROC{n}": I.change("close", n) for n in (1, 2, 3, 5, 10, 20, 30, 60)}
-    for n in (5, 10, 20, 30, 60):
-        out |= {f"MA{n}": F.try_divide(W.mean(c, n, n), c), f"MADEV{n}": F.try_divide(c, W.mean(c, n, n)) - 1, f"VOL{n}": W.std("__r", n, n), f"SKEW{n}": W.skew("__r", n), f"KURT{n}": W.kurtosis("__r", n)}
-    out |= {f"CORR_VOL{n}": W.correlation("__ret", "__dv", n) for n in (5, 10, 20)}
-    out |= {f"VOL_RATIO{n}": F.try_divide(F.col("__v"), W.mean("__v", n)) for n in (5, 10, 20)}
-    out |= {"RSI14": F.col("rsi_14"), "MACD": F.col("macd"), "MACD_SIGNAL": F.col("macd_signal"), "MACD_HIST": F.col("macd_hist")}
-    mid, upper, lower = I.bollinger()
-    out |= {"BB_UP": F.try_divide(upper, c) - 1, "BB_MID": F.try_divide(mid, c) - 1, "BB_DOWN": F.try_divide(lower, c) - 1}
-    out |= {"ATR14": F.try_divide(W.mean("__tr", 14, 14), c), "ATR28": F.try_divide(W.mean("__tr", 28, 28), c), "VOL_CHANGE": F.col("__dv"), "RANGE": F.col("__range"), "RANGE_MA5": W.mean("__range", 5)}
+    """(symbol, ts) and 62 factors: candle, lagged closes, averages and distances from them, volatility, skew, kurtosis, volume relations, RSI, MACD, bands, ranges. A volume of 0 is missing."""
+    c, third = F.col("close"), lambda n, k: max(k, n // 3)
+    rows = I.exponential(bars, spans=(), rsi=6)
+    for n in (14, 24):
+        rows = I.exponential(rows.drop("macd", "macd_signal", "macd_hist"), spans=(), rsi=n)
+    rows = rows.withColumns({"__v": F.nullif(F.col("volume"), F.lit(0.0)), "__r": I.log_return("close"), "__ret": I.change("close"), "__tr": I.true_range(), "__range": F.try_divide(F.col("high") - F.col("low"), c)})
+    k, v = kbar(), F.col("__v")
+    out = {"KMID": k["KMID"], "KLEN": k["KLEN"], "KSFT": k["KMID2"], "KUP": k["KUP"], "KLOW": k["KLOW"], "KSHUP": k["KUP2"], "KSHDN": k["KLOW2"]}
+    out |= {f"ROC_{n}": F.try_divide(W.lag("close", n), c) - 1 for n in (1, 2, 3, 5, 10, 20, 30, 60)}
+    for n in SPANS:
+        average = W.mean(c, n, third(n, 3))
+        out |= {f"MA_{n}": average, f"MADEV_{n}": F.try_divide(c - average, F.nullif(average, F.lit(0.0))), f"VOL_{n}": W.std("__r", n, third(n, 3)), f"SKEW_{n}": W.skew("__ret", n), f"KURT_{n}": W.kurtosis("__ret", n)}
+    for n in (5, 10, 20):
+        both = F.count(F.when(c.isNotNull(), v)).over(W.trailing(n)) >= third(n, 3)
+        out |= {f"CORR_VOL_{n}": F.when(both, W.correlation("close", "__v", n, 0.0)), f"VOL_RATIO_{n}": F.try_divide(v, W.mean(v, n, third(n, 3)))}
+    out |= {f"RSI_{n}": F.col(f"rsi_{n}") for n in (6, 14, 24)} | {x.upper(): F.col(x) for x in ("macd", "macd_signal", "macd_hist")}
+    mid, dev = W.mean(c, 20, 20), W.std(c, 20, 20)
+    out |= {"BB_UPPER_20": F.try_divide(mid + 2 * dev - c, c), "BB_LOWER_20": F.try_divide(c - mid + 2 * dev, c), "BB_WIDTH_20": F.try_divide(4 * dev, F.nullif(mid, F.lit(0.0)))}
+    out |= {f"ATR_{n}": F.try_divide(W.mean("__tr", n, n), c) for n in (14, 24)}
+    out |= {"VOL_CHANGE": F.try_divide(v, W.lag(v)) - 1, "VOL_MA5_RATIO": F.try_divide(v, W.mean(v, 5, 3)), "VOL_MA20_RATIO": F.try_divide(v, W.mean(v, 20, 5)), "RANGE": F.col("__range"), "RANGE_MA5": W.mean("__range", 5, 3)}
     return rows.select("symbol", "ts", *[x.alias(n) for n, x in out.items()])
 
 
