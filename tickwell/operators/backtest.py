@@ -102,7 +102,7 @@ def performance(equity: DataFrame, by: Sequence[str] = ("symbol",), periods: flo
     out = rows.groupBy(*by).agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("points"), (F.try_divide(F.max_by("equity", "ts"), F.min_by("equity", "ts")) - 1).alias("total_return"), cagr("equity", periods).alias("cagr"),
         (F.stddev_samp("__r") * math.sqrt(periods)).alias("volatility"), sharpe("__r", periods).alias("sharpe"), F.try_divide(F.avg("__r") * math.sqrt(periods), F.nullif(down, F.lit(0.0))).alias("sortino"),
-        F.min("__dd").alias("max_drawdown"), F.avg((F.col("__r") > 0).cast("double")).alias("win_rate"),
+        F.min("__dd").alias("max_drawdown"), F.avg((F.col("__r") > 1e-12).cast("double")).alias("win_rate"),
     )
     return out.withColumn("calmar", F.try_divide(F.col("cagr"), F.nullif(F.abs("max_drawdown"), F.lit(0.0))))
 

@@ -35,8 +35,9 @@ def session_votes(captures: DataFrame, sessions: DataFrame | None = None) -> Dat
     # A group's voice counts where some other group agrees with it; three that agree only along a chain are no consensus.
     votes = votes.withColumn("agree", F.filter("g", lambda a: F.exists("g", lambda b: (a["grp"] != b["grp"]) & near(a, b, PASS))))
     votes = votes.withColumn("whole", F.forall("agree", lambda a: F.forall("agree", lambda b: near(a, b, PASS))))
-    values = {f: F.transform("agree", lambda a, f=f: a[f]) for f in FIELDS}
-    votes = votes.withColumns({f"{f}_spread": spread(F.transform("g", lambda a, f=f: a[f])) for f in FIELDS})
+    each = lambda groups, f: F.transform(groups, lambda a: a[f])
+    values = {f: each("agree", f) for f in FIELDS}
+    votes = votes.withColumns({f"{f}_spread": spread(each("g", f)) for f in FIELDS})
     mid = lambda xs: F.try_divide(F.element_at(F.sort_array(xs), F.floor((F.size(xs) + 1) / 2).cast("int")) + F.element_at(F.sort_array(xs), F.floor(F.size(xs) / 2).cast("int") + 1), F.lit(2.0))
     good = (F.size("agree") >= 2) & F.col("whole")
     votes = votes.withColumns({"n_groups": F.size("g"), "n_agree": F.size("agree")} | {f: F.when(good, mid(values[f])) for f in FIELDS})
