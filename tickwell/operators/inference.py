@@ -93,7 +93,7 @@ def pbo(returns: DataFrame, blocks: int = 16, time: str = "t", variant: str = "v
     train, test = part.where("train"), part.where("NOT train")
     best = train.groupBy("mask").agg(F.max("sr").alias("__m")).join(train.select("mask", variant, "sr"), "mask").where("sr = __m").groupBy("mask").agg(F.min(variant).alias("best"))
     own = best.join(test.select("mask", F.col(variant).alias("best"), F.col("sr").alias("own")), ["mask", "best"])
-    rank = test.join(own, "mask").groupBy("mask").agg(F.sum((F.col("sr") > F.col("own")).cast("int")).alias("better"), F.count(F.lit(1)).alias("variants"))
+    rank = test.join(own, "mask").groupBy("mask").agg(F.sum((F.col("sr") > F.col("own") + 1e-12).cast("int")).alias("better"), F.count(F.lit(1)).alias("variants"))
     return rank.agg(F.avg(((F.col("better") + 1) / (F.col("variants") + 1) >= 0.5).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("n_splits"))
 
 

@@ -104,6 +104,7 @@ class FuturesBook:
     entry: float = 0.0
     liquidated: bool = False
     funding: float = 0.0
+    n_fills: int = 0
     fills: list[tuple] = field(default_factory=list)
 
     def equity(self, mark: float) -> float:
@@ -140,6 +141,7 @@ class FuturesBook:
                 self.qty = self.entry = 0.0
         opened = self._open(size - closed, price) if abs(size - closed) > FLAT else 0.0
         if closed or opened:
+            self.n_fills += 1
             self.fills.append((ts, "buy" if size > 0 else "sell", abs(closed + opened), price, before + gain - self.wallet, gain, note))
 
     def target(self, ts, leverage: float, mark: float, note: str = "") -> None:  # noqa: ANN001
@@ -163,6 +165,7 @@ class FuturesBook:
             self.liquidated = True
 
 
+STATE = "wallet double, qty double, entry double, liquidated boolean, funding double, n_fills long, start double, peak double, worst double, invalidated boolean, halted boolean, rejects long"
 CURVE = "ts timestamp_ntz, close double, target double, allowed double, reason string, phase string, qty double, wallet double, equity double, funding double, drawdown double, n_fills long, n_rejects long"
 
 
@@ -178,6 +181,16 @@ class Session:
     def new(capital: float = 10_000.0, limits: RiskLimits | None = None, watched: bool = True, **book: float) -> Session:
         return Session(FuturesBook(wallet=capital, **book), RiskGate(limits or RiskLimits(), capital), watched)
 
+    def state(self) -> tuple:
+        """All that the next step needs besides the parameters: STATE."""
+        b, g = self.book, self.gate
+        return (b.wallet, b.qty, b.entry, b.liquidated, b.funding, b.n_fills, g.start, g.peak, g.worst, g.invalidated, g.halted, g.rejects)
+
+    def resume(self, state: tuple) -> Session:
+        b, g = self.book, self.gate
+        b.wallet, b.qty, b.entry, b.liquidated, b.funding, b.n_fills, g.start, g.peak, g.worst, g.invalidated, g.halted, g.rejects = state
+        return self
+
     def step(self, ts, close: float, target: float) -> tuple | None:  # noqa: ANN001
         book, gate = self.book, self.gate
         if book.liquidated:
@@ -193,7 +206,7 @@ class Session:
         book.check(ts, close)  # the row shows the book before a liquidation
         if self.watched:
             gate.update(book.equity(close))
-        return (ts, close, target, allowed, reason, gate.phase(book.liquidated), qty, wallet, after, book.funding, gate.drawdown(after), len(book.fills), gate.rejects)
+        return (ts, close, target, allowed, reason, gate.phase(book.liquidated), qty, wallet, after, book.funding, gate.drawdown(after), book.n_fills, gate.rejects)
 
 
 def run_sessions(targets: DataFrame, by: Sequence[str] = ("symbol",), capital: float = 10_000.0, limits: RiskLimits | None = None, watched: bool = True, **book: float) -> DataFrame:

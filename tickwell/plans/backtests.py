@@ -126,7 +126,7 @@ b AS (SELECT t, CAST(i // (n // 8) AS INT) AS block FROM k WHERE i // (n // 8) <
 m AS (SELECT range AS mask FROM range(256) WHERE bit_count(range) = 4), a AS (SELECT mask, variant, (mask >> block) & 1 = 1 AS train, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM m, s GROUP BY ALL),
 z AS (SELECT mask, variant, train, coalesce((s / n) / nullif(sqrt(greatest(0, (q - n * (s / n) * (s / n)) / (n - 1))), 0), 0) AS sr FROM a),
 f AS (SELECT mask, variant FROM (SELECT mask, variant, row_number() OVER (PARTITION BY mask ORDER BY sr DESC, variant) AS k FROM z WHERE train) WHERE k = 1),
-o AS (SELECT f.mask, z.sr AS own FROM f JOIN z ON z.mask = f.mask AND z.variant = f.variant AND NOT z.train), c AS (SELECT mask, sum(CAST(sr > own AS INT)) AS better, count(*) AS v FROM z JOIN o USING (mask) WHERE NOT train GROUP BY mask)
+o AS (SELECT f.mask, z.sr AS own FROM f JOIN z ON z.mask = f.mask AND z.variant = f.variant AND NOT z.train), c AS (SELECT mask, sum(CAST(sr > own + 1e-12 AS INT)) AS better, count(*) AS v FROM z JOIN o USING (mask) WHERE NOT train GROUP BY mask)
 SELECT {r('avg(CAST((better + 1) / (v + 1) >= 0.5 AS INT))', 'pbo')}, count(*) AS n_splits FROM c"""
 
 
