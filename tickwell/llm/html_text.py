@@ -23,9 +23,12 @@ _HOLDS = frozenset("article aside body details dialog div dl fieldset figure foo
 #: Elements, and words in classes, ids and roles, that name a page's furniture.
 _FURNITURE = frozenset("aside dialog footer form menu nav".split())
 _WORDS = frozenset(
-    "ad ads adslot advert advertisement advertising aside banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus "
-    "footer form gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion recommended related replies "
-    "reply responses search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe tags teaser toolbar tooltip topbar widget widgets".split()
+    "aside banner breadcrumb breadcrumbs byline complementary consent contentinfo cookie cookies copyright crumbs dialog disclaimer follow footer form gdpr header legal lightbox login masthead menu menubar "
+    "modal nav navbar navigation newsletter overlay pager pagination paywall popover popup search share sharing sidebar signup skip social subscribe subscription tags toolbar tooltip topbar widget widgets".split()
+)
+#: Those of them whose inside is never the page's article, even where an article element stands in it.
+_FIRM = frozenset(
+    "ad ads adslot advert advertisement advertising alert comment comments commentlist discussion disqus notice notification promo promoted promotion recommended related replies reply responses skyscraper sponsor sponsored teaser".split()
 )
 _ARTICLE = frozenset("article main".split())
 _ARTICLE_WORDS = frozenset("article articlebody entry main post story".split())
@@ -43,7 +46,7 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Runs of text between block-level tags, white space as single blanks, references decoded, in page order; scripts, styles, titles and comments are no text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, in firm furniture, in other furniture, in an article
     pieces: list[tuple[str, bool]] = []
     furniture = article = False
     link = 0
@@ -93,10 +96,16 @@ def blocks(page: str) -> list[Block]:
                     break
         elif not m[3].endswith("/"):
             named = {w for value in _NAMED.findall(m[3]) for w in re.split(r"[^a-z]+", "".join(value).lower())}
-            is_article = name in _ARTICLE or bool(named & _ARTICLE_WORDS)
-            is_furniture = name in _FURNITURE or (name == "header" and not article) or bool(named & _WORDS) or bool(_HIDDEN.search(m[3]))
-            stack.append((name, furniture or is_furniture, (article or is_article) and not is_furniture))
-        furniture, article = stack[-1][1:] if stack else (False, False)
+            firm, loose, article = stack[-1][1:] if stack else (False, False, False)
+            if name != "body":
+                firm = firm or name in _FURNITURE or bool(named & _FIRM) or bool(_HIDDEN.search(m[3]))
+                own = (name == "header" and not article) or bool(named & _WORDS)
+                # A wrapper named after its sidebar or menu may hold the article all the same.
+                loose = own or (loose and name not in _ARTICLE)
+                article = not firm and not own and (article or name in _ARTICLE or bool(named & _ARTICLE_WORDS))
+            stack.append((name, firm, loose, article))
+        firm, loose, article = stack[-1][1:] if stack else (False, False, False)
+        furniture = firm or loose
     close()
     return out
 
