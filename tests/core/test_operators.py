@@ -282,3 +282,26 @@ def test_models(spark):
     with pytest.raises(ValueError):
         models.predict(best.model, panel.drop("f1", "f2"), ["f1", "f2"], ["ts"])
     assert models.should_retrain(None, 0.0) and not models.should_retrain(0.0, 86400.0)
+
+
+def test_filings(spark, tmp_path):
+    import hashlib
+    import json
+
+    from tickwell.operators import filings
+
+    fact = {"end": "2024-12-31", "val": 5.0, "accn": "a1", "fy": 2024, "fp": "FY", "form": "10-K", "filed": "2025-02-01"}
+    doc = {"facts": {"us-gaap": {"Assets": {"units": {"USD": [fact, fact | {"accn": "a2"}]}}, "Twice/x": {"units": {"USD": [fact, fact]}}}}}
+    sub = {"filings": {"recent": {"accessionNumber": ["a1", "a2"], "acceptanceDateTime": ["2025-02-01T10:00:00Z", "2025-06-01T10:00:00Z"]}}}
+    of = filings.facts(spark.createDataFrame([("e", json.dumps(doc)), ("e", "no json")], "entity string, value string"))
+    known = filings.accepted(spark.createDataFrame([("e", json.dumps(sub))], "entity string, value string"))
+    base = ("us-gaap", "USD", "10-K", 2024, "FY", "2024-12-31", None)
+    rows = [("x", "e", base[0], "Assets", base[1], "a1", *base[2:], 1000.0, True), ("late", "e", base[0], "Assets", base[1], "a2", *base[2:], None, None), ("two", "e", base[0], "Twice/x", base[1], "a1", *base[2:], None, None), ("none", "e", base[0], "Cash", base[1], "a1", *base[2:], None, None)]
+    want = spark.createDataFrame(rows, "name string, entity string, taxonomy string, concept string, unit string, accn string, form string, fy int, fp string, end string, start string, scale double, negate boolean")
+    got = {r.name: r for r in filings.select_facts(of, known, want, "2025-03-01").collect()}
+    assert {n: r.status for n, r in got.items()} == {"x": "ok", "late": "late", "two": "ambiguous", "none": "missing"}
+    assert got["x"].value == -5000.0 and got["x"].pointer == "/facts/us-gaap/Assets/units/USD/0" and got["two"].pointer == "/facts/us-gaap/Twice~1x/units/USD/0"
+    (tmp_path / "f.txt").write_text("abc")
+    wanted = spark.createDataFrame([("f.txt", hashlib.sha256(b"abc").hexdigest()), ("g.txt", "0")], "path string, sha256 string")
+    assert {r.path: r.status for r in filings.snapshots(spark, str(tmp_path), wanted).collect()} == {"f.txt": "ok", "g.txt": "missing"}
+    assert spark.createDataFrame([("1h",), ("?",)], "i string").select(filings.periods_per_year(F.col("i")).alias("n")).collect()[0].n == 8760
