@@ -9,31 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickwell.llm import jaccard_join, language, mixing, packing, quality
-from tickwell.llm.work import stored, table
+from tickwell.llm.work import short_batches, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes for good ones."""
+    short_batches(spark)
     return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are near enough to a known language."""
+    short_batches(spark)
     return language.accepted(docs, language.fit(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates."""
+    short_batches(spark)
     return jaccard_join.representatives(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture reads them, in its order."""
+    short_batches(spark)
     return mixing.mix(docs).orderBy("mix.copy", "mix.place").drop("mix")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 ids."""
+    short_batches(spark)
     return packing.digests(packing.pack(docs))
 
 

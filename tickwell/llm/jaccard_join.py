@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tickwell.llm.components import connected_components
 from tickwell.llm.shingles import WIDTH, mix64, shingle_sets, text_buffers
-from tickwell.llm.work import stored, table
+from tickwell.llm.work import small, stored, table
 
 PERCENT = 75
 #: Share of the hash range whose shingles are looked up for their rarity: somewhat over the quarter that a prefix needs.
@@ -65,7 +65,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _shingled(batches: Iterator[pa.RecordBatch], width: int, percent: int, pool: float, whole: bool) -> Iterator[pa.RecordBatch]:
     top = np.uint64(int(pool * 2**64))
-    for batch in batches:
+    for batch in small(batches):
         ids, n, keys, kept = batch.column(0), [], [], []
         for own in shingle_sets(*text_buffers(batch.column(1)), width):
             n.append(len(own))
@@ -178,13 +178,14 @@ def region_links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     common = F.size(F.array_intersect("shingles", "pivot_shingles")).cast("long")
     members = regions.select("pivot", "key").join(sets, "key").join(pivots, "pivot").select("pivot", "key", "n", "shingles", common.alias("common"), (F.col("n") + F.col("pivot_n") - common).alias("joint"))
     rings = 100 // (100 - percent)
+    inner = int(100 % (100 - percent) == 0)  # whether all of the innermost ring lies within eps
     members = stored(members.select("pivot", "key", "n", "shingles", (100 * F.col("common") >= percent * F.col("joint")).alias("linked"), F.expr(f"({rings} * (joint - common)) div joint").cast("int").alias("ring")), "members")
 
     sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("volume"), F.max("ring").alias("last"))
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("volume") / BLOCK_SHINGLES)).cast("int")
-    sizes = sizes.where("members > 1 AND last > 0").select("pivot", blocks.alias("blocks"))
+    sizes = sizes.where(f"members > 1 AND last >= {inner}").select("pivot", blocks.alias("blocks"))
     dealt = members.join(sizes, "pivot").withColumn("cell", F.when(F.col("blocks") == 1, 0).otherwise(F.col("ring") * F.col("blocks") + F.pmod(F.xxhash64("key"), "blocks")).cast("int"))
-    near_rings = F.expr(f"filter(array(ring - 1, ring, ring + 1), x -> x BETWEEN 0 AND {rings} AND x + ring > 0)")
+    near_rings = F.expr(f"filter(array(ring - 1, ring, ring + 1), x -> x BETWEEN 0 AND {rings} AND x + ring >= {inner})")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.flatten(F.transform(near_rings, lambda r: F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (r * F.col("blocks") + b).cast("int")))))
     dealt = dealt.withColumn("other", F.explode(others)).select("pivot", F.least("cell", "other").alias("c"), F.greatest("cell", "other").alias("d"), "key", "shingles")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwell.llm.shingles import slices, text_buffers
-from tickwell.llm.work import crc_mod, table
+from tickwell.llm.work import crc_mod, small, table
 
 UNKNOWN = "und"
 #: Hashed n-grams of one to three bytes of the lower-cased text, with all that is no letter as one blank.
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: s
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS, np.int64), 0
-        for batch in batches:
+        for batch in small(batches):
             for counts in ngram_counts(batch.column(0)):
                 total += (counts > 0).sum(axis=0)
                 n += len(counts)
@@ -143,7 +143,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found, score, rejected = model.predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
@@ -156,7 +156,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(~model.predict(batch.column(place).cast(pa.string()))[2]))
 
     return docs.mapInArrow(run, docs.schema)

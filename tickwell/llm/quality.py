@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickwell.llm import boosting
 from tickwell.llm.shingles import slices, text_buffers, word_hashes
-from tickwell.llm.work import crc_mod, table
+from tickwell.llm.work import crc_mod, small, table
 
 #: Bound of the labelled rows that the trees are fitted on: those of the smallest hashes of their ids.
 TRAIN_ROWS = 20_000
@@ -59,7 +59,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
     some = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(known), "id").select("text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([pa.array(list(statistics(batch.column(0))), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     got = some.mapInArrow(run, "x array<double>, y int").toArrow()
@@ -72,7 +72,7 @@ def score(docs: DataFrame, model: boosting.Forest, doc_id: str = "doc_id", text:
     """doc_id, held_out, score (probability of label 1), predicted, for every row; null texts are scored as empty ones. A null id is not held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(statistics(batch.column(1))))], ["doc_id", "score"])
 
     scored = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -84,7 +84,7 @@ def accepted(docs: DataFrame, model: boosting.Forest, text: str = "text") -> Dat
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(model.score(statistics(batch.column(place).cast(pa.string()))) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

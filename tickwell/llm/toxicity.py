@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwell.llm.shingles import mix64
-from tickwell.llm.work import crc_mod, table
+from tickwell.llm.work import crc_mod, small, table
 
 #: Bound (in expectation) of the labelled texts of either label that are learnt from: ids of the smallest hashes.
 TRAIN_ROWS = 2_000
@@ -279,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(some), "id").select("text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             lists = [_distinct(x or "") for x in pc.utf8_lower(batch.column(0)).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string())), batch.column(1)], ["words", "y"])
 
@@ -308,7 +308,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     """doc_id, held_out, score (probability of label 1), predicted, for every row; null and wordless texts score lowest. A null id is not held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             margins = model.margins([x or "" for x in pc.utf8_lower(batch.column(1)).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probability(margins))], ["doc_id", "score"])
 

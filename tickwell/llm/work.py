@@ -18,6 +18,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark hand Python at most ``rows`` rows at a time from now on, as rows are whole texts; a lower setting stays.
+
+    At Spark's own 10,000, buffers of tens of megabytes a task stand on both sides of the pipe.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
