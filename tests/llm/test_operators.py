@@ -146,6 +146,8 @@ def test_mixing_agrees_with_sql_and_meets_the_target(spark):
     assert got.copy is not None and got["copy"].max() >= 1
     assert mixing.mix(frame(spark, [])).count() == 0
     assert mixing.mix(frame(spark, ODD)).columns[:-1] == docs.columns
+    clash = mixing.mix(docs.toDF("doc_id", "text", "plan", "source", "fit", "copy", "block"))
+    assert clash.columns == ["doc_id", "text", "plan", "source", "fit", "copy", "block", "mix"] and clash.count() == len(got)
 
 
 def test_mixing_repetition_limit(spark):

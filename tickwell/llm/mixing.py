@@ -105,14 +105,17 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, re
     parts = cut.where("upto <= left").select("source", "block", "part", F.lit(True).alias("fits"))
 
     small = F.broadcast if blocks.count() <= _BROADCAST_ROWS else (lambda x: x)
-    named = lambda df, *keys: df.select(F.struct(*df.columns).alias("plan"), *[F.col(k).alias(f"__{k}") for k in keys])
-    block_plan, part_plan = named(blocks, "source", "block"), named(parts, "source", "block", "part").withColumnRenamed("plan", "fit")
-    r = rows.join(small(block_plan), (F.col("mix.source") == F.col("__source")) & (F.col("mix.block") == F.col("__block"))).drop("__source", "__block")
-    r = r.join(small(part_plan), (F.col("mix.source") == F.col("__source")) & (F.col("mix.block") == F.col("__block")) & (F.col("mix.part") == F.col("__part")), "left").drop("__source", "__block", "__part")
-    copies = F.col("plan.epochs") + F.when(F.col("plan.whole") | F.coalesce(F.col("fit.fits"), F.lit(False)), 1).otherwise(0)
-    r = r.withColumn("plan", copies).where("plan > 0").drop("fit").withColumn("plan", F.explode(F.sequence(F.lit(0), F.col("plan") - 1)))
-    place = _place(F.col("mix.source"), F.col("plan").cast("string"), F.col("mix.block").cast("string"))
-    return r.withColumn("mix", F.struct(F.col("plan").alias("copy"), place.alias("place"), F.col("mix.source").alias("source"), F.col("mix.tokens").alias("tokens"))).drop("plan")
+    named = lambda df, name, *keys: df.select(F.struct(*df.columns).alias(name), *[F.col(k).alias(f"__mix_{k}") for k in keys])
+    at = {k: F.col(f"mix.{k}") == F.col(f"__mix_{k}") for k in ("source", "block", "part")}
+    keys = [f"__mix_{k}" for k in at]
+    r = rows.join(small(named(blocks, "__mix_plan", "source", "block")), at["source"] & at["block"]).drop(*keys)
+    r = r.join(small(named(parts, "__mix_fit", "source", "block", "part")), at["source"] & at["block"] & at["part"], "left").drop(*keys)
+    more = F.col("__mix_plan.whole") | F.coalesce(F.col("__mix_fit.fits"), F.lit(False))
+    copies = F.col("__mix_plan.epochs") + F.when(more, 1).otherwise(0)
+    r = r.withColumn("__mix_n", copies).where("__mix_n > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)))
+    place = _place(F.col("mix.source"), F.col("__mix_copy").cast("string"), F.col("mix.block").cast("string"))
+    mix_of = F.struct(F.col("__mix_copy").alias("copy"), place.alias("place"), F.col("mix.source").alias("source"), F.col("mix.tokens").alias("tokens"))
+    return r.withColumn("mix", mix_of).drop("__mix_plan", "__mix_fit", "__mix_n", "__mix_copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
