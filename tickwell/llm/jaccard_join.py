@@ -123,8 +123,22 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def voronoi_links(sets: list[np.ndarray], percent: int, members: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """All linked pairs (positions) of ``sets``, by recursive Voronoi cells with windows; a pair may come more than once."""
+def spanning(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links, the first row of its component."""
+    label = np.arange(len(linked))
+    while True:
+        new = np.minimum(label, np.where(linked, label, len(label)).min(axis=1, initial=len(label)))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def voronoi_links(sets: list[np.ndarray], percent: int, members: np.ndarray | None = None, forest: bool = False) -> list[tuple[int, int]]:
+    """All linked pairs (positions) of ``sets``, by recursive Voronoi cells with windows; a pair may come more than once.
+
+    With ``forest``, each small cell gives every member with the first of its component there, instead of all pairs.
+    """
     members = np.arange(len(sets)) if members is None else members
     eps = 1 - percent / 100
     if len(members) > _LEAF:
@@ -136,13 +150,19 @@ def voronoi_links(sets: list[np.ndarray], percent: int, members: np.ndarray | No
             far[:, c] = 1 - common / (size + len(sets[p]) - common)
         window = far <= far.min(axis=1)[:, None] + 2 * eps + 1e-9
         if window.sum(axis=0).max() <= 0.75 * len(members):
-            return [x for c in range(len(pivots)) for x in voronoi_links(sets, percent, members[window[:, c]])]
+            return [x for c in range(len(pivots)) for x in voronoi_links(sets, percent, members[window[:, c]], forest)]
     if len(members) < 2:
         return []
     own = [sets[i] for i in members]
     common = common_counts(own)
     size = np.array([len(s) for s in own])
-    a, b = np.nonzero(np.triu(100 * common >= percent * (size[:, None] + size[None, :] - common), 1))
+    linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    if forest:
+        first = spanning(linked)
+        a = np.flatnonzero(first != np.arange(len(first)))
+        b = first[a]
+    else:
+        a, b = np.nonzero(np.triu(linked, 1))
     return list(zip(members[a].tolist(), members[b].tolist(), strict=True))
 
 
@@ -161,7 +181,7 @@ def _block_links(block: pa.Table, percent: int) -> pa.Table:
         return i
 
     found = []
-    for i, j in voronoi_links(sets, percent):
+    for i, j in voronoi_links(sets, percent, forest=True):
         a, b = root(i), root(j)
         if a != b:
             parent[a] = b
@@ -175,6 +195,7 @@ def region_links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     ``regions``: (pivot, key); ``sets``: (key, n, shingles).
     """
     pivots = sets.select(F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("shingles").alias("pivot_shingles"))
+    pivots = pivots.join(stored(regions.select("pivot").distinct(), "pivots"), "pivot", "left_semi")
     common = F.size(F.array_intersect("shingles", "pivot_shingles")).cast("long")
     members = regions.select("pivot", "key").join(sets, "key").join(pivots, "pivot").select("pivot", "key", "n", "shingles", common.alias("common"), (F.col("n") + F.col("pivot_n") - common).alias("joint"))
     rings = 100 // (100 - percent)
@@ -213,8 +234,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     unnamed = sets.where("key IS NOT NULL AND doc_id IS NULL").select("key").join(needed, "key", "left_semi").limit(1).count()
     some = docs.join(readers, "doc_id", "left_semi")
     some = some.unionByName(docs.where("doc_id IS NULL")) if unnamed else some
-    whole = shingled(some, "doc_id", "text", width, percent, pool, whole=True).select("key", "n", "shingles").join(needed, "key", "left_semi").dropDuplicates(["key"])
-    links = stored(region_links(regions, stored(whole, "whole"), percent), "pairs")
+    whole = stored(shingled(some, "doc_id", "text", width, percent, pool, whole=True).where("key IS NOT NULL").select("key", "n", "shingles"), "whole")
+    if whole.count() != whole.select("key").distinct().count():  # an id that stands for several texts
+        whole = stored(whole.dropDuplicates(["key"]), "whole")
+    links = stored(region_links(regions, whole, percent), "pairs")
 
     roots = connected_components(links, "a", "b").withColumnRenamed("vertex", "key")
     rows = sets.select("doc_id", "n", "key").join(roots, "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("root"))
@@ -228,12 +251,14 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows that repeat an id and its text count as one; rows without an id stay, as no group can be named after them.
     """
     groups = stored(jaccard_components(docs, doc_id, text, **options), "groups")
-    heads = groups.where("doc_id = component_id")
-    repeated = heads.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    kept = docs.join(heads.select(F.col("doc_id").alias("__head")).distinct(), F.col(doc_id) == F.col("__head"), "left_semi")
-    if repeated:
-        kept = kept.withColumn("__text", F.xxhash64(F.col(text))).dropDuplicates([doc_id, "__text"]).drop("__text")
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    ids = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("head"), F.count(F.lit(1)).alias("rows"))
+    # What goes is the smaller side, and a written table has a known size: Spark broadcasts it only where it is small.
+    gone = stored(ids.where("NOT head").select(F.col("doc_id").alias("__gone")), "gone")
+    kept = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    if ids.where("head AND rows > 1").limit(1).count():
+        named = kept.where(F.col(doc_id).isNotNull()).withColumn("__text", F.xxhash64(F.col(text))).dropDuplicates([doc_id, "__text"]).drop("__text")
+        return named.unionByName(kept.where(F.col(doc_id).isNull()))
+    return kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
