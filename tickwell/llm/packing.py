@@ -39,9 +39,9 @@ _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_BLANK}{
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids (little-endian uint16), the same as ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    Words of plain texts are encoded once and remembered; new ones go to the tokenizer together,
-    with its own end mark between them. All other texts, and those that may hold a special token,
-    go to the tokenizer whole.
+    Words of plain texts are encoded once and remembered; new ones go to the tokenizer together and
+    are told apart by the ids that end a word. All other texts, and those that may hold a special
+    token, go to the tokenizer whole.
     """
     if path in _encoders:
         return _encoders[path]
@@ -51,23 +51,27 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     tokenizer = Tokenizer.from_file(path)
     if tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError("ids over 65535 are not supported")
-    special = {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items()}
-    mark, mark_id = max(special.items(), key=lambda x: x[1])
     known: dict[str, bytes] = {}
+    final = np.zeros(tokenizer.get_vocab_size(), bool)  # ids that end a word
+    suffix = tokenizer.model.end_of_word_suffix
+    final[[i for t, i in tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
 
     def whole(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
     def learn(words: list[str]) -> dict[str, bytes]:
         out = {}
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            ids = np.array(tokenizer.encode(mark.join(some), add_special_tokens=False).ids, np.uint16)
+        for i in range(0, len(words), 1024):
+            some = words[i : i + 1024]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint16)
+            ends = np.flatnonzero(final[ids]) + 1
+            if len(ends) != len(some):  # a vocabulary without word ends
+                out.update((w, whole(w)) for w in some)
+                continue
             raw, begin = ids.tobytes(), 0
-            ends = [*np.flatnonzero(ids == mark_id).tolist(), len(ids)]
-            for w, end in zip(some, ends, strict=True):
-                out[w] = raw[2 * begin : 2 * end]
-                begin = end + 1
+            for w, end in zip(some, (2 * ends).tolist(), strict=True):
+                out[w] = raw[begin:end]
+                begin = end
         return out
 
     def encode(texts: list[str]) -> list[bytes]:
