@@ -49,7 +49,7 @@ def ngram_counts(column: pa.Array) -> Iterator[np.ndarray]:
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Unit TF-IDF vectors; a row without n-grams stays zero."""
-    v = np.log1p(counts.astype(np.float32)) * idf.astype(np.float32)
+    v = counts.astype(np.float32) * idf.astype(np.float32)
     size = np.sqrt((v * v).sum(axis=1, keepdims=True))
     return v / np.where(size > 0, size, 1)
 
