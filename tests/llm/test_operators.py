@@ -77,6 +77,22 @@ def test_jaccard_components_are_exact(spark, monkeypatch, members):
     assert all(r.n_shingles == len(shingle_set(texts[i])) for i, r in got.items())
 
 
+def test_sets_with_few_low_hashes_still_meet(spark):
+    # Of 8 shared shingles only 5 lies below the cut: x takes 101 and 102 besides, y has 6 and 7 of its own there.
+    sets = spark.createDataFrame([(1, 8, [5, 101, 102]), (2, 10, [5, 6, 7])], "key long, n long, shingles array<long>")
+    assert [(r.pivot, r.key) for r in jaccard_join.meetings(sets, 75).collect()] == [(1, 2)]
+
+
+def test_jaccard_components_of_short_supersets(spark):
+    texts = {}
+    for i in range(400):
+        n = 12 + i % 20
+        own = [f"p{i}w{k}" for k in range(n + (n - 4) // 4)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(own[:n]), " ".join(own)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame(spark, list(texts.items()))).collect()}
+    assert got == components(texts)
+
+
 def test_voronoi_cells_lose_no_link():
     texts = family(np.random.default_rng(9), 400)
     sets = [np.unique(s) for s in shingles.shingle_sets(*shingles.text_buffers(__import__("pyarrow").array(list(texts.values()))))]

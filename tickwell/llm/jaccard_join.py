@@ -93,7 +93,9 @@ def meetings(sets: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumns({"rank": F.row_number().over(by_key.orderBy("df", "token")), "shared": F.count(F.lit(1)).over(by_key)})
     most_missed = F.expr(f"n - ((n * {percent} + 99) div 100)")
     alone = F.col("pool") - F.col("shared")
-    rows = rows.where(F.col("rank") + alone <= most_missed + 1).select("key", "n", "token", (F.col("n") - alone - F.col("rank") + 1).alias("rest"))
+    # A pool of no more than a prefix may reach above the cut, where a partner holds shingles outside its own pool: there no shingle counts as missed.
+    rest = F.when(F.col("pool") <= most_missed + 1, F.col("n")).otherwise(F.col("n") - alone - F.col("rank") + 1)
+    rows = rows.where(F.col("rank") + alone <= most_missed + 1).select("key", "n", "token", rest.alias("rest"))
 
     # At most min(rest) shingles are common to two sets that meet here first; a link needs percent / (100 + percent) of both sizes.
     p, q = percent, 100 + percent
