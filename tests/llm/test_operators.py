@@ -269,6 +269,12 @@ def test_pseudo_likelihood(spark):
     assert pseudo_likelihood.score(frame(spark, []), pseudo_likelihood.fit(frame(spark, []))).count() == 0
 
 
+def test_pseudo_likelihood_learns_from_every_word(spark):
+    rows = [(i, "a b b b b b b b " * 40) for i in range(40)]  # every 8th word alone shows only a
+    got = pseudo_likelihood.score(frame(spark, rows), pseudo_likelihood.fit(frame(spark, rows))).collect()
+    assert min(r.mean_log_probability for r in got) > -1.5
+
+
 def test_subsequence_kernel_is_the_folded_sum():
     names = ["idiot", "theory", "id", "abcabcabc"]
     stream, begin, _ = toxicity.words_of(names)

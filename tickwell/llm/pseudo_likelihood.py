@@ -6,9 +6,10 @@ Words are classes: the most frequent words of the whole corpus have one each, al
 text's score is the sum, over all its words, of the log-probability of the word's own class.
 
 Training is data-parallel: in each round every partition starts from the same parameters, runs
-Adagrad over its own texts (each ``STRIDE``-th word is a target, other words each round) and
-hands in its parameters, which are averaged by the number of targets in a grouped sum. So all
-texts are counted, learnt from and scored, and the driver holds one set of parameters.
+Adagrad over its own texts (each ``STRIDE``-th word is a target, other words each round, until
+every word has been one) and hands in its parameters, which are averaged by the number of targets
+in a grouped sum. So all words are counted, learnt from and scored, and the driver holds one set
+of parameters.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ CLASSES = 1 + FREQUENT + BUCKETS  # class 0: beyond an edge
 HIDDEN = 24
 AROUND = (-2, -1, 1, 2)
 ROUNDS = 2
-STRIDE = 16
+STRIDE = 2
 RATE = 0.1
 _BATCH = 512
 _CHUNK = 1 << 14
@@ -113,7 +114,9 @@ def descend(net: Network, runs: Iterator[tuple[np.ndarray, np.ndarray]], rate: f
             back = (p @ parts[2].T) * (1 - h * h)
             inner = np.zeros_like(parts[0])
             for k in range(len(AROUND)):
-                np.add.at(inner[k], c[k], back)
+                chosen = np.zeros((inner.shape[1], len(y)), np.float32)
+                chosen[c[k], np.arange(len(y))] = 1
+                inner[k] = chosen @ back
             for x, g, s in zip(parts, (inner, back.sum(axis=0), h.T @ p, p.sum(axis=0)), past, strict=True):
                 s += g * g
                 x -= rate * g / np.sqrt(s)
@@ -152,7 +155,11 @@ def frequent_words(docs: DataFrame, text: str, n: int = FREQUENT) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
-    """A network trained over all texts; without words it keeps its first, random parameters."""
+    """A network trained over all words of all texts; without words it keeps its first, random parameters.
+
+    Each word is a target in one round at least: there are never more residues of ``stride`` than rounds.
+    """
+    stride = min(stride, rounds)
     net = start(frequent_words(docs, text))
     texts = docs.select(F.col(text).cast("string").alias("text"))
     for turn in range(rounds):
