@@ -275,6 +275,30 @@ def test_pseudo_likelihood_learns_from_every_word(spark):
     assert min(r.mean_log_probability for r in got) > -1.5
 
 
+def test_pseudo_likelihood_tells_the_words_of_a_bucket_apart(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "FREQUENT", 0)
+    names = [f"w{i}" for i in range(400)]
+    hashes = pseudo_likelihood.word_hashes(*shingles.text_buffers(__import__("pyarrow").array([" ".join(names)])))[0]
+    of = dict(zip(names, pseudo_likelihood.buckets(hashes).tolist(), strict=True))
+    often, once, new = [w for w in names if of[w] == of["w0"]][:3]
+    docs = [(1, f"{often} {often} {often} {once} w1 w1 w2"), (2, often), (2, often), (3, once), (4, new)]
+    net = pseudo_likelihood.fit(frame(spark, docs[:1]))
+    assert net.totals.sum() == 7 and net.totals[of[often]] >= 4
+    got = {r.doc_id: r.log_probability for r in pseudo_likelihood.score(frame(spark, docs), net).collect()}
+    assert len(got) == 4 and got[3] == got[4] and abs(got[2] - got[3] - np.log(3)) < 1e-6
+    bare = pseudo_likelihood.score(frame(spark, docs), pseudo_likelihood.replace(net, totals=None, words=None))
+    plain = {r.doc_id: r.log_probability for r in bare.collect()}
+    assert abs(got[3] - plain[3] + np.log(net.totals[of[once]] + 1)) < 1e-6
+
+
+def test_pseudo_likelihood_classes_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "WORDS", 100)
+    rows = [(i, " ".join(f"w{j}" for j in range(400))) for i in range(2)]
+    net = pseudo_likelihood.fit(frame(spark, rows))
+    assert len(net.frequent) == pseudo_likelihood.FREQUENT + 3 * pseudo_likelihood.MORE
+    assert len(net.outer_bias) == 1 + len(net.frequent) + pseudo_likelihood.BUCKETS
+
+
 def test_subsequence_kernel_is_the_folded_sum():
     names = ["idiot", "theory", "id", "abcabcabc"]
     stream, begin, _ = toxicity.words_of(names)

@@ -1,9 +1,16 @@
 """LM scoring by masked pseudo-likelihood: a small window network predicts each word from both sides.
 
-Words are classes: the most frequent words of the whole corpus have one each, all others share
-``BUCKETS`` by their hash. The network sees the two classes on either side of a masked word
+Words have classes: the most frequent words of the whole corpus have one each, all others share
+``BUCKETS`` by their hash. There are ``FREQUENT`` frequent words, and ``MORE`` for each doubling of
+the corpus beyond ``WORDS`` words. The network sees the two classes on either side of a masked word
 (an edge class beyond the text), has one hidden layer, and gives a distribution over classes. A
-text's score is the sum, over all its words, of the log-probability of the word's own class.
+text's score is the sum, over all its words, of the log-probability of the word's own class given
+its neighbours and of the word given its class: its count in the corpus over that of its bucket,
+both with one more for words that the corpus does not have; a frequent word is sure given its class.
+
+The counts of all words make a table in the shared folder, which grows with the corpus and is
+joined with the words of the texts. A word seen once scores as a new one (log 1 = 0), so the table
+holds words from two occurrences on, and none is lost by that.
 
 Training is data-parallel: in each round every partition starts from the same parameters, runs
 Adagrad over its own texts (each ``STRIDE``-th word is a target, other words each round, until
@@ -15,7 +22,7 @@ of parameters.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwell.llm.shingles import mix64, slices, text_buffers, word_hashes
-from tickwell.llm.work import small, table
+from tickwell.llm.work import small, stored, table
 
 FREQUENT = 95
 BUCKETS = 32
-CLASSES = 1 + FREQUENT + BUCKETS  # class 0: beyond an edge
+MORE = 32
+WORDS = 1 << 22
+CLASSES = 1 + FREQUENT + BUCKETS  # at least; class 0: beyond an edge
 HIDDEN = 24
 AROUND = (-2, -1, 1, 2)
 ROUNDS = 2
@@ -37,13 +46,19 @@ _BATCH = 512
 _CHUNK = 1 << 14
 
 
+def buckets(words: np.ndarray) -> np.ndarray:
+    return (mix64(words) % np.uint64(BUCKETS)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Network:
     frequent: np.ndarray  # ascending word hashes (uint64); class 1 + place
-    inner: np.ndarray  # (len(AROUND), CLASSES, HIDDEN)
+    inner: np.ndarray  # (len(AROUND), classes, HIDDEN)
     inner_bias: np.ndarray
-    outer: np.ndarray  # (HIDDEN, CLASSES)
+    outer: np.ndarray  # (HIDDEN, classes)
     outer_bias: np.ndarray
+    totals: np.ndarray | None = None  # by bucket: occurrences of all its words in the corpus
+    words: DataFrame | None = None  # word, log_times: those that occur twice or more in the corpus
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (self.inner, self.inner_bias, self.outer, self.outer_bias)]).astype(np.float64)
@@ -56,7 +71,7 @@ class Network:
         return Network(self.frequent, *out)
 
     def classes(self, words: np.ndarray) -> np.ndarray:
-        bucket = (1 + FREQUENT + (mix64(words) % np.uint64(BUCKETS))).astype(np.int64)
+        bucket = len(self.outer_bias) - BUCKETS + buckets(words)
         if not len(self.frequent):
             return bucket
         at = np.minimum(np.searchsorted(self.frequent, words), len(self.frequent) - 1)
@@ -82,8 +97,9 @@ class Network:
 
 def start(frequent: np.ndarray) -> Network:
     rng = np.random.default_rng(1)
-    shape = (len(AROUND), CLASSES, HIDDEN)
-    return Network(frequent, rng.normal(0, 0.1, shape).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32), np.zeros(CLASSES, np.float32))
+    classes = max(CLASSES, 1 + len(frequent) + BUCKETS)
+    shape = (len(AROUND), classes, HIDDEN)
+    return Network(frequent, rng.normal(0, 0.1, shape).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, 0.1, (HIDDEN, classes)).astype(np.float32), np.zeros(classes, np.float32))
 
 
 def contexts(classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -124,18 +140,18 @@ def descend(net: Network, runs: Iterator[tuple[np.ndarray, np.ndarray]], rate: f
     return Network(net.frequent, *parts), seen
 
 
-def _runs(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of about 2 MB of text each: how many texts, words in each, contexts, own classes."""
+def _runs(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of about 2 MB of text each: how many texts, words in each, contexts, own classes, words."""
     for batch in small(batches):
         raw, at = text_buffers(batch.column(batch.num_columns - 1))
         for i, j in slices(at):
             words, counts = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
             own = net.classes(words)
-            yield j - i, counts, contexts(own, counts), own
+            yield j - i, counts, contexts(own, counts), own, words
 
 
-def frequent_words(docs: DataFrame, text: str, n: int = FREQUENT) -> np.ndarray:
-    """Hashes of the ``n`` most frequent words of all texts; equal counts go to the smaller hash."""
+def word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """word (hash), times: of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,44 +165,83 @@ def frequent_words(docs: DataFrame, text: str, n: int = FREQUENT) -> np.ndarray:
             c = np.bincount(back, np.concatenate([np.zeros(0), *times]), minlength=len(w)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c)], ["word", "times"])
 
-    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+
+
+def frequent_words(counted: DataFrame) -> np.ndarray:
+    """Hashes of the most frequent words, more of them the larger the corpus; equal counts go to the smaller hash."""
+    n = counted.agg(F.sum("times")).first()[0] or 0
+    n = FREQUENT + MORE * max(0, (n // WORDS).bit_length() - 1)
     top = counted.orderBy(F.desc("times"), "word").limit(n).collect()
     return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
 
 
+def bucket_totals(counted: DataFrame, frequent: np.ndarray) -> np.ndarray:
+    """By bucket: occurrences of all its words but the frequent ones."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            words, times = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            rare = ~np.isin(words, frequent)
+            np.add.at(total, buckets(words[rare]), times[rare])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total)], ["bucket", "times"])
+
+    got = {r[0]: r[1] for r in counted.select("word", "times").mapInArrow(add, "bucket long, times long").groupBy("bucket").agg(F.sum("times")).collect()}
+    return np.array([got.get(i, 0) for i in range(BUCKETS)], np.int64)
+
+
 def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
     """A network trained over all words of all texts; without words it keeps its first, random parameters.
 
     Each word is a target in one round at least: there are never more residues of ``stride`` than rounds.
     """
     stride = min(stride, rounds)
-    net = start(frequent_words(docs, text))
+    counted = stored(word_counts(docs, text), "words")
+    net = start(frequent_words(counted))
     texts = docs.select(F.col(text).cast("string").alias("text"))
     for turn in range(rounds):
 
         def learn(batches: Iterator[pa.RecordBatch], net: Network = net, first: int = turn * stride // rounds) -> Iterator[pa.RecordBatch]:
-            new, seen = descend(net, ((c[:, first::stride], own[first::stride]) for _, _, c, own in _runs(batches, net)))
+            new, seen = descend(net, ((c[:, first::stride], own[first::stride]) for _, _, c, own, _ in _runs(batches, net)))
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(new.flat()))), pa.array(new.flat() * seen), pa.array(np.full(len(new.flat()), seen))], ["at", "value", "seen"])
 
         got = texts.mapInArrow(learn, "at long, value double, seen long").groupBy("at").agg((F.sum("value") / F.sum("seen")).alias("value")).toArrow().sort_by("at")
         if got.num_rows:
             net = net.like(got["value"].to_numpy())
-    return net
+    return replace(net, totals=bucket_totals(counted, net.frequent), words=counted.where("times > 1").select("word", F.log("times").alias("log_times")))
 
 
 def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, log_probability (sum over all words) and mean_log_probability of every row; without words 0, 0 and null."""
 
+    bare = replace(net, words=None)  # what the tasks take along
+    less = np.zeros(len(net.outer_bias))
+    if net.totals is not None:
+        less[-BUCKETS:] = np.log(net.totals + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for rows, counts, context, own in _runs(iter([batch]), net):
+            n, total, rare, sizes = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for rows, counts, context, own, words in _runs(iter([batch]), bare):
+                row = np.repeat(np.arange(rows), counts)
+                bucketed = own >= len(less) - BUCKETS
                 n.append(counts)
-                total.append(np.bincount(np.repeat(np.arange(rows), counts), net.log_probability(context, own), minlength=rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(total))], ["doc_id", "n_words", "log_probability"])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, log_probability double")
+                total.append(np.bincount(row, bare.log_probability(context, own) - less[own], minlength=rows))
+                rare.append(words[bucketed])
+                sizes.append(np.bincount(row[bucketed], minlength=rows))
+            at = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rare).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(n)), pa.array(np.concatenate(total)), lists], ["row", "doc_id", "n_words", "log_probability", "rare"])
+
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = own.mapInArrow(run, "row long, doc_id long, n_words long, log_probability double, rare array<long>")
+    if net.words is not None:
+        rows = stored(rows, "scored")  # rows keep their numbers from here on
+        counted = rows.select("row", F.explode("rare").alias("word")).join(net.words, "word").groupBy("row").agg(F.sum("log_times").alias("more"))
+        rows = rows.drop("rare").join(counted, "row", "left").withColumn("log_probability", F.col("log_probability") + F.coalesce("more", F.lit(0.0)))
+    rows = rows.select("doc_id", "n_words", "log_probability")
     return rows.withColumn("mean_log_probability", F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words")))
 
 
