@@ -238,6 +238,34 @@ def test_packing(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_every_plain_character_is_encoded_as_the_tokenizer_does():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path(packing.VOCABULARY)
+    signs = [*map(chr, [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x203B), 0x20AC])]
+    texts = [x for c in signs for x in (c, f"ab{c}cd", f"{c}word", f"word{c} x", f" {c} ", f"A{c}")]
+    rng = np.random.default_rng(0)
+    letters = [*signs, *("abcdefghij ETA  " * 30), *(["'s", "'ll", "'T"] * 10)]
+    texts += ["".join(rng.choice(letters, int(rng.integers(1, 14)))) for _ in range(20_000)] + ["\u0190dzi \u0186kwan \u0181aawo"]
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [t for t, g, w in zip(texts, packing.encoder(path)(texts), want, strict=True) if np.frombuffer(g, np.uint16).tolist() != w.ids] == []
+
+
+def test_packing_follows_the_files(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    rows = [(i, f"text number {i} " * (i % 40)) for i in range(300)]
+    frame(spark, rows).orderBy("doc_id").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/docs")
+    got = []
+    for size in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got.append(packing.digests(packing.pack(spark.read.parquet(f"{tmp_path}/docs"), window=64)).toPandas().sort_values(["sequence_id", "offset"]).reset_index(drop=True))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got[0].equals(got[1]) and got[0].doc_id.drop_duplicates().tolist() == list(range(300))
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home</a> Site</header><nav><ul><li><a href=a>One</a></li></ul></nav>
     <script>var x = "<p>no</p>";</script><!-- <p>no</p> --><article><h1>Head &amp; line</h1><p>First   para <b>bold</b> &lt;x&gt; with words

@@ -1,10 +1,11 @@
 """Packing by concatenation and cutting: every document's ids, end id last, in fixed windows.
 
-Pass one tokenises each document once and keeps the ids with the document's place: its
-partition and the number of ids before it there. The partitions' totals, summed up in order,
-give each partition's global offset; pass two adds it and cuts documents where they cross a
-multiple of the window. All windows are full but the last, so padding is under one window for
-the whole corpus. Neither pass shuffles.
+Pass one tokenises each document once and keeps the ids with the document's place: its split
+(file, first byte there, partition) and the number of ids before it in the partition. The splits'
+totals, summed up in the order of files and bytes, give each split's global offset; pass two adds
+it and cuts documents where they cross a multiple of the window. So documents follow each other as
+they stand in their files, however Spark deals splits to partitions. All windows are full but the
+last, so padding is under one window for the whole corpus. Neither pass shuffles.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ _REMEMBERED = 400_000
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 #: Texts of these characters alone are split here, by the rule of the tokenizer's own file: a text is lower-cased
 #: (they are all in normal form) and its contractions, runs of letters, digits and runs of other signs are encoded one by one.
-_PLAIN = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u203a\u20ac]*")
+#: A capital of the range whose small letter lies beyond it makes a text one of the others.
+_PLAIN = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x250)) if max(c.lower()) < "\u0250")) + "\u2010-\u2027\u2030-\u203a\u20ac]*")
 _LETTER, _DIGIT, _BLANK = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_BLANK}{_LETTER}{_DIGIT}]+")
 
@@ -107,11 +109,11 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterato
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             some = batch.slice(i, 256)
-            ids = [x + last for x in encode([x or "" for x in some.column(1).to_pylist()])]
+            ids = [x + last for x in encode([x or "" for x in some.column(3).to_pylist()])]
             n = np.array([len(x) // 2 for x in ids], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [some.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary())],
-                ["doc_id", "part", "before", "doc_tokens", "ids"],
+                [*some.columns[:3], pa.array(np.full(len(ids), part, np.int32)), pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array(ids, pa.binary())],
+                ["file", "first", "doc_id", "part", "before", "doc_tokens", "ids"],
             )
             before += int(n.sum())
 
@@ -137,18 +139,21 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
 
     ``path``: the tokenizer's file, by default that of ``VOCABULARY``. Null and empty texts are
     the end id alone. Repeated rows are packed once each; null ids stay null. Other columns are not
-    read. Empty table: no rows. Documents follow each other in the order in which Spark reads them.
+    read, whatever their names. Empty table: no rows. Documents follow each other as they stand in
+    the files of ``docs``, in the order of the files' names; where ``docs`` is not read from files, in
+    the order of its partitions.
     """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kept = stored(docs.mapInArrow(partial(_tokenise, path=path, end=end), "doc_id long, part int, before long, doc_tokens long, ids binary"), "tokens")
-    totals = sorted((r["part"], r["n"]) for r in kept.groupBy("part").agg(F.sum("doc_tokens").alias("n")).collect())  # a row for each partition
-    bases = list(accumulate((n for _, n in totals), initial=0))
-    base = docs.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(totals, bases, strict=False)], "part int, base long")
-    placed = kept.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("before")).alias("begin"), "doc_tokens", "ids")
+    docs = docs.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("first"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kept = stored(docs.mapInArrow(partial(_tokenise, path=path, end=end), "file string, first long, doc_id long, part int, before long, doc_tokens long, ids binary"), "tokens")
+    splits = kept.groupBy("file", "first", "part").agg(F.sum("doc_tokens").alias("n"), F.min("before").alias("skip")).collect()  # a row for each split of the input
+    splits.sort(key=lambda r: r[:3])
+    bases = list(accumulate((r["n"] for r in splits), initial=0))
+    base = docs.sparkSession.createDataFrame([(*r[:3], b - r["skip"]) for r, b in zip(splits, bases, strict=False)], "file string, first long, part int, base long")
+    placed = kept.join(F.broadcast(base), ["file", "first", "part"]).select("doc_id", (F.col("base") + F.col("before")).alias("begin"), "doc_tokens", "ids")
     return placed.mapInArrow(partial(_cut, window=window), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
