@@ -327,15 +327,62 @@ def test_pseudo_likelihood_classes_grow_with_the_corpus(spark, monkeypatch):
     assert len(net.outer_bias) == 1 + len(net.frequent) + pseudo_likelihood.BUCKETS
 
 
-def test_subsequence_kernel_is_the_folded_sum():
-    names = ["idiot", "theory", "id", "abcabcabc"]
+def string_kernel(a, b):
+    """By the definition: every pair of equal subsequences of three symbols, word ends included, that stretch over SPAN symbols at most."""
+
+    def weights(word):
+        own, out = ["^", *word, "$"], Counter()
+        for i in range(len(own)):
+            for j in range(i + 1, len(own)):
+                for k in range(j + 1, min(i + toxicity.SPAN, len(own))):
+                    out[own[i], own[j], own[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    x, y = weights(a), weights(b)
+    return sum(v * y[k] for k, v in x.items()) / (toxicity.norms(np.array(len(a) + 2)) * toxicity.norms(np.array(len(b) + 2)))
+
+
+def test_subsequence_kernel_is_that_of_the_definition():
+    names = ["idiot", "idxiot", "theory", "id", "abcabcabc", "a" * 40]
     stream, begin, _ = toxicity.words_of(names)
     table = np.random.default_rng(0).random(toxicity._BASE**3).astype(np.float32)
-    for word, value in zip(names, toxicity.word_sums(stream, begin, table), strict=True):
-        s, b, _ = toxicity.words_of([word])
-        explicit = toxicity.word_table(s, b)[0]
-        assert np.isclose((explicit * table).sum(), value, rtol=1e-3)
+    explicit = toxicity.word_table(stream, begin)
+    for word, own, value in zip(names, explicit, toxicity.word_sums(stream, begin, table), strict=True):
+        assert np.isclose((own * table).sum(), value, rtol=1e-3)
+        got = toxicity.word_sums(stream, begin, own)
+        assert np.allclose(got, [string_kernel(other, word) for other in names], rtol=1e-3)
     assert toxicity._distinct("i d i o t a-b, c!") == ["ab", "c", "idiot"]
+    squares = [sum((d - 1) * toxicity.DECAY ** (2 * (d + 1)) for i in range(n) for d in range(2, toxicity.SPAN) if i + d < n) for n in (3, 9, 50)]
+    assert np.allclose(toxicity.norms(np.array([3, 9, 50])), np.sqrt(squares))
+
+
+def test_sentences():
+    assert toxicity.sentences("one two. three four! five\nsix i. d. i. o. t. seven") == [["one", "two"], ["four", "three"], ["five", "idiot", "seven", "six"]]
+    assert toxicity.sentences("") == toxicity.sentences(" . ! ") == []
+    worth = np.array([0.0, 1.0, 5.0, 2.0])
+    assert toxicity._worst([np.array([0, 1]), np.zeros(0, np.int64), np.array([3, 2])], worth) == 2
+
+
+@pytest.mark.parametrize("case", ["no clean words", "nearly all toxic", "a toxic text without words", "no toxic words", "nothing at all", "ties"])
+def test_toxicity_learns_from_odd_labels(spark, case):
+    word = lambda i: " ".join(f"{'abcdefgh'[i % 8]}{'xyzuvw'[i % 6]}{c}" for c in ("ona", "tree", "lib", "mok"))
+    rows, labels = [(i, f"{word(i)} nitwit. {word(i + 1)}" if i % 2 else word(i)) for i in range(60)], [(i, 1, i % 2) for i in range(60)]
+    if case == "no clean words":
+        rows = [(i, t if i % 2 else "") for i, t in rows]
+    if case == "nearly all toxic":
+        labels = [(i, 1, int(i != 2)) for i in range(60)]
+    if case == "a toxic text without words":
+        rows = [(i, " \n 12" if i in (1, 3) else t) for i, t in rows]
+    if case == "no toxic words":
+        rows = [(i, "" if i % 2 else t) for i, t in rows]
+    if case == "nothing at all":
+        rows = [(i, None) for i, _ in rows]
+    if case == "ties":
+        rows, labels = rows + rows, labels + labels
+    got = toxicity.score(frame(spark, rows), toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).toPandas()
+    assert len(got) == len(rows) and got.score.between(0, 1).all()
+    if case in ("no clean words", "ties"):
+        assert (got.predicted == got.doc_id % 2).all()
 
 
 def test_toxicity(spark):

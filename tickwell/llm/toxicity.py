@@ -1,20 +1,23 @@
 """Toxicity: a support vector machine with a gap-weighted subsequence string kernel.
 
-The kernel of two words counts their common subsequences of three symbols, each occurrence
-weighted by ``DECAY`` to the power of the stretch it covers, so an insult with letters put in
-between, or left in pieces by punctuation, still shares most of its subsequences with the
-plain one. Word ends are symbols too. Nystroem landmarks (words) give each word a finite
-feature vector, on which a linear machine is trained; as the kernel is an inner product of
-subsequence weights, the trained machine folds into one table of subsequence weights, and
-whole texts are scored by sums over it.
-
-A sentence is as toxic as its worst word, and a text as its worst sentence. Labels are known for
-texts; in a toxic one the sentence holding its worst word is taken as the toxic one, found anew
-after each round of training.
+Texts are cut into sentences. The kernel of two words counts their common subsequences of three
+symbols, each occurrence weighted by ``DECAY`` to the power of the stretch it covers (``SPAN``
+symbols at most), so an insult with letters put in between, or left in pieces by punctuation,
+still shares most of its subsequences with the plain one. Word ends are symbols too. A sentence
+is represented by its worst word. Nystroem landmarks (words) give it a finite feature vector, on
+which a linear machine is trained; as the kernel is an inner product of subsequence weights, the
+trained machine folds into one table of subsequence weights, and whole texts are scored by sums
+over it.
+
+The machine learns from labelled sentences. All sentences of a text of label 0 have that label. A
+text of label 1 has one sentence at least that earns it: the one with its worst word, found anew
+after each round of training; its other sentences stay without a label. A text scores as its worst
+sentence. So an insult of several words, each of them common elsewhere, is not known as one.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,21 +37,26 @@ DECAY = 0.6
 SPAN = 6
 ROUNDS = 3
 HELD_OUT_OF, HELD_OUT = 5, 0
+#: Bounds of what the machine is trained on, besides the toxic sentences: words of clean ones (the most frequent, as many evenly spread over the rest, and those it was most wrong about in the rounds before).
+CLEAN_WORDS, WRONG_WORDS = 3_000, 4_000
+#: Texts are taken for copies of each other by words that so many of the learnt texts have at most.
+RARE = 64
 
 _BASE, _OPEN, _SHUT = 48, 46, 47
-_NORMED = 16
 _SLICE_CHARS = 1 << 19
+#: A sentence ends at a stop after a word of two letters at least (single letters with stops may be one word in pieces).
+_STOP = re.compile(r"(?<=[^\W\d_]{2})[.!?\u2026\u3002\uff01\uff1f]+[\"'\u00bb\u201d)\]]*\s+")
 
 
 def _symbols() -> np.ndarray:
     """By code point: 0 for white space, 255 for what is dropped, else the letter's symbol."""
-    out = np.full(0x110000, 255, np.uint8)
-    for c in range(0x110000):
-        x = chr(c)
-        if x.isalpha():
-            out[c] = 1 + c - 97 if 97 <= c < 123 else 27 + c % 19
-        elif x.isspace():
-            out[c] = 0
+    every = list(map(chr, range(0x110000)))
+    point = np.arange(len(every))
+    out = np.full(len(every), 255, np.uint8)
+    out[np.fromiter(map(str.isspace, every), bool, len(every))] = 0
+    letter = np.fromiter(map(str.isalpha, every), bool, len(every))
+    out[letter] = (27 + point % 19)[letter]
+    out[97:123] = np.arange(1, 27)
     return out
 
 
@@ -91,17 +99,13 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, begin, text
 
 
-def norms() -> np.ndarray:
-    """Of words by their number of symbols, up to ``_NORMED``: root of the summed squared weights of all their subsequences."""
-    total = np.zeros(_NORMED + 1)
-    for n in range(3, _NORMED + 1):
-        total[n] = sum((b - 1) * (n - b) * DECAY ** (2 * (b + 1)) for b in range(2, SPAN) if n > b)
+def norms(length: np.ndarray) -> np.ndarray:
+    """Of words by their number of symbols: root of the summed squared weights of all their subsequences."""
+    b = np.arange(2, SPAN)
+    total = np.maximum(np.asarray(length)[..., None] - b, 0) @ ((b - 1) * DECAY ** (2.0 * (b + 1)))
     return np.sqrt(np.maximum(total, 1e-9))
 
 
-_NORMS = norms()
-
-
 def word_sums(stream: np.ndarray, begin: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """For each word, the weighted sum of ``weights`` over its subsequences, over its norm."""
     if not len(begin):
@@ -119,7 +123,7 @@ def word_sums(stream: np.ndarray, begin: np.ndarray, weights: np.ndarray) -> np.
         for a in range(1, b):
             part += weights[outer + stream[a : a + n] * _BASE]
         total[:n] += np.float32(DECAY ** (b + 1)) * part * fits
-    return np.add.reduceat(total, begin).astype(np.float64) / _NORMS[np.minimum(length, _NORMED)]
+    return np.add.reduceat(total, begin).astype(np.float64) / norms(length)
 
 
 def word_table(stream: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
@@ -131,7 +135,7 @@ def word_table(stream: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
             for k in range(i + 2, min(i + SPAN, len(own))):
                 for j in range(i + 1, k):
                     w[own[i] * _BASE * _BASE + own[j] * _BASE + own[k]] += DECAY ** (k - i + 1)
-        out.append(w / _NORMS[min(len(own), _NORMED)])
+        out.append(w / norms(np.array(len(own))))
     return out
 
 
@@ -176,14 +180,20 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.
     return w
 
 
-def train(words: list[list[str]], toxic: np.ndarray) -> Model:
-    """From the distinct words of each labelled text."""
+def train(texts: list[list[list[str]]], toxic: np.ndarray) -> Model:
+    """From the sentences of each labelled text, each the list of its distinct words.
+
+    Without words on the one side or the other, every text with a word is what the other side is.
+    """
     vocabulary: dict[str, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in own], np.int64) for own in words]
+    cut = [[np.array([vocabulary.setdefault(w, len(vocabulary)) for w in sentence], np.int64) for sentence in own] for own in texts]
+    ids = [np.unique(np.concatenate([np.zeros(0, np.int64), *own])) for own in cut]
     names = list(vocabulary)
     nothing = Model(np.zeros(_BASE**3, np.float32), -1.0, 4.0, 0.0)
-    if not names or not toxic.any() or toxic.all():
-        return nothing if not toxic.any() else Model(nothing.weights, 1.0, 4.0, 0.0)
+    if not any(len(i) for i, t in zip(ids, toxic, strict=True) if t):
+        return nothing
+    if not any(len(i) for i, t in zip(ids, toxic, strict=True) if not t):
+        return Model(nothing.weights, 1.0, 4.0, 0.0)
     of_toxic = [i for i, t in zip(ids, toxic, strict=True) if t]
     weight = np.concatenate([np.full(len(i), w) for i, w in zip(of_toxic, 1 / _copies(of_toxic, len(names)), strict=True)])
     in_toxic = np.bincount(np.concatenate(of_toxic), weight, minlength=len(names))  # copies of a text count once
@@ -194,7 +204,7 @@ def train(words: list[list[str]], toxic: np.ndarray) -> Model:
     # Words that so many toxic texts have, and no clean one, that chance would give less than one such word.
     in_all = np.bincount(np.concatenate(ids), minlength=len(names))
     chance = toxic.mean()
-    least = next(k for k in range(1, 200) if (in_all >= k).sum() * chance**k < 0.5)
+    least = next((k for k in range(1, len(ids) + 1) if (in_all >= k).sum() * chance**k < 0.5), len(ids) + 1)
     proven = np.flatnonzero((in_clean == 0) & (in_toxic >= least))
     sure = np.argsort(-in_clean, kind="stable")
     clean = sure[in_clean[sure] > 0]
@@ -203,11 +213,10 @@ def train(words: list[list[str]], toxic: np.ndarray) -> Model:
         pieces = [stream[begin[first[i]] : begin[first[i] + 1] if first[i] + 1 < len(begin) else len(stream)] for i in of]
         return np.concatenate(pieces), np.concatenate(([0], np.cumsum([len(p) for p in pieces])))[:-1]
 
-    hard = clean[:3000]
-    hard = np.union1d(hard, clean[:: max(1, len(clean) // 3000)])
+    hard = np.union1d(clean[:CLEAN_WORDS], clean[:: max(1, len(clean) // CLEAN_WORDS)])
     weights, bias = nothing.weights, 0.0
     for _ in range(ROUNDS):
-        worst = np.array([own[worth[own].argmax()] for own, t in zip(ids, toxic, strict=True) if t and len(own)])
+        worst = np.array([_worst(own, worth) for own, t in zip(cut, toxic, strict=True) if t and any(map(len, own))])
         found, times = np.unique(np.concatenate((worst, np.repeat(proven, np.ceil(in_toxic[proven]).astype(int)))), return_counts=True)
         often = (in_clean[found] == 0) | (in_toxic[found] > 20 * in_clean[found])
         found, times = found[often], times[often]
@@ -230,20 +239,27 @@ def train(words: list[list[str]], toxic: np.ndarray) -> Model:
         bias = float(w[-1])
         margin = word_sums(stream, begin, weights)[first] + bias
         wrong = clean[margin[clean] > -1]
-        hard = np.union1d(hard, wrong[np.argsort(-margin[wrong], kind="stable")][:4000])
+        hard = np.union1d(hard, wrong[np.argsort(-margin[wrong], kind="stable")][:WRONG_WORDS])
         worth = worth + 2 * np.clip(margin, -1.5, 1.5)
     worst = np.array([margin[own].max() if len(own) else -2.0 for own in ids])
     slope, offset = _platt(worst, toxic)
     return Model(weights, bias, slope, offset)
 
 
+def _worst(sentences: list[np.ndarray], worth: np.ndarray) -> int:
+    """The worst word of the sentence that earns a text its label."""
+    toxic = max((own for own in sentences if len(own)), key=lambda own: worth[own].max())
+    return int(toxic[worth[toxic].argmax()])
+
+
 def _copies(ids: list[np.ndarray], names: int) -> np.ndarray:
-    """For each text, about how many have nearly the same words: those that share a min-hash of the words that are not common."""
+    """For each text, about how many have nearly the same words: those that share a min-hash of the words that few texts have."""
     df = np.bincount(np.concatenate(ids), minlength=names)
+    some = [i[(df[i] > 1) & (df[i] <= RARE)] for i in ids]
     out = np.ones(len(ids))
     for seed in range(3):
         h = mix64(np.arange(names, dtype=np.uint64) + np.uint64((seed + 1) << 40))
-        least = np.array([h[i[(df[i] > 1) & (df[i] <= 64)]].min() if ((df[i] > 1) & (df[i] <= 64)).any() else np.uint64(n) for n, i in enumerate(ids)], np.uint64)
+        least = np.array([int(h[i].min()) if len(i) else n for n, i in enumerate(some)], np.uint64)
         _, group, size = np.unique(least, return_inverse=True, return_counts=True)
         out = np.maximum(out, size[group])
     return out
@@ -270,7 +286,12 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """From about ``rows`` texts of either label at most that are not held out; null labels, and labels without a document, count for nothing."""
+    """From about ``rows`` texts of either label at most that are not held out.
+
+    Null labels, and labels without a document, count for nothing; a repeated row counts as often as
+    it stands there. Whole texts are read, however long. Other columns are not read. Empty tables,
+    and tables of one label, give a constant score.
+    """
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND id IS NOT NULL")
     known = known.where(crc_mod(F.col("id"), HELD_OUT_OF) != HELD_OUT)
     sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
@@ -280,15 +301,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            lists = [_distinct(x or "") for x in pc.utf8_lower(batch.column(0)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string())), batch.column(1)], ["words", "y"])
+            lists = [sentences(x or "") for x in pc.utf8_lower(batch.column(0)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.list_(pa.string()))), batch.column(1)], ["sentences", "y"])
 
-    got = texts.mapInArrow(run, "words array<string>, y int").toArrow()
-    lists, y = got["words"].to_pylist(), got["y"].to_numpy() == 1
+    got = texts.mapInArrow(run, "sentences array<array<string>>, y int").toArrow()
+    lists, y = got["sentences"].to_pylist(), got["y"].to_numpy() == 1
     order = sorted(range(len(lists)), key=lambda i: (bool(y[i]), lists[i]))
     return train([lists[i] for i in order], y[order])
 
 
+def sentences(text: str) -> list[list[str]]:
+    """The distinct words of each sentence of a text."""
+    return [own for part in _STOP.split(text) if (own := _distinct(part))]
+
+
 def _distinct(text: str) -> list[str]:
     """Distinct words as ``words_of`` takes them, letters only."""
     words = ["".join(filter(str.isalpha, x)) for x in text.split()]
@@ -305,7 +331,12 @@ def _distinct(text: str) -> list[str]:
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, score (probability of label 1), predicted, for every row; null and wordless texts score lowest. A null id is not held out."""
+    """doc_id, held_out, score (probability of label 1), predicted, for every row.
+
+    Null, empty and wordless texts score lowest. A null id is not held out. Repeated rows come back
+    once each; equal texts score the same. Long texts are scored whole. Other columns are not read,
+    whatever their names. An empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
