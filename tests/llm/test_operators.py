@@ -187,6 +187,48 @@ def test_language(spark):
     assert [r.doc_id for r in foreign.collect()] == [0]
 
 
+def plain_ngrams(text):
+    raw = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in text.lower().encode())
+    out = Counter(b for b in raw if b != 32)
+    for n in (2, 3):
+        for i in range(len(raw) - n + 1):
+            g = raw[i : i + n]
+            if g[:2] != b"  " and g[-2:] != b"  ":
+                out[(int.from_bytes(g, "big") * 0x9E3779B1 >> 7) % (language.DIMENSIONS - 256) + 256] += 1
+    return out
+
+
+def test_language_agrees_with_brute_force():
+    rng = np.random.default_rng(2)
+    texts = ["\u00e9tait l'ami", "a", "the cat  sat, on 12 mats", "Z" * 50, *["".join(rng.choice(list("abc \u00e9x,"), 80)) for _ in range(20)]]
+    counts = np.concatenate(list(language.ngram_counts(__import__("pyarrow").array(texts))))
+    for text, row in zip(texts, counts, strict=True):
+        assert {k: v for k, v in enumerate(row.tolist()) if v} == dict(plain_ngrams(text))
+    idf = 1 + rng.random(language.DIMENSIONS)
+    centroids = rng.random((3, language.DIMENSIONS))
+    centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+    radius = np.sort(rng.uniform(0.6, 1, (3, language.LENGTHS)))[:, ::-1]
+    found, score, rejected = language.Model(idf, centroids.astype(np.float32), radius, ["x", "y", "z"]).predict(__import__("pyarrow").array(texts))
+    for text, name, s, r in zip(texts, found, score, rejected, strict=True):
+        own = plain_ngrams(text)
+        norm = sum((v * idf[k]) ** 2 for k, v in own.items()) ** 0.5
+        cosine = [sum(v * idf[k] * c[k] for k, v in own.items()) / norm for c in centroids]
+        best = int(np.argmax(cosine))
+        assert name == "xyz"[best] and abs(s - cosine[best]) < 1e-4 and r == (1 - s > radius[best][len(own).bit_length() - 1])
+
+
+def test_language_rejects_what_it_never_learnt_and_keeps_the_rest(spark):
+    rng = np.random.default_rng(3)
+    make = lambda alphabet, n: " ".join("".join(rng.choice(list(alphabet), 4)) for _ in range(n))
+    sizes = [6, 30, 200, 900, 20_000]
+    rows = [(i, make("abcdefgh" if i % 2 else "pqrstuvw", sizes[i % 4]), "aa" if i % 2 else "bb", "s", 1, 0.0, 1) for i in range(400)]
+    model = language.fit(frame(spark, rows))
+    assert language.accepted(frame(spark, rows), model).count() >= 396
+    assert language.accepted(frame(spark, [(i, make("ijklmnoxyz", n)) for i, n in enumerate(sizes)]), model).count() == 0
+    assert [r.doc_id for r in language.accepted(frame(spark, [rows[0], rows[0]]), model).collect()] == [0, 0]
+    assert language.fit(frame(spark, [(1, None), (None, "a b"), (3, "12", None, "s", 1, 0.0, 1)])).language == []
+
+
 def test_boosting_learns_and_flat_trees_agree_with_plain_ones():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 5))

@@ -1,4 +1,11 @@
-"""Language identification by nearest centroid: TF-IDF vectors of character n-grams and cosine."""
+"""Language identification by nearest centroid: TF-IDF vectors of character n-grams and cosine.
+
+A text that lies too far from its nearest centroid is rejected. How far is too far depends on the
+language and on the text's length (its distinct n-grams, by powers of two), as short texts lie far
+from every centroid: the limit is learnt from training texts and from pieces cut out of them, for
+each length the distance that one in a thousand exceeds, plus a margin, and for a shorter length
+never less than for a longer one.
+"""
 
 from __future__ import annotations
 
@@ -20,10 +27,10 @@ DIMENSIONS = 4096
 #: Bound of the documents of a language that its centroids are fitted on (in expectation; ids of the smallest hashes).
 TRAIN_ROWS = 2_000
 CENTROIDS = 4
-#: A text farther from its nearest centroid than any training text of that language was from its own, by this much, is rejected.
-MARGIN = 0.1
-#: Texts with fewer distinct n-grams lie far from every centroid by their shortness alone: they are not rejected for distance.
-LEAST_NGRAMS = 200
+#: A text farther from its nearest centroid than this share of the training texts and pieces of its language and length, by this much, is rejected.
+QUANTILE, MARGIN = 0.999, 0.1
+#: Lengths: powers of two of distinct n-grams.
+LENGTHS = DIMENSIONS.bit_length()
 HELD_OUT_OF, HELD_OUT = 4, 2
 
 _BLANKED = np.arange(256, dtype=np.int64)
@@ -47,6 +54,11 @@ def ngram_counts(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.bincount(np.concatenate(keys), minlength=(j - i) * DIMENSIONS).reshape(j - i, DIMENSIONS)
 
 
+def length_of(counts: np.ndarray) -> np.ndarray:
+    """Power of two of each row's distinct n-grams, rounded down; 0 without any."""
+    return np.frexp(np.maximum((counts > 0).sum(axis=1), 1))[1] - 1
+
+
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Unit TF-IDF vectors; a row without n-grams stays zero."""
     v = counts.astype(np.float32) * idf.astype(np.float32)
@@ -58,7 +70,7 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class Model:
     idf: np.ndarray
     centroids: np.ndarray  # (n, DIMENSIONS), unit
-    radius: np.ndarray  # by centroid: largest cosine distance of a training text of its language to its nearest centroid
+    radius: np.ndarray  # (n, LENGTHS): the largest cosine distance that is not rejected
     language: list[str]  # by centroid
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -66,35 +78,56 @@ class Model:
         lettered = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         if not len(self.language):
             return [UNKNOWN] * len(column), np.zeros(len(column)), np.ones(len(column), bool)
-        near, best, enough = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        near, best, limit = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for counts in ngram_counts(column):
             cosine = vectors(counts, self.idf) @ self.centroids.T
-            enough.append((counts > 0).sum(axis=1) >= LEAST_NGRAMS)
             best.append(cosine.argmax(axis=1))
+            limit.append(self.radius[best[-1], length_of(counts)])
             near.append(cosine[np.arange(len(cosine)), best[-1]])
         at, score = np.concatenate(best), np.clip(np.concatenate(near).astype(float), 0, 1) * lettered
         found = [self.language[c] if ok else UNKNOWN for c, ok in zip(at.tolist(), lettered.tolist(), strict=True)]
-        return found, score, ~lettered | (np.concatenate(enough) & (1 - score > self.radius[at] + MARGIN))
+        return found, score, ~lettered | (1 - score > np.concatenate(limit))
 
 
-def _clusters(v: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from farthest-first starts: centroids and radii."""
+def _clusters(v: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means; each start is farther from the earlier ones than nine of ten rows, but no outlier."""
     mean = v.mean(axis=0)
     c = (mean / max(np.linalg.norm(mean), 1e-9))[None]
     while len(c) < min(k, len(v)):
-        c = np.concatenate((c, v[(v @ c.T).max(axis=1).argmin()][None]))
+        c = np.concatenate((c, v[np.argsort((v @ c.T).max(axis=1), kind="stable")[len(v) // 10]][None]))
     for _ in range(rounds):
         home = (v @ c.T).argmax(axis=1)
         c = np.stack([v[home == i].sum(axis=0) if (home == i).any() else c[i] for i in range(len(c))])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    cosine = v @ c.T
-    home = cosine.argmax(axis=1)
-    far = 1 - cosine[np.arange(len(v)), home]
-    return c, np.array([far[home == i].max() if (home == i).any() else 0.0 for i in range(len(c))])
+    return c
+
+
+def pieces(texts: list[str]) -> list[str]:
+    """One run of words out of each text, of 1, 2, 4 ... 64 words in turn."""
+    out = []
+    for i, text in enumerate(texts):
+        own, size = text.split(), 1 << i % 7
+        at = i * 7919 % max(1, len(own) - size + 1)
+        out.append(" ".join(own[at : at + size]))
+    return out
+
+
+def limits(far: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """By length: the QUANTILE of the distances of that length, or that of a longer one if it is larger, plus MARGIN."""
+    out, least = np.empty(LENGTHS), 0.0
+    for n in range(LENGTHS - 1, -1, -1):
+        if (some := length == n).any():
+            least = max(least, float(np.quantile(far[some], QUANTILE)))
+        out[n] = least
+    return out + MARGIN
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Document frequencies over all documents that may be learnt from; centroids from about ``rows`` of each language at most."""
+    """Document frequencies over all documents that may be learnt from; centroids and limits from about ``rows`` of each language at most.
+
+    Rows without text, language or id are not learnt from; repeated rows count each. Other columns are
+    not read. From an empty table nothing is learnt, and every text is ``und``.
+    """
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(crc_mod(F.col("id"), HELD_OUT_OF) != HELD_OUT, F.lit(False)))
 
@@ -115,7 +148,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: s
     sizes = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, float(min(1.0, rows / v)))]) if sizes else None
     if share is None:
-        return Model(idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0), [])
+        return Model(idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, LENGTHS)), [])
     some = own.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     sample = some.select("lang", "text").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
     centroids, radii, names = [], [], []
@@ -123,15 +156,18 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: s
         part = sample.filter(pc.equal(sample["lang"], name))
         if not len(part):
             continue
-        v = np.concatenate([vectors(c, idf) for c in ngram_counts(part["text"].combine_chunks())])
-        v = v[(v != 0).any(axis=1)]
-        if len(v):
-            c, r = _clusters(v, CENTROIDS)
+        counts = np.concatenate(list(ngram_counts(part["text"].combine_chunks())))
+        counts = counts[counts.any(axis=1)]
+        if len(counts):
+            c = _clusters(vectors(counts, idf), CENTROIDS)
+            cut = np.concatenate(list(ngram_counts(pa.array(pieces(part["text"].to_pylist()), pa.string()))))
+            seen = np.concatenate((counts, cut[cut.any(axis=1)]))
+            far = 1 - (vectors(seen, idf) @ c.T.astype(np.float32)).max(axis=1)
             centroids.append(c)
-            radii.append(np.full(len(r), r.max()))
+            radii.append(np.tile(limits(far, length_of(seen)), (len(c), 1)))
             names += [name] * len(c)
     if not names:
-        return Model(idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0), [])
+        return Model(idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, LENGTHS)), [])
     return Model(idf, np.concatenate(centroids).astype(np.float32), np.concatenate(radii), names)
 
 
@@ -139,7 +175,9 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     """doc_id, held_out, lang_pred, score (cosine to the nearest centroid), rejected, for every row.
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected; so is every text if
-    there was nothing to learn from. A null id is not held out.
+    there was nothing to learn from. A null id is not held out. Repeated rows come back once each;
+    of centroids that are equally near, the first language by name is taken. Long texts are read
+    whole. Other columns are not read, whatever their names. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
