@@ -356,11 +356,49 @@ def test_pseudo_likelihood_tells_the_words_of_a_bucket_apart(spark, monkeypatch)
     assert net.totals.sum() == 7 and net.totals[of[often]] >= 4
     got = {r.doc_id: r.log_probability for r in pseudo_likelihood.score(frame(spark, docs), net).collect()}
     assert len(got) == 4 and got[3] == got[4] and abs(got[2] - got[3] - np.log(3)) < 1e-6
-    bare = pseudo_likelihood.score(frame(spark, docs), pseudo_likelihood.replace(net, totals=None, words=None))
+    bare = pseudo_likelihood.score(frame(spark, docs), pseudo_likelihood.replace(net, totals=None, words=None, common=net.common[:0]))
     plain = {r.doc_id: r.log_probability for r in bare.collect()}
     assert abs(got[3] - plain[3] + np.log(net.totals[of[once]] + 1)) < 1e-6
 
 
+@pytest.mark.parametrize("common", [0, 3, 1 << 18])
+def test_pseudo_likelihood_agrees_with_brute_force(spark, monkeypatch, common):
+    for name, value in (("FREQUENT", 4), ("COMMON", common), ("SHARD_WORDS", 300)):
+        monkeypatch.setattr(pseudo_likelihood, name, value)
+    rng = np.random.default_rng(5)
+    docs = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 60) if x < 80)) for i in range(30)]
+    docs += docs[:2] + [(70, docs[3][1]), (80, "unseen words here"), (90, ""), (91, None)]
+    net = pseudo_likelihood.fit(frame(spark, docs[:-4]))
+    got = {r.doc_id: r for r in pseudo_likelihood.score(frame(spark, docs), net).collect()}
+    times = Counter(w for _, t in docs[:-4] for w in t.split())
+    hashed = lambda w: pseudo_likelihood.word_hashes(*shingles.text_buffers(__import__("pyarrow").array([w])))[0]
+    frequent = net.frequent.tolist()
+    assert common < 4 or sorted(map(int, frequent)) == sorted(int(hashed(w)[0]) for w, _ in sorted(times.items(), key=lambda x: (-x[1], hashed(x[0]).view(np.int64)[0]))[:4])
+    first_bucket = len(net.outer_bias) - pseudo_likelihood.BUCKETS
+    of = {w: int(net.classes(hashed(w))[0]) for _, t in docs for w in (t or "").split()}
+    total = Counter()
+    for w, n in times.items():
+        total[of[w]] += n
+
+    for i, text in docs:
+        own, want = [of[w] for w in (text or "").split()], 0.0
+        for at, w in enumerate((text or "").split()):
+            near = [own[at + k] if 0 <= at + k < len(own) else 0 for k in pseudo_likelihood.AROUND]
+            logits = np.tanh(net.inner_bias + sum(net.inner[k][c] for k, c in enumerate(near))) @ net.outer + net.outer_bias
+            want += logits[own[at]] - np.log(np.exp(logits).sum())
+            if own[at] >= first_bucket:
+                want += np.log(max(1, times[w]) / (total[own[at]] + 1))
+        assert got[i].n_words == len(own) and abs(got[i].log_probability - want) < 1e-3 * (1 + len(own))
+
+
+def test_pseudo_likelihood_does_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "SHARD_WORDS", 500)
+    rng = np.random.default_rng(6)
+    docs = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 50) if x < 200)) for i in range(60)]
+    one, other = (pseudo_likelihood.fit(frame(spark, rows).repartition(n)) for rows, n in ((docs, 1), (docs[::-1], 7)))
+    assert np.allclose(one.flat(), other.flat(), atol=1e-6)
+
+
 def test_pseudo_likelihood_classes_grow_with_the_corpus(spark, monkeypatch):
     monkeypatch.setattr(pseudo_likelihood, "WORDS", 100)
     rows = [(i, " ".join(f"w{j}" for j in range(400))) for i in range(2)]
