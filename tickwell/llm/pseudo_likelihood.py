@@ -48,8 +48,8 @@ RATE = 0.1
 #: Bound of the words whose counts travel with the tasks.
 COMMON = 1 << 18
 SHARD_WORDS = 1 << 22
-_BATCH = 512
-_CHUNK = 1 << 14
+_BATCH = 1024
+_CHUNK = 1 << 10
 _RUN = 1 << 18
 
 
@@ -95,14 +95,30 @@ class Network:
 
     def log_probability(self, context: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Of class ``own`` at each place, given ``context`` (a row for each of AROUND)."""
-        out = np.empty(len(own))
+        out = np.empty(len(own), np.float32)
+        ones, steep = np.ones(len(self.outer_bias), np.float32), _steep(self.outer, self.outer_bias)
         for a in range(0, len(own), _CHUNK):
             b = min(a + _CHUNK, len(own))
-            logits = self.hidden(context[:, a:b]) @ self.outer + self.outer_bias
-            logits -= logits.max(axis=1, keepdims=True)
-            out[a:b] = logits[np.arange(b - a), own[a:b]]
-            out[a:b] -= np.log(np.exp(logits, out=logits).sum(axis=1))
-        return out
+            p = self.hidden(context[:, a:b]) @ self.outer
+            p += self.outer_bias
+            out[a:b] = p[np.arange(b - a), own[a:b]]
+            most = _exponentials(p, steep)
+            out[a:b] -= np.log(p @ ones) + most
+        return out.astype(np.float64)
+
+
+def _steep(outer: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether a logit may be too large for an exponential in single precision; hidden units lie between -1 and 1."""
+    return bool((np.abs(outer).sum(axis=0) + np.abs(bias)).max() > 60)
+
+
+def _exponentials(logits: np.ndarray, steep: bool) -> np.ndarray | float:
+    """Exponentials in place, of what is left after a number for each row, which is returned."""
+    most = logits.max(axis=1) if steep else 0.0
+    if steep:
+        logits -= most[:, None]
+    np.exp(logits, out=logits)
+    return most
 
 
 def start(frequent: np.ndarray) -> Network:
@@ -114,11 +130,11 @@ def start(frequent: np.ndarray) -> Network:
 
 def contexts(classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The classes at AROUND of each word; ``counts``: words of each text."""
-    end = np.repeat(np.cumsum(counts), counts)
-    begin = end - np.repeat(counts, counts)
-    place = np.arange(len(classes))
-    padded = np.concatenate((classes, [0]))
-    return np.stack([padded[np.where((place + k >= begin) & (place + k < end), place + k, len(classes))] for k in AROUND])
+    edge = max(map(abs, AROUND))
+    padded = np.zeros(len(classes) + edge * (len(counts) + 1), np.int16)  # edges before, between and after the texts
+    place = np.arange(len(classes)) + edge * (1 + np.repeat(np.arange(len(counts)), counts))
+    padded[place] = classes
+    return np.stack([padded[place + k] for k in AROUND])
 
 
 def parts_of(classes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -131,30 +147,46 @@ def parts_of(classes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int
 
 def descend(net: Network, runs: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = RATE) -> tuple[Network, int]:
     """Adagrad over batches of (context, own class) from each run; the network and how many targets there were."""
-    parts = [x.astype(np.float32).copy() for x in (net.inner, net.inner_bias, net.outer, net.outer_bias)]
-    past = [np.full(x.shape, 1e-4, np.float32) for x in parts]
+    inner, inner_bias, outer, outer_bias = (x.astype(np.float32).copy() for x in (net.inner, net.inner_bias, net.outer, net.outer_bias))
+    past = [np.full(x.shape, 1e-4, np.float32) for x in (inner, inner_bias, outer, outer_bias)]
+    rows, row_past = inner.reshape(-1, HIDDEN), past[0].reshape(-1, HIDDEN)  # a row for each place of AROUND and class
+    first = (np.arange(len(AROUND)) * inner.shape[1]).astype(np.int16)[:, None]
+    ones = np.ones(len(outer_bias), np.float32)
+    buffer = np.empty((_BATCH, len(outer_bias)), np.float32)
     seen = 0
+
+    def step(x: np.ndarray, g: np.ndarray, s: np.ndarray) -> None:
+        s += g * g
+        x -= rate * g / np.sqrt(s)
+
     for context, own in runs:
         for a in range(0, len(own), _BATCH):
-            c, y = context[:, a : a + _BATCH], own[a : a + _BATCH]
-            now = Network(net.frequent, *parts)
-            h = now.hidden(c)
-            p = h @ parts[2] + parts[3]
-            p -= p.max(axis=1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            p /= len(y)
-            back = (p @ parts[2].T) * (1 - h * h)
-            inner = np.zeros_like(parts[0])
-            for k in range(len(AROUND)):
-                chosen = np.zeros((inner.shape[1], len(y)), np.float32)
-                chosen[c[k], np.arange(len(y))] = 1
-                inner[k] = chosen @ back
-            for x, g, s in zip(parts, (inner, back.sum(axis=0), h.T @ p, p.sum(axis=0)), past, strict=True):
-                s += g * g
-                x -= rate * g / np.sqrt(s)
-            seen += len(y)
+            c, y = context[:, a : a + _BATCH] + first, own[a : a + _BATCH]
+            n = len(y)
+            h = inner_bias + rows[c[0]]
+            for k in range(1, len(AROUND)):
+                h += rows[c[k]]
+            np.tanh(h, out=h)
+            p = np.matmul(h, outer, out=buffer[:n])
+            p += outer_bias
+            _exponentials(p, _steep(outer, outer_bias))
+            p *= (1 / (p @ ones * np.float32(n)))[:, None]
+            p[np.arange(n), y] -= np.float32(1 / n)
+            back = p @ outer.T
+            back *= 1 - h * h
+            flat = c.ravel()
+            order = np.argsort(flat, kind="stable")
+            flat = flat[order]
+            starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+            touched, g = flat[starts], np.add.reduceat(back[order % n], starts, axis=0)
+            s = row_past[touched] + g * g
+            row_past[touched] = s
+            rows[touched] -= rate * g / np.sqrt(s)
+            step(inner_bias, back.sum(axis=0), past[1])
+            step(outer, h.T @ p, past[2])
+            step(outer_bias, np.ones(n, np.float32) @ p, past[3])
+            seen += n
+    parts = inner, inner_bias, outer, outer_bias
     return Network(net.frequent, *parts), seen
 
 
