@@ -495,6 +495,34 @@ def test_top_k(spark):
     assert topk.top_k(v, v.limit(0), 5).count() == 0 and topk.top_k(v.limit(0), v, 5).count() == 0
 
 
+def test_top_k_repeated_ids_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
+    rng = np.random.default_rng(7)
+    rows = [(int(i) // 2 * 2, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(120)] + [(0, [1.0, 1.0, 0.0, 0.0])] * 3 + [(100, [1.0, 2.0, 3.0])] * 2
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = topk.integer_vectors(table, "vec_id", "embedding")
+    got = topk.top_k(v.where("id % 50 = 0"), v, 5).toPandas()
+    want = duck(topk.SQL, embeddings=pd.DataFrame(rows, columns=["vec_id", "embedding"]))
+    key = ["query_id", "rank", "vec_id", "score"]
+    assert got[key].sort_values(key).astype(int).values.tolist() == want[key].sort_values(key).astype(int).values.tolist()
+
+
+@pytest.mark.parametrize("dims,spread", [(4, 1.0), (64, 0.5)])
+def test_the_threshold_cuts_where_there_is_structure(dims, spread):
+    rng = np.random.default_rng(8)
+    turn = np.linalg.qr(rng.normal(size=(dims, dims)))[0]  # the structure lies across the given dimensions
+    v = np.floor(256 * (rng.normal(size=(6000, dims)) * spread ** np.arange(dims)) @ turn).astype(np.int64)
+    best = topk.Best(v[:40], 6)
+    for i in range(0, 6000, 2000):
+        topk.search(v[i : i + 2000], np.arange(i, min(i + 2000, 6000)), best)
+    scores = v[:40] @ v.T
+    for q in range(40):
+        order = np.lexsort((np.arange(6000), -scores[q]))[:6]
+        assert best.ids[q].tolist() == order.tolist() and best.score[q].tolist() == scores[q][order].tolist()
+    assert best.scored < 0.6 * scores.size
+
+
 def test_oracles_on_the_smallest_table(spark):
     rng = np.random.default_rng(8)
     docs = pd.DataFrame(list(family(rng, 90).items()), columns=["doc_id", "text"])

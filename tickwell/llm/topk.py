@@ -1,61 +1,126 @@
-"""Exact top-k inner products: Fagin's threshold algorithm over sorted per-dimension lists."""
+"""Exact top-k inner products: Fagin's threshold algorithm over sorted per-dimension lists.
+
+Tasks read the candidates as they lie, ``BLOCK_ROWS`` at a time, and carry each query's best rows
+from block to block. A block is turned into the basis of its own principal axes, where long lists
+are told apart by few dimensions, and gets a sorted list for each axis. A query reads the lists of
+the first axes, list d from the top where its weight is positive and from the bottom where it is
+negative. After g rows of m lists, no row that was not met can score more than the weighted sum of
+the next values of these lists and what the other axes can add at most (their heads, or the
+product of the longest lengths left there). The query takes the m and g that stop soonest, where that bound,
+with a margin for rounding, is below its kth score so far, and scores the rows it has met by
+integer products. Where the lists would meet about all rows before that, the block is scored by one
+product for all such queries.
+
+In many dimensions without structure no bound cuts: on vectors drawn evenly from a sphere of 64
+dimensions every row is scored. ``search`` tells how many rows were scored.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickwell.llm.work import table
-
-#: Candidates in a block: a block's lists are what one task holds at a time.
-BLOCK_ROWS = 4096
-#: Queries in a block: the other side of what one task holds.
-QUERY_ROWS = 512
-_STEP = 64
-
-
-def threshold_search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query, the ids and scores of its k best rows of ``vectors`` (all ties at the kth score among them may be cut by id).
-
-    Every dimension has a list of the rows in descending order of its component. For a query,
-    list d is read from the top where its weight is positive and from the bottom where it is
-    negative; lists of weight 0 are not read. After each round of ``_STEP`` rows a list, the rows
-    met are scored in full, and the bound is the score of a row that had the last value read in
-    every list: no row that was not met can beat it. The search stops once the kth score exceeds
-    the bound (at equality it goes on, as a smaller id might tie).
-    """
+from tickwell.llm.work import stored, table
+
+#: Candidates in a block: what one task holds at a time, besides the queries and their best rows.
+BLOCK_ROWS = 8192
+#: Queries that travel to the tasks at a time; for more of them the candidates are read again.
+QUERY_ROWS = 16_384
+#: Rows read of each list before the bound is looked at.
+DEPTHS = (0, 1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024)
+_SEED = 256
+_PRODUCT = 1 << 22
+
+
+@dataclass
+class Best:
+    """The best rows so far of each of ``queries`` (n, dims): scores descending, equal ones by id; -1 in ``found`` where there are fewer."""
+
+    queries: np.ndarray
+    k: int
+    scored: int = 0
+    score: np.ndarray = field(init=False)
+    found: np.ndarray = field(init=False)
+    ids: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        shape = (len(self.queries), self.k)
+        self.score, self.ids, self.found = np.full(shape, -np.iinfo(np.int64).max), np.zeros(shape, np.int64), np.full(shape, -1, np.int8)
+
+    def add(self, at: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Rows (ids ascending) and their scores (len(at), len(ids)) for the queries at ``at``."""
+        self.scored += score.size
+        if score.shape[1] > self.k:
+            most = np.abs(score).max(initial=0)
+            n = score.shape[1]
+            if most < (1 << 62) // n:  # equal scores are told apart by place
+                top = np.argpartition(score * n - np.arange(n), n - self.k, axis=1)[:, n - self.k :]
+            else:
+                top = np.argsort(-score, axis=1, kind="stable")[:, : self.k]
+        else:
+            top = np.broadcast_to(np.arange(score.shape[1]), score.shape)
+        score = np.concatenate((self.score[at], np.take_along_axis(score, top, axis=1)), axis=1)
+        found = np.concatenate((self.found[at], np.zeros(top.shape, np.int8)), axis=1)
+        all_ids = np.concatenate((self.ids[at], ids[top]), axis=1)
+        order = np.lexsort((all_ids, -score, -found), axis=1)[:, : self.k]
+        self.score[at], self.ids[at], self.found[at] = (np.take_along_axis(x, order, axis=1) for x in (score, all_ids, found))
+
+    def kth(self) -> np.ndarray:
+        """The kth score of each query; minus infinity where there are fewer rows."""
+        return np.where(self.found[:, -1] >= 0, self.score[:, -1].astype(float), -np.inf)
+
+
+def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Integer inner products, by floating point where that is exact; beyond 64 bits they wrap."""
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * queries.shape[1]
+    return (queries.astype(float) @ vectors.astype(float).T).astype(np.int64) if most < 2**53 else queries @ vectors.T
+
+
+def search(vectors: np.ndarray, ids: np.ndarray, best: Best) -> None:
+    """Lets the rows of a block compete for the places of ``best``, by the threshold algorithm."""
+    order = np.argsort(ids, kind="stable")
+    vectors, ids, every = vectors[order], ids[order], np.arange(len(best.queries))
+
+    def scan(at: np.ndarray, rows: slice) -> None:
+        step = max(1, _PRODUCT // max(1, len(ids[rows])))
+        for a in range(0, len(at), step):
+            best.add(at[a : a + step], ids[rows], products(best.queries[at[a : a + step]], vectors[rows]))
+
+    if not np.isfinite(best.kth()).all():  # a kth score to begin with
+        scan(every, slice(0, _SEED))
+        vectors, ids = vectors[_SEED:], ids[_SEED:]
     n, dims = vectors.shape
-    order = np.argsort(vectors, axis=0, kind="stable")
-    ranked = np.take_along_axis(vectors, order, axis=0)
-    for q, qid in zip(queries, query_ids, strict=True):
-        use = np.flatnonzero(q)
-        up = q[use] > 0
-        met = np.zeros(n, bool)
-        found = np.zeros(0, np.int64)
-        scores = np.zeros(0, np.int64)
-        depth, step = 0, _STEP
-        while depth < n and len(use):
-            stop = min(n, depth + step)
-            rows = np.concatenate((order[n - stop : n - depth][:, use[up]].ravel(), order[depth:stop][:, use[~up]].ravel()))
-            rows = np.unique(rows[~met[rows]])
-            met[rows] = True
-            found = np.concatenate((found, rows))
-            scores = np.concatenate((scores, vectors[rows] @ q))
-            last = np.where(up, ranked[n - stop, use], ranked[stop - 1, use])
-            own = ids[found] != qid
-            if own.sum() >= k and np.partition(scores[own], len(scores[own]) - k)[-k] > last @ q[use]:
-                break
-            depth, step = stop, step * 2
-        if not len(use) or depth >= n:
-            found, scores = np.arange(n), vectors @ q
-        own = ids[found] != qid
-        found, scores = found[own], scores[own]
-        best = np.lexsort((ids[found], -scores))[:k]
-        yield int(qid), ids[found[best]], scores[best]
+    if not n:
+        return
+    x = vectors.astype(float)
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    x, weights = x @ axes, best.queries.astype(float) @ axes
+    lists = np.argsort(x, axis=0, kind="stable")
+    ranked = np.take_along_axis(x, lists, axis=0)
+    kth = best.kth() - 1e-9 * np.linalg.norm(weights, axis=1) * np.linalg.norm(x, axis=1).max() - 1e-6  # less a margin for rounding
+    depths = np.array([g for g in DEPTHS if g < n])
+    high, low = ranked[n - 1 - depths], ranked[depths]  # what comes next in a list after so many rows
+    up, down = np.maximum(weights, 0), np.minimum(weights, 0)
+    cost, width, depth = np.full(len(weights), n), np.zeros(len(weights), np.int64), np.zeros(len(weights), np.int64)
+    for m in sorted({min(1 << i, dims) for i in range(dims.bit_length() + 1)}):
+        rest = np.minimum(up[:, m:] @ high[0, m:] + down[:, m:] @ low[0, m:], np.linalg.norm(weights[:, m:], axis=1) * np.linalg.norm(x[:, m:], axis=1).max())
+        stops = up[:, :m] @ high[:, :m].T + down[:, :m] @ low[:, :m].T + rest[:, None] < kth[:, None]
+        own = np.where(stops.any(axis=1), m * depths[stops.argmax(axis=1)], n)
+        less = own < cost
+        cost[less], width[less], depth[less] = own[less], m, own[less] // m
+    few = cost <= n // 2
+    scan(every[~few], slice(None))
+    for q in every[few & (cost > 0)]:
+        w, g = weights[q, : width[q]], depth[q]
+        heads = np.concatenate((lists[n - g :, : len(w)][:, w > 0].ravel(), lists[:g, : len(w)][:, w < 0].ravel()))
+        rows = np.unique(heads)
+        best.add(np.array([q]), ids[rows], products(best.queries[q : q + 1], vectors[rows]))
 
 
 def integer_vectors(df: DataFrame, vec_id: str, embedding: str, factor: int = 256) -> DataFrame:
@@ -67,49 +132,68 @@ def integer_vectors(df: DataFrame, vec_id: str, embedding: str, factor: int = 25
     )
 
 
+def _matrix(column: pa.Array, rows: np.ndarray, size: int) -> np.ndarray:
+    at = np.asarray(column.offsets).astype(np.int64)
+    return np.asarray(column.values)[at[rows][:, None] + np.arange(size)]
+
+
+def _near(candidates: DataFrame, queries: pa.Table, k: int) -> DataFrame:
+    """q, vec_id, score: the k best rows of each partition of ``candidates`` for each of ``queries`` (q, v)."""
+    q, column = queries["q"].to_numpy(), queries["v"].combine_chunks()
+    sizes = np.diff(np.asarray(column.offsets))
+    by_size = {int(size): (np.flatnonzero(sizes == size), _matrix(column, np.flatnonzero(sizes == size), size)) for size in np.unique(sizes)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {size: Best(m, k) for size, (_, m) in by_size.items()}
+        waiting: list[pa.RecordBatch] = []
+
+        def block() -> None:
+            rows = pa.Table.from_batches(waiting).combine_chunks()
+            ids, v = rows["id"].to_numpy(), rows["v"].combine_chunks()
+            length = np.diff(np.asarray(v.offsets))
+            for size, own in best.items():
+                if len(some := np.flatnonzero(length == size)):
+                    search(_matrix(v, some, size), ids[some], own)
+            waiting.clear()
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK_ROWS):
+                waiting.append(batch.slice(i, BLOCK_ROWS))
+                if sum(x.num_rows for x in waiting) >= BLOCK_ROWS:
+                    block()
+        if waiting:
+            block()
+        for size, own in best.items():
+            at, place = np.nonzero(own.found >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(q[by_size[size][0]][at]), pa.array(own.ids[at, place]), pa.array(own.score[at, place])], ["q", "vec_id", "score"])
+
+    return candidates.select("id", "v").mapInArrow(run, "q long, vec_id long, score long")
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """Exact top ``k`` of ``candidates`` (id, v) for every row of ``queries`` (id, v) by integer inner product.
 
-    Candidates are hashed into blocks of about ``BLOCK_ROWS`` rows and queries into blocks of about
-    ``QUERY_ROWS``; each pair of blocks is one group, in which the threshold algorithm finds the
-    block's k best for every query. The k best of those are the answer, so the merge sees
-    k x (blocks of candidates) rows a query. A query never meets a candidate of its own id.
+    Candidates are read where they lie and never copied or shuffled; of queries, ``QUERY_ROWS`` at a
+    time travel to the tasks. Each task gives k + 1 rows a query, and a window merges these.
 
-    Vectors of another length than the query's have no inner product with it and take no part in
-    its answer. Repeated ids: one row for each, ties by score in an unspecified order. Empty input: no rows.
+    A query's own row is no candidate: of the candidates with its id and with its score with itself,
+    one is left out. Other rows that repeat its id take part. Repeated query rows are answered once
+    each. Vectors of another length than the query's have no inner product with it and take no part
+    in its answer. Other columns are not read. Empty input: no rows.
 
     Result: query_id, rank (from 1), vec_id, score; ties go to the smaller id.
     """
-    n_c, n_q = candidates.count(), queries.count()
-    blocks, q_blocks = max(1, -(-n_c // BLOCK_ROWS)), max(1, -(-n_q // QUERY_ROWS))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    c = candidates.select("id", "v", block(blocks).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.lit(False).alias("is_query"))
-    q = queries.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"), block(q_blocks).alias("qb"), F.lit(True).alias("is_query"))
-
-    def search(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        ids, flags = group["id"].to_numpy(), group["is_query"].to_numpy()
-        column = group["v"].combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        at = np.asarray(column.offsets).astype(np.int64)
-        flat = np.asarray(column.flatten())
-        at, sizes = at - at[0], np.diff(at)
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        for size in np.unique(sizes[flags]):
-            pick = np.flatnonzero(sizes == size)
-            m = flat[(at[pick][:, None] + np.arange(size))]
-            f = flags[pick]
-            if f.all():
-                continue
-            for qid, found, scores in threshold_search(m[~f], ids[pick][~f], m[f], ids[pick][f], k):
-                out["query_id"] += [qid] * len(found)
-                out["vec_id"] += found.tolist()
-                out["score"] += scores.tolist()
-        return pa.table(out, schema=pa.schema([(x, pa.int64()) for x in out]))
-
-    near = c.unionByName(q).groupBy("cb", "qb").applyInArrow(search, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = stored(queries.select(F.monotonically_increasing_id().alias("q"), "id", "v"), "queries")
+    chunks = max(1, -(-queries.count() // QUERY_ROWS))
+    parts = [_near(candidates, queries.where(F.pmod(F.xxhash64("q"), F.lit(chunks)) == i).select("q", "v").toArrow(), k + 1) for i in range(chunks)]
+    itself = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    near = reduce(DataFrame.unionByName, parts).join(queries.select("q", F.col("id").alias("query_id"), itself.alias("itself")), "q")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    near = near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
+    own = F.min(F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("itself")), F.col("place"))).over(Window.partitionBy("q"))
+    near = near.withColumn("own", F.coalesce(own, F.lit(k + 2))).where("place <> own")
+    rank = (F.col("place") - (F.col("place") > F.col("own")).cast("int")).alias("rank")
+    return near.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,14 +203,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+  SELECT q.row_id, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.row_id <> q.row_id AND len(c.e) = len(q.e)
   WHERE q.vec_id % 50 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
