@@ -317,8 +317,48 @@ def test_html(spark):
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
     assert got[1] == "Head & line\nFirst para bold <x> with words enough.\nSecond para."
     assert got[2] == got[3] == "" and len(got) == 4
-    tree = html_text.trained()
-    assert not tree.predict(np.array([[50.0, 0, 60, 0, 70, 0, 1, 1]]))[0] and tree.predict(np.array([[3.0, 0, 60, 0, 70, 0, 0, 1]]))[0]
+    assert html_text.extract(pages.limit(0)).count() == 0
+    twice = html_text.extract(pages.unionByName(pages)).collect()
+    assert len(twice) == 8 and {r.text for r in twice if r.page_id == 1} == {got[1]}
+
+
+#: Pages and their main text, marked by hand.
+MARKED = [
+    ("<article><h1>Ports</h1><section class='social-history'><p>Long ago.</p><p>Boats came.</p></section><form class='x'>Mail</form></article>", "Ports\nLong ago.\nBoats came."),
+    ("<nav><a href=/>Home</a></nav><article><p>Only one line", "Only one line"),
+    ("<div class='has-sidebar menu'><article class='post'><h1>T &eacute;</h1><p>One&nbsp;two<br>three</p><p><a href=x>A source</a></p><p>End.</article></div>", "T \u00e9\nOne two\nthree\nA source\nEnd."),
+    ("<main><p>Words of the page go here.</p><div class='alert notice'>The notice is rather long, " + "yes indeed " * 20 + "</div><p>And here.</p></main>", "Words of the page go here.\nAnd here."),
+    ("<div><a href=a>One</a></div><div><a href=b>Two three</a></div><h1>The head of it</h1><div>" + "some plain words of text " * 8 + "</div><div>" + "more of the words " * 9 + "</div><div><a href=c>Read this too now</a></div><div><a href=d>And this one</a></div>",
+     "The head of it\n" + ("some plain words of text " * 8).strip() + "\n" + ("more of the words " * 9).strip()),
+    ("<article><p>Text of it.</p><aside>Aside</aside><div hidden>Gone</div><div class='comments'><article class='comment'><p>" + "I think that " * 30 + "</p></article></div></article>", "Text of it."),
+    ("<script>if (a < b) { x = '<p>no</p>' }</script><style>p { }</style><footer>All rights</footer>", ""),
+]
+
+
+@pytest.mark.parametrize("page,text", MARKED)
+def test_html_main_text_of_marked_pages(page, text):
+    assert html_text.main_text(page, html_text.trained()) == text
+
+
+def test_html_numbers_of_words_and_links_decide():
+    tree, rng = html_text.trained(), np.random.default_rng(0)
+    x, y = html_text.labelled()
+    assert (tree.predict(x) == (y > 0.5)).mean() > 0.97
+    mixed = x.copy()
+    for f in range(6):  # words and link densities of the block and its neighbours
+        mixed[:, f] = rng.permutation(mixed[:, f])
+    assert (tree.predict(mixed) == (y > 0.5)).mean() < 0.85
+    found = html_text.blocks(MARKED[4][0])
+    assert not any(b.named or b.element != 1 for b in found)
+    flat = html_text.features(found)
+    shuffled = flat.copy()
+    shuffled[:, :6] = flat[rng.permutation(len(flat)), :6]
+    assert (tree.predict(flat) != tree.predict(shuffled)).any()
+
+
+def test_html_very_long_page():
+    page = "<nav>" + "<a href=/>x</a> " * 20_000 + "</nav><article>" + "<p>some words of a paragraph &amp; more</p>" * 20_000 + "</article>"
+    assert html_text.main_text(page, html_text.trained()) == "\n".join(["some words of a paragraph & more"] * 20_000)
 
 
 def test_pseudo_likelihood(spark):

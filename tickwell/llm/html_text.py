@@ -1,4 +1,11 @@
-"""Main text of HTML pages: flat text blocks, judged by a decision tree on their and their neighbours' words and links."""
+"""Main text of HTML pages: flat text blocks, judged by a decision tree on their and their neighbours' words and links.
+
+A page is a flat run of blocks. A block has its number of words and its link density, those of the
+block before and after, the kind of element that it stands in (furniture such as ``nav``, none, or
+``article`` and ``main``), whether the names of its containers suggest furniture, and whether a
+tenth of the page's words or more stand in articles. A decision tree, grown on the labelled blocks of the small pages in
+``LABELLED``, says which blocks are main text.
+"""
 
 from __future__ import annotations
 
@@ -20,18 +27,19 @@ _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?
 _RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "button")}
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 _HOLDS = frozenset("article aside body details dialog div dl fieldset figure footer form header li main menu nav ol section table tbody td tr ul".split())
-#: Elements, and words in classes, ids and roles, that name a page's furniture.
+#: Elements that hold a page's furniture, or its article.
 _FURNITURE = frozenset("aside dialog footer form menu nav".split())
-_WORDS = frozenset(
-    "aside banner breadcrumb breadcrumbs byline complementary consent contentinfo cookie cookies copyright crumbs dialog disclaimer follow footer form gdpr header legal lightbox login masthead menu menubar "
-    "modal nav navbar navigation newsletter overlay pager pagination paywall popover popup search share sharing sidebar signup skip social subscribe subscription tags toolbar tooltip topbar widget widgets".split()
+_ARTICLE = frozenset("article main".split())
+#: Words of names (class, id, role) that suggest furniture, weakly or strongly. A name counts if all its words are among these and the plain ones.
+_WEAK = frozenset(
+    "aside banner breadcrumb breadcrumbs byline complementary contentinfo copyright crumbs disclaimer follow footer form legal lightbox login masthead menu menubar nav navbar navigation pager pagination "
+    "search share sharing sidebar signup skip social tags toolbar tooltip topbar widget widgets".split()
 )
-#: Those of them whose inside is never the page's article, even where an article element stands in it.
-_FIRM = frozenset(
-    "ad ads adslot advert advertisement advertising alert comment comments commentlist discussion disqus notice notification promo promoted promotion recommended related replies reply responses skyscraper sponsor sponsored teaser".split()
+_STRONG = frozenset(
+    "ad ads adslot advert advertisement advertising alert comment commentlist comments consent cookie cookies dialog discussion disqus gdpr modal newsletter notice notification overlay paywall popover popup promo promoted "
+    "promotion recommended related replies reply responses skyscraper sponsor sponsored subscribe subscription teaser".split()
 )
-_ARTICLE = frozenset("article main".split())
-_ARTICLE_WORDS = frozenset("article articlebody entry main post story".split())
+_PLAIN = frozenset("area bar block body bottom box btn button buttons card container content footnote group head header icon icons inner item items left link links list main outer page panel right row section site text title top wrap wrapper".split())
 
 
 @dataclass
@@ -39,16 +47,27 @@ class Block:
     text: str
     words: int
     linked: int
-    furniture: bool
-    article: bool
+    element: int  # 0: in a furniture element, 2: in an article, 1: in neither
+    named: int  # 0: no, 1: weakly, 2: strongly named after furniture
+
+
+def _named(tag: str) -> int:
+    """How strongly the names in a tag suggest furniture."""
+    found = 0
+    for value in _NAMED.findall(tag):
+        for name in "".join(value).lower().split():
+            own = set(re.split(r"[^a-z]+", name)) - {""}
+            if own and own <= _WEAK | _STRONG | _PLAIN:
+                found = max(found, 2 if own & _STRONG else 1 if own & _WEAK else 0)
+    return found
 
 
 def blocks(page: str) -> list[Block]:
     """Runs of text between block-level tags, white space as single blanks, references decoded, in page order; scripts, styles, titles and comments are no text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, in firm furniture, in other furniture, in an article
+    stack: list[tuple[str, int, int]] = []  # name, element, named
     pieces: list[tuple[str, bool]] = []
-    furniture = article = False
+    element, named = 1, 0
     link = 0
 
     def close() -> None:
@@ -57,7 +76,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = sum(len(html.unescape(p).split()) for p, in_link in pieces if in_link)
                 words = text.count(" ") + 1
-                out.append(Block(text, words, min(linked, words), furniture, article))
+                out.append(Block(text, words, min(linked, words), element, named))
             pieces.clear()
 
     at, end = 0, len(page)
@@ -95,49 +114,57 @@ def blocks(page: str) -> list[Block]:
                     del stack[i:]
                     break
         elif not m[3].endswith("/"):
-            named = {w for value in _NAMED.findall(m[3]) for w in re.split(r"[^a-z]+", "".join(value).lower())}
-            firm, loose, article = stack[-1][1:] if stack else (False, False, False)
+            element, named = stack[-1][1:] if stack else (1, 0)
             if name != "body":
-                firm = firm or name in _FURNITURE or bool(named & _FIRM) or bool(_HIDDEN.search(m[3]))
-                own = (name == "header" and not article) or bool(named & _WORDS)
-                # A wrapper named after its sidebar or menu may hold the article all the same.
-                loose = own or (loose and name not in _ARTICLE)
-                article = not firm and not own and (article or name in _ARTICLE or bool(named & _ARTICLE_WORDS))
-            stack.append((name, firm, loose, article))
-        firm, loose, article = stack[-1][1:] if stack else (False, False, False)
-        furniture = firm or loose
+                own = _named(m[3])
+                if name in _FURNITURE or (name == "header" and element != 2) or _HIDDEN.search(m[3]):
+                    element = 0
+                elif name in _ARTICLE and element == 1:
+                    element = 2
+                # A wrapper weakly named after its sidebar or menu may hold the article all the same.
+                named = max(own, named if named == 2 or name not in _ARTICLE else 0)
+            stack.append((name, element, named))
+        element, named = stack[-1][1:] if stack else (1, 0)
     close()
     return out
 
 
-FEATURES = ("words", "link_share", "words_before", "link_share_before", "words_after", "link_share_after", "furniture", "article")
-#: Labelled blocks: words, share of linked words (%), the same of the block before and of the block after, in furniture, in an article, is main text.
+FEATURES = ("words", "link_share", "words_before", "link_share_before", "words_after", "link_share_after", "element", "named", "covered")
+#: Small pages with labelled blocks: {n} stands for n words, [n] for n linked words, and a star before them marks main text.
 LABELLED = """
-1 100 0 0 1 100 1 0 0 | 1 100 1 100 1 100 1 0 0 | 2 100 1 100 12 0 1 0 0 | 9 0 1 100 9 0 1 0 0 | 14 0 3 100 8 0 1 0 0
-30 0 12 0 60 0 1 0 0 | 8 0 45 0 0 0 1 0 0 | 12 10 80 0 0 0 1 0 0 | 60 0 20 0 40 0 1 0 0 | 25 4 70 0 25 4 1 0 0
-120 1 90 0 45 0 1 0 0 | 5 0 12 0 18 0 1 0 0 | 3 0 2 0 3 0 1 0 0 | 40 20 10 50 15 0 1 0 0 | 6 100 40 0 6 100 1 1 0
-50 0 60 0 70 0 1 0 0 | 80 0 5 0 4 0 1 0 0 | 15 0 20 0 2 0 1 0 0 | 45 5 40 0 10 0 1 1 0 | 90 0 120 0 45 0 1 1 0
-20 0 60 0 90 0 1 1 0 | 35 0 30 0 50 0 1 0 0 | 70 0 70 0 80 0 1 0 0 | 11 0 55 0 75 0 1 0 0 | 28 0 9 0 44 0 1 0 0
-9 0 9 0 35 0 1 0 0 | 10 0 6 100 62 0 1 0 0 | 150 0 30 0 30 0 1 0 0 | 33 12 3 100 38 0 1 0 0 | 18 0 40 0 120 0 1 1 0
-7 0 3 0 6 0 1 0 0 | 22 0 0 0 31 0 1 0 0 | 4 0 0 0 40 0 1 0 0 | 16 40 100 0 0 0 1 0 0 | 65 0 4 0 130 0 1 0 0
-9 0 12 0 9 0 0 1 1 | 9 0 14 0 60 0 0 1 1 | 60 0 9 0 25 0 0 1 1 | 2 0 2 0 2 0 0 1 1 | 1 0 30 0 40 0 0 1 1
-3 0 70 0 10 0 0 1 1 | 25 0 60 0 4 0 0 1 1 | 120 2 30 0 80 0 0 1 1 | 45 10 80 0 30 5 0 1 1 | 4 0 20 0 12 0 0 1 1
-12 0 30 5 8 0 0 1 1 | 20 30 45 0 50 0 0 1 1 | 15 45 40 0 60 0 0 1 1 | 8 0 0 0 30 0 0 1 1 | 6 50 40 0 50 0 0 1 1
-4 100 50 0 45 0 0 1 1 | 3 100 80 0 30 0 0 1 1 | 40 0 12 0 3 100 0 1 1 | 30 3 25 0 0 0 0 1 1 | 250 1 90 0 120 0 0 1 1
-1 0 1 0 1 0 0 1 1 | 5 0 9 0 9 0 0 1 1 | 9 0 3 100 2 0 0 1 1 | 17 0 4 0 5 0 0 1 1 | 3 0 4 0 14 0 0 1 1
-2 0 60 0 12 0 0 1 1 | 33 0 10 0 12 0 0 1 1 | 7 0 5 0 0 0 0 1 1 | 14 0 12 0 25 0 0 1 1 | 70 0 10 0 12 10 0 1 1
-22 100 60 0 45 0 0 1 1 | 10 100 40 0 80 0 0 1 1 | 6 0 5 100 9 0 0 1 1 | 11 0 6 0 8 0 0 1 1 | 2 0 7 0 26 0 0 1 1
-8 0 40 0 2 100 0 1 1 | 12 0 20 0 4 100 0 1 1 | 3 0 9 0 1 100 0 1 1 | 20 5 40 0 3 100 0 1 1 | 5 0 5 0 5 60 0 1 1
-30 0 10 0 6 90 0 1 1 | 1 0 12 0 3 100 0 1 1 | 16 0 16 0 1 100 0 1 1 | 26 10 30 0 2 50 0 1 1 | 10 0 60 0 9 80 0 1 1
-4 100 4 100 5 100 0 1 0 | 6 100 3 100 4 100 0 1 0 | 2 100 2 100 2 100 0 1 0 | 8 100 9 100 7 100 0 1 0 | 5 100 6 100 6 100 0 1 0
-1 100 0 0 1 100 0 0 0 | 1 100 1 100 1 100 0 0 0 | 3 100 1 100 9 0 0 0 0 | 5 80 4 100 6 100 0 0 0 | 12 60 2 100 3 100 0 0 0
-4 0 1 100 5 0 0 0 0 | 6 0 4 0 3 0 0 0 0 | 3 0 12 0 0 0 0 0 0 | 8 25 30 60 0 0 0 0 0 | 2 0 0 0 1 100 0 0 0
-9 0 1 100 7 20 0 0 0 | 7 0 5 0 6 0 0 0 0 | 10 50 20 0 4 100 0 0 0 | 5 0 10 0 2 100 0 0 0 | 6 0 12 0 0 0 0 0 0
-20 90 6 100 7 100 0 0 0 | 25 70 5 100 30 80 0 0 0 | 40 60 12 50 9 80 0 0 0 | 18 55 30 0 4 100 0 0 0 | 11 0 3 0 2 0 0 0 0
-40 0 6 0 55 0 0 0 1 | 70 2 50 0 60 0 0 0 1 | 25 0 60 0 45 0 0 0 1 | 120 5 8 0 90 0 0 0 1 | 18 0 40 0 35 0 0 0 1
-35 0 4 100 50 0 0 0 1 | 60 0 80 0 3 100 0 0 1 | 8 0 60 0 75 0 0 0 1 | 6 0 45 0 50 0 0 0 1 | 90 10 40 5 60 0 0 0 1
-4 0 50 0 60 0 0 0 1 | 45 0 9 0 3 0 0 0 1 | 200 3 20 0 30 0 0 0 1 | 22 8 90 0 50 0 0 0 1 | 30 15 40 0 55 0 0 0 1
-5 0 3 0 48 0 0 0 1 | 7 0 2 100 70 0 0 0 1 | 28 0 1 100 33 0 0 0 1 | 19 5 22 0 3 0 0 0 1 | 50 0 0 0 0 0 0 0 1
+<nav><ul><li>[1]<li>[1]<li>[2]</ul></nav><div class=ad>{9}</div><article><h1>*{6}</h1><p>*{60}<p>*{1}<p>*{45}*[2]<p>*{3}<p>*{120}</article><footer>{8}</footer>
+<header>{3}[2]</header><nav>[1] [1] [1]</nav><main><h1>*{9}</h1><p>*{30}*[5]<h2>*{3}</h2><ul><li>*{4}<li>*{7}<li>*{2}</ul><p>*{80}</main><aside><p>{40}<p>{25}</aside><footer>{20}[3]</footer>
+<div><div>[1]</div><div>[1]</div><div>[2]</div></div><h1>*{8}</h1><div>*{70}</div><div>*{45}*[3]</div><h2>*{4}</h2><div>*{90}</div><div>[6]</div><div>[5]</div><div>[7]</div><div>{4}</div>
+<div><div>{2}</div><div>[1]</div></div><div>[3]</div><h1>*{7}</h1><div>*{28}</div><div>*{6}</div><div>*{55}</div><div>*{12}</div><div>*{33}</div><div>{3}[4]</div><div>[2]</div><div>{7}</div>
+<div>[2]</div><div>[4]</div><div>[3]</div><div>*{150}</div><div>*{22}</div><div>*{64}</div><div>[5]</div><div>{1}[6]</div><div>[4]</div><div>{6}</div><div>{3}</div>
+<article><header><h1>*{11}</h1><p>*{5}</header><p>*{40}<div class=share-box>{3}</div><p>*{35}<section class=social><p>*{48}<p>*{30}</section><div class=tags>[1] [1] [2]</div><div class=comments><p>{9}<p>{60}<p>{15}</div></article>
+<article><h1>*{5}</h1><p>*{90}<form><p>{25}<p>{4}</form><nav>[3]</nav><aside>{70}</aside><p>*{16}<div class=sidebar><p>{5}<p>[4]</div><div class=promo>{30}[2]</div><p>*{50}<footer>{12}</footer></article>
+<div class=cookie-notice><p>{30}<p>[2]</div><div class=header>{2}[3]</div><div class=content><h1>*{6}</h1><p>*{75}<p>*{18}<p>*{52}</div><div class=related><p>[8]<p>[9]</div><div class=comments><p>{45}<p>{80}</div><div class=footer>{14}</div>
+<div class=menu><p>[1]<p>[2]<p>[1]</div><div class=page><h2>*{5}</h2><p>*{100}<p>*{42}*[4]<p>*{9}<p>*{61}</div><div class=newsletter>{22}</div><div class=legal>{35}</div>
+<main><p>*{14}<p>*{2}<p>*{26}*[10]<div class=ads>{12}</div><p>*{70}<ul><li>[5]<li>[6]<li>[4]<li>[7]</ul></main><div>{11}</div><div>{60}</div><div>{33}</div>
+<article><p>*{8}<p>*{8}<p>*{1}<p>*{5}</article><section><h2>{2}</h2><div>{38}</div><div>{51}</div><div>{19}</div></section><footer>{5}</footer>
+<article><div class=comment>{100}</div><div class=notice>{18}</div><div class=byline>{4}</div><h1>*{10}</h1><div class=box>*{44}</div><div class=header>*{25}</div><p>*{31}<p>*[12]<p>*{40}</article><div>{90}</div><div>{14}[1]</div>
+<h1>*{9}</h1><p>*{20}<p>*{35}<p>*{26}<p>*{85}<p>*{4}<p>*{47}<p>[1] [1] [1] [1]<p>{5}[2]
+<div class=nav>[2]</div><div class=search>{2}</div><article><p>*{3}<p>*{2}<p>*{70}<p>*{20}*[18]<p>*{9}<div class=widget><p>[3]<p>{4}[5]</div></article><div class=responses><p>{28}<p>{75}</div>
+<article><ul><li>[4]<li>[3]<li>[5]<li>[4]</ul><p>*{65}<p>*[6]<p>*{12}<p>*{7}*[7]<p>*{30}</article><div>[3]</div><p>{9}
+<article><h1>*{5}</h1><p>*{50}<p>*{9}</article>
+<article><h1>*[6]</h1><p>*{40}<p>*{12}<p>*[9]<p>*{25}<p>*[2]<p>*{66}<p>*[5]</article>
+<div class=ad>{40}</div><article><h1>*[9]</h1><p>*[30]<p>*{80}<h2>*[4]</h2><p>*{10}<p>*{6}*[6]<p>*[20]</article>
+<nav>[1] [1]</nav><main><p>*{3}</main>
+<article><p>*{1}</article>
+<nav><ul><li>[1]<li>[2]</ul></nav><article><p>*{2}<p>*{4}</article>
+<p>*{40}
+<header>{4}</header><h1>*{6}</h1><p>*{90}<p>*{30}
+<div>[2]</div><div>*{60}</div><div>*{35}</div>
+<article><p>*{45}<ul><li>[3]<li>[6]<li>[5]<li>[2]<li>[8]</ul></article><footer>{3}</footer>
+<nav><ul><li>[6]<li>[9]<li>[12]<li>[4]</ul></nav><article><h1>*[7]</h1><p>*{90}<p>*[3]<p>*{30}<p>*[11]</article><footer><p>[8]<p>[3]<p>[14]</footer>
+<header><p>[9]<p>{8}</header><nav>[40]</nav><article><p>*{12}<p>*[12]<p>*{14}</article><aside><p>[12]<p>{30}[20]<p>{9}<p>[7]</aside><footer>[60]</footer>
+<nav>[2]</nav><article><h1>*{4}</h1><p>*{20}<p>*[8]<p>*{70}<p>*[6]</article><nav>[7]<p>[10]</nav>
+<article><p>*{1}<p>*[3]<p>*{1}<p>*{2}<p>*[2]<p>*{1}<p>*{4}<p>*[5]<p>*{9}<p>*[1]<p>*{3}</article>
+<article><div class=header><h1>*{5}</h1></div><p>*{40}<ul><li>[2]<li>[4]<li>[1]<li>[3]</ul><p>*{8}<p>*[4]<p>*{6}<ul><li>[7]<li>[9]<li>[8]<li>[6]</ul></article><div class=header>{3}</div>
+<div>[1]</div><div>[3]</div><h1>*{4}</h1><div>*{60}</div><h2>*{3}</h2><div>*{44}</div><h2>*{2}</h2><div>*{80}</div><div>[4]</div><div>{3}</div><div>{4}</div>
+<div>{2}</div><div>{3}</div><div>[5]</div><h1>*{3}</h1><div>*{38}</div><h2>*{4}</h2><div>*{50}</div><h2>*{1}</h2><div>*{31}</div><div>[6]</div><div>{2}</div><div>[1]</div>
+<p>{3}<p>[2]<div>{12}[9]</div><div>[8]</div><div>{5}[12]</div><div>{2}</div><div>[6]</div>
 """
 
 
@@ -189,16 +216,29 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 1) -> Tree:
     return tree
 
 
-def trained() -> Tree:
-    rows = np.array([[float(v) for v in r.split()] for r in LABELLED.replace("\n", "|").split("|") if r.strip()])
-    return grow(rows[:, :-1], rows[:, -1])
-
-
 def features(found: list[Block]) -> np.ndarray:
+    """A row of ``FEATURES`` for each block; before the first and after the last block there are 0 words."""
     words = np.array([0, *(b.words for b in found), 0], float)
     share = np.array([0, *(100 * b.linked / b.words for b in found), 0], float)
-    own = np.array([(b.furniture, b.article) for b in found], float).reshape(-1, 2)
-    return np.column_stack((words[1:-1], share[1:-1], words[:-2], share[:-2], words[2:], share[2:], own))
+    own = np.array([(b.element, b.named) for b in found], float).reshape(-1, 2)
+    inside = words[1:-1] * ((own[:, 0] == 2) & (own[:, 1] < 2))
+    covered = np.full(len(found), float(10 * inside.sum() >= max(1, words.sum())))
+    return np.column_stack((words[1:-1], share[1:-1], words[:-2], share[:-2], words[2:], share[2:], own, covered))
+
+
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of ``LABELLED``."""
+    x, y = [], []
+    for page in LABELLED.split("\n"):
+        page = re.sub(r"(\*?)\[(\d+)\]", r"<a>\1{\2}</a>", page)
+        found = blocks(re.sub(r"(\*?)\{(\d+)\}", lambda m: ("yes " if m[1] else "no ") * int(m[2]), page))
+        x.append(features(found))
+        y += [b.text.startswith("yes") for b in found]
+    return np.concatenate(x), np.array(y, float)
+
+
+def trained() -> Tree:
+    return grow(*labelled())
 
 
 def main_text(page: str, tree: Tree) -> str:
@@ -207,7 +247,11 @@ def main_text(page: str, tree: Tree) -> str:
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """page_id, url and text of every row; null and empty pages, and pages without main text, have an empty text. Other columns are not read. No shuffle."""
+    """page_id, url and text of every row; null and empty pages, and pages without main text, have an empty text.
+
+    Repeated rows come back once each, null ids and urls stay null. Pages are read whole, however long.
+    Other columns are not read, whatever their names. An empty table gives no rows. No shuffle.
+    """
     tree = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
