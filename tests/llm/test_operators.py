@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tickwell.llm import boosting, fingerprints, html_text, jaccard_join, language, mixing, packing, pseudo_likelihood, quality, shingles, topk, toxicity
+from tickwell.llm import boosting, fingerprints, html_text, jaccard_join, language, mixing, packing, pseudo_likelihood, quality, shingles, topk, toxicity, work
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, key long"
 ODD = [(1, None, None, None, None, 0.0, 1), (2, "", "en", "a", 0, 0.0, 1), (3, " \n\t ", "en", "a", 4, 0.0, 1), (4, "one", "en", "a", 3, 0.0, 1), (4, "one", "en", "a", 3, 0.0, 1), (None, "no id here at all", "en", None, 3, 0.0, 1), (5, "w" * 5000 + " x" * 3000, "en", "b", None, None, None)]
@@ -93,6 +93,55 @@ def test_jaccard_components_of_short_supersets(spark):
     assert got == components(texts)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_components_of_all_small_sizes(spark, seed):
+    """Pairs and triples of 1 to 40 shingles at, just under and just over the threshold; the 9-of-12 pair among them."""
+    rng = np.random.default_rng(seed)
+    texts, at = {}, 0
+    for i in range(700):
+        n = int(rng.integers(1, 41))
+        own = [f"s{seed}p{i}w{k}" for k in range(n + 4)]
+        texts[at], at = " ".join(own), at + 1
+        for more in ([n // 3, n // 3 + 1] if n > 2 else [0, 1])[: int(rng.integers(1, 3))]:
+            cut = int(rng.integers(0, 2))
+            texts[at], at = " ".join([*own[cut:], *(f"s{seed}p{i}x{k}" for k in range(max(0, more - cut)))]), at + 1
+    texts[at], texts[at + 1] = " ".join(f"n{k}" for k in range(13)), " ".join(f"n{k}" for k in range(16))
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame(spark, list(texts.items()))).collect()}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    holders = {}
+    for i, own in sets.items():
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in sorted({(a, b) for own in holders.values() for a in own for b in own if a < b}):
+        if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in sets} and got[at + 1] == at
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        def __init__(self, master):
+            self.conf, self.sparkContext = Conf(), type("Context", (), {"master": master})
+
+    one = Session("local[4]")
+    assert work.shared_dir(one).startswith("file:///") and work.shared_dir(one) == one.conf["spark.checkpoint.dir"]
+    for master in ("local-cluster[3,2,3000]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError):
+            work.shared_dir(Session(master))
+
+
 def test_voronoi_cells_lose_no_link():
     texts = family(np.random.default_rng(9), 400)
     sets = [np.unique(s) for s in shingles.shingle_sets(*shingles.text_buffers(__import__("pyarrow").array(list(texts.values()))))]

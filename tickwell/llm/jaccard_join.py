@@ -231,9 +231,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sets = stored(shingled(docs, "doc_id", "text", width, percent, pool), "sets")
     regions = stored(meetings(sets, percent), "regions")
 
-    needed = regions.select("key").unionByName(regions.select(F.col("pivot").alias("key"))).distinct()
-    readers = sets.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(needed, "key", "left_semi").select("doc_id")
-    unnamed = sets.where("key IS NOT NULL AND doc_id IS NULL").select("key").join(needed, "key", "left_semi").limit(1).count()
+    # One row for each class: its key and its smallest id, null if it has none.
+    classes = stored(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
+    needed = stored(regions.select("key").unionByName(regions.select(F.col("pivot").alias("key"))).groupBy("key").agg(F.lit(True).alias("needed")), "needed")
+    readers = classes.where("doc_id IS NOT NULL").join(needed, "key", "left_semi").select("doc_id")
+    unnamed = classes.where("doc_id IS NULL").join(needed, "key", "left_semi").limit(1).count()
     some = docs.join(readers, "doc_id", "left_semi")
     some = some.unionByName(docs.where("doc_id IS NULL")) if unnamed else some
     whole = stored(shingled(some, "doc_id", "text", width, percent, pool, whole=True).where("key IS NOT NULL").select("key", "n", "shingles"), "whole")
@@ -241,10 +243,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         whole = stored(whole.dropDuplicates(["key"]), "whole")
     links = stored(region_links(regions, whole, percent), "pairs")
 
+    # Joins on a root or a key have written tables on both sides, so that Spark can split a large component or class.
     roots = connected_components(links, "a", "b").withColumnRenamed("vertex", "key")
-    rows = sets.select("doc_id", "n", "key").join(roots, "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("root"))
-    first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("first"))
-    return rows.join(first, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+    first = stored(roots.join(classes, "key").groupBy("root").agg(F.min("doc_id").alias("first")), "firsts")
+    names = stored(roots.join(first, "root").select("key", "first").join(classes, "key", "right").select("key", F.coalesce("first", "doc_id").alias("name")), "names")
+    return sets.join(names, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: float) -> DataFrame:
