@@ -209,7 +209,15 @@ def test_mixing_agrees_with_sql_and_meets_the_target(spark):
     w = tokens / tokens.sum()
     assert abs(-(w * np.log(w)).sum() / np.log(len(w)) - mixing.ENTROPY) < 0.02
     assert got.copy is not None and got["copy"].max() >= 1
+    ordered = got.sort_values(["place", "source", "doc_id"])
+    for i in range(4):  # the weights hold along the way
+        stretch = ordered.iloc[i * len(ordered) // 4 : (i + 1) * len(ordered) // 4]
+        share = stretch.groupby("source").tokens.sum() / stretch.tokens.sum()
+        assert (share.reindex(w.index).fillna(0) - w).abs().max() < 0.12
+    assert got.place.between(0, 1).all()
     assert mixing.mix(frame(spark, [])).count() == 0
+    odd = mixing.mix(frame(spark, [(1, "a b c", "en", "x", 1, 0.0, 1)] * 4 + [(2, "a b c", "en", "y", 1, 0.0, 1)] * 4)).select("doc_id", "mix.source", "mix.copy").collect()
+    assert Counter(r.source for r in odd) == {"x": 4, "y": 4} and {r.copy for r in odd} == {0}  # ties and repeated rows
     assert mixing.mix(frame(spark, ODD)).columns[:-1] == docs.columns
     clash = mixing.mix(docs.toDF("doc_id", "text", "plan", "source", "fit", "copy", "block"))
     assert clash.columns == ["doc_id", "text", "plan", "source", "fit", "copy", "block", "mix"] and clash.count() == len(got)

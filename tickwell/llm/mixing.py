@@ -5,7 +5,8 @@ exponent a is found on a grid of 1 / GRID by bisection, many ways at a time: the
 weights have the wanted entropy, or a larger one where no source may otherwise be repeated
 as often as it would have to. A source's part of the budget is spent in whole epochs, and what
 is left on the first blocks of one more epoch, in that epoch's own permutation; the block that no
-longer fits is dealt out by its smaller blocks.
+longer fits is dealt out by its smaller blocks. A block's place in the stream is the share of its
+source's part that is spent before it, so every stretch of the stream has about the target weights.
 """
 
 from __future__ import annotations
@@ -69,8 +70,8 @@ def exponent(sources: DataFrame, budget: int, entropy: float = ENTROPY, repetiti
 def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repetition: float = REPETITION, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs``, as often as they are to be read, with all their columns and a struct ``mix`` of:
 
-    ``copy`` (0 for the first), ``place`` (rows are to be read in the order of copy and place, a
-    block at a time), ``source`` and ``tokens``. ``budget``: tokens, by default as many as there are.
+    ``copy`` (0 for the first), ``place`` (rows are to be read in its order, from 0 to 1, a block at
+    a time; equal places by source), ``source`` and ``tokens``. ``budget``: tokens, by default as many as there are.
 
     Rows without a source are one source, together with those of an empty name. A source without
     tokens has no weight, and its rows are left out, as are rows that the budget does not reach. Repeated rows
@@ -91,31 +92,29 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, re
     weight = F.pow(F.col("tokens") / F.lit(max(total, 1)), F.lit(a))
     norm = sources.agg(F.sum(weight)).first()[0] or 1.0
     spent = sources.withColumn("spend", F.floor(weight / F.lit(norm) * F.lit(budget)).cast("long"))
-    spent = spent.select("source", F.expr("spend div tokens").cast("int").alias("epochs"), F.expr("spend % tokens").alias("rest"))
-    key = _place(F.col("source"), F.col("epochs").cast("string"), F.col("block").cast("string"))
-    blocks = totals.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")).join(spent, "source").withColumn("key", key)
-    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("key", "block").rowsBetween(Window.unboundedPreceding, 0))
-    blocks = blocks.withColumn("upto", upto)
-    blocks = blocks.select("source", "block", "epochs", (F.col("upto") <= F.col("rest")).alias("whole"), F.when((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("tokens") < F.col("rest")), F.col("rest") - F.col("upto") + F.col("tokens")).alias("left"))
+    spent = spent.select("source", "spend", F.col("tokens").alias("size"), F.expr("spend div tokens").cast("int").alias("epochs"), F.expr("spend % tokens").alias("rest"))
+    blocks = totals.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")).join(spent, "source").withColumn("copy", F.explode(F.sequence(F.lit(0), "epochs")))
+    blocks = blocks.withColumn("key", _place(F.col("source"), F.col("copy").cast("string"), F.col("block").cast("string")))
+    blocks = blocks.withColumn("upto", F.sum("tokens").over(Window.partitionBy("source", "copy").orderBy("key", "block").rowsBetween(Window.unboundedPreceding, 0)))
+    left = F.when((F.col("copy") == F.col("epochs")) & (F.col("upto") > F.col("rest")), F.col("rest") - F.col("upto") + F.col("tokens"))
+    place = (F.col("copy") * F.col("size") + F.col("upto") - F.col("tokens")) / F.col("spend")
+    blocks = blocks.where("spend > 0").select("source", "block", "copy", left.alias("left"), place.alias("place")).where("left IS NULL OR left > 0")
     blocks = stored(blocks, "block_plan")
 
-    cut = totals.join(blocks.where("left IS NOT NULL").select("source", "block", "epochs", "left"), ["source", "block"])
-    cut = cut.withColumn("key", _place(F.col("source"), F.col("epochs").cast("string"), F.col("block").cast("string"), F.col("part").cast("string")))
+    cut = totals.join(blocks.where("left IS NOT NULL").select("source", "block", "copy", "left"), ["source", "block"])
+    cut = cut.withColumn("key", _place(F.col("source"), F.col("copy").cast("string"), F.col("block").cast("string"), F.col("part").cast("string")))
     cut = cut.withColumn("upto", F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("key", "part").rowsBetween(Window.unboundedPreceding, 0)))
-    parts = cut.where("upto <= left").select("source", "block", "part", F.lit(True).alias("fits"))
+    parts = stored(cut.where("upto <= left").select("source", "block", "part", F.lit(True).alias("fits")), "part_plan")
 
-    small = F.broadcast if blocks.count() <= _BROADCAST_ROWS else (lambda x: x)
+    small = lambda df: F.broadcast(df) if df.count() <= _BROADCAST_ROWS else df
     named = lambda df, name, *keys: df.select(F.struct(*df.columns).alias(name), *[F.col(k).alias(f"__mix_{k}") for k in keys])
     at = {k: F.col(f"mix.{k}") == F.col(f"__mix_{k}") for k in ("source", "block", "part")}
     keys = [f"__mix_{k}" for k in at]
-    r = rows.join(small(named(blocks, "__mix_plan", "source", "block")), at["source"] & at["block"]).drop(*keys)
-    r = r.join(small(named(parts, "__mix_fit", "source", "block", "part")), at["source"] & at["block"] & at["part"], "left").drop(*keys)
-    more = F.col("__mix_plan.whole") | F.coalesce(F.col("__mix_fit.fits"), F.lit(False))
-    copies = F.col("__mix_plan.epochs") + F.when(more, 1).otherwise(0)
-    r = r.withColumn("__mix_n", copies).where("__mix_n > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)))
-    place = _place(F.col("mix.source"), F.col("__mix_copy").cast("string"), F.col("mix.block").cast("string"))
-    mix_of = F.struct(F.col("__mix_copy").alias("copy"), place.alias("place"), F.col("mix.source").alias("source"), F.col("mix.tokens").alias("tokens"))
-    return r.withColumn("mix", mix_of).drop("__mix_plan", "__mix_fit", "__mix_n", "__mix_copy")
+    r = rows.join(named(small(blocks), "__mix_plan", "source", "block"), at["source"] & at["block"]).drop(*keys)
+    r = r.join(named(small(parts), "__mix_fit", "source", "block", "part"), at["source"] & at["block"] & at["part"], "left").drop(*keys)
+    r = r.where(F.col("__mix_plan.left").isNull() | F.coalesce(F.col("__mix_fit.fits"), F.lit(False)))
+    mix_of = F.struct(F.col("__mix_plan.copy").alias("copy"), F.col("__mix_plan.place").alias("place"), F.col("mix.source").alias("source"), F.col("mix.tokens").alias("tokens"))
+    return r.withColumn("mix", mix_of).drop("__mix_plan", "__mix_fit")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,14 +135,14 @@ o AS (SELECT coalesce(min(k) FILTER (r * total <= {REPETITION}), {GRID}) AS k FR
 a AS (SELECT CASE WHEN n = 1 THEN 1.0 ELSE greatest(e.k, o.k) / {GRID}.0 END AS a FROM e, o, t),
 w AS (SELECT source, tokens, pow(tokens / total, a) AS w FROM s, t, a),
 b AS (SELECT source, tokens, CAST(floor(w / (SELECT sum(w) FROM w) * total) AS BIGINT) AS spend FROM w, t),
-c AS (SELECT source, CAST(spend // tokens AS INTEGER) AS epochs, spend % tokens AS rest FROM b),
-u AS (SELECT r.source, block, sum(tokens) AS tokens, any_value(epochs) AS epochs, any_value(rest) AS rest FROM r JOIN c USING (source) GROUP BY r.source, block),
-v AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY md5(source || ':' || epochs || ':' || block), block ROWS UNBOUNDED PRECEDING) AS upto FROM u),
-x AS (SELECT source, block, part, sum(r.tokens) AS tokens, any_value(v.epochs) AS epochs, any_value(v.rest - v.upto + v.tokens) AS left_over
-  FROM r JOIN v USING (source, block) WHERE v.upto > v.rest AND v.upto - v.tokens < v.rest GROUP BY source, block, part),
-y AS (SELECT *, sum(tokens) OVER (PARTITION BY source, block ORDER BY md5(source || ':' || epochs || ':' || block || ':' || part), part ROWS UNBOUNDED PRECEDING) AS upto FROM x),
-z AS (SELECT r.doc_id, r.source, r.tokens, r.block, v.epochs + CASE WHEN v.upto <= v.rest OR coalesce(y.upto <= y.left_over, false) THEN 1 ELSE 0 END AS copies
-  FROM r JOIN v USING (source, block) LEFT JOIN y ON y.source = r.source AND y.block = r.block AND y.part = r.part)
-SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, tokens, md5(source || ':' || copy || ':' || block) AS place
-FROM (SELECT *, unnest(range(0, copies)) AS copy FROM z)
+c AS (SELECT source, tokens AS size, spend, CAST(spend // tokens AS INTEGER) AS epochs, spend % tokens AS rest FROM b WHERE spend > 0),
+q AS (SELECT r.source, block, sum(tokens) AS tokens FROM r GROUP BY r.source, block),
+u AS (SELECT q.source, block, tokens, size, spend, epochs, rest, unnest(range(0, epochs + 1)) AS copy FROM q JOIN c USING (source)),
+v AS (SELECT *, sum(tokens) OVER (PARTITION BY source, copy ORDER BY md5(source || ':' || copy || ':' || block), block ROWS UNBOUNDED PRECEDING) AS upto FROM u),
+x AS (SELECT source, block, part, sum(r.tokens) AS tokens, any_value(v.copy) AS copy, any_value(v.rest - v.upto + v.tokens) AS left_over
+  FROM r JOIN v USING (source, block) WHERE v.copy = v.epochs AND v.upto > v.rest AND v.upto - v.tokens < v.rest GROUP BY source, block, part),
+y AS (SELECT *, sum(tokens) OVER (PARTITION BY source, block ORDER BY md5(source || ':' || copy || ':' || block || ':' || part), part ROWS UNBOUNDED PRECEDING) AS upto FROM x)
+SELECT r.doc_id, r.source, CAST(v.copy AS INTEGER) AS copy, r.tokens, CAST(v.copy * v.size + v.upto - v.tokens AS DOUBLE) / CAST(v.spend AS DOUBLE) AS place
+FROM r JOIN v USING (source, block) LEFT JOIN y ON y.source = r.source AND y.block = r.block AND y.part = r.part
+WHERE v.copy < v.epochs OR v.upto <= v.rest OR (v.upto - v.tokens < v.rest AND coalesce(y.upto <= y.left_over, false))
 """
