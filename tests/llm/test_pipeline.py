@@ -44,10 +44,10 @@ def test_pipeline_of_odd_tables(spark, tmp_path, case):
     rows = {"odd rows": ODD + plain, "empty tables": [], "clashing columns": ODD + plain, "the same row again and again": [plain[0]] * 40}[case]
     docs = spark.createDataFrame(rows, SCHEMA)
     if case == "clashing columns":
-        for name in ("mix", "place", "copy", "key", "n", "row", "__gone", "rejected", "score", "file"):
+        for name in ("mix", "place", "copy", "key", "n", "row", "gone", "text_hash", "mix_plan", "rejected", "score", "file"):
             docs = docs.withColumn(name, docs["n_chars"])
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    labels = [(10 + i, int(i % 4 != 0), None) for i in range(30)] if rows else []
+    labels = [(10 + i, int(i % 4 != 3), None) for i in range(30)] if rows else []
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     columns, docs = docs.columns, spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:

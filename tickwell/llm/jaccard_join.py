@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tickwell.llm.components import connected_components
 from tickwell.llm.shingles import WIDTH, mix64, shingle_sets, text_buffers
-from tickwell.llm.work import small, stored, table
+from tickwell.llm.work import free_name, small, stored, table
 
 PERCENT = 75
 #: Share of the hash range whose shingles are looked up for their rarity: somewhat over the quarter that a prefix needs.
@@ -258,10 +258,11 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     groups = stored(jaccard_components(docs, doc_id, text, **options), "groups")
     ids = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("head"), F.count(F.lit(1)).alias("rows"))
     # What goes is the smaller side, and a written table has a known size: Spark broadcasts it only where it is small.
-    gone = stored(ids.where("NOT head").select(F.col("doc_id").alias("__gone")), "gone")
-    kept = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    gone_id, text_hash = free_name(docs, "gone"), free_name(docs, "text_hash")
+    gone = stored(ids.where("NOT head").select(F.col("doc_id").alias(gone_id)), "gone")
+    kept = docs.join(gone, F.col(doc_id) == F.col(gone_id), "left_anti")
     if ids.where("head AND rows > 1").limit(1).count():
-        named = kept.where(F.col(doc_id).isNotNull()).withColumn("__text", F.xxhash64(F.col(text))).dropDuplicates([doc_id, "__text"]).drop("__text")
+        named = kept.where(F.col(doc_id).isNotNull()).withColumn(text_hash, F.xxhash64(F.col(text))).dropDuplicates([doc_id, text_hash]).drop(text_hash)
         return named.unionByName(kept.where(F.col(doc_id).isNull()))
     return kept
 

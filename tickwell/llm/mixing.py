@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickwell.llm.work import stored, table
+from tickwell.llm.work import free_name, stored, table
 
 GRID = 16_384
 #: Wanted entropy of the weights, as a share of the entropy of equal weights.
@@ -107,14 +107,15 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, re
     parts = stored(cut.where("upto <= left").select("source", "block", "part", F.lit(True).alias("fits")), "part_plan")
 
     small = lambda df: F.broadcast(df) if df.count() <= _BROADCAST_ROWS else df
-    named = lambda df, name, *keys: df.select(F.struct(*df.columns).alias(name), *[F.col(k).alias(f"__mix_{k}") for k in keys])
-    at = {k: F.col(f"mix.{k}") == F.col(f"__mix_{k}") for k in ("source", "block", "part")}
-    keys = [f"__mix_{k}" for k in at]
-    r = rows.join(named(small(blocks), "__mix_plan", "source", "block"), at["source"] & at["block"]).drop(*keys)
-    r = r.join(named(small(parts), "__mix_fit", "source", "block", "part"), at["source"] & at["block"] & at["part"], "left").drop(*keys)
-    r = r.where(F.col("__mix_plan.left").isNull() | F.coalesce(F.col("__mix_fit.fits"), F.lit(False)))
-    mix_of = F.struct(F.col("__mix_plan.copy").alias("copy"), F.col("__mix_plan.place").alias("place"), F.col("mix.source").alias("source"), F.col("mix.tokens").alias("tokens"))
-    return r.withColumn("mix", mix_of).drop("__mix_plan", "__mix_fit")
+    own_name = free_name(docs, "mix_")
+    named = lambda df, name, *keys: df.select(F.struct(*df.columns).alias(own_name + name), *[F.col(k).alias(own_name + k) for k in keys])
+    at = {k: F.col(f"mix.{k}") == F.col(own_name + k) for k in ("source", "block", "part")}
+    keys = [own_name + k for k in at]
+    r = rows.join(named(small(blocks), "plan", "source", "block"), at["source"] & at["block"]).drop(*keys)
+    r = r.join(named(small(parts), "fit", "source", "block", "part"), at["source"] & at["block"] & at["part"], "left").drop(*keys)
+    r = r.where(F.col(f"{own_name}plan.left").isNull() | F.coalesce(F.col(f"{own_name}fit.fits"), F.lit(False)))
+    mix_of = F.struct(F.col(f"{own_name}plan.copy").alias("copy"), F.col(f"{own_name}plan.place").alias("place"), F.col("mix.source").alias("source"), F.col("mix.tokens").alias("tokens"))
+    return r.withColumn("mix", mix_of).drop(f"{own_name}plan", f"{own_name}fit")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
