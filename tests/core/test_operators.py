@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickwell.operators import backtest, conformal, consensus, factors, inference, leadlag, ledger, market_rules, optimize, research, selection, signals, splits
+from tickwell.operators import asof, backtest, conformal, consensus, factors, inference, leadlag, ledger, market_rules, optimize, research, selection, signals, splits
 from tickwell.sources import bars as bars_source
 from tickwell.sources import connectors
 from tickwell.streaming import stateful
@@ -119,8 +119,23 @@ def test_deflated_sharpe_and_splits(spark):
 def test_conformal(spark):
     s = spark.createDataFrame([(float(i),) for i in range(1, 11)], "score double")
     assert conformal.quantile(s, "score", 0.1).first()["quantile"] == 10.0
-    level = conformal.Aci(0.1, 0.05)
-    assert level.step(True) < 0.1 < level.step(False) + 0.05
+    up, down = conformal.Levels(0.1, (0.05,)).feed([True, False])
+    assert up < 0.1 < down + 0.05
+    rng = np.random.default_rng(1)
+    misses = rng.random(60) < 0.2
+    whole, parts = conformal.Levels().feed(misses), conformal.Levels()
+    assert np.allclose(whole, np.concatenate([parts.feed(misses[:7]), parts.feed([]), parts.feed(misses[7:])]))
+    level, loss, want = [0.1] * 5, [0.0] * 5, []
+    for m in misses:  # by the definition, one expert at a time
+        loss = [x + (0.9 * a if m else 0.1 * (1 - a)) for x, a in zip(loss, level, strict=True)]
+        level = [min(max(a + g * (0.1 - m), 1e-4), 1 - 1e-4) for a, g in zip(level, conformal.GAMMAS, strict=True)]
+        share = [np.exp(-0.1 * x) for x in loss]
+        want.append(sum(x * a for x, a in zip(share, level, strict=True)) / sum(share))
+    assert np.allclose(whole, want)
+    x = rng.normal(0, 0.01, 90)
+    x[[3, 40]] = np.nan
+    assert np.allclose(conformal.lagged_volatility(x), pd.Series(x).ewm(halflife=20, min_periods=5).std().shift(1).bfill().clip(lower=1e-8))
+    assert np.isnan(conformal.lagged_volatility(np.full(3, 1.0))).all()
     rng = np.random.default_rng(2)
     rows = [(n, T0 + timedelta(days=i), float(rng.normal(0, sd))) for n, sd in (("wild", 0.05), ("calm", 0.002)) for i in range(80)]
     df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, ret double").withColumn("weight", F.lit(0.5))
@@ -305,3 +320,54 @@ def test_filings(spark, tmp_path):
     wanted = spark.createDataFrame([("f.txt", hashlib.sha256(b"abc").hexdigest()), ("g.txt", "0")], "path string, sha256 string")
     assert {r.path: r.status for r in filings.snapshots(spark, str(tmp_path), wanted).collect()} == {"f.txt": "ok", "g.txt": "missing"}
     assert spark.createDataFrame([("1h",), ("?",)], "i string").select(filings.periods_per_year(F.col("i")).alias("n")).collect()[0].n == 8760
+
+
+def test_quantile_of_large_groups_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(conformal, "_WHOLE", 50)
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in rng.normal(size=4000)] + [("ties", float(x)) for x in rng.integers(0, 4, 3000)] + [("few", 1.0), ("few", 2.0), ("none", None)]
+    got = {r["g"]: r for r in conformal.quantile(spark.createDataFrame(rows, "g string, score double"), "score", 0.1, ("g",)).collect()}
+    assert set(got) == {"a", "ties", "few"}
+    for g, r in got.items():
+        x = sorted(v for k, v in rows if k == g)
+        level = min(1.0, math.ceil(round((len(x) + 1) * 0.9, 9)) / len(x))
+        assert r["n"] == len(x) and r["quantile"] == x[math.ceil(round(level * (len(x) - 1), 9))]
+
+
+def test_step_up_adjustment_by_ranges(spark):
+    rng = np.random.default_rng(4)
+    p = np.concatenate((rng.random(300), np.full(150, 0.5), rng.random(50) / 1000))
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)] + [(900, None)], "id long, p double")
+    rank = np.array([(p <= x).sum() for x in p])
+    want = [min(1.0, min(p[j] * len(p) / rank[j] for j in np.flatnonzero(p >= x))) for x in p]
+    for ranges in (1, 7, 256):
+        got = {r["id"]: r["q_value"] for r in inference.benjamini_hochberg(df, ranges=ranges).collect()}
+        assert got[900] is None and np.allclose([got[i] for i in range(len(p))], want)
+    assert inference.benjamini_hochberg(df.where("p > 2")).count() == 0
+
+
+def test_asof_joins_over_many_slices(spark):
+    rng = np.random.default_rng(5)
+    time = lambda: T0 + timedelta(hours=int(rng.integers(0, 24 * 60)))
+    left = [("ab"[i % 2], time(), i) for i in range(80)] + [("c", T0, 900), (None, T0, 901)]
+    right = {("ab"[i % 2], time()): float(i) for i in range(60)} | {(None, T0 - timedelta(days=9)): -1.0}
+    a = spark.createDataFrame(left, "symbol string, ts timestamp_ntz, id long")
+    b = spark.createDataFrame([(*k, v) for k, v in right.items()], "symbol string, ts timestamp_ntz, v double")
+    for unit in ("hour", "day", "year"):
+        back = {r["id"]: r["v"] for r in asof.backward(a, b, ("symbol",), "v", unit=unit).collect()}
+        ahead = {r["id"]: (r["v"], r["at"]) for r in asof.forward(a, b.withColumnRenamed("ts", "at"), ("symbol",), "ts", "at", "v", unit=unit).collect()}
+        for s, t, i in left:
+            before = max(((x[1], v) for x, v in right.items() if x[0] == s and x[1] <= t), default=(None, None))
+            after = min(((x[1], v) for x, v in right.items() if x[0] == s and x[1] > t), default=(None, None))
+            assert back[i] == before[1] and ahead[i] == after[::-1]
+
+
+def test_block_bootstrap_of_a_table(spark):
+    df = spark.createDataFrame([(s, T0 + timedelta(days=i), float(i % 7) if s == "a" else 2.0) for s in "ab" for i in range(50)] + [("a", T0, None)], "symbol string, ts timestamp_ntz, value double")
+    draws = inference.block_bootstrap(df, 130, 5, lambda x: float(x.mean()), 3, by=("symbol",))
+    got = draws.toPandas()
+    assert len(got) == 260 and got[got.symbol == "b"].value.eq(2.0).all() and got[got.symbol == "a"].value.between(1.5, 4.5).all()
+    again = inference.block_bootstrap(df.repartition(3), 130, 5, lambda x: float(x.mean()), 3, by=("symbol",)).toPandas()
+    key = ["symbol", "draw"]
+    assert got.sort_values(key).value.tolist() == again.sort_values(key).value.tolist()
+    assert inference.block_bootstrap(df.where("false"), 5, 2, lambda x: 0.0).count() == 0

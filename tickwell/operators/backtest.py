@@ -65,7 +65,7 @@ def portfolio(prices: DataFrame, targets: DataFrame, rebalance: str = "M", fee_b
     # Within the stretch that a rebalance bar opens, the first bar with anything wanted is what is held from there on.
     days = days.withColumn("__from", F.coalesce(F.min(F.when(F.col("__gross") >= 1e-15, F.col("ts"))).over(inside), F.col("ts")))
     held = rows.select("symbol", F.col("ts").alias("__from"), F.col("__want").alias("held"))
-    book = rows.join(F.broadcast(days.select("ts", "__from")), "ts").join(held, ["symbol", "__from"], "left").withColumn("held", F.coalesce("held", F.lit(0.0)))
+    book = rows.join(days.select("ts", "__from"), "ts").join(held, ["symbol", "__from"], "left").withColumn("held", F.coalesce("held", F.lit(0.0)))
     book = book.withColumn("__turn", F.abs(F.col("held") - F.coalesce(W.lag("held", 1, w), F.lit(0.0))))
     out = book.groupBy("ts").agg(F.sum(F.col("held") * F.col("__r")).alias("__p"), F.sum("__turn").alias("turnover"), F.sum(F.abs("held")).alias("gross"))
     out = out.withColumn("ret", F.col("__p") - F.col("turnover") * ((fee_bps + slippage_bps) / 1e4))
@@ -137,9 +137,9 @@ def sweep(bars: DataFrame, grid: DataFrame, kind: str = "dual_ma", fee_bps: floa
     return summary(long_only(rows.drop("__m"), by=by, fee_bps=fee_bps), by, periods)
 
 
-def chain_folds(curves: DataFrame) -> DataFrame:
-    """(fold, idx, equity): out-of-sample curves (fold, idx, equity) joined by compounding each one's own ratios, without a jump between levels."""
-    w = Window.partitionBy("fold").orderBy("idx")
+def chain_folds(curves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, fold, idx, equity): out-of-sample curves (by, fold, idx, equity) joined by compounding each one's own ratios, without a jump between levels."""
+    w = Window.partitionBy(*by, "fold").orderBy("idx")
     ratio = F.coalesce(F.try_divide(F.col("equity"), F.lag("equity").over(w)), F.lit(1.0))
-    run = Window.partitionBy(F.lit(0)).orderBy("fold", "idx").rowsBetween(Window.unboundedPreceding, 0)
-    return curves.withColumn("__x", ratio).select("fold", "idx", F.product("__x").over(run).alias("equity"))
+    run = Window.partitionBy(*(by or [F.lit(0)])).orderBy("fold", "idx").rowsBetween(Window.unboundedPreceding, 0)
+    return curves.withColumn("__x", ratio).select(*by, "fold", "idx", F.product("__x").over(run).alias("equity"))

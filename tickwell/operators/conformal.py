@@ -1,29 +1,44 @@
-"""Conformal prediction: scores, quantiles, and online levels kept one step a row."""
+"""Conformal prediction: scores, quantiles, and levels that adapt to the misses of a series."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from itertools import accumulate
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Step sizes of the experts.
 GAMMAS = (0.001, 0.005, 0.01, 0.05, 0.1)
-_LEAST = 1e-4
+_RANGE = (1e-4, 1 - 1e-4)
+#: A rank is bracketed by approximate quantiles this far below and above it; groups of up to _WHOLE scores are their own bracket.
+_APART, _ACCURACY, _WHOLE = 0.002, 10_000, 4_000
 
 
 def quantile(scores: DataFrame, score: str = "score", alpha: float = 0.1, by: tuple[str, ...] = ()) -> DataFrame:
-    """(n, quantile): the order statistic with finite-sample coverage 1 - alpha; scores must be known."""
-    s = scores.where(F.col(score).isNotNull())
-    grouped = s.groupBy(*by) if by else s.groupBy(F.lit(0).alias("__all"))
-    n = F.count(score)
+    """(n, quantile): the order statistic with finite-sample coverage 1 - alpha; unknown scores do not count.
+
+    Exact, without a list or a sort of a whole group: approximate quantiles (their error of rank is bounded) give a
+    bracket around the wanted rank, what lies below is counted, and only distinct scores in the bracket are put in order.
+    """
+    key = list(by) or ["__all"]
+    s = scores.where(F.col(score).isNotNull()).select(*(by or [F.lit(0).alias("__all")]), F.col(score).alias("__x"))
+    n = F.col("n")
+    ends = F.percentile_approx("__x", [max(0.0, 1 - alpha - _APART), min(1.0, 1 - alpha + _APART)], _ACCURACY)
+    groups = s.groupBy(*key).agg(F.count("__x").alias("n"), F.min("__x").alias("__min"), F.max("__x").alias("__max"), ends.alias("__ends"))
     level = F.least(F.lit(1.0), F.ceil(F.round((n + 1) * (1 - alpha), 9)) / n)
-    rank = F.ceil(F.round(level * (n - 1), 9)) + 1
-    out = grouped.agg(n.alias("n"), F.element_at(F.sort_array(F.collect_list(score)), rank.cast("int")).alias("quantile"))
+    groups = groups.select(
+        *key, "n", (F.ceil(F.round(level * (n - 1), 9)) + 1).alias("__rank"),
+        F.when(n <= _WHOLE, F.col("__min")).otherwise(F.col("__ends")[0]).alias("__low"), F.when(n <= _WHOLE, F.col("__max")).otherwise(F.col("__ends")[1]).alias("__high"),
+    )
+    near = s.join(groups if by else F.broadcast(groups), key)  # without groups: one row
+    counts = near.where("__x <= __high").groupBy(*key, "n", "__rank", F.when(F.col("__x") >= F.col("__low"), F.col("__x")).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*key).orderBy(F.asc_nulls_first("__x")).rowsBetween(Window.unboundedPreceding, 0))
+    out = counts.withColumn("__upto", upto).where("__upto >= __rank").groupBy(*key, "n").agg(F.min("__x").alias("quantile"))
     return out if by else out.drop("__all")
 
 
@@ -31,9 +46,26 @@ def interval(center: Column, q: Column | float, sigma: Column) -> tuple[Column,
     return center - q * sigma, center + q * sigma
 
 
-def lagged_volatility(x: pd.Series, halflife: float = 20.0, floor: float = 1e-8) -> pd.Series:
-    """Exponential deviation known one bar earlier; the head takes the first known one."""
-    return x.ewm(halflife=halflife, min_periods=5).std().shift(1).bfill().clip(lower=floor)
+def lagged_volatility(x: np.ndarray, halflife: float = 20.0, floor: float = 1e-8, known: int = 5) -> np.ndarray:
+    """Deviation around the exponentially weighted mean as it stood one bar earlier, unbiased for its weights.
+
+    A value that lies k bars back weighs 2 ** (-k / halflife); unknown ones weigh nothing. Before ``known``
+    values there is no deviation, and the bars before the first one take that.
+    """
+    fade = 0.5 ** (1 / halflife)
+    there = ~np.isnan(x)
+    value = np.where(there, x, 0.0)
+    faded = lambda add, by: np.fromiter(accumulate(add, lambda old, new: by * old + new), float, len(x))
+    weight, squares = faded(there.astype(float), fade), faded(there.astype(float), fade * fade)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = faded(value, fade) / weight
+        spread = np.maximum(faded(value * value, fade) / weight - mean * mean, 0.0) / (1 - squares / (weight * weight))
+    out = np.full(len(x), np.nan)
+    out[1:] = np.where(np.cumsum(there) >= known, np.sqrt(spread), np.nan)[:-1]
+    first = np.flatnonzero(~np.isnan(out))
+    if len(first):
+        out[: first[0]] = out[first[0]]
+    return np.fmax(out, floor) if len(first) else out
 
 
 def standardized_scores(df: DataFrame, residual: str, halflife: float = 20.0) -> DataFrame:
@@ -42,63 +74,54 @@ def standardized_scores(df: DataFrame, residual: str, halflife: float = 20.0) ->
 
     def run(one: pd.DataFrame) -> pd.DataFrame:
         one = one.sort_values("ts")
-        one["sigma"] = lagged_volatility(one[residual].astype(float), halflife)
+        one["sigma"] = lagged_volatility(one[residual].to_numpy(float), halflife)
         one["score"] = one[residual].abs() / one["sigma"]
         return one
 
     return df.groupBy("symbol").applyInPandas(run, schema)
 
 
-@dataclass
-class Aci:
-    """One level that steps towards its target: down after a miss, up after a hit."""
+class Levels:
+    """Error levels of experts with a step size each, fed with misses; what it gives is their mean, weighted by their losses.
 
-    target: float = 0.1
-    gamma: float = 0.01
-    level: float | None = None
+    By the definition of the pinball loss, a miss costs an expert (1 - target) times its level, and a hit target
+    times what its level leaves of 1. All rows fed at once are one array of rows by experts; ``level`` and
+    ``loss`` carry over to the next rows.
+    """
 
-    def step(self, miss: bool) -> float:
-        now = self.target if self.level is None else self.level
-        self.level = min(max(now + self.gamma * (self.target - miss), _LEAST), 1 - _LEAST)
-        return self.level
+    def __init__(self, target: float = 0.1, steps: Sequence[float] = GAMMAS, eta: float = 0.1, level: Sequence[float] | None = None, loss: Sequence[float] | None = None) -> None:
+        self.target, self.steps, self.eta = target, np.array(steps), eta
+        self.level = np.full(len(steps), target) if level is None else np.array(level, float)
+        self.loss = np.zeros(len(steps)) if loss is None else np.array(loss, float)
 
-
-@dataclass
-class DtAci:
-    """Several such levels, weighted by their pinball losses so far."""
-
-    target: float = 0.1
-    eta: float = 0.1
-    gammas: tuple[float, ...] = GAMMAS
-    levels: np.ndarray = field(default=None)  # type: ignore[assignment]
-    losses: np.ndarray = field(default=None)  # type: ignore[assignment]
-
-    def step(self, miss: bool) -> float:
-        if self.levels is None:
-            self.levels, self.losses = np.full(len(self.gammas), self.target), np.zeros(len(self.gammas))
-        beyond = (0.0 if miss else 1.0) - self.levels
-        self.losses = self.losses + self.target * beyond - np.minimum(0.0, beyond)
-        weight = np.exp(-self.eta * (self.losses - self.losses.min()))
-        self.levels = np.clip(self.levels + np.array(self.gammas) * (self.target - miss), _LEAST, 1 - _LEAST)
-        return float(weight @ self.levels / weight.sum())
+    def feed(self, misses: np.ndarray) -> np.ndarray:
+        """The level after each of ``misses``."""
+        missed = np.asarray(misses, bool)[:, None]
+        pushes = self.steps * (self.target - missed)
+        path = np.array(list(accumulate(pushes, lambda level, push: np.clip(level + push, *_RANGE), initial=self.level)))
+        cost = np.where(missed, (1 - self.target) * path[:-1], self.target * (1 - path[:-1]))
+        losses = self.loss + np.cumsum(cost, axis=0)
+        if len(cost):
+            self.level, self.loss = path[-1], losses[-1]
+        share = np.exp(self.eta * (losses.min(axis=1, keepdims=True) - losses))
+        return (share * path[1:]).sum(axis=1) / share.sum(axis=1)
 
 
 def aci_path(misses: DataFrame, target: float = 0.1, gamma: float = 0.01, miss: str = "miss") -> DataFrame:
-    """Adds ``alpha``: the level after each row of a symbol's misses (0 or 1). One symbol's rows are one group."""
-    return _path(misses, lambda: Aci(target, gamma), miss)
+    """Adds ``alpha``: one expert's level after each row of a symbol's misses (0 or 1). One symbol's rows are one group."""
+    return _path(misses, miss, target, (gamma,), 0.0)
 
 
 def dtaci_path(misses: DataFrame, target: float = 0.1, eta: float = 0.1, miss: str = "miss") -> DataFrame:
-    return _path(misses, lambda: DtAci(target, eta), miss)
+    return _path(misses, miss, target, GAMMAS, eta)
 
 
-def _path(df: DataFrame, new, miss: str) -> DataFrame:  # noqa: ANN001
+def _path(df: DataFrame, miss: str, target: float, steps: tuple[float, ...], eta: float) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("alpha", T.DoubleType())])
 
     def run(one: pd.DataFrame) -> pd.DataFrame:
-        one, state = one.sort_values("ts"), new()
-        one["alpha"] = [state.step(bool(m)) for m in one[miss]]
-        return one
+        one = one.sort_values("ts")
+        return one.assign(alpha=Levels(target, steps, eta).feed(one[miss].to_numpy()))
 
     return df.groupBy("symbol").applyInPandas(run, schema)
 
@@ -109,12 +132,11 @@ def weight_policy(df: DataFrame, weight: str = "weight", ret: str = "ret", alpha
     normal = NormalDist()
 
     def run(one: pd.DataFrame) -> pd.DataFrame:
-        one, state, level, scale = one.sort_values("ts"), DtAci(alpha, gamma * 10), alpha, [1.0]
-        r = one[ret].astype(float)
-        size = (r.abs() / lagged_volatility(r, halflife)).to_numpy()
-        for z in size[:-1]:
-            level = state.step(not z <= normal.inv_cdf(1 - level / 2))
-            scale.append(low + (high - low) * min(1.0, max(0.0, 1 - level)))
+        one, levels, now, scale = one.sort_values("ts"), Levels(alpha, eta=gamma * 10), alpha, [1.0]
+        r = one[ret].to_numpy(float)
+        for z in (np.abs(r) / lagged_volatility(r, halflife))[:-1]:
+            now = float(levels.feed([not z <= normal.inv_cdf(1 - now / 2)])[0])
+            scale.append(low + (high - low) * min(1.0, max(0.0, 1 - now)))
         one["scale"] = scale[: len(one)]
         one["scaled_weight"] = one[weight] * one["scale"]
         return one

@@ -107,10 +107,26 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     return ic.agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.try_divide(F.avg("ic"), F.nullif(F.stddev_samp("ic"), F.lit(0.0))).alias("icir"), F.avg("rank_ic").alias("mean_rank_ic"), F.count(F.lit(1)).alias("n_dates"))
 
 
+def _dealt(rows: DataFrame, blocks: int, order: Sequence[str]) -> DataFrame:
+    """Adds ``block``: the rows of each factor in ``blocks`` runs of equal length (earlier ones longer by one), in order.
+
+    Only counts by date are put in a row of a whole factor; rows are numbered within their date.
+    """
+    first, *rest = order
+    dates = rows.groupBy("factor", first).agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy("factor")
+    dates = dates.withColumns({"__before": F.sum("__n").over(whole.orderBy(first)) - F.col("__n"), "__all": F.sum("__n").over(whole)}).drop("__n")
+    place = F.row_number().over(Window.partitionBy("factor", first).orderBy(*(rest or ["x", "y"])))
+    at, size, more = F.col("__before") + F.col("__place") - 1, F.floor(F.col("__all") / blocks), F.col("__all") % blocks
+    longer = more * (size + 1)
+    block = F.when(at < longer, F.floor(at / (size + 1))).otherwise(more + F.floor((at - longer) / F.greatest(size, F.lit(1)))) + 1
+    return rows.withColumn("__place", place).join(dates, ["factor", first]).withColumn("block", block.cast("int")).drop("__place", "__before", "__all")
+
+
 def factor_ic_table(df: DataFrame, factors: Sequence[str], label: str, order: Sequence[str] = ("ts",), blocks: int = 10, least: int = 20) -> DataFrame:
     """(factor, ic_mean, ic_std, ic_ir, rank_ic_mean, n_obs) over contiguous blocks of each factor's known pairs; short or constant blocks do not count."""
     long = df.unpivot([*order, label], list(factors), "factor", "x").select(*order, "factor", F.col("x").cast("double").alias("x"), F.col(label).cast("double").alias("y")).dropna()
-    long = long.withColumn("block", F.ntile(blocks).over(Window.partitionBy("factor").orderBy(*order)))
+    long = _dealt(long, blocks, order)
     keys = ["factor", "block"]
     long = _ranked(_ranked(long, "x", keys, "rx"), "y", keys, "ry")
     per = long.groupBy(*keys).agg(_pearson("x", "y").alias("ic"), _pearson("rx", "ry").alias("ric"), F.count(F.lit(1)).alias("n"))

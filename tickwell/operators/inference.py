@@ -8,8 +8,10 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NORMAL = NormalDist()
 EULER = 0.5772156649015329
@@ -82,10 +84,10 @@ def pbo(returns: DataFrame, blocks: int = 16, time: str = "t", variant: str = "v
     size = F.floor(F.col("__n") / blocks)
     times = times.withColumn("block", F.floor(F.try_divide(F.col("__i"), size)).cast("int")).where(F.col("block") < blocks).select(time, "block")
     r = F.coalesce(F.col(ret), F.lit(0.0))
-    sums = returns.join(F.broadcast(times), time).groupBy("block", variant).agg(F.count(F.lit(1)).alias("n"), F.sum(r).alias("s"), F.sum(r * r).alias("q"))
+    sums = returns.join(times, time).groupBy("block", variant).agg(F.count(F.lit(1)).alias("n"), F.sum(r).alias("s"), F.sum(r * r).alias("q"))
     masks = returns.sparkSession.range(2**blocks).where(F.bit_count("id") == blocks // 2).select(F.col("id").alias("mask"))
     side = F.col("mask").bitwiseAND(F.pow(F.lit(2), F.col("block")).cast("long")) > 0
-    all_of = masks.crossJoin(F.broadcast(sums)).withColumn("train", side)
+    all_of = masks.crossJoin(sums).withColumn("train", side)
     part = all_of.groupBy("mask", variant, "train").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     mean = F.col("s") / F.col("n")
     sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("n") * mean**2) / (F.col("n") - 1)))
@@ -97,37 +99,58 @@ def pbo(returns: DataFrame, blocks: int = 16, time: str = "t", variant: str = "v
     return rank.agg(F.avg(((F.col("better") + 1) / (F.col("variants") + 1) >= 0.5).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("n_splits"))
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p", order: str = "id") -> DataFrame:
-    """Adds ``q_value``: the smallest p * m / rank from this rank up, at most 1; equal p in the order given. One family is one window, of as many rows as it has hypotheses."""
-    every, w = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy(p, order)
-    df = df.withColumns({"__k": F.row_number().over(w), "__m": F.count(F.lit(1)).over(every)})
-    up = w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn("q_value", F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__k")).over(up))).drop("__k", "__m")
+def benjamini_hochberg(df: DataFrame, p: str = "p", ranges: int = 256) -> DataFrame:
+    """Adds ``q_value``: the smallest p * m / rank from this value up, at most 1, where the rank of equal p is that of the last of them; null for a null p.
 
-
-def block_bootstrap(spark, values: Sequence[float], draws: int, block: int, stat: Callable[[np.ndarray], float], seed: int = 0, stationary: bool = True) -> DataFrame:  # noqa: ANN001
-    """(draw, value): a statistic over resampled blocks. Each draw has its own seed, so results do not depend on partitioning. ``values`` go to every task: a series of bounded length."""
-    x = np.asarray(values, float)
+    Distinct values are counted first and cut into ranges by approximate quantiles. Ranks and minima run within a range;
+    over the ranges themselves, which are few, run their counts and minima. So no task holds a family.
+    """
+    values = df.where(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    cuts = values.agg(F.percentile_approx("__p", [i / ranges for i in range(1, ranges)])).first()[0] or []
+    splits = [-math.inf, *sorted({0.0, *cuts}), math.inf]
+    values = Bucketizer(splits=splits, inputCol="__p", outputCol="__r", handleInvalid="keep").transform(values)
+    counts = values.groupBy("__r").agg(F.sum("__n").alias("__size"))
+    whole = Window.partitionBy(F.lit(0))
+    counts = counts.withColumns({"__before": F.sum("__size").over(whole.orderBy("__r")) - F.col("__size"), "__m": F.sum("__size").over(whole)})
+    up = Window.partitionBy("__r").orderBy("__p")
+    values = values.join(counts.select("__r", "__before", "__m"), "__r").withColumn("__k", F.col("__before") + F.sum("__n").over(up))
+    values = values.withColumn("__q", F.min(F.col("__p") * F.col("__m") / F.col("__k")).over(up.rowsBetween(0, Window.unboundedFollowing)))
+    later = values.groupBy("__r").agg(F.min("__q").alias("__least")).withColumn("__later", F.min("__least").over(whole.orderBy("__r").rowsBetween(1, Window.unboundedFollowing))).select("__r", "__later")
+    values = values.join(later, "__r").select("__p", F.least(F.lit(1.0), "__q", "__later").alias("q_value"))
+    return df.withColumn("__p", F.col(p).cast("double")).join(values, "__p", "left").drop("__p")
+
+
+def block_bootstrap(series: DataFrame, draws: int, block: int, stat: Callable[[np.ndarray], float], seed: int = 0, stationary: bool = True, value: str = "value", order: str = "ts", by: Sequence[str] = ()) -> DataFrame:
+    """(by, draw, value): a statistic over resampled blocks of each series, ``draws`` times.
+
+    A series (of one ``by``, or the whole table) is bounded by its bars; it goes, in order, to as many rows as there
+    are runs of 64 draws. Each draw has its own seed, so results do not depend on partitioning. Unknown values are left out.
+    """
+    known = series.where(F.col(value).isNotNull())
+    whole = known.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("__x"))
+    runs = whole.where(F.size("__x") > 0).withColumn("__run", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 64)))).repartition("__run", *by)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for d in batch["id"]:
-                rng = np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(int(d),)))
-                n = len(x)
-                if stationary:
-                    fresh = rng.random(n) < 1 / block
-                    fresh[0] = True
-                    starts = rng.integers(0, n, n)
-                    run_from = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-                    pick = (starts[run_from] + np.arange(n) - run_from) % n
-                else:
-                    pick = (rng.integers(0, n, -(-n // block))[:, None] + np.arange(block)).ravel()[:n] % n
-                out.append(float(stat(x[pick])))
-            yield pd.DataFrame({"draw": batch["id"], "value": out})
-
-    return spark.range(draws).mapInPandas(run, "draw long, value double")
-
-
-def bootstrap_interval(draws: DataFrame, alpha: float = 0.05) -> DataFrame:
-    return draws.agg(F.percentile("value", F.lit(alpha / 2)).alias("low"), F.percentile("value", F.lit(1 - alpha / 2)).alias("high"))
+            for _, row in batch.iterrows():
+                x, n, out = np.asarray(row["__x"], float), len(row["__x"]), []
+                own = range(64 * row["__run"], min(draws, 64 * (row["__run"] + 1)))
+                for d in own:
+                    rng = np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(d,)))
+                    if stationary:
+                        fresh = rng.random(n) < 1 / block
+                        fresh[0] = True
+                        starts = rng.integers(0, n, n)
+                        run_from = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+                        pick = (starts[run_from] + np.arange(n) - run_from) % n
+                    else:
+                        pick = (rng.integers(0, n, -(-n // block))[:, None] + np.arange(block)).ravel()[:n] % n
+                    out.append(float(stat(x[pick])))
+                yield pd.DataFrame({k: [row[k]] * len(out) for k in by} | {"draw": list(own), "value": out})
+
+    fields = [f for f in whole.schema.fields if f.name in by]
+    return runs.mapInPandas(run, T.StructType([*fields, T.StructField("draw", T.LongType()), T.StructField("value", T.DoubleType())]))
+
+
+def bootstrap_interval(draws: DataFrame, alpha: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    return draws.groupBy(*by).agg(F.percentile("value", F.lit(alpha / 2)).alias("low"), F.percentile("value", F.lit(1 - alpha / 2)).alias("high"))

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickwell.sources.shared import checkpoints
+
 
 def dcf(forecasts: DataFrame, wacc: Column | float, growth: Column | float, net_debt: float = 0.0, shares: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Present value of forecasts (period, fcf, t) and of a growing perpetuity after the last one; null where the growth reaches the rate."""
@@ -83,6 +85,7 @@ def verdict(of_gates: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame
 
 def reachable(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
     """(root, node, depth): nodes reachable from each root over edges (src, dst), at their least depth. Each round joins only what the last one found; paths longer than ``most`` raise."""
+    checkpoints(edges.sparkSession)
     frontier = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct()
     seen = frontier
     for depth in range(1, most + 1):

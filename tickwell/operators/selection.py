@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ def select(bars: DataFrame, n: int = 5, mode: str = "composite", scheme: str = "
 def sentiment(text: Column) -> Column:
     """(good - bad) / (good + bad) of how many of the words occur anywhere in the lower-cased text; 0 where none does."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    count = lambda words: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)))
+    count = lambda words: reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in words])
     good, bad = count(POSITIVE), count(NEGATIVE)
     return F.coalesce(F.try_divide(good - bad, F.nullif(good + bad, F.lit(0))), F.lit(0.0)).cast("double")
 
@@ -82,4 +84,4 @@ def sentiment(text: Column) -> Column:
 def sentiment_factor(headlines: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """(symbol, sentiment), the mean over a symbol's headlines (symbol, text); with ``dates`` (ts) one row for each of them too."""
     out = headlines.groupBy("symbol").agg(F.avg(sentiment(F.col("text"))).alias("sentiment"))
-    return out if dates is None else out.crossJoin(F.broadcast(dates.select("ts").distinct()))
+    return out if dates is None else out.crossJoin(dates.select("ts").distinct())

@@ -48,7 +48,7 @@ def walk_forward_months(rows: DataFrame, splits: int = 5, test_months: int = 1,
         train = train.withColumn("__n", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("pos")))).where(f"__n > {purge}")
     train = train.select("fold", "pos", F.lit("train").alias("role"))
     both = train.select("fold").distinct().join(test.select("fold").distinct(), "fold")
-    return train.unionByName(test).join(F.broadcast(both), "fold", "left_semi")
+    return train.unionByName(test).join(both, "fold", "left_semi")
 
 
 def walk_forward_bars(n: int, folds: int = 4, min_train: int = 120, test_size: int | None = None, purge: int = 0) -> list[tuple[int, int, int, int]]:
@@ -78,4 +78,4 @@ def three_way(rows: DataFrame, train: float = 0.6, valid: float = 0.2, gap: int
     dates = dates.withColumns({"__d": F.row_number().over(w) - 1, "__n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))})
     a, b = F.floor(F.col("__n") * train), F.floor(F.col("__n") * (train + valid))
     role = F.when(F.col("__d") < a, "train").when(F.col("__d") < a + gap, "gap").when(F.col("__d") < b, "valid").when(F.col("__d") < b + gap, "gap").otherwise("test")
-    return rows.join(F.broadcast(dates.select(order, role.alias("role"))), order)
+    return rows.join(dates.select(order, role.alias("role")), order)

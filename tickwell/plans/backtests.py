@@ -86,13 +86,13 @@ SQL["trade_stats"] = """SELECT count(*) AS n_fills, CAST(sum(CAST(l_linestatus =
 
 
 def _folds(spark, d):  # noqa: ANN001, ANN202
-    b = order_bars_1w(spark, d).where("symbol = '1-URGENT'").withColumn("idx", F.row_number().over(W.ordered()))
-    return b.select(F.floor(F.col("idx") / 90).cast("int").alias("fold"), "idx", F.col("close").alias("equity"))
+    b = order_bars_1w(spark, d).withColumn("idx", F.row_number().over(W.ordered()))
+    return b.select("symbol", F.floor(F.col("idx") / 90).cast("int").alias("fold"), "idx", F.col("close").alias("equity"))
 
 
-QUERIES["chain_oos"] = lambda spark, d: shown(B.chain_folds(_folds(spark, d)), ("fold", "idx"), ["equity"])
-SQL["chain_oos"] = f"""WITH {ORDER_BARS_1W}, f AS (SELECT CAST(floor(n / 90) AS INTEGER) AS fold, CAST(n AS INTEGER) AS idx, close AS equity FROM (SELECT row_number() OVER (ORDER BY ts) AS n, close FROM bars WHERE symbol = '1-URGENT')),
-x AS (SELECT *, coalesce(equity / lag(equity) OVER (PARTITION BY fold ORDER BY idx), 1) AS q FROM f) SELECT fold, idx, {r('product(q) OVER (ORDER BY fold, idx)', 'equity')} FROM x"""
+QUERIES["chain_oos"] = lambda spark, d: shown(B.chain_folds(_folds(spark, d), ("symbol",)), ("symbol", "fold", "idx"), ["equity"])
+SQL["chain_oos"] = f"""WITH {ORDER_BARS_1W}, f AS (SELECT symbol, CAST(floor(n / 90) AS INTEGER) AS fold, CAST(n AS INTEGER) AS idx, close AS equity FROM (SELECT symbol, row_number() OVER {w()} AS n, close FROM bars)),
+x AS (SELECT *, coalesce(equity / lag(equity) OVER (PARTITION BY symbol, fold ORDER BY idx), 1) AS q FROM f) SELECT symbol, fold, idx, {r('product(q) OVER (PARTITION BY symbol ORDER BY fold, idx)', 'equity')} FROM x"""
 
 
 def _dates(spark, d):  # noqa: ANN001, ANN202
@@ -198,28 +198,28 @@ SQL["asof_backward"] = f"WITH {EVENT_BARS_1H} SELECT event_id, {r('b.close', 'cl
 
 
 def _captures(spark, d):  # noqa: ANN001, ANN202
-    base = order_bars_1w(spark, d).where("symbol = '5-LOW'")
+    base = order_bars_1w(spark, d)
     parts = []
     for i, (name, shift) in enumerate((("a", 0.0), ("b", 0.001), ("c", 0.004))):
         day = F.unix_timestamp(F.col("ts").cast("timestamp")) / 604800
         f = 1 + shift * F.pmod(F.floor(day).cast("long") + i, F.lit(7))
-        parts.append(base.select(F.lit(f"p{name}").alias("provider"), F.lit(name).alias("grp"), F.col("ts").alias("session"), *[(F.col(c) * f).alias(c) for c in ("open", "high", "low", "close")], "volume"))
+        parts.append(base.select(F.lit(f"p{name}").alias("provider"), F.lit(name).alias("grp"), F.concat_ws(" ", "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("session"), *[(F.col(c) * f).alias(c) for c in ("open", "high", "low", "close")], "volume"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 QUERIES["consensus_votes"] = lambda spark, d: shown(V.session_votes(_captures(spark, d)), ("session",), {"status": F.col("status"), "n_groups": F.col("n_groups"), "n_agree": F.col("n_agree"), "close": F.round(F.col("close") + 1e-9, 3), "close_spread": F.round(F.col("close_spread") + 1e-9, 4)})
-SQL["consensus_votes"] = f"""WITH {ORDER_BARS_1W}, base AS (SELECT ts, open, high, low, close, CAST(floor(epoch(ts) / 604800) AS BIGINT) AS k FROM bars WHERE symbol = '5-LOW'),
-c AS (SELECT ts, close, open > 0 AND low > 0 AND close > 0 AND high >= greatest(open, close, low) AND low <= least(open, close, high) AS ok, [1.0::DOUBLE, 1 + 0.001 * ((k + 1) % 7), 1 + 0.004 * ((k + 2) % 7)] AS f FROM base),
+SQL["consensus_votes"] = f"""WITH {ORDER_BARS_1W}, base AS (SELECT symbol, ts, open, high, low, close, CAST(floor(epoch(ts) / 604800) AS BIGINT) AS k FROM bars),
+c AS (SELECT symbol, ts, close, open > 0 AND low > 0 AND close > 0 AND high >= greatest(open, close, low) AND low <= least(open, close, high) AS ok, [1.0::DOUBLE, 1 + 0.001 * ((k + 1) % 7), 1 + 0.004 * ((k + 2) % 7)] AS f FROM base),
 d AS (SELECT *, abs(f[1] - f[2]) <= 0.005 * greatest(f[1], f[2]) AS ab, abs(f[1] - f[3]) <= 0.005 * greatest(f[1], f[3]) AS ac, abs(f[2] - f[3]) <= 0.005 * greatest(f[2], f[3]) AS bc FROM c),
 g AS (SELECT *, list_filter([CASE WHEN ab OR ac THEN f[1] END, CASE WHEN ab OR bc THEN f[2] END, CASE WHEN ac OR bc THEN f[3] END], lambda x: x IS NOT NULL) AS v, CAST(ab AS INT) + CAST(ac AS INT) + CAST(bc AS INT) AS links FROM d),
 s AS (SELECT *, ok AND len(v) >= 2 AND (len(v) = 2 OR links = 3) AS good, 1 - list_min(f) / list_max(f) AS spread FROM g)
-SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS session, CASE WHEN NOT ok THEN 'missing' WHEN good AND spread <= 0.02 THEN 'accepted' WHEN good THEN 'accepted_with_warning' ELSE 'quarantined' END AS status, CASE WHEN ok THEN 3 ELSE 0 END AS n_groups, CASE WHEN ok THEN CAST(len(v) AS INTEGER) ELSE 0 END AS n_agree,
+SELECT symbol || ' ' || strftime(ts, '%Y-%m-%d %H:%M:%S') AS session, CASE WHEN NOT ok THEN 'missing' WHEN good AND spread <= 0.02 THEN 'accepted' WHEN good THEN 'accepted_with_warning' ELSE 'quarantined' END AS status, CASE WHEN ok THEN 3 ELSE 0 END AS n_groups, CASE WHEN ok THEN CAST(len(v) AS INTEGER) ELSE 0 END AS n_agree,
   {r('round(CASE WHEN good THEN close * list_median(v) END + 1e-9, 3)', 'close')}, {r('round(CASE WHEN ok THEN spread END + 1e-9, 4)', 'close_spread')} FROM s"""
 
 
 def _forecast(spark, d):  # noqa: ANN001, ANN202
     n = table(spark, d, "nation")
-    return n.where("n_nationkey < 5").select(F.col("n_nationkey").alias("period"), (100.0 + F.col("n_nationkey") * 10).alias("fcf"), (F.col("n_nationkey") + 1).cast("double").alias("t"))
+    return n.select(F.col("n_nationkey").alias("period"), (100.0 + F.col("n_nationkey") * 10).alias("fcf"), (F.col("n_nationkey") + 1).cast("double").alias("t"))
 
 
 def _dcf(spark, d):  # noqa: ANN001, ANN202
@@ -228,7 +228,7 @@ def _dcf(spark, d):  # noqa: ANN001, ANN202
 
 
 QUERIES["dcf_grid"] = _dcf
-SQL["dcf_grid"] = f"""WITH f AS (SELECT 100.0::DOUBLE + n_nationkey * 10 AS fcf, (n_nationkey + 1)::DOUBLE AS t FROM nation WHERE n_nationkey < 5), c AS (SELECT a.w AS wacc, b.g FROM (SELECT unnest([0.08, 0.09, 0.1]::DOUBLE[]) AS w) a, (SELECT unnest([0.02, 0.025, 0.09]::DOUBLE[]) AS g) b),
+SQL["dcf_grid"] = f"""WITH f AS (SELECT 100.0::DOUBLE + n_nationkey * 10 AS fcf, (n_nationkey + 1)::DOUBLE AS t FROM nation), c AS (SELECT a.w AS wacc, b.g FROM (SELECT unnest([0.08, 0.09, 0.1]::DOUBLE[]) AS w) a, (SELECT unnest([0.02, 0.025, 0.09]::DOUBLE[]) AS g) b),
 v AS (SELECT wacc, g, sum(fcf / pow(1 + wacc, t)) AS pv, CASE WHEN g < wacc THEN arg_max(fcf, t) * (1 + g) / nullif(wacc - g, 0) / pow(1 + wacc, max(t)) END AS tv FROM f, c GROUP BY wacc, g)
 SELECT wacc, g, CASE WHEN tv IS NULL THEN 'invalid' ELSE 'ok' END AS status, {r('pv + tv', 'enterprise_value')}, {r('pv + tv - 33', 'equity_value')}, {r('(pv + tv - 33) / 10', 'per_share')}, {r('tv / (pv + tv)', 'terminal_share')} FROM v"""
 
@@ -239,7 +239,7 @@ SELECT n AS n_peers, {r('a', 'p25')}, {r('b', 'median')}, {r('c', 'p75')}, {r('(
 
 def _metrics(spark, d):  # noqa: ANN001, ANN202
     names = sorted({m for _, m, _, _ in R.GATES})
-    c = table(spark, d, "customer").where("c_custkey <= 20").select(F.col("c_custkey").alias("run_id"), "c_acctbal")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), "c_acctbal")
     long = c.select("run_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(float(i)).alias("i")) for i, m in enumerate(names)])).alias("x"), "c_acctbal")
     return long.select("run_id", "x.metric", (F.col("c_acctbal") / 1000 * (F.col("x.i") + 1) / 40).alias("value")).where("NOT (metric = 'pbo' AND run_id % 3 = 0)")
 
@@ -248,23 +248,17 @@ QUERIES["gate_rules"] = lambda spark, d: R.gates(_metrics(spark, d)).select("run
 _RULES = ", ".join(f"('{g}', '{m}', '{o}', {t}::DOUBLE)" for g, m, o, t in R.GATES)
 _NAMES = sorted({m for _, m, _, _ in R.GATES})
 SQL["gate_rules"] = f"""WITH rules(gate, metric, op, threshold) AS (VALUES {_RULES}), n AS (SELECT unnest({_NAMES}) AS metric, unnest(range({len(_NAMES)})) AS i),
-m AS (SELECT c_custkey AS run_id, metric, c_acctbal / 1000 * (i + 1) / 40 AS value FROM customer, n WHERE c_custkey <= 20 AND NOT (metric = 'pbo' AND c_custkey % 3 = 0)), k AS (SELECT DISTINCT run_id FROM m),
+m AS (SELECT c_custkey AS run_id, metric, c_acctbal / 1000 * (i + 1) / 40 AS value FROM customer, n WHERE NOT (metric = 'pbo' AND c_custkey % 3 = 0)), k AS (SELECT DISTINCT run_id FROM m),
 x AS (SELECT k.run_id, gate, rules.metric, value, CASE WHEN op = '>=' THEN value >= threshold ELSE value <= threshold END AS ok FROM k CROSS JOIN rules LEFT JOIN m ON m.run_id = k.run_id AND m.metric = rules.metric)
 SELECT run_id, gate, bool_and(coalesce(ok, false)) AS passed, count(*) FILTER (value IS NOT NULL AND NOT ok) AS n_failures, coalesce(string_agg(DISTINCT metric, ',' ORDER BY metric) FILTER (value IS NULL), '') AS missing FROM x GROUP BY run_id, gate"""
 
 
 def _edges(spark, d):  # noqa: ANN001, ANN202
-    return table(spark, d, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 2).alias("dst")).unionByName(table(spark, d, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 2 + 1).alias("dst")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 2).alias("dst")).unionByName(table(spark, d, "part").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 2 + 1).alias("dst")))
 
 
-def _reach(spark, d):  # noqa: ANN001, ANN202
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
-    return R.reachable(_edges(spark, d), spark.createDataFrame([(3,), (50,)], "node long"))
-
-
-QUERIES["graph_reachability"] = _reach
-SQL["graph_reachability"] = """WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey * 2 AS dst FROM part WHERE p_partkey <= 400 UNION ALL SELECT p_partkey, p_partkey * 2 + 1 FROM part WHERE p_partkey <= 400),
+QUERIES["graph_reachability"] = lambda spark, d: R.reachable(_edges(spark, d), spark.createDataFrame([(3,), (50,)], "node long"))
+SQL["graph_reachability"] = """WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey * 2 AS dst FROM part UNION ALL SELECT p_partkey, p_partkey * 2 + 1 FROM part),
 g(root, node, depth) AS (SELECT * FROM (VALUES (3::BIGINT, 3::BIGINT, 0), (50, 50, 0)) UNION SELECT root, dst, depth + 1 FROM g JOIN e ON src = node) SELECT root, node, min(depth) AS depth FROM g GROUP BY root, node"""
 
 
@@ -284,4 +278,11 @@ def _equity_book(spark, d):  # noqa: ANN001, ANN202
 
 QUERIES["equity_book"] = _equity_book
 QUERIES["weight_policy"] = lambda spark, d: shown(C.weight_policy(order_bars_1w(spark, d).withColumns({"weight": F.lit(0.2), "ret": F.coalesce(I.change("close"), F.lit(0.0))})), ("symbol", "ts"), ["scale", "scaled_weight"])
-QUERIES["block_bootstrap"] = lambda spark, d: shown(N.bootstrap_interval(N.block_bootstrap(spark, [((i * 7919) % 101) / 101 for i in range(200)], 200, 10, lambda x: float(x.mean()), 7)), (), ["low", "high"])
+
+
+def _bootstrap(spark, d):  # noqa: ANN001, ANN202
+    returns = order_bars_1w(spark, d).select("symbol", "ts", I.change("close").alias("value"))
+    return shown(N.bootstrap_interval(N.block_bootstrap(returns, 200, 10, lambda x: float(x.mean()), 7, by=("symbol",)), by=("symbol",)), ("symbol",), ["low", "high"])
+
+
+QUERIES["block_bootstrap"] = _bootstrap

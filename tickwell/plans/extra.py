@@ -131,11 +131,11 @@ SELECT symbol, {KEY}, true AS left_flag, false AS right_flag FROM y"""
 
 def _responses(spark, d):  # noqa: ANN001, ANN202
     k = F.col("n_nationkey")
-    return table(spark, d, "nation").where("n_nationkey < 15").select(F.floor(k / 5).cast("int").alias("window"), F.lit("gap").alias("outcome"), (k % 5 + 1).cast("int").alias("horizon"), (1 - F.pow(F.lit(0.4) + F.floor(k / 5) * 0.2, (k % 5 + 1).cast("double"))).alias("coefficient"))
+    return table(spark, d, "nation").select(F.floor(k / 5).cast("int").alias("window"), F.lit("gap").alias("outcome"), (k % 5 + 1).cast("int").alias("horizon"), (1 - F.pow(F.lit(0.4) + F.floor(k / 5) * 0.1, (k % 5 + 1).cast("double"))).alias("coefficient"))
 
 
 QUERIES["effect_half_life"] = lambda spark, d: shown(L.half_life(_responses(spark, d)), ("window", "outcome"), ["half_life"])
-SQL["effect_half_life"] = f"""WITH c AS (SELECT CAST(n_nationkey // 5 AS INTEGER) AS window_, n_nationkey % 5 + 1 AS h, 1 - pow(0.4 + (n_nationkey // 5) * 0.2, n_nationkey % 5 + 1) AS b FROM nation WHERE n_nationkey < 15),
+SQL["effect_half_life"] = f"""WITH c AS (SELECT CAST(n_nationkey // 5 AS INTEGER) AS window_, n_nationkey % 5 + 1 AS h, 1 - pow(0.4 + (n_nationkey // 5) * 0.1, n_nationkey % 5 + 1) AS b FROM nation),
 m AS (SELECT window_, h, abs(b - coalesce(lag(b) OVER (PARTITION BY window_ ORDER BY h), 0)) AS m FROM c), f AS (SELECT *, ln(m / first_value(m) OVER (PARTITION BY window_ ORDER BY h)) AS y FROM m)
 SELECT window_ AS window, 'gap' AS outcome, {r('ln(2) / -regr_slope(y, h - 1)', 'half_life')} FROM f GROUP BY window_"""
 

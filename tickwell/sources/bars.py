@@ -46,7 +46,7 @@ def normalize(raw: DataFrame, symbol: str | None = None, order: str | None = Non
 
 def dense_panel(bars: DataFrame, field: str = "close") -> DataFrame:
     """(symbol, ts, value) for every symbol at every time that any symbol has, the last known value carried on."""
-    grid = bars.select("ts").distinct().crossJoin(F.broadcast(bars.select("symbol").distinct()))
+    grid = bars.select("ts").distinct().crossJoin(bars.select("symbol").distinct())
     return grid.join(bars.select("symbol", "ts", field), ["symbol", "ts"], "left").select("symbol", "ts", W.filled(field).alias(field))
 
 

@@ -133,10 +133,11 @@ def append_json(rows: DataFrame, path: str) -> None:
 
 
 def html_report(summary: DataFrame, title: str, most: int = 1000) -> str:
-    """A small summary as an HTML table; presentation only, at most ``most`` rows."""
+    """A small summary as an HTML table, for presentation. Of more than ``most`` rows the first are shown, and the report says so."""
     import html
 
-    rows, names = summary.limit(most).collect(), summary.columns
+    rows, names = summary.limit(most + 1).collect(), summary.columns
     cell = lambda v: html.escape(f"{v:.4f}" if isinstance(v, float) else str(v))
-    body = "".join("<tr>" + "".join(f"<td>{cell(r[n])}</td>" for n in names) + "</tr>" for r in rows)
-    return f"<html><head><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{''.join(f'<th>{html.escape(n)}</th>' for n in names)}</tr>{body}</table></body></html>"
+    body = "".join("<tr>" + "".join(f"<td>{cell(r[n])}</td>" for n in names) + "</tr>" for r in rows[:most])
+    cut = f"<p>The first {most} rows of more.</p>" if len(rows) > most else ""
+    return f"<html><head><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{''.join(f'<th>{html.escape(n)}</th>' for n in names)}</tr>{body}</table>{cut}</body></html>"

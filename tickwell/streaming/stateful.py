@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickwell.operators.conformal import Aci
+from tickwell.operators.conformal import GAMMAS, Levels
 from tickwell.operators.ledger import CURVE, STATE, RiskLimits, Session
 
 
@@ -57,15 +57,23 @@ def sessions(targets: DataFrame, capital: float = 10_000.0, limits: RiskLimits |
 
 def aci_levels(misses: DataFrame, target: float = 0.1, gamma: float = 0.01) -> DataFrame:
     """The level after each row of a stream of (symbol, ts, miss)."""
+    return _levels(misses, target, (gamma,), 0.0)
 
+
+def dtaci_levels(misses: DataFrame, target: float = 0.1, eta: float = 0.1) -> DataFrame:
+    """The same for several step sizes, weighted by their losses."""
+    return _levels(misses, target, GAMMAS, eta)
+
+
+def _levels(misses: DataFrame, target: float, steps: tuple[float, ...], eta: float) -> DataFrame:
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level = Aci(target, gamma, state.get[0] if state.exists else None)
+        levels = Levels(target, steps, eta, *(state.get if state.exists else ()))
         rows = pd.concat(list(frames)).sort_values("ts")
-        rows["alpha"] = [level.step(bool(m)) for m in rows["miss"]]
-        state.update((level.level,))
+        rows["alpha"] = levels.feed(rows["miss"].to_numpy())
+        state.update((levels.level.tolist(), levels.loss.tolist()))
         yield rows[["symbol", "ts", "alpha"]]
 
-    return misses.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp_ntz, alpha double", "level double", "append", GroupStateTimeout.NoTimeout)
+    return misses.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp_ntz, alpha double", "level array<double>, loss array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def halted(flag: str) -> bool:
