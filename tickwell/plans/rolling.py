@@ -125,8 +125,92 @@ SELECT symbol, {KEY}, {r(f"lag(close, 5) OVER {w()} / nullif(close, 0)", "ROC5")
  {r("CASE WHEN n >= 2 THEN b END / nullif(close, 0)", "BETA5")}, {r("(len(list_filter(xs, lambda v: v < close)) + (len(list_filter(xs, lambda v: v = close)) + 1) / 2.0) / len(xs)", "RANK5")},
  {r("ix / 5.0", "IMAX5")}, {r("im / 5.0", "IMIN5")}, {r("(ix - im) / 5.0", "IMXD5")} FROM s"""
 
-QUERIES["alpha158"] = lambda spark, d: (lambda f: shown(f, KEYS, [c for c in f.columns if c not in KEYS]))(A.alpha158(event_bars_1h(spark, d)))
-QUERIES["alpha62"] = lambda spark, d: (lambda f: shown(f, KEYS, [c for c in f.columns if c not in KEYS]))(A.alpha62(event_bars_1h(spark, d)))
+#: Places of wide factor sets, as sums over 60 bars in another order differ beyond them; a little is added so that no ratio of round prices lies half-way between two of them.
+_FEW, _OFF = 4, 3e-8
+
+
+def _short(expression: str, name: str) -> str:
+    return f'round({expression} + {_OFF}, {_FEW}) + 0.0 AS "{name}"'
+
+
+def _wide(factors):  # noqa: ANN001, ANN202
+    names = [c for c in factors.columns if c not in KEYS]
+    return shown(factors, KEYS, {c: F.round(F.col(c) + _OFF, _FEW) + 0.0 for c in names})
+
+
+def _span(n: int) -> dict[str, str]:
+    """SQL of the rolling operators over n bars, after the names in the factor set."""
+    o = over(n)
+    flat = lambda a, b: f"stddev_samp(CASE WHEN {b} IS NOT NULL THEN {a} END) OVER {o} > 2e-5 AND stddev_samp(CASE WHEN {a} IS NOT NULL THEN {b} END) OVER {o} > 2e-5"
+    both = lambda a, b: f"CASE WHEN {flat(a, b)} THEN covar_pop({a}, {b}) OVER {o} / (stddev_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) OVER {o} * stddev_pop(CASE WHEN {a} IS NOT NULL THEN {b} END) OVER {o}) END"
+    moved = lambda gain, loss, size: {"P": f"sum({gain}) OVER {o} / (sum(abs({size})) OVER {o} + 1e-12)", "N": f"sum({loss}) OVER {o} / (sum(abs({size})) OVER {o} + 1e-12)", "D": f"(sum({gain}) OVER {o} - sum({loss}) OVER {o}) / (sum(abs({size})) OVER {o} + 1e-12)"}
+    enough = lambda x, e: f"CASE WHEN count({x}) OVER {o} >= 2 THEN {e} END"
+    highs, lows, closes = (f"list({c}) OVER {o}" for c in ("high", "low", "close"))
+    top, bottom = f"list_position({highs}, max(high) OVER {o})", f"list_position({lows}, min(low) OVER {o})"
+    out = {
+        "ROC": f"lag(close, {n}) OVER {w()} / nullif(close, 0)", "MA": f"avg(close) OVER {o} / nullif(close, 0)", "STD": f"{enough('close', f'stddev_samp(close) OVER {o}')} / nullif(close, 0)",
+        "BETA": f"{enough('close', f'regr_slope(close, i) OVER {o}')} / nullif(close, 0)", "RSQR": f"CASE WHEN NOT coalesce(stddev_samp(close) OVER {o} <= 2e-5, false) THEN {enough('close', f'regr_r2(close, i) OVER {o}')} END",
+        "RESI": f"{enough('close', f'close - (regr_intercept(close, i) OVER {o} + regr_slope(close, i) OVER {o} * i)')} / nullif(close, 0)",
+        "MAX": f"max(high) OVER {o} / nullif(close, 0)", "MIN": f"min(low) OVER {o} / nullif(close, 0)", "QTLU": f"quantile_cont(close, 0.8) OVER {o} / nullif(close, 0)", "QTLD": f"quantile_cont(close, 0.2) OVER {o} / nullif(close, 0)",
+        "RANK": f"(len(list_filter({closes}, lambda v: v < close)) + (len(list_filter({closes}, lambda v: v = close)) + 1) / 2.0) / len({closes})", "RSV": f"(close - min(low) OVER {o}) / (max(high) OVER {o} - min(low) OVER {o} + 1e-12)",
+        "IMAX": f"{top} / {n}.0", "IMIN": f"{bottom} / {n}.0", "IMXD": f"({top} - {bottom}) / {n}.0", "CORR": both("close", "lv"), "CORD": both("rc", "rv"),
+        "CNTP": f"avg(up) OVER {o}", "CNTN": f"avg(dn) OVER {o}", "CNTD": f"avg(up) OVER {o} - avg(dn) OVER {o}", "VMA": f"avg(volume) OVER {o} / (volume + 1e-12)", "VSTD": f"{enough('volume', f'stddev_samp(volume) OVER {o}')} / (volume + 1e-12)",
+        "WVMA": f"{enough('wv', f'stddev_samp(wv) OVER {o}')} / (avg(wv) OVER {o} + 1e-12)",
+    }
+    out |= {f"SUM{k}": e for k, e in moved("gc", "lc", "dc").items()} | {f"VSUM{k}": e for k, e in moved("gv", "lo", "dv").items()}
+    return {f"{k}{n}": e for k, e in out.items()}
+
+
+_PREPARED = f"""p AS (SELECT *, CAST(row_number() OVER {w()} AS DOUBLE) AS i, close - {_LAG} AS dc, volume - lag(volume) OVER {w()} AS dv, ln(volume + 1) AS lv, close / nullif({_LAG}, 0) AS rc, volume / nullif(lag(volume) OVER {w()}, 0) AS vr,
+  CAST(coalesce(close > {_LAG}, false) AS INT) AS up, CAST(coalesce(close < {_LAG}, false) AS INT) AS dn FROM bars),
+x AS (SELECT *, CASE WHEN dc IS NOT NULL THEN greatest(dc, 0) END AS gc, CASE WHEN dc IS NOT NULL THEN greatest(-dc, 0) END AS lc, CASE WHEN dv IS NOT NULL THEN greatest(dv, 0) END AS gv, CASE WHEN dv IS NOT NULL THEN greatest(-dv, 0) END AS lo,
+  abs(rc - 1) * volume AS wv, CASE WHEN vr > -1 THEN ln(vr + 1) END AS rv FROM p)"""
+_ALL = dict(_KBAR) | {"OPEN0": "open / nullif(close, 0)", "HIGH0": "high / nullif(close, 0)", "LOW0": "low / nullif(close, 0)", "VWAP0": "(high + low + close) / 3 / nullif(close, 0)"}
+for _n in A.SPANS:
+    _ALL |= _span(_n)
+QUERIES["alpha158"] = lambda spark, d: _wide(A.alpha158(event_bars_1h(spark, d)))
+SQL["alpha158"] = f"WITH {EVENT_BARS_1H}, {_PREPARED} SELECT symbol, {KEY}, {', '.join(_short(e, k) for k, e in _ALL.items())} FROM x"
+
+
+def _moments(n: int) -> str:
+    """SQL of a step that adds count and central moments of the last n returns."""
+    xs, prior = f"xs{n}", A.SPANS.index(n)
+    before = f"m{A.SPANS[prior - 1]}" if prior else "q"
+    power = lambda k: f"list_avg(list_transform({xs}, lambda x: pow(x - list_avg({xs}), {k})))"
+    return f"l{n} AS (SELECT *, list_filter(list(ret) OVER {over(n)}, lambda x: x IS NOT NULL) AS {xs} FROM {before}), m{n} AS (SELECT * EXCLUDE ({xs}), CAST(len({xs}) AS DOUBLE) AS k{n}, {power(2)} AS s{n}, {power(3)} AS t{n}, {power(4)} AS f{n} FROM l{n})"
+
+
+def _alpha62() -> dict[str, str]:
+    third = lambda n, k: max(k, n // 3)
+    known = lambda x, n, k, e: f"CASE WHEN count({x}) OVER {over(n)} >= {k} THEN {e} OVER {over(n)} END"
+    out = {k: _KBAR[v] for k, v in {"KMID": "KMID", "KLEN": "KLEN", "KSFT": "KMID2", "KUP": "KUP", "KLOW": "KLOW", "KSHUP": "KUP2", "KSHDN": "KLOW2"}.items()}
+    out |= {f"ROC_{n}": f"lag(close, {n}) OVER {w()} / nullif(close, 0) - 1" for n in (1, 2, 3, 5, 10, 20, 30, 60)}
+    for n in A.SPANS:
+        ma, k = known("close", n, third(n, 3), "avg(close)"), f"k{n}"
+        out |= {f"MA_{n}": ma, f"MADEV_{n}": f"(close - ({ma})) / nullif({ma}, 0)", f"VOL_{n}": known("lr", n, third(n, 3), "stddev_samp(lr)")}
+        out[f"SKEW_{n}"] = f"CASE WHEN {k} >= {max(3, 5, n // 3)} AND s{n} > 0 THEN t{n} / pow(s{n}, 1.5) * sqrt({k} * ({k} - 1)) / ({k} - 2) END"
+        out[f"KURT_{n}"] = f"CASE WHEN {k} >= {max(4, 5, n // 3)} AND s{n} > 0 THEN ({k} - 1) / (({k} - 2) * ({k} - 3)) * (({k} + 1) * (f{n} / (s{n} * s{n}) - 3) + 6) END"
+    for n in (5, 10, 20):
+        o, c = over(n), "CASE WHEN v IS NOT NULL THEN close END"
+        out[f"CORR_VOL_{n}"] = f"CASE WHEN count(v) OVER {o} >= {third(n, 3)} AND stddev_samp({c}) OVER {o} > 0 AND stddev_samp(v) OVER {o} > 0 THEN covar_pop({c}, v) OVER {o} / (stddev_pop({c}) OVER {o} * stddev_pop(v) OVER {o}) END"
+        out[f"VOL_RATIO_{n}"] = f"v / nullif({known('v', n, third(n, 3), 'avg(v)')}, 0)"
+    out |= {f"RSI_{n}": f"CASE WHEN n > {n} AND d{n} <> 0 THEN 100 - 100 / (1 + u{n} / d{n}) END" for n in (6, 14, 24)}
+    out |= {"MACD": "a - b", "MACD_SIGNAL": "sg", "MACD_HIST": "a - b - sg"}
+    mid, dev = known("close", 20, 20, "avg(close)"), known("close", 20, 20, "stddev_samp(close)")
+    out |= {"BB_UPPER_20": f"({mid} + 2 * ({dev}) - close) / nullif(close, 0)", "BB_LOWER_20": f"(close - ({mid}) + 2 * ({dev})) / nullif(close, 0)", "BB_WIDTH_20": f"4 * ({dev}) / nullif({mid}, 0)"}
+    out |= {f"ATR_{n}": f"{known('tr', n, n, 'avg(tr)')} / nullif(close, 0)" for n in (14, 24)}
+    return out | {"VOL_CHANGE": f"v / nullif(lag(v) OVER {w()}, 0) - 1", "VOL_MA5_RATIO": f"v / nullif({known('v', 5, 3, 'avg(v)')}, 0)", "VOL_MA20_RATIO": f"v / nullif({known('v', 20, 5, 'avg(v)')}, 0)", "RANGE": "rng", "RANGE_MA5": known("rng", 5, 3, "avg(rng)")}
+
+
+_WILDER = (6, 14, 24)
+_FAST, _SLOW = "a + 2.0 / 13 * (close - a)", "b + 2.0 / 27 * (close - b)"
+QUERIES["alpha62"] = lambda spark, d: _wide(A.alpha62(event_bars_1h(spark, d)))
+SQL["alpha62"] = f"""WITH RECURSIVE {EVENT_BARS_1H}, n AS (SELECT *, row_number() OVER {w()} AS n, close - {_LAG} AS x FROM bars),
+e(symbol, n, a, b, sg, {', '.join(f'u{n}, d{n}' for n in _WILDER)}) AS (SELECT symbol, n, close, close, 0::DOUBLE, {', '.join('NULL::DOUBLE, NULL::DOUBLE' for _ in _WILDER)} FROM n WHERE n = 1
+  UNION ALL SELECT n.symbol, n.n, {_FAST}, {_SLOW}, sg + 0.2 * (({_FAST}) - ({_SLOW}) - sg), {', '.join(f'coalesce(u{k} + (greatest(x, 0) - u{k}) / {k}, greatest(x, 0)), coalesce(d{k} + (greatest(-x, 0) - d{k}) / {k}, greatest(-x, 0))' for k in _WILDER)} FROM e JOIN n ON n.symbol = e.symbol AND n.n = e.n + 1),
+q AS (SELECT n.*, e.* EXCLUDE (symbol, n), nullif(volume, 0) AS v, CASE WHEN close / nullif({_LAG.replace('symbol', 'n.symbol')}, 0) > 0 THEN ln(close / nullif({_LAG.replace('symbol', 'n.symbol')}, 0)) END AS lr, close / nullif({_LAG.replace('symbol', 'n.symbol')}, 0) - 1 AS ret,
+  greatest(abs(high - low), abs(high - {_LAG.replace('symbol', 'n.symbol')}), abs(low - {_LAG.replace('symbol', 'n.symbol')})) AS tr, (high - low) / nullif(close, 0) AS rng FROM n JOIN e ON e.symbol = n.symbol AND e.n = n.n),
+{', '.join(_moments(n) for n in A.SPANS)} SELECT symbol, {KEY}, {', '.join(_short(e, k) for k, e in _alpha62().items())} FROM m60"""
 
 QUERIES["style_factors"] = lambda spark, d: shown(A.style(event_bars_1h(spark, d)), KEYS, ["value", "quality", "size", "low_vol", "liquidity"])
 
