@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,19 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Where that setting is missing and all runs on one machine, as in tests, a new folder of that
-    machine is set for the session; on a cluster there is none to fall back on, and an error is raised.
-    """
-    key = "spark.checkpoint.dir"
-    if not spark.conf.get(key, None):
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError(f"{key} is not set: a folder that all executors share is needed")
-        spark.conf.set(key, f"file://{tempfile.mkdtemp(prefix='shared-')}")
-    return spark.conf.get(key)
+from tickwell.sources.shared import shared_dir
 
 
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
