@@ -149,6 +149,15 @@ def test_voronoi_cells_lose_no_link():
     assert {tuple(sorted(p)) for p in jaccard_join.voronoi_links(sets, 75)} == plain
 
 
+@pytest.mark.parametrize("words,size", [(60, 40), (4000, 30), (200_000, 300), (10, 0)])
+def test_common_counts(words, size):
+    rng = np.random.default_rng(words)
+    sets = [np.unique(rng.integers(0, words, rng.integers(0, size + 1)).astype(np.uint64)) for _ in range(90)] + [np.zeros(0, np.uint64)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    own = np.array([[words * (i == j) for j in range(91)] for i in range(91)]).astype(bool)
+    assert (jaccard_join.common_counts(sets)[~own] == np.array(want)[~own]).all()
+
+
 def test_jaccard_odd_rows(spark):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.jaccard_components(frame(spark, ODD)).collect())
     assert got == [(-1, 1, -1), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 2, 5)]

@@ -20,8 +20,8 @@ therefore runs in three steps, each exact:
    dealt out in pairs of blocks, of which one task holds two.
 3. *Recursion.* Inside a block or pair of blocks, further pivots make Voronoi cells; a set is
    replicated into every cell whose pivot is at most 2 eps farther than its nearest one; cells
-   are joined recursively, and by counting common shingles once they are small or the windows
-   no longer thin them.
+   are joined recursively, and by counting common shingles once they are small or their windows
+   no longer halve the number of pairs.
 
 Links are used for connected components, so a block returns a spanning forest of its links;
 copies are never expanded into all pairs.
@@ -49,6 +49,8 @@ BLOCK_MEMBERS = 1024
 BLOCK_SHINGLES = 1 << 18
 _LEAF = 64
 _COLUMNS = 4096
+#: A step of a row-by-row count costs as much as so many of a product.
+_DENSE = 150
 
 
 def set_key(own: np.ndarray) -> int:
@@ -107,17 +109,26 @@ def meetings(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of the sizes of all pairwise intersections."""
+    """Matrix of the sizes of all pairwise intersections: by products of dense slices, or row by row where sets have few of the shingles."""
     m = len(sets)
     rows = np.repeat(np.arange(m), [len(s) for s in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     new = np.cumsum(count > 1) - 1
     keep = count[column] > 1
     rows, column = rows[keep], new[column[keep]]
+    columns = int(new[-1]) + 1 if len(new) else 0
+    total = np.zeros((m, m), np.float32)
+    if _DENSE * len(column) < m * columns:
+        begin = np.searchsorted(rows, np.arange(m + 1))
+        some = np.flatnonzero(np.diff(begin))
+        for i in some:
+            mine = np.zeros(columns, np.float32)
+            mine[column[begin[i] : begin[i + 1]]] = 1
+            total[i, some] = np.add.reduceat(mine[column], begin[some])
+        return total.astype(np.int64)
     order = np.argsort(column, kind="stable")
     rows, column = rows[order], column[order]
-    total = np.zeros((m, m), np.float32)
-    for a in range(0, int(new[-1]) + 1 if len(new) else 0, _COLUMNS):
+    for a in range(0, columns, _COLUMNS):
         i, j = np.searchsorted(column, [a, a + _COLUMNS])
         dense = np.zeros((m, _COLUMNS), np.float32)
         dense[rows[i:j], column[i:j] - a] = 1
@@ -146,12 +157,13 @@ def voronoi_links(sets: list[np.ndarray], percent: int, members: np.ndarray | No
     if len(members) > _LEAF:
         pivots = members[np.linspace(0, len(members) - 1, 8).astype(int)]
         size = np.array([len(sets[i]) for i in members])
+        flat, begin = np.concatenate([sets[i] for i in members]), np.concatenate(([0], np.cumsum(size)[:-1]))
         far = np.empty((len(members), len(pivots)))
         for c, p in enumerate(pivots):
-            common = np.array([np.isin(sets[i], sets[p], assume_unique=True).sum() for i in members])
+            common = np.add.reduceat(np.isin(flat, sets[p]), begin, dtype=np.int64)
             far[:, c] = 1 - common / (size + len(sets[p]) - common)
         window = far <= far.min(axis=1)[:, None] + 2 * eps + 1e-9
-        if window.sum(axis=0).max() <= 0.75 * len(members):
+        if (window.sum(axis=0) ** 2).sum() <= 0.5 * len(members) ** 2:  # all pairs in the cells are far fewer than all pairs here
             return [x for c in range(len(pivots)) for x in voronoi_links(sets, percent, members[window[:, c]], forest)]
     if len(members) < 2:
         return []

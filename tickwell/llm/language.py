@@ -112,6 +112,16 @@ def pieces(texts: list[str]) -> list[str]:
     return out
 
 
+def _known(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and lengths of the texts that have n-grams."""
+    v, length = [np.zeros((0, DIMENSIONS), np.float32)], [np.zeros(0, np.int64)]
+    for counts in ngram_counts(texts):
+        some = counts[counts.any(axis=1)]
+        v.append(vectors(some, idf))
+        length.append(length_of(some))
+    return np.concatenate(v), np.concatenate(length)
+
+
 def limits(far: np.ndarray, length: np.ndarray) -> np.ndarray:
     """By length: the QUANTILE of the distances of that length, or that of a longer one if it is larger, plus MARGIN."""
     out, least = np.empty(LENGTHS), 0.0
@@ -156,15 +166,13 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: s
         part = sample.filter(pc.equal(sample["lang"], name))
         if not len(part):
             continue
-        counts = np.concatenate(list(ngram_counts(part["text"].combine_chunks())))
-        counts = counts[counts.any(axis=1)]
-        if len(counts):
-            c = _clusters(vectors(counts, idf), CENTROIDS)
-            cut = np.concatenate(list(ngram_counts(pa.array(pieces(part["text"].to_pylist()), pa.string()))))
-            seen = np.concatenate((counts, cut[cut.any(axis=1)]))
-            far = 1 - (vectors(seen, idf) @ c.T.astype(np.float32)).max(axis=1)
+        v, length = _known(part["text"].combine_chunks(), idf)
+        if len(v):
+            c = _clusters(v, CENTROIDS)
+            cut, cut_length = _known(pa.array(pieces(part["text"].to_pylist()), pa.string()), idf)
+            far = [1 - (x @ c.T).max(axis=1) for x in (v, cut) if len(x)]
             centroids.append(c)
-            radii.append(np.tile(limits(far, length_of(seen)), (len(c), 1)))
+            radii.append(np.tile(limits(np.concatenate(far), np.concatenate((length, cut_length))), (len(c), 1)))
             names += [name] * len(c)
     if not names:
         return Model(idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, LENGTHS)), [])
