@@ -32,6 +32,8 @@ QUANTILE, MARGIN = 0.999, 0.1
 #: Lengths: powers of two of distinct n-grams.
 LENGTHS = DIMENSIONS.bit_length()
 HELD_OUT_OF, HELD_OUT = 4, 2
+#: Rows of a matrix of counts (8 MB).
+_ROWS = 256
 
 _BLANKED = np.arange(256, dtype=np.int64)
 _BLANKED[:128] = 32
@@ -41,7 +43,8 @@ _BLANKED[97:123] = np.arange(97, 123)
 def ngram_counts(column: pa.Array) -> Iterator[np.ndarray]:
     """(rows, DIMENSIONS) counts for runs of rows of a string array."""
     raw, at = text_buffers(pc.utf8_lower(column))
-    for i, j in slices(at, 1 << 20):
+    runs = [(a, min(a + _ROWS, j)) for i, j in slices(at, 1 << 20) for a in range(i, j, _ROWS)]
+    for i, j in runs:
         own, place = _BLANKED[raw[at[i] : at[j]]], at[i : j + 1] - at[i]
         row = np.repeat(np.arange(j - i), np.diff(place))
         keys = [(row * DIMENSIONS + own)[own != 32]]
