@@ -43,7 +43,7 @@ _BLANKED[97:123] = np.arange(97, 123)
 def ngram_counts(column: pa.Array) -> Iterator[np.ndarray]:
     """(rows, DIMENSIONS) counts for runs of rows of a string array."""
     raw, at = text_buffers(pc.utf8_lower(column))
-    runs = [(a, min(a + _ROWS, j)) for i, j in slices(at, 1 << 20) for a in range(i, j, _ROWS)]
+    runs = [(a, min(a + _ROWS, j)) for i, j in slices(at, 1 << 18) for a in range(i, j, _ROWS)]
     for i, j in runs:
         own, place = _BLANKED[raw[at[i] : at[j]]], at[i : j + 1] - at[i]
         row = np.repeat(np.arange(j - i), np.diff(place))

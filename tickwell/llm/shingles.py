@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-_SLICE_BYTES = 1 << 21
+_SLICE_BYTES = 1 << 19
 _PLACES = 64
 _U = np.uint64
 
