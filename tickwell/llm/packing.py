@@ -28,7 +28,7 @@ WINDOW = 2048
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers: a bound on its memory, not on what is encoded.
-_REMEMBERED = 400_000
+_REMEMBERED = 300_000
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 #: Texts of these characters alone are split here, by the rule of the tokenizer's own file: a text is lower-cased
 #: (they are all in normal form) and its contractions, runs of letters, digits and runs of other signs are encoded one by one.
