@@ -102,7 +102,7 @@ def family(estimates: DataFrame) -> DataFrame:
     spark = estimates.sparkSession
     every = spark.createDataFrame([(i, w, h, o) for i, (w, h, o) in enumerate((w, h, o) for w in WINDOWS for h in HORIZONS for o in OUTCOMES)], "id int, window int, horizon int, outcome string")
     rows = every.join(estimates, ["window", "horizon", "outcome"], "left").withColumns({"p": F.coalesce("p", F.lit(1.0)), "n": F.coalesce("n", F.lit(0))})
-    return benjamini_hochberg(rows, "p", "id")
+    return benjamini_hochberg(rows, "p")
 
 
 def half_life(rows: DataFrame) -> DataFrame:
