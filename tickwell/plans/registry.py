@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tickwell.plans import backtests, cross, extra, rolling
+from tickwell.plans import backtests, cross, evidence, extra, rolling
 
-_MODULES = (rolling, cross, backtests, extra)
+_MODULES = (rolling, cross, backtests, extra, evidence)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
