@@ -7,13 +7,14 @@ artifact's id). Rules are joins; a broken rule is a row.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwell.operators import documents as D
 from tickwell.operators.research import dcf
-from tickwell.sources.shared import checkpoints
+from tickwell.sources.shared import checkpoints, stored
 
 #: By kind of calculation, the fields that an object below /parameters has, all of which are cited. ~i: every
 #: place of a list; ~k: any name. A third value gives the state of the object's field ``included`` for which the field is there.
@@ -98,6 +99,20 @@ def citations(found: DataFrame) -> DataFrame:
     }).drop("target")
 
 
+class Evidence(NamedTuple):
+    """A node table and what is read from it; ``evidence`` writes each to the shared folder once."""
+
+    found: DataFrame
+    heads: DataFrame
+    inputs: DataFrame
+    citations: DataFrame
+
+
+def evidence(found: DataFrame) -> Evidence:
+    found = stored(found, "nodes")
+    return Evidence(found, *(stored(f(found), f.__name__) for f in (heads, inputs, citations)))
+
+
 def required(found: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pointers that each calculation must cite, (doc, pointer), and its parameters that are missing or not of its kind, (doc, rule, at).
 
@@ -149,19 +164,19 @@ def _equal(kind_a: Column, text_a: Column, number_a: Column, kind_b: Column, tex
     return F.when(both, F.abs(number_a - number_b) <= NEAR).otherwise((kind_a == kind_b) & text_a.eqNullSafe(text_b))
 
 
-def citation_problems(found: DataFrame) -> DataFrame:
+def citation_problems(e: Evidence) -> DataFrame:
     """(doc, rule, at): citations that do not hold.
 
     parameter_unresolved, source_unresolved; reported_differs (from the cited value); normalization (an operation misused);
     parameter_differs (from the normalised value); available_late; availability_unread; availability_differs; role (the source is no input of
     the role that the parameter needs). A citation that does not resolve breaks nothing else about values.
     """
-    of, head, used = citations(found), heads(found), inputs(found)
+    of, head, used = e.citations, e.heads, e.inputs
     rows = of.join(head.select("doc", _c("kind").alias("kind_of"), "cutoff"), "doc")
     asked = rows.select(F.lit("artifact").alias("target"), "doc", _c("parameter_pointer").alias("pointer"))
     asked = asked.unionByName(rows.select(_c("of").alias("target"), _c("source").alias("doc"), _c("json_pointer").alias("pointer")))
     asked = asked.unionByName(rows.where("available_pointer IS NOT NULL").select(_c("available_of").alias("target"), _c("available_source").alias("doc"), _c("available_pointer").alias("pointer")))
-    read = D.resolve(found, asked, ("target", "doc"))
+    read = D.resolve(e.found, asked, ("target", "doc"))
 
     def with_read(rows: DataFrame, name: str, target: Column, doc: Column, pointer: Column) -> DataFrame:
         side = read.select(*[_c(k).alias(f"{name}_{k}") for k in ("target", "doc", "pointer", "status", "kind", "text", "number")])
@@ -199,20 +214,20 @@ def citation_problems(found: DataFrame) -> DataFrame:
     return rows.select("doc", F.explode(broken).alias("rule"), "at")
 
 
-def inventory_problems(found: DataFrame) -> DataFrame:
+def inventory_problems(e: Evidence) -> DataFrame:
     """(doc, rule, at): what calculations declare against what they use.
 
     no_subject; input_unused and input_undeclared (sources of inputs and of citations, two anti-joins; a normalization of filings is held to its
     inputs of the role assumption); coverage_missing, coverage_unexpected, coverage_repeated (pointers of parameters that must be and are
     cited); parameter_missing and parameter_unexpected; kind (no rules for this kind of calculation).
     """
-    head = heads(found).where("type = 'calculation'").select("doc", _c("kind").alias("kind_of"))
-    used, of = inputs(found).join(head, "doc"), citations(found).join(head, "doc")
+    head = e.heads.where("type = 'calculation'").select("doc", _c("kind").alias("kind_of"))
+    used, of = e.inputs.join(head, "doc"), e.citations.join(head, "doc")
     told = lambda df, rule, at: df.select("doc", F.lit(rule).alias("rule"), at.alias("at"))
     subject = used.where("role = 'subject'").select("doc").distinct()
     declared = used.where("kind_of <> 'sec-companyfacts-normalization' OR role = 'assumption'").select("doc", "source").distinct()
     cited = of.select("doc", F.explode(F.array_compact(F.array("source", "available_source"))).alias("source")).distinct()
-    need, odd = required(found, head.where(_c("kind_of").isin(*FIELDS)))
+    need, odd = required(e.found, head.where(_c("kind_of").isin(*FIELDS)))
     pointers = of.select("doc", _c("parameter_pointer").alias("pointer")).where("pointer IS NOT NULL")
     repeated = pointers.groupBy("doc", "pointer").count().where("count > 1")
     parts = [
@@ -231,14 +246,13 @@ def inventory_problems(found: DataFrame) -> DataFrame:
     return out
 
 
-def time_problems(found: DataFrame) -> DataFrame:
+def time_problems(e: Evidence) -> DataFrame:
     """(doc, rule, at): what is known too late or of another entity.
 
     created_early (before the cutoff); upstream_cutoff and upstream_created (of an input or a piece of evidence, or of anything that it rests on,
     carried along the edges); upstream_entity (of a subject or a piece of evidence). ``at`` is the input's artifact.
     """
-    head = heads(found)
-    used = inputs(found)
+    head, used = e.heads, e.inputs
     edges = used.select(_c("doc").alias("src"), _c("source").alias("dst")).distinct()
     mine = head.where("type <> 'source'").select("doc", "entity", "cutoff", "created", "type")
     rows = used.join(mine, "doc")
@@ -258,11 +272,11 @@ def time_problems(found: DataFrame) -> DataFrame:
     return late.unionByName(early)
 
 
-def reconciliation_problems(found: DataFrame) -> DataFrame:
+def reconciliation_problems(e: Evidence) -> DataFrame:
     """(doc, rule, at) of valuations by discounted cash flow: result_differs for each value of /result/base that the parameters do not give
     (relative 1e-9), residual_differs and status_differs of /reconciliation against what the result gives, axis_center where a base rate is not the middle of its axis."""
-    own = found.where("target = 'artifact'")
-    head = heads(found).where("kind = 'dcf-valuation'").select("doc")
+    own = e.found.where("target = 'artifact'")
+    head = e.heads.where("kind = 'dcf-valuation'").select("doc")
     p = records(own, "/parameters", {n + "#": n for n in ("wacc", "terminal_growth", "net_debt", "non_operating_assets", "diluted_shares")}).join(head, "doc").drop("target", "at")
     flows = records(own, "/parameters/forecasts/~i", {"fcf#": "unlevered_fcf", "t#": "discount_period", "period": "period"}).select("doc", "period", "fcf", "t").join(p.select("doc", "wacc", "terminal_growth"), "doc")
     valued = dcf(flows, _c("wacc"), _c("terminal_growth"), by=("doc",)).select("doc", "pv_forecast", "pv_terminal", "enterprise_value").join(p, "doc")
@@ -290,5 +304,6 @@ def reconciliation_problems(found: DataFrame) -> DataFrame:
 
 
 def problems(found: DataFrame) -> DataFrame:
-    """(doc, rule, at) of all rules above. ``found`` is read several times: write it to a table first."""
-    return citation_problems(found).unionByName(inventory_problems(found)).unionByName(time_problems(found)).unionByName(reconciliation_problems(found))
+    """(doc, rule, at) of all rules above, for a node table with the columns target and doc."""
+    e = evidence(found)
+    return citation_problems(e).unionByName(inventory_problems(e)).unionByName(time_problems(e)).unionByName(reconciliation_problems(e))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tickwell.operators import documents as D
 from tickwell.operators import lineage as N
 from tickwell.sources.bars import table
-from tickwell.sources.shared import stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -145,7 +144,7 @@ def artifacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lineage(spark: SparkSession, d: str) -> DataFrame:
-    return N.problems(stored(D.nodes(artifacts(spark, d), keep=("target", "doc"), most=6), "nodes"))
+    return N.problems(D.nodes(artifacts(spark, d), keep=("target", "doc"), most=6))
 
 
 QUERIES["lineage_problems"] = _lineage
