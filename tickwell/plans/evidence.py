@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwell.operators import documents as D
+from tickwell.operators import intervals as V
 from tickwell.operators import lineage as N
 from tickwell.sources.bars import table
 
@@ -162,3 +163,30 @@ UNION ALL SELECT 'c' || k, 'upstream_cutoff', 'a' || k FROM g WHERE f = 15
 UNION ALL SELECT 'r' || k, 'upstream_cutoff', 'c' || k FROM g WHERE f = 15 
 UNION ALL SELECT 'c' || k, 'upstream_entity', 's' || k FROM g WHERE f = 16
 """
+
+
+def _point_in_time(spark: SparkSession, d: str) -> DataFrame:
+    """Studies are orders, whose customer is the driver and whose supplier-like number is the target; flags are returned items, diagnostics are the orders' items."""
+    items, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    day = lambda c: F.unix_date(F.to_date(c))
+    k = F.col("o_orderkey")
+    ladder = F.element_at(F.array(*map(F.lit, V.LADDER[:4])), (1 + k % 4).cast("int"))
+    studies = orders.select(k.alias("study"), (F.col("o_custkey") % 7).alias("driver"), (F.col("o_custkey") % 50).alias("target"), day("o_orderdate").alias("evaluation"), ladder.alias("primary"))
+    n = F.col("l_partkey")
+    flags = items.where("l_returnflag = 'R'").select((n % 7).alias("driver"), (F.col("l_suppkey") % 50).alias("target"), F.concat(F.lit("code_"), n % 3).alias("code"), day("l_shipdate").alias("effective"), F.when(n % 40 != 0, day("l_shipdate") + n % 5).alias("resolved"))
+    told = items.select(F.col("l_orderkey").alias("study"), F.lit("items").alias("family"), F.when(F.col("l_quantity") > 45, "falsifies").otherwise("supports").alias("status"), (day("l_shipdate") - 40).alias("as_of"))
+    out = V.point_in_time(studies, flags, told)
+    return out.select("study", "statistical", "active", F.concat_ws(",", "codes").alias("codes"), "falsified")
+
+
+QUERIES["point_in_time"] = _point_in_time
+SQL["point_in_time"] = """
+WITH s AS (SELECT o_orderkey AS study, o_custkey % 7 AS driver, o_custkey % 50 AS target, CAST(o_orderdate AS DATE) AS evaluation, 1 + o_orderkey % 4 AS place FROM orders),
+f AS (SELECT l_partkey % 7 AS driver, l_suppkey % 50 AS target, 'code_' || (l_partkey % 3) AS code, CAST(l_shipdate AS DATE) AS effective,
+  CASE WHEN l_partkey % 40 <> 0 THEN CAST(l_shipdate AS DATE) + CAST(l_partkey % 5 AS INTEGER) END AS resolved FROM lineitem WHERE l_returnflag = 'R'),
+a AS (SELECT study, count(*) AS active, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM s JOIN f USING (driver, target) WHERE effective <= evaluation AND (resolved IS NULL OR evaluation < resolved) GROUP BY study),
+g AS (SELECT study, bool_or(l_quantity > 45) AS falsified FROM s JOIN lineitem ON l_orderkey = study WHERE CAST(l_shipdate AS DATE) - 40 <= evaluation GROUP BY study)
+SELECT study, CASE WHEN active > 0 THEN 'invalidated' ELSE (['accepted', 'descriptive_only', 'expired', 'quarantined'])[greatest(place, CASE WHEN falsified THEN 2 ELSE 1 END)] END AS statistical,
+  coalesce(active, 0) AS active, coalesce(codes, '') AS codes, coalesce(falsified, false) AS falsified
+FROM s LEFT JOIN a USING (study) LEFT JOIN g USING (study)
+"""
