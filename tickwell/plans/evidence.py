@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickwell.operators import documents as D
 from tickwell.operators import intervals as V
 from tickwell.operators import lineage as N
+from tickwell.operators import replay as P
 from tickwell.sources.bars import table
+from tickwell.sources.shared import stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -190,3 +192,82 @@ SELECT study, CASE WHEN active > 0 THEN 'invalidated' ELSE (['accepted', 'descri
   coalesce(active, 0) AS active, coalesce(codes, '') AS codes, coalesce(falsified, false) AS falsified
 FROM s LEFT JOIN a USING (study) LEFT JOIN g USING (study)
 """
+
+
+FAMILIES = {"microstructure": "auxiliary", "regime": "auxiliary"}
+PARTS = {"method": '{"name":"lead-lag"}', "config": "", "runtime": ""}
+
+
+def sealed_studies(spark: SparkSession, d: str) -> P.Sealed:
+    """A sealed study for each supplier, over the weeks of the orders as sessions. The supplier's number modulo 25 gives the one fault that is planted."""
+    k = F.col("study")
+    base = table(spark, d, "supplier").select(F.col("s_suppkey").alias("study"))
+    weeks = table(spark, d, "orders").select(F.date_trunc("week", "o_orderdate").alias("t")).distinct().withColumn("i", F.row_number().over(Window.orderBy("t")) - 1)  # a row a week
+    ends = weeks.agg(F.count(F.lit(1)).cast("int").alias("n"))
+    day = lambda t: F.date_format(t, "yyyy-MM-dd")
+    grid = base.crossJoin(weeks).select("study", "i", day("t").alias("session"), "t")
+    hours = lambda h: F.col("t") + F.make_dt_interval(F.lit(0), F.lit(h))
+    schedules = grid.select("study", F.lit("source").alias("side"), "session", hours(8).alias("open_at"), hours(20).alias("close_at")).unionByName(grid.select("study", F.lit("target").alias("side"), "session", hours(9).alias("open_at"), hours(15).alias("close_at")))
+    before = weeks.select((F.col("i") + 1).alias("i"), day("t").alias("source_session"))
+    links = grid.join(before, "i").select("study", "source_session", F.col("session").alias("target_session")).where((k % 25 != 3) | (F.col("i") != 40))
+    named = weeks.crossJoin(ends).agg(*[F.max(F.when(F.col("i") == p, day("t"))).alias(n) for n, p in (("s0", F.lit(0)), ("s1", F.lit(1)), ("last", F.col("n") - 1), ("est", F.col("n") - 11), ("ev2", F.col("n") - 9), ("ev4", F.col("n") - 7), ("x3", F.col("n") - 8), ("x5", F.col("n") - 6), ("b0", F.col("n") - 5))], F.max("n").cast("int").alias("n"))
+    late = k % 3 == 0
+    studies = base.crossJoin(named).withColumns({"f": k % 25, "estimation": F.col("est"), "evaluation": F.when(late, F.col("ev4")).otherwise(F.col("ev2")), "e": F.col("n") - 11})
+    contracts = base.select("study", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(t or "{}").alias("json")) for p, t in PARTS.items()])).alias("c")).select("study", "c.*")
+    contracts = contracts.withColumn("sha256", F.when((k % 25 == 1) & (F.col("part") == "config"), "0").otherwise(F.sha2(F.concat("part", F.lit("\0"), "json").cast("binary"), 256)))
+    line = lambda name, kind, timing, first, last, n: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("return_kind"), F.lit(timing).alias("timing_domain"), F.col(first).alias("first"), F.col(last).alias("last"), n.alias("observations"))
+    e, n = F.col("e"), F.col("n")
+    lineages = studies.select("study", "f", F.explode(F.array(
+        line("driver", "source_return", "source_close", "s0", "last", n), line("target_gap", "target_gap", "target_session", "s1", "est", e), line("target_intraday", "target_intraday", "target_session", "s0", "est", e + 1), line("control_1", "control_return", "source_close", "s0", "last", n),
+    )).alias("l")).select("study", "f", "l.*")
+    name = F.col("name")
+    lineages = lineages.select(
+        "study", "name", "return_kind", "timing_domain", F.when((F.col("f") == 2) & (name == "driver"), "simple").otherwise("log").alias("return_basis"), F.lit("accepted").alias("status"), "first", "last",
+        (F.col("observations") + F.when((F.col("f") == 4) & (name == "control_1"), 1).otherwise(0)).cast("long").alias("observations"),
+        F.when((F.col("f") == 5) & (name == "control_1"), "m_driver").when(name == "target_intraday", "m_target_gap").otherwise(F.concat(F.lit("m_"), name)).alias("manifest"), F.concat(F.lit("b_"), name).alias("bars"),
+    )
+    flags = studies.where("f IN (6, 17)").select("study", F.when(F.col("f") == 6, "Bad Code").otherwise("halt").alias("code"), F.when(F.col("f") == 6, F.col("last")).otherwise(F.col("s1")).alias("effective"), F.lit(None).cast("string").alias("resolved"))
+    diagnostics = studies.where("f IN (7, 18)").select("study", F.lit("regime").alias("family"), F.when(F.col("f") == 7, "primary").otherwise("auxiliary").alias("role"), F.when(F.col("f") == 18, "falsifies").otherwise("supports").alias("status"), F.col("s1").alias("as_of"))
+    members = spark.createDataFrame([(w, o, h) for w in P.WINDOWS for o in P.OUTCOMES for h in P.HORIZONS], "window int, outcome string, horizon int")
+    r = studies.crossJoin(members).withColumns({
+        "here": (F.col("window") == 63) & (F.col("outcome") == "gap") & (F.col("horizon") == 2),
+        "usable": F.expr("window - horizon + 1"), "driver": F.expr("(case outcome when 'gap' then 0.3D when 'intraday' then 0.2D else 0.5D end) * (1 - pow(0.6D, horizon))"), "mse": F.expr("if(outcome = 'total', 2D, 1D)"),
+        "falls": F.expr("study % 3 = 0"), "ratio": F.expr("if(outcome = 'total', 1.5D, 1D)"),
+    })
+    r = r.withColumn("standardized", F.expr("driver / ratio")).withColumn("big", F.expr("abs(standardized) >= 0.1"))
+    flagged, falsified = F.col("f") == 17, F.col("f") == 18
+    every = F.col("big") & ~F.col("falls")
+    primary = F.when(every, "accepted").when(F.col("falls"), "expired").otherwise("descriptive_only")
+    reasons = F.array_sort(F.array_compact(F.array(F.lit("current_shock_not_applied"), F.when(~F.col("big"), "standardized_magnitude_below_threshold"), F.when(F.col("falls"), "expired"), F.when(falsified, "auxiliary_falsification"), F.when(flagged, "invalidation_halt"))))
+    true = ("sample_size", "bootstrap_interval", "family_wide_fdr", "purged_embargoed_oos", "adjacent_window_drift", "no_detected_structural_break", "preregistered_controls", "global_search_family_registered", "preregistration_bound")
+    gates = {g: F.lit(True) for g in true} | {"standardized_magnitude": F.col("big"), "not_expired_at_historical_evaluation": ~F.col("falls"), "no_active_point_in_time_invalidation": ~flagged, "no_auxiliary_falsification": ~falsified}
+    fault = lambda f, bad, good: F.when((F.col("f") == f) & F.col("here"), bad).otherwise(good)
+    life = F.lit(0.6931471805599453) / -F.log(F.lit(0.6))
+    results = r.join(weeks.select(F.col("i").alias("p"), day("t").alias("base_first")), F.expr("p = e - window + 1")).join(weeks.select(F.col("i").alias("p2"), day("t").alias("base_last")), F.expr("p2 = e - horizon + 1"))
+    results = results.where(~((F.col("f") == 13) & F.col("here"))).select(
+        "study", "window", "outcome", "horizon", "base_first", "base_last", F.col("usable").cast("long").alias("expected"), fault(8, F.lit(50), F.col("usable")).cast("long").alias("usable"), F.lit(40).cast("long").alias("required"), F.lit(4).cast("long").alias("parameters"),
+        fault(14, F.col("driver") + 0.001, F.col("driver")).alias("driver"), F.col("standardized"), (F.col("driver") - 0.01).alias("low"), (F.col("driver") + 0.01).alias("high"), F.expr("(1 + horizon) / 2000D").alias("raw_p"), fault(15, F.lit(0.004), F.lit(0.003)).alias("q_value"),
+        F.lit(5).cast("long").alias("adjacent_shift"), (F.col("driver") * 0.5).alias("adjacent"), fault(11, F.lit(False), F.lit(True)).alias("same_direction"), F.lit(1).cast("long").alias("oos_embargo"), fault(9, F.lit(30), F.expr("window - 2 * horizon - 39")).cast("long").alias("oos_n"),
+        (F.col("mse") * 0.9).alias("oos_full"), F.col("mse").alias("oos_null"), F.expr("1 - (mse * 0.9D) / mse").alias("oos_gain"), F.lit(True).alias("oos_passed"), F.floor(F.col("usable") / 2).cast("long").alias("break_split"), fault(10, F.lit(0.50001), F.lit(0.5)).alias("break_p"),
+        (F.col("driver") * 0.25).alias("break_first"), (F.col("driver") * 0.5).alias("break_second"), F.lit(True).alias("break_passed"), fault(16, F.lit(1.5), life).alias("half_life"), F.col("x5").alias("recalibration"), F.col("x3").alias("half_life_session"), F.col("x5").alias("maximum"),
+        fault(19, F.col("x5"), F.col("x3")).alias("expiry"), F.col("falls").alias("expired"), (~F.col("falls")).alias("not_expired"), F.create_map(*[x for g, v in gates.items() for x in (F.lit(g), fault(12, F.lit(False), v) if g == "bootstrap_interval" else v)]).alias("gates"),
+        primary.alias("primary_status"), F.when(flagged, "invalidated").when(every & falsified, "descriptive_only").otherwise(primary).alias("statistical_status"), reasons.alias("reasons"),
+    )
+    got = results.groupBy("study", F.col("statistical_status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    counts = base.crossJoin(spark.createDataFrame([(x,) for x in V.LADDER], "status string")).join(got, ["study", "status"], "left").fillna(0, ["n"])
+    counts = counts.withColumn("n", F.when((k % 25 == 20) & (F.col("status") == "quarantined"), 1).otherwise(F.col("n")))
+    overall = F.when(F.col("f") == 21, "quarantined").when(flagged, "invalidated").when(late, "expired").when(falsified, "descriptive_only").otherwise("accepted_associations")
+    sealed = {"studies": studies.select("study", "estimation", "evaluation", overall.alias("overall")), "contracts": contracts, "lineages": lineages, "schedules": schedules, "links": links, "flags": flags, "diagnostics": diagnostics, "results": results, "counts": counts}
+    return P.Sealed(**{name: stored(df, name) for name, df in sealed.items()})
+
+
+QUERIES["sealed_replay"] = lambda spark, d: P.violations(sealed_studies(spark, d), PARTS, FAMILIES)
+SQL["sealed_replay"] = """
+WITH s AS (SELECT s_suppkey AS study, s_suppkey % 25 AS f FROM supplier),
+weeks AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT date_trunc('week', o_orderdate) AS t FROM orders)),
+rules(f, rule, place) AS (VALUES (1, 'L1', 'config'), (2, 'L2', 'driver'), (4, 'L4', 'control_1'), (5, 'L5', 'driver'), (6, 'L6', 'Bad Code'), (7, 'L6', 'regime'), (8, 'L7', '63/gap/2'), (8, 'L9', '63/gap/2'), (9, 'L8', '63/gap/2'), (9, 'L14', '63/2'),
+  (10, 'L9', '63/gap/2'), (11, 'L11', '63/gap/2'), (11, 'L12', '63/gap/2'), (12, 'L12', '63/gap/2'), (13, 'L13', '63/gap/2'), (13, 'L14', '63/2'), (14, 'L14', '63/2'), (15, 'L15', '63/gap/2'), (16, 'L16', '63/gap/2'), (19, 'L10', '63/gap/2'), (20, 'L16', 'count/quarantined'), (21, 'L16', 'overall'))
+SELECT study, rule, place AS "at" FROM s JOIN rules USING (f)
+UNION ALL SELECT study, 'L16', '63/gap/' || h FROM s, range(1, 6) AS t(h) WHERE f = 14 OR (f = 13 AND h <> 2)
+UNION ALL SELECT study, 'L3', strftime(t, '%Y-%m-%d') FROM s, weeks WHERE f = 3 AND i = 40
+"""
