@@ -168,24 +168,23 @@ def member_table(s: Sealed, policy: Policy) -> DataFrame:
     """(study, window, horizon, x_…): what a member's counts must be: x_expected, x_usable, x_first, x_last, x_required, x_parameters, x_adjacent, x_predictions."""
     spark = s.studies.sparkSession
     specs = spark.createDataFrame([(w, h) for w in WINDOWS for h in HORIZONS], "window int, horizon int")
-    at = _positions(s)
-    last = at.groupBy("study").agg((F.max("pos")).alias("end"))
+    so_far = Window.partitionBy("study").orderBy("pos")
+    at = _positions(s).withColumn("sum", F.sum(_c("usable").cast("int")).over(so_far))
+    per = at.groupBy("study").agg(F.sort_array(F.collect_list(F.struct("pos", "session", "usable", "sum"))).alias("a"))  # one row a session
     k = s.lineages.groupBy("study").agg((3 + F.count(F.when(~_c("name").isin(*PRIMARY), 1))).alias("x_parameters"))
-    members = last.join(k, "study").crossJoin(specs).withColumns({"from": _c("end") - _c("window") + 1, "to": _c("end") - _c("horizon") + 1})
-    members = members.withColumns({"x_expected": F.when(_c("from") < 0, 0).otherwise(F.greatest(F.lit(0), _c("window") - _c("horizon") + 1)), "train": F.greatest(F.lit(policy.oos_train), policy.per_parameter * _c("x_parameters")), "x_required": F.greatest(F.lit(policy.min_observations), policy.per_parameter * _c("x_parameters"))})
-    base = members.join(at.where("usable"), "study").where("pos <= to")
-    in_window = (_c("pos") >= _c("from")) & (_c("from") >= 0)
-    shifted = (_c("pos") >= _c("from") - policy.shift) & (_c("pos") <= _c("to") - policy.shift) & (_c("from") >= policy.shift)
-    w = Window.partitionBy("study", "window", "horizon").orderBy("pos")
-    inside = F.when(in_window, 1)
-    older = F.coalesce(*[F.when(_c("horizon") == h, F.count(inside).over(w.rangeBetween(Window.unboundedPreceding, -(policy.embargo + h)))) for h in HORIZONS])
-    base = base.withColumn("older", older)
-    got = base.groupBy("study", "window", "horizon").agg(
-        F.count(inside).alias("x_usable"), F.min(F.when(in_window, _c("session"))).alias("x_first"), F.max(F.when(in_window, _c("session"))).alias("x_last"),
-        F.count(F.when(shifted, 1)).alias("x_adjacent"), F.count(F.when(in_window & (_c("older") >= _c("train")), 1)).alias("x_predictions"),
-    )
-    rows = members.join(got, ["study", "window", "horizon"], "left").drop("end", "from", "to", "train")
-    return rows.fillna(0, ["x_usable", "x_adjacent", "x_predictions"])
+    rows = per.join(k, "study").crossJoin(specs).withColumns({"from": F.size("a") - _c("window"), "to": F.size("a") - _c("horizon")})
+    rows = rows.withColumns({
+        "x_expected": F.when(_c("from") < 0, 0).otherwise(F.greatest(F.lit(0), _c("window") - _c("horizon") + 1)), "train": F.greatest(F.lit(policy.oos_train), policy.per_parameter * _c("x_parameters")),
+        "x_required": F.greatest(F.lit(policy.min_observations), policy.per_parameter * _c("x_parameters")),
+    })
+    upto = lambda i: f"if({i} < 0, 0, get(a, {i}).sum)"
+    rows = rows.withColumn("base", F.expr("if(from < 0 or to < from, slice(a, 1, 0), filter(slice(a, from + 1, to - from + 1), x -> x.usable))"))
+    out = {
+        "x_usable": "size(base)", "x_first": "get(base, 0).session", "x_last": "get(base, size(base) - 1).session",
+        "x_adjacent": f"if(from < {policy.shift}, 0, {upto(f'to - {policy.shift}')} - {upto(f'from - {policy.shift} - 1')})",
+        "x_predictions": f"size(filter(base, x -> {upto(f'cast(x.pos - {policy.embargo} - horizon as int)')} - {upto('from - 1')} >= train))",
+    }
+    return rows.select("study", "window", "horizon", "x_expected", "x_required", "x_parameters", *[F.expr(e).alias(n) for n, e in out.items()])
 
 
 def member_problems(s: Sealed, policy: Policy) -> DataFrame:
