@@ -139,3 +139,60 @@ def test_lineage_of_other_kinds_and_odd_documents(spark):
     assert not any(r == "coverage_unexpected" or "peers/1/numerator" in a for r, a in got)
     assert {(r.rule, r.at) for r in N.citation_problems(e).collect()} == {("normalization", "/lineage/0"), ("role", "/lineage/0")}
     assert N.problems(D.nodes(frame.limit(0), keep=("target", "doc"), most=5)).count() == 0
+
+
+def test_table_digests_know_types_order_and_values_but_not_partitions(spark):
+    from tickwell.sources import digests as G
+
+    rows = [(i, i % 7, f"s{i % 3}" if i % 5 else None, i / 3) for i in range(9000)]
+    frame = spark.createDataFrame(rows, "at long, a int, b string, c double")
+    told = lambda df: G.digest(df, "at").first().digest
+    own = told(frame)
+    assert own == told(frame.repartition(7)) == told(frame.orderBy(F.desc("at")).coalesce(1))
+    assert own != told(frame.withColumn("a", F.col("a").cast("long"))) and own != told(frame.withColumnRenamed("a", "z"))
+    swapped = frame.withColumn("at", F.when(F.col("at") == 5, 8000).when(F.col("at") == 8000, 5).otherwise(F.col("at")))
+    assert own != told(swapped) and own != told(frame.where("at <> 8999")) and own != told(frame.fillna("", ["b"]))
+    low, high = frame.where("at < 4096"), frame.where("at >= 4096")
+    assert own == G.merged(G.ranges(low, "at").unionByName(G.ranges(high, "at")), frame.schema, "at").first().digest
+    assert told(frame.limit(0)) == told(frame.limit(0).repartition(3)) and told(frame.limit(0)) != own
+    with pytest.raises(TypeError):
+        G.digest(frame.withColumn("x", F.array("a")), "at")
+
+
+def test_shrinkage_in_columns_is_that_of_matrices(spark):
+    import numpy as np
+
+    from tickwell.operators import optimize as O
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 5)) @ rng.normal(size=(5, 5))
+    x[:, 4] = 0.25
+    rows = [(g, t, f"a{i}", float(x[t, i] * (1 + g))) for g in range(2) for t in range(40) for i in range(5)] + [(0, 99, "a1", 5.0), (0, 3, "a9", None)]
+    frame = spark.createDataFrame(rows, "g int, t int, asset string, ret double")
+    for method in ("constant_correlation", "diagonal"):
+        got = {(r.g, r.i, r.j): (r.cov, r.alpha) for r in O.shrunk(frame, ("g",), method).collect()}
+        for g in range(2):
+            cov, alpha = O.shrink(x * (1 + g), method)
+            assert all(abs(got[g, f"a{i}", f"a{j}"][0] - cov[i, j]) < 1e-9 and abs(got[g, f"a{i}", f"a{j}"][1] - alpha) < 1e-9 for i in range(5) for j in range(i, 5))
+        assert len(got) == 30
+    assert O.shrunk(frame.where("g = 0").drop("g")).count() == 15
+
+
+def test_published_walk_step_by_step(spark):
+    import math
+
+    from tickwell.sources import bars as S
+
+    def plain(start, seed, n=120):
+        px, out = start, []
+        for i in range(n):
+            noise = (seed * 1103515245 + i * 12345) % 1000 / 1000 - 0.5
+            c = max(1.0, px + (80 + 15 * math.sin(i / 3) if i < n // 2 else -90 + 10 * math.sin(i / 4)) + noise * 40)
+            out.append((px, max(px, c) + abs(noise) * 20, min(px, c) - abs(noise) * 20, c, 100.0 + i % 17 * 3))
+            px = c
+        return out
+
+    for start, seed in ((40_000.0, 42), (100.0, 3), (2500.0, 8)):
+        got = S.synthetic(spark, start=start, seed=seed).orderBy("ts").collect()
+        for r, w in zip(got, plain(start, seed), strict=True):
+            assert all(abs(a - b) < 1e-7 for a, b in zip((r.open, r.high, r.low, r.close, r.volume), w))

@@ -5,6 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
+from tickwell.operators import mining as M
 from tickwell.operators import ranker as R
 
 
@@ -72,3 +73,28 @@ def test_holdout_trains_on_the_first_dates_only(spark):
     assert R.holdout(panel(spark, 5, 6), ["a"], "y") is None
     with pytest.raises(ValueError):
         R.walk_forward(panel(spark, 4, 3), ["a"], "y", n_splits=9)
+
+
+def test_mining_finds_a_planted_product(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 20), *map(float, x), float(x[0] * x[2] + 0.05 * rng.normal())) for i, x in enumerate(rng.normal(size=(400, 3)))]
+    frame = spark.createDataFrame([*rows, (1, None, 1.0, 1.0, 1.0)], "ts int, a double, b double, c double, y double")
+    got = M.mine(frame, ["a", "b", "c"], "y", population=80, generations=4, tournament=10, parsimony=0.002, n_factors=3, seed=1)
+    assert got.scores[0] > 0.98 and len(got.formulas) == 3
+    few = [M.mine(frame, ["a", "b"], "y", population=12, generations=2, tournament=4, n_factors=2, seed=1).formulas for _ in range(2)]
+    assert few[0] == few[1] and got.table(spark).count() == 3
+    assert "gp_factor_2" in got.transform(frame).columns
+
+
+def test_formulas_compile_to_what_they_say(spark):
+    frame = spark.createDataFrame([(2.0, -3.0, 1.0), (0.0, 0.0005, 2.0), (-4.0, 8.0, 0.0), (1.0, 5.0, 7.0)], "a double, b double, y double")
+    trees = ["a", ("neg", "b"), ("div", "a", "b"), ("sqrt", "a"), ("log", ("abs", "b")), ("sub", ("mul", "a", "b"), ("add", "a", "a"))]
+    plain = {"neg": lambda a: -a, "abs": abs, "sqrt": lambda a: abs(a) ** 0.5, "log": lambda a: np.log(abs(a)) if abs(a) > 1e-3 else 0.0, "div": lambda a, b: a / b if abs(b) > 1e-3 else 1.0, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "add": lambda a, b: a + b}
+    value = lambda t, r: r[t] if isinstance(t, str) else plain[t[0]](*(value(x, r) for x in t[1:]))
+    rows = frame.collect()
+    got = frame.select(*[M.column(t).alias(f"f{i}") for i, t in enumerate(trees)]).collect()
+    assert all(abs(g[f"f{i}"] - value(t, r)) < 1e-12 for r, g in zip(rows, got) for i, t in enumerate(trees))
+    found = M.scores(frame, [*trees, ("sub", "a", "a")], "y")
+    assert found[("sub", "a", "a")] == 0.0
+    for t in trees:
+        assert abs(found[t] - abs(np.corrcoef([value(t, r) for r in rows], [r.y for r in rows])[0, 1])) < 1e-9

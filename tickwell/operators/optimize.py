@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def shrink(returns: np.ndarray, method: str = "constant_correlation") -> tuple[np.ndarray, float]:
@@ -39,10 +40,57 @@ def shrink(returns: np.ndarray, method: str = "constant_correlation") -> tuple[n
     return (out + (1e-15 - low) * np.eye(n) if low < 1e-15 else out), alpha
 
 
+def moments(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, i, j, s, p, a, b), i <= j: means over time of x_i x_j, of its squared error, and of the third-order terms x_i^3 x_j and x_i x_j^3 less their products.
+
+    ``returns``: (by, t, asset, ret), once each. Times at which an asset of the group is missing do not count. Sums are combined before they are
+    shuffled; no panel is gathered.
+    """
+    keys = list(by)
+    known = returns.where("ret IS NOT NULL").select(*keys, "t", "asset", F.col("ret").cast("double").alias("ret"))
+    group = keys or [F.lit(0)]
+    n = known.select(*keys, "asset").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    full = known.groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("__k"))
+    full = (full.join(n, keys) if keys else full.crossJoin(n)).where("__k = __n").select(*keys, "t")
+    rows = known.join(full, [*keys, "t"], "left_semi")
+    mean = F.avg("ret").over(Window.partitionBy(*group, "asset"))
+    x = rows.select(*keys, "t", "asset", (F.col("ret") - mean).alias("x"))
+    left, right = x.withColumnsRenamed({"asset": "i", "x": "u"}), x.withColumnsRenamed({"asset": "j", "x": "v"})
+    pair = left.join(right, [*keys, "t"]).where("i <= j")
+    u, v = F.col("u"), F.col("v")
+    out = pair.groupBy(*keys, "i", "j").agg(F.avg(u * v).alias("s"), F.avg(u * u * v * v).alias("p2"), F.avg(u * u * u * v).alias("a3"), F.avg(u * v * v * v).alias("b3"))
+    out = out.withColumn("p", F.col("p2") - F.col("s") * F.col("s"))
+    var = out.where("i = j").select(*keys, "i", F.col("s").alias("vi"))
+    out = out.join(var, [*keys, "i"]).join(var.withColumnsRenamed({"i": "j", "vi": "vj"}), [*keys, "j"])
+    return out.select(*keys, "i", "j", "s", "p", (F.col("a3") - F.col("vi") * F.col("s")).alias("a"), (F.col("b3") - F.col("vj") * F.col("s")).alias("b"), "vi", "vj")
+
+
+def shrunk(returns: DataFrame, by: Sequence[str] = (), method: str = "constant_correlation") -> DataFrame:
+    """(by, i, j, cov, alpha, mean_corr), i <= j: ``shrink`` of each group from the table of its moments, in columns, for any number of assets.
+
+    The matrix is not shifted where its least eigenvalue is zero, which it is only if the intensity is zero or a series is flat.
+    """
+    if method not in ("constant_correlation", "diagonal"):
+        raise ValueError(f"unknown method {method!r}")
+    keys, c = list(by), F.col
+    m = moments(returns, by).withColumns({"di": F.sqrt(F.greatest("vi", F.lit(1e-30))), "dj": F.sqrt(F.greatest("vj", F.lit(1e-30)))})
+    off, twice = c("i") < c("j"), F.when(c("i") < c("j"), 2.0).otherwise(1.0)
+    r = F.lit(0.0) if method == "diagonal" else F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c("mean_corr")))
+    terms = m.groupBy(*keys).agg(
+        F.coalesce(F.avg(F.when(off, c("s") / (c("di") * c("dj")))), F.lit(0.0)).alias("mean_corr"), F.sum(twice * c("p")).alias("error"), F.sum(F.when(~off, c("p"))).alias("own"),
+        F.coalesce(F.sum(F.when(off, c("dj") / c("di") * c("a") + c("di") / c("dj") * c("b"))), F.lit(0.0)).alias("tilt"),
+        F.coalesce(F.sum(F.when(off, c("s") * c("s"))), F.lit(0.0)).alias("ss"), F.coalesce(F.sum(F.when(off, c("s") * c("di") * c("dj"))), F.lit(0.0)).alias("sd"), F.coalesce(F.sum(F.when(off, c("vi") * c("vj"))), F.lit(0.0)).alias("dd"),
+    )
+    gap = 2 * (c("ss") - 2 * r * c("sd") + r * r * c("dd"))
+    alpha = F.when(gap <= 1e-300, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c("error") - c("own") - r * c("tilt")) / gap)))
+    terms = terms.select(*keys, r.alias("r"), alpha.alias("alpha"))
+    out = m.join(terms, keys) if keys else m.crossJoin(terms)
+    target = F.when(off, c("r") * c("di") * c("dj")).otherwise(c("s"))
+    return out.select(*keys, "i", "j", (c("alpha") * target + (1 - c("alpha")) * c("s")).alias("cov"), "alpha", c("r").alias("mean_corr"))
+
+
 def covariances(returns: DataFrame, by: Sequence[str] = (), method: str = "constant_correlation") -> DataFrame:
     """(by, i, j, cov, alpha) of long returns (by, t, asset, ret): each group's assets as a matrix over the times at which all are known. A group is one task: its assets are a universe of some hundreds."""
-    from pyspark.sql import functions as F
-
     rows = returns if by else returns.withColumn("__all", F.lit(0))
     keys = list(by) or ["__all"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}

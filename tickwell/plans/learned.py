@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickwell.operators import ranker
+from tickwell.operators import mining, ranker
 from tickwell.sources.bars import ship_panel
 
 QUERIES: dict = {}
@@ -32,3 +32,11 @@ def _walk_forward(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["ranker_walk_forward"] = _walk_forward
+
+
+def _mined(spark: SparkSession, d: str) -> DataFrame:
+    found = mining.mine(panel(spark, d), FEATURES, "label", population=40, generations=2, tournament=8, parsimony=0.002, n_factors=3, by="ts")
+    return found.table(spark).select("factor", "formula", "size", F.round("score", 6).alias("score"))
+
+
+QUERIES["mined_factors"] = _mined

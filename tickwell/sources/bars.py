@@ -61,14 +61,23 @@ def latest(bars: DataFrame, field: str = "close") -> DataFrame:
     return bars.groupBy("symbol").agg(F.max_by(field, "ts").alias(field))
 
 
-def synthetic(spark: SparkSession, n: int = 120, start: float = 40_000.0, seed: int = 7, symbol: str = "SYN") -> DataFrame:
-    """Hourly bars of a deterministic walk whose drift turns half-way, from closed-form columns."""
-    t = F.col("id")
-    noise = (F.pmod(t * 1103515245 + F.lit(seed * 12345), F.lit(2**31)) / float(2**31) - 0.5) * 0.004
-    step = noise + F.when(t < n // 2, 0.0008).otherwise(-0.0008)
-    rows = spark.range(n).select(F.lit(symbol).alias("symbol"), (F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(hours=t.cast("int"))).alias("ts"), step.alias("step"))
-    rows = rows.withColumn("close", start * F.exp(F.sum("step").over(W.expanding())))
-    return rows.select("symbol", "ts", F.coalesce(W.lag("close"), F.lit(start)).alias("open"), (F.col("close") * 1.002).alias("high"), (F.col("close") * 0.998).alias("low"), "close", (100 + F.pmod(F.hash("ts"), F.lit(50))).cast("double").alias("volume"))
+def walks(series: DataFrame, n: int = 120, keys: tuple[str, ...] = ("symbol",), least: float = 1.0) -> DataFrame:
+    """Hourly bars of the published deterministic walk for each row (keys, start, seed): a drift that turns half-way, a wave, a noise of a linear congruence.
+
+    The close is held at ``least``: a walk that is reflected there is its running sum plus the running maximum of what that falls short of ``least``.
+    """
+    i, w = F.col("i"), Window.partitionBy(*keys).orderBy("i")
+    noise = F.pmod(F.col("seed").cast("long") * 1103515245 + i * 12345, F.lit(1000)) / F.lit(1000.0) - 0.5
+    drift = F.when(i < n // 2, 80.0 + 15.0 * F.sin(i / 3.0)).otherwise(-90.0 + 10.0 * F.sin(i / 4.0))
+    rows = series.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("noise", noise).withColumn("sum", F.col("start") + F.sum(drift + F.col("noise") * 40.0).over(w))
+    rows = rows.withColumn("close", F.col("sum") + F.greatest(F.lit(0.0), F.max(least - F.col("sum")).over(w)))
+    rows = rows.withColumn("open", F.coalesce(F.lag("close").over(w), F.col("start"))).withColumn("ts", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(hours=i.cast("int")))
+    return rows.select(*keys, "ts", "open", (F.greatest("open", "close") + F.abs("noise") * 20.0).alias("high"), (F.least("open", "close") - F.abs("noise") * 20.0).alias("low"), "close", (100.0 + (i % 17) * 3.0).alias("volume"))
+
+
+def synthetic(spark: SparkSession, n: int = 120, start: float = 40_000.0, seed: int = 42, symbol: str = "SYN") -> DataFrame:
+    """The published series of bars of one symbol."""
+    return walks(spark.createDataFrame([(symbol, float(start), int(seed))], "symbol string, start double, seed long"), n)
 
 
 def event_bars_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
