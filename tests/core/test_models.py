@@ -7,6 +7,8 @@ import pytest
 
 from tickwell.operators import mining as M
 from tickwell.operators import ranker as R
+from tickwell.operators import versions as V
+from tickwell.operators.models import Trained
 
 
 def panel(spark, dates=180, assets=12, seed=0):
@@ -98,3 +100,47 @@ def test_formulas_compile_to_what_they_say(spark):
     assert found[("sub", "a", "a")] == 0.0
     for t in trees:
         assert abs(found[t] - abs(np.corrcoef([value(t, r) for r in rows], [r.y for r in rows])[0, 1])) < 1e-9
+
+
+def test_a_stream_of_trainings_with_one_refused_and_one_rolled_back(spark, tmp_path):
+    rows = [(datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d), float(d)) for d in (0, 3, 8, 16, 25)]
+    for k, (ts, v) in enumerate(rows):
+        spark.createDataFrame([(ts, v + i) for i in range(10 if k != 4 else 2)], "ts timestamp, v double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/k={k}")
+    store = V.Versions(spark, f"{tmp_path}/store", kept=2)
+    assert store.incumbent() is None and store.table().count() == 0
+    told = {0.0: (0.05, 0.5), 8.0: (0.06, 0.3), 16.0: (0.07, 0.45)}
+    trainer = V.Retrainer(store, lambda df: Trained("fake", None, *told[df.agg({"v": "min"}).first()[0]]), min_samples=5)
+    for k in range(5):
+        trainer.on_batch(spark.read.parquet(f"{tmp_path}/in/k={k}"), k)
+    events = store.events().orderBy("seq").collect()
+    assert [(e.version, e.accepted, e.reason, e.incumbent) for e in events] == [(1, True, None, 1), (2, False, "degraded", 1), (3, True, None, 3)]
+    trainer.on_batch(spark.read.parquet(f"{tmp_path}/in/k=3"), 3)
+    assert store.events().count() == 3
+    assert store.roll_back(rows[-1][0]) == 1 and store.incumbent().version == 1
+    assert [(r.version, r.in_use) for r in store.table().collect()] == [(3, False), (2, False), (1, True)]
+    assert store.roll_back(rows[-1][0], 3) == 3 and [r.version for r in store.expired().collect()] == [1]
+    with pytest.raises(ValueError):
+        V.Versions(spark, f"{tmp_path}/none").roll_back(rows[0][0])
+
+
+def test_versions_in_a_stream(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([(datetime.datetime(2024, 1, 1 + 9 * k), float(i % 7), 2.0 * (i % 7)) for i in range(30)], "ts timestamp, x double, y double").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    ics = iter([(0.1, 1.0), (-0.1, 1.0), (0.2, 1.2)])
+    fit = lambda df: Trained("line", Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="v"), LinearRegression(featuresCol="v", labelCol="y")]).fit(df), *next(ics))
+    store = V.Versions(spark, f"{tmp_path}/store")
+    stream = spark.readStream.schema("ts timestamp, x double, y double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    run = stream.writeStream.foreachBatch(V.Retrainer(store, fit, min_samples=10, every_hours=1).on_batch).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert [(e.accepted, e.incumbent) for e in store.events().orderBy("seq").collect()] == [(True, 1), (False, 1), (True, 3)]
+    got = store.load().transform(spark.createDataFrame([(3.0,)], "x double")).first().prediction
+    assert abs(got - 6.0) < 1e-6
+
+
+@pytest.mark.parametrize(("new", "old", "why"), [((0.0, 1.0), None, "ic_not_positive"), ((None, None), None, "ic_not_positive"), ((0.1, 0.0), None, "icir_not_positive"), ((0.1, float("nan")), (0.1, None), ""), ((0.07, None), (0.1, None), "degraded"), ((0.1, 0.4), (0.1, 0.5), "")])
+def test_gate_of_versions(new, old, why):
+    assert V.gate(*new, old) == why
