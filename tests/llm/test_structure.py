@@ -259,3 +259,33 @@ def test_queries_over_the_smallest_tables(spark):
     for r in conversations.query(spark, at).collect():
         want = plain_repair([x for x in talk if x[0] == r.conv_id])
         assert {k: r[k] for k in want} == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["op11_quality_rules", "op12_conversation_repair"])
+def test_queries_agree_with_sql(spark, name):
+    import duckdb
+
+    from tickwell.llm import queries
+
+    at, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name]).df()
+    got = queries.QUERIES[name](spark, at).toPandas()[list(want.columns)]
+    key = want.columns[0]
+    assert got.sort_values(key).reset_index(drop=True).astype(str).equals(want.sort_values(key).reset_index(drop=True).astype(str))
+
+
+def test_repair_sql_agrees_on_odd_conversations():
+    import duckdb
+    import pandas as pd
+
+    conversations_ = pd.DataFrame(talks(np.random.default_rng(12), 120), columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", conversations_)
+    rows = talks(np.random.default_rng(12), 120)
+    for r in con.sql(conversations.SQL).df().astype(object).to_dict("records"):
+        conv = None if pd.isna(r["conv_id"]) else r["conv_id"]
+        want = plain_repair([x for x in rows if x[0] == conv])
+        assert {k: r[k] for k in want} == want, conv

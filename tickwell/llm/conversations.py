@@ -277,3 +277,43 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = stored(audits(stored(signatures(rows), "signatures")), "audits").drop("signature")
     hashes = _hashes(repaired(rows, plans)).withColumnRenamed("conv_id", "of")
     return plans.join(hashes, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of").withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.lit(_EMPTY)))
+
+
+def _sql() -> str:
+    """The query in DuckDB's SQL: crc32 bit by bit, and the programme as a recursion over rows, a state being its cost and audit as one text that sorts so."""
+
+    def add(state: str, cost: str, edit: str) -> str:
+        return f"(lpad((CAST({state}[1:9] AS INTEGER) + {cost})::VARCHAR, 9, '0') || {state}[10:] || '{edit}')"
+
+    byte = "list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::UBIGINT)), lambda v, w: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::UBIGINT)), lambda c, b: {byte}), 4294967295::UBIGINT)"
+    u0 = f"least(u, {add('e', '3', 'I')}, {add('s', '3', 'I')}, {add('a', '3', 'I')})"
+    keep = lambda initial, state: f"CASE WHEN NOT gone AND initial = '{initial}' THEN {add(state, 'more', 'K')} END"
+    other = lambda state: f"CASE WHEN NOT gone THEN {add(state, '3 + more', 'R')} END"
+    return rf"""
+WITH RECURSIVE c0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+c1 AS (SELECT *, {crc} % 20 AS kind FROM c0),
+c2 AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM c1, range(2) AS t(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+c3 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS body FROM c2),
+c4 AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  role[1:1] AS initial, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM c3),
+rows AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS more FROM c4),
+p AS (SELECT conv_id, 0::BIGINT AS i, '000000000' AS e, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, i, {add('e', '4', 'D')}, least({add('s', '4', 'D')}, {keep('s', 'e')}),
+    least({add('u0', '4', 'D')}, {other('e')}, {other('s')}, {other('a0')}, {keep('u', 'e')}, {keep('u', 's')}, {keep('u', 'a0')}), least({add('a0', '4', 'D')}, {other('u0')}, {keep('a', 'u0')})
+  FROM (SELECT *, least(a, {add('u0', '3', 'I')}) AS a0 FROM (SELECT p.conv_id, r.i, e, s, u, a, {u0} AS u0, initial, gone, more FROM p JOIN rows r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1))),
+done AS (SELECT conv_id, least(e, a, {add('u', '3', 'I')}, {add(add('e', '3', 'I'), '3', 'I')}, {add(add('s', '3', 'I'), '3', 'I')}) AS best FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+audits AS (SELECT conv_id, CAST(best[1:9] AS BIGINT) AS cost, best[10:] AS audit FROM done),
+edits AS (SELECT *, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER w AS i, sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER w AS o
+  FROM (SELECT conv_id, k, audit[k:k] AS edit FROM audits, LATERAL (SELECT unnest(range(1, length(audit) + 1)) AS k)) WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+kept AS (SELECT e.*, r.role, r.text, max(CASE WHEN o = 1 AND edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS led
+  FROM edits e LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i AND edit <> 'I' WHERE edit <> 'D'),
+hashed AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (o - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k)) AS h FROM kept GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+  count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id)
+SELECT x.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, coalesce(h, '{_EMPTY}') AS repaired_sha256
+FROM audits x LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN hashed g ON g.conv_id IS NOT DISTINCT FROM x.conv_id
+"""
+
+
+SQL = _sql()

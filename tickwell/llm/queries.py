@@ -24,4 +24,5 @@ ORACLE_SQL = {
     "op1_ngram_jaccard_join": jaccard_join.SQL,
     "op10_exact_top_k": topk.SQL,
     "op11_quality_rules": repetition.SQL,
+    "op12_conversation_repair": conversations.SQL,
 }
