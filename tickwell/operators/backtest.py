@@ -45,15 +45,30 @@ def rebalance_mask(rule: str, w) -> Column:  # noqa: ANN001
     return F.coalesce(key != F.lead(key).over(w), F.lit(True))
 
 
-def portfolio(prices: DataFrame, targets: DataFrame, rebalance: str = "M", fee_bps: float = 5.0, slippage_bps: float = 0.0, capital: float = 1.0) -> DataFrame:
+def masked(targets: DataFrame, tradeable: DataFrame) -> DataFrame:
+    """Targets (symbol, ts, weight) with nothing in what cannot be traded (symbol, ts, tradeable; a missing row cannot).
+
+    Where something is still wanted long, the rest of that time is long only and adds up to one; else its weights stay as they are.
+    """
+    rows = targets.join(tradeable.select("symbol", "ts", "tradeable"), ["symbol", "ts"], "left")
+    free = F.when(F.coalesce("tradeable", F.lit(False)), F.coalesce("weight", F.lit(0.0))).otherwise(0.0)
+    rows = rows.withColumn("weight", free).withColumn("__long", F.sum(F.greatest("weight", F.lit(0.0))).over(Window.partitionBy("ts")))
+    weight = F.when(F.col("__long") > 0, F.try_divide(F.greatest("weight", F.lit(0.0)), F.col("__long"))).otherwise(F.col("weight"))
+    return rows.withColumn("weight", weight).drop("__long", "tradeable")
+
+
+def portfolio(prices: DataFrame, targets: DataFrame, rebalance: str = "M", fee_bps: float = 5.0, slippage_bps: float = 0.0, capital: float = 1.0, tradeable: DataFrame | None = None) -> DataFrame:
     """(ts, ret, turnover, gross, equity) of target weights (symbol, ts, weight) over prices (symbol, ts, close).
 
     Weights known at one bar are wanted from the next. They are taken up on rebalance bars, and on any bar
     while nothing is held; in between the last ones stay, without drift. As a held row is always
     some earlier wanted row, it is the latest one that was taken up: the latest rebalance bar, or a later bar at which the
-    book was still empty, whichever came last.
+    book was still empty, whichever came last. With ``tradeable``, targets are ``masked`` by it first.
     """
     w = W.ordered()
+    if tradeable is not None:
+        every = prices.select("symbol", "ts").join(targets.select("symbol", "ts", "weight"), ["symbol", "ts"], "left")
+        targets = masked(every, tradeable)
     rows = prices.select("symbol", "ts", "close").join(targets.select("symbol", "ts", F.col("weight").alias("__w")), ["symbol", "ts"], "left")
     rows = rows.withColumns({"__want": F.coalesce(W.lag(F.coalesce("__w", F.lit(0.0)), 1, w), F.lit(0.0)), "__r": F.coalesce(F.try_divide(F.col("close"), W.lag("close", 1, w)) - 1, F.lit(0.0))})
     days = rows.groupBy("ts").agg(F.sum(F.abs("__want")).alias("__gross"))
@@ -107,6 +122,34 @@ def performance(equity: DataFrame, by: Sequence[str] = ("symbol",), periods: flo
     return out.withColumn("calmar", F.try_divide(F.col("cagr"), F.nullif(F.abs("max_drawdown"), F.lit(0.0))))
 
 
+def metrics_table(returns: DataFrame, by: Sequence[str] = ("symbol",), benchmark: DataFrame | None = None, periods: float = 252.0) -> DataFrame:
+    """(by, cagr, sharpe, max_drawdown, volatility, sortino, calmar, win_rate, beta, alpha) of returns (by, ts, ret).
+
+    ``cagr`` is the annualised mean, as in the published table without its optional package. ``benchmark``: (ts, ret), 0 where it is missing;
+    beta is the covariance over the benchmark's variance, alpha what is left of the mean, annualised. Without one both are null.
+    """
+    known = returns.where(F.col("ret").isNotNull())
+    known = known.withColumn("__eq", W.compounded("ret", W.expanding(tuple(by)))).withColumn("__dd", W.drawdown("__eq", W.expanding(tuple(by))))
+    known = known.join(benchmark.select("ts", F.col("ret").alias("__b")), "ts", "left").withColumn("__b", F.coalesce("__b", F.lit(0.0))) if benchmark is not None else known.withColumn("__b", F.lit(None).cast("double"))
+    r, year = F.col("ret"), math.sqrt(periods)
+    down = F.sqrt(F.avg(F.least(r, F.lit(0.0)) ** 2))
+    out = known.groupBy(*by).agg(
+        (F.avg(r) * periods).alias("cagr"), sharpe("ret", periods).alias("sharpe"), F.min("__dd").alias("max_drawdown"), (F.stddev_samp(r) * year).alias("volatility"), F.try_divide(F.avg(r) * year, F.nullif(down, F.lit(0.0))).alias("sortino"),
+        F.avg((r > 0).cast("double")).alias("win_rate"), F.try_divide(F.covar_samp(r, "__b"), F.nullif(F.var_samp("__b"), F.lit(0.0))).alias("beta"), F.avg(r).alias("__m"), F.avg("__b").alias("__mb"),
+    )
+    out = out.withColumns({"calmar": F.try_divide(F.col("cagr"), F.nullif(F.abs("max_drawdown"), F.lit(0.0))), "alpha": (F.col("__m") - F.col("beta") * F.col("__mb")) * periods})
+    return out.select(*by, "cagr", "sharpe", "max_drawdown", "volatility", "sortino", "calmar", "win_rate", "beta", "alpha")
+
+
+def trailing_returns(returns: DataFrame, by: Sequence[str] = ("symbol",), lengths: dict[str, int] | None = None) -> DataFrame:
+    """(by, ret_1m, ret_3m): what the last 21 and 63 returns compound to; null where there are fewer."""
+    lengths = {"ret_1m": 21, "ret_3m": 63} if lengths is None else lengths
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("ts")))
+    rows = returns.where(F.col("ret").isNotNull()).withColumn("__k", place).where(F.col("__k") <= max(lengths.values()))
+    last = lambda n: F.when(F.count(F.when(F.col("__k") <= n, 1)) == n, F.product(F.when(F.col("__k") <= n, 1 + F.col("ret"))) - 1)
+    return rows.groupBy(*by).agg(*[last(n).alias(name) for name, n in lengths.items()])
+
+
 def trade_stats(fills: DataFrame) -> DataFrame:
     """One row over fills (symbol, side, qty, price, fee): counts, notional of either side, fees, symbols."""
     money, buy = F.col("qty") * F.col("price"), F.col("side") == "buy"

@@ -62,6 +62,41 @@ h AS (SELECT q.symbol, q.ts, q.ar, coalesce(o.want, 0) AS held FROM q JOIN fr US
 b AS (SELECT *, abs(held - coalesce(lag(held) OVER {w()}, 0)) AS turn FROM h), z AS (SELECT ts, sum(held * ar) - sum(turn) * 0.0005 AS ret, sum(turn) AS turnover, sum(abs(held)) AS gross FROM b GROUP BY ts)
 SELECT {KEY}, {r('ret', 'ret')}, {r('turnover', 'turnover')}, {r('gross', 'gross')}, {r('product(1 + ret) OVER (ORDER BY ts)', 'equity')} FROM z"""
 
+
+
+def _masked(spark, d):  # noqa: ANN001, ANN202
+    bars = order_bars_1w(spark, d)
+    free = bars.select("symbol", "ts", ((F.weekofyear("ts") + F.ascii("symbol")) % 4 != 0).alias("tradeable")).where(F.weekofyear("ts") % 13 != 0)
+    tilt = F.when(F.month("ts") % 3 == 0, -0.3).otherwise((F.ascii("symbol") - 48) / 15.0)
+    return B.portfolio(bars, bars.withColumn("weight", F.when(F.col("symbol") != "5-LOW", tilt)), "M", tradeable=free)
+
+
+QUERIES["portfolio_masked"] = lambda spark, d: shown(_masked(spark, d), ("ts",), ["ret", "turnover", "gross", "equity"])
+SQL["portfolio_masked"] = f"""WITH {ORDER_BARS_1W}, w0 AS (SELECT *, coalesce({_RET}, 0) AS ar, CASE WHEN week(ts) % 13 <> 0 AND (week(ts) + ascii(symbol)) % 4 <> 0 AND symbol <> '5-LOW' THEN CASE WHEN month(ts) % 3 = 0 THEN -0.3 ELSE (ascii(symbol) - 48) / 15.0 END ELSE 0 END AS free FROM bars),
+w1 AS (SELECT *, sum(greatest(free, 0)) OVER (PARTITION BY ts) AS long FROM w0), wt AS (SELECT *, CASE WHEN long > 0 THEN greatest(free, 0) / long ELSE free END AS weight FROM w1),
+q AS (SELECT *, coalesce(lag(weight) OVER {w()}, 0) AS want FROM wt), days AS (SELECT ts, sum(abs(want)) AS g FROM q GROUP BY ts),
+m AS (SELECT *, coalesce(date_trunc('month', ts) <> lead(date_trunc('month', ts)) OVER (ORDER BY ts), true) AS mask FROM days),
+seg AS (SELECT *, sum(CAST(mask AS INT)) OVER (ORDER BY ts) AS seg FROM m), fr AS (SELECT ts, coalesce(min(CASE WHEN g >= 1e-15 THEN ts END) OVER (PARTITION BY seg ORDER BY ts), ts) AS since FROM seg),
+h AS (SELECT q.symbol, q.ts, q.ar, coalesce(o.want, 0) AS held FROM q JOIN fr USING (ts) LEFT JOIN q o ON o.symbol = q.symbol AND o.ts = fr.since),
+b AS (SELECT *, abs(held - coalesce(lag(held) OVER {w()}, 0)) AS turn FROM h), z AS (SELECT ts, sum(held * ar) - sum(turn) * 0.0005 AS ret, sum(turn) AS turnover, sum(abs(held)) AS gross FROM b GROUP BY ts)
+SELECT {KEY}, {r('ret', 'ret')}, {r('turnover', 'turnover')}, {r('gross', 'gross')}, {r('product(1 + ret) OVER (ORDER BY ts)', 'equity')} FROM z"""
+
+
+def _benchmarked(spark, d):  # noqa: ANN001, ANN202
+    rets = order_bars_1w(spark, d).select("symbol", "ts", I.change("close").alias("ret"))
+    bench = rets.groupBy("ts").agg(F.avg("ret").alias("ret")).where(F.month("ts") != 5)
+    return B.metrics_table(rets, benchmark=bench, periods=52.0).join(B.trailing_returns(rets), "symbol")
+
+
+_METRICS = ["cagr", "sharpe", "max_drawdown", "volatility", "sortino", "calmar", "win_rate", "beta", "alpha", "ret_1m", "ret_3m"]
+QUERIES["metrics_table"] = lambda spark, d: shown(_benchmarked(spark, d), ("symbol",), _METRICS)
+SQL["metrics_table"] = f"""WITH {ORDER_BARS_1W}, v AS (SELECT symbol, ts, {_RET} AS ret FROM bars), m AS (SELECT ts, avg(ret) AS b FROM v WHERE month(ts) <> 5 GROUP BY ts),
+x AS (SELECT v.symbol, v.ts, ret, coalesce(b, 0) AS b, product(1 + ret) OVER (PARTITION BY v.symbol ORDER BY v.ts) AS eq, row_number() OVER (PARTITION BY v.symbol ORDER BY v.ts DESC) AS k FROM v LEFT JOIN m USING (ts) WHERE ret IS NOT NULL),
+y AS (SELECT *, eq / max(eq) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS dd FROM x),
+a AS (SELECT symbol, avg(ret) * 52 AS cagr, avg(ret) / stddev_samp(ret) * sqrt(52) AS sharpe, min(dd) AS max_drawdown, stddev_samp(ret) * sqrt(52) AS volatility, avg(ret) * sqrt(52) / sqrt(avg(least(ret, 0) * least(ret, 0))) AS sortino, avg(CAST(ret > 0 AS INT)) AS win_rate,
+  covar_samp(ret, b) / var_samp(b) AS beta, avg(ret) AS mr, avg(b) AS mb, product(1 + ret) FILTER (WHERE k <= 21) - 1 AS ret_1m, product(1 + ret) FILTER (WHERE k <= 63) - 1 AS ret_3m FROM y GROUP BY symbol),
+z AS (SELECT *, cagr / abs(max_drawdown) AS calmar, (mr - beta * mb) * 52 AS alpha FROM a) SELECT symbol, {', '.join(r(c, c) for c in _METRICS)} FROM z"""
+
 QUERIES["tsmom_sweep"] = lambda spark, d: shown(B.sweep(order_bars_1w(spark, d), spark.createDataFrame([(4,), (12,), (26,)], "lookback int"), "tsmom", periods=52.0), ("symbol", "lookback"), ["total_return", "sharpe", "max_drawdown", "trades"])
 SQL["tsmom_sweep"] = f"""WITH {ORDER_BARS_1W}, g AS (SELECT unnest([4, 12, 26]) AS lookback), s AS (SELECT *, coalesce({_RET}, 0) AS ar, coalesce(sign(close / nullif(lag(close, 4) OVER {w()}, 0) - 1), 0) AS s4, coalesce(sign(close / nullif(lag(close, 12) OVER {w()}, 0) - 1), 0) AS s12,
   coalesce(sign(close / nullif(lag(close, 26) OVER {w()}, 0) - 1), 0) AS s26 FROM bars), x AS (SELECT s.*, lookback, CASE lookback WHEN 4 THEN s4 WHEN 12 THEN s12 ELSE s26 END AS sig FROM s, g),
@@ -143,6 +178,35 @@ SELECT variant, n, {r('mean', 'mean')}, {r('sd', 'sd')}, {r('skew', 'skew')}, {r
 
 QUERIES["deflated_sharpe"] = lambda spark, d: shown(N.deflated_sharpe(_variants(spark, d), "ret", ("variant",), 20, 0.05), ("variant",), ["psr", "dsr"])
 
+#: The normal distribution function by its series, through the logarithm of the gamma function.
+_CDF = "greatest(0.0, least(1.0, 0.5 + sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 170), lambda k: exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - lgamma(2 * k + 2) + k * ln(2.0) + lgamma(k + 1))))))"
+_MOMENTS = """m AS (SELECT {by}, n, mean, sd, CASE WHEN n >= 3 THEN (m3 - 3 * mean * m2 + 2 * pow(mean, 3)) / pow(sd, 3) ELSE 0 END AS skew, CASE WHEN n >= 3 THEN (m4 - 4 * mean * m3 + 6 * pow(mean, 2) * m2 - 3 * pow(mean, 4)) / pow(sd, 4) ELSE 3 END AS kurt, mean / sd AS sr
+  FROM (SELECT {by}, count(ret) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd, avg(ret * ret) AS m2, avg(pow(ret, 3)) AS m3, avg(pow(ret, 4)) AS m4 FROM v GROUP BY ALL))"""
+_Z = "(sr - {best}) * sqrt(greatest(1.0, n - 1.0)) / sqrt(greatest(1e-12, 1 - skew * sr + (kurt - 1) / 4 * sr * sr))"
+SQL["deflated_sharpe"] = f"""WITH {ORDER_BARS_1W}, v AS (SELECT symbol AS variant, {_RET} AS ret FROM bars), {_MOMENTS.format(by='variant')},
+z AS (SELECT variant, {_Z.format(best='0.0')} AS z0, {_Z.format(best=repr(N.expected_max_sharpe(20, 0.05)))} AS z1 FROM m) SELECT variant, {r(_CDF.format(z='z0'), 'psr')}, {r(_CDF.format(z='z1'), 'dsr')} FROM z"""
+
+
+def _oos(spark, d):  # noqa: ANN001, ANN202
+    later = F.row_number().over(W.ordered()) > (F.ascii("symbol") - 48) * 10
+    rows = order_bars_1w(spark, d).select("symbol", "ts", I.change("close").alias("ret"), later.alias("use")).where("use")
+    return N.oos_statistics(rows.select(F.col("symbol").alias("window"), F.col("ts").alias("t"), "ret"), 8, 52.0)
+
+
+QUERIES["oos_statistics"] = lambda spark, d: shown(_oos(spark, d), ("n_windows", "oos_obs", "n_blocks_used"), ["sharpe_per_bar", "oos_sharpe", "dsr", "dsr_pass", "pbo", "pbo_flag"])
+SQL["oos_statistics"] = f"""WITH {ORDER_BARS_1W}, v0 AS (SELECT symbol, ts, {_RET} AS ret, row_number() OVER {w()} AS k FROM bars), v1 AS (SELECT symbol, ts, ret FROM v0 WHERE k > (ascii(symbol) - 48) * 10 AND ret IS NOT NULL),
+p AS (SELECT symbol AS variant, ret, row_number() OVER {w()} - 1 AS i FROM v1), v AS (SELECT 1 AS one, ret FROM p), {_MOMENTS.format(by='one')},
+ws AS (SELECT stddev_samp(s) AS spread FROM (SELECT avg(ret) / stddev_samp(ret) AS s FROM p GROUP BY variant)),
+tot AS (SELECT n AS oos_obs, sr, {_Z.format(best=f'spread * {N.expected_max_sharpe(5, 1.0)!r}')} AS z FROM m, ws), dense AS (SELECT variant, i, coalesce(ret, 0) AS ret, n FROM (SELECT DISTINCT variant FROM p) CROSS JOIN (SELECT unnest(range(max(i) + 1)) AS i, max(i) + 1 AS n FROM p) LEFT JOIN p USING (variant, i)),
+s AS (SELECT CAST(i // (n // 8) AS INT) AS block, variant, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM dense WHERE i // (n // 8) < 8 GROUP BY ALL),
+k AS (SELECT range AS mask FROM range(256) WHERE bit_count(range) = 4), a AS (SELECT mask, variant, (mask >> block) & 1 = 1 AS train, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM k, s GROUP BY ALL),
+z AS (SELECT mask, variant, train, coalesce((s / n) / nullif(sqrt(greatest(0, (q - n * (s / n) * (s / n)) / (n - 1))), 0), 0) AS sr FROM a),
+f AS (SELECT mask, variant FROM (SELECT mask, variant, row_number() OVER (PARTITION BY mask ORDER BY sr DESC, variant) AS k FROM z WHERE train) WHERE k = 1),
+o AS (SELECT f.mask, z.sr AS own FROM f JOIN z ON z.mask = f.mask AND z.variant = f.variant AND NOT z.train), c AS (SELECT mask, sum(CAST(sr > own + 1e-12 AS INT)) AS better, count(*) AS v FROM z JOIN o USING (mask) WHERE NOT train GROUP BY mask),
+pb AS (SELECT avg(CAST((better + 1) / (v + 1) >= 0.5 AS INT)) AS pbo FROM c), fin AS (SELECT oos_obs, sr, {_CDF.format(z='z')} AS dsr, pbo FROM tot, pb)
+SELECT 5 AS n_windows, oos_obs, 8 AS n_blocks_used, {r('sr', 'sharpe_per_bar')}, {r('sr * sqrt(52)', 'oos_sharpe')}, {r('dsr', 'dsr')}, dsr > 0 AS dsr_pass, {r('pbo', 'pbo')}, pbo > 0.5 AS pbo_flag FROM fin"""
+
+
 
 def _hypotheses(spark, d):  # noqa: ANN001, ANN202
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.pmod(F.col("p_partkey") * 7919, F.lit(10007)) / 10007.0).alias("p"))
