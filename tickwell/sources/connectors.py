@@ -11,7 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tickwell.operators.market_rules import provider as provider_of
 from tickwell.sources.bars import BARS, normalize, synthetic
+from tickwell.sources.shared import stored
+
+#: Public venues of candles.
+VISION = "https://data-api.binance.vision/api/v3/klines?symbol={symbol}&interval={interval}&limit={limit}"
+FAPI = "https://fapi.binance.com/fapi/v1/klines?symbol={symbol}&interval={interval}&limit={limit}"
 
 
 class _Symbol(InputPartition):
@@ -91,6 +97,85 @@ def load_cache(spark: SparkSession, path: str, provider: str, interval: str, sym
         return None
 
 
+def fetch_cached(
+    spark: SparkSession, symbols: list[str], clients: dict[str, str], folder: str | None = None, market: str = "auto", provider: str = "auto", interval: str = "1d", start: str | None = None, end: str | None = None,
+    use_cache: bool = True, force_refresh: bool = False, **options: str,
+) -> DataFrame:
+    """Bars of ``symbols``, each by its own provider: from the cache in ``folder`` where it has the same request, else from the provider's client, and then saved.
+
+    ``clients``: the client (``module:name``) of each provider. A request is known by provider, market, interval, start and end, which are the
+    partitions of the cache, and by its symbol. What is missing of one provider is one read with a partition a symbol; a symbol that
+    comes back empty is not saved. ``force_refresh`` reads all anew and overwrites; an unreadable cache is a miss.
+    """
+    wanted = spark.createDataFrame([(s,) for s in dict.fromkeys(symbols)], "symbol string").select("symbol", (provider_of(F.col("symbol"), F.lit(market)) if provider == "auto" else F.lit(provider)).alias("provider"))
+    routed: dict[str, list[str]] = {}
+    for r in wanted.collect():  # a row a symbol asked for
+        routed.setdefault(r.provider, []).append(r.symbol)
+    if unknown := set(routed) - set(clients):
+        raise ValueError(f"no client for {', '.join(sorted(map(str, unknown)))}")
+    parts = []
+    for name, own in routed.items():
+        path = None if folder is None or not use_cache else f"{folder.rstrip('/')}/provider={name}/market={market}/interval={interval}/start={start or 'na'}/end={end or 'na'}"
+        held = None
+        if path is not None and not force_refresh:
+            try:
+                held = spark.read.schema(BARS).parquet(path).where(F.col("symbol").isin(own))
+                have = {r.symbol for r in held.select("symbol").distinct().collect()}
+            except Exception:  # noqa: BLE001  a cache that cannot be read is a miss
+                held = None
+        have = have if held is not None else set()
+        if have:
+            parts.append(held)
+        if rest := [s for s in own if s not in have]:
+            span = {k: str(int(datetime.fromisoformat(v).replace(tzinfo=UTC).timestamp() * 1000)) for k, v in (("start", start), ("end", end)) if v is not None}
+            new = normalize(fetch(spark, clients[name], rest, interval=interval, **span, **options))
+            if path is not None:
+                # A forced refresh replaces the symbols that it read; others of the same request stay.
+                new = stored(new, "fetched")
+                keep = None
+                if force_refresh:
+                    try:
+                        keep = stored(spark.read.schema(BARS).parquet(path).where(~F.col("symbol").isin(rest)), "kept")
+                    except Exception:  # noqa: BLE001
+                        keep = None
+                if not new.isEmpty():
+                    (new if keep is None else new.unionByName(keep)).write.mode("overwrite" if force_refresh else "append").parquet(path)
+            parts.append(new)
+    out = parts[0] if parts else spark.createDataFrame([], BARS)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def rest_urls(symbol: str, interval: str, limit: int, template: str | None = None, prefer_vision: bool = True) -> list[tuple[str, str]]:
+    """(venue, url) in the order in which they are tried, each url once; the futures venue is always the last resort."""
+    made = [("binance_vision", VISION)] * prefer_vision + ([("rest_template", template)] if template else []) + [("binance_fapi", FAPI)]
+    urls = [(venue, t.format(symbol=symbol, interval=interval, limit=limit)) for venue, t in made]
+    return [(v, u) for i, (v, u) in enumerate(urls) if v != "binance_fapi" or u not in [x for _, x in urls[:i]]]
+
+
+def venue_bars(spark: SparkSession, symbol: str, get: Callable[[str], str], folder: str | None = None, interval: str = "1h", limit: int = 500, template: str | None = None, prefer_vision: bool = True, least: int = 10) -> tuple[DataFrame, str, str | None]:
+    """(bars, venue, note): the first of ``rest_urls`` that gives ``least`` bars, saved by venue and interval if there is a folder. ``get`` reads a url as text.
+
+    If none does, the bars are empty, the venue is ``none`` and the note tells what each one said.
+    """
+    said = []
+    for venue, url in rest_urls(symbol, interval, limit, template, prefer_vision):
+        try:
+            bars = normalize(klines(spark, spark.createDataFrame([(get(url),)], "value string"), symbol))
+            n = bars.count()
+            if n < least:
+                said.append(f"{venue}:too_few_rows={n}")
+                continue
+        except Exception as e:  # noqa: BLE001  the next venue may do
+            said.append(f"{venue}:{type(e).__name__}")
+            continue
+        if folder is not None:
+            save_cache(bars, folder, venue, interval)
+        return bars, venue, None
+    return spark.createDataFrame([], BARS), "none", "; ".join(said) or "no_urls"
+
+
 def load_bars(spark: SparkSession, source: str, tiers: dict[str, Callable[[], DataFrame | None]], min_rows: int = 10) -> tuple[DataFrame, str, str]:
     """(bars, tier used, note). ``auto`` tries rest, cache, parquet and fixture in turn; ``venue`` the same without the fixture; any other name only itself. A tier fails by raising, by None or with too few rows."""
     order = {"auto": ["rest", "cache", "parquet", "fixture"], "venue": ["rest", "cache", "parquet"]}.get(source, [source])
