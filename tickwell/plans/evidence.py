@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickwell.operators import documents as D
+from tickwell.operators import filings as K
 from tickwell.operators import intervals as V
 from tickwell.operators import lineage as N
 from tickwell.operators import replay as P
@@ -271,3 +272,29 @@ SELECT study, rule, place AS "at" FROM s JOIN rules USING (f)
 UNION ALL SELECT study, 'L16', '63/gap/' || h FROM s, range(1, 6) AS t(h) WHERE f = 14 OR (f = 13 AND h <> 2)
 UNION ALL SELECT study, 'L3', strftime(t, '%Y-%m-%d') FROM s, weeks WHERE f = 3 AND i = 40
 """
+
+
+def _filings(spark: SparkSession, d: str) -> DataFrame:
+    """Yearly quantities of suppliers as reported facts: documents of facts and of filings, read back by selectors at a cutoff."""
+    k, y = F.col("k"), F.col("y")
+    year = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.year("l_shipdate").alias("y")).agg(F.sum("l_quantity").alias("val"))
+    accn = F.concat(F.lit("a"), k, F.lit("-"), y)
+    fact = F.struct(F.concat(y, F.lit("-01-01")).alias("start"), F.concat(y, F.lit("-12-31")).alias("end"), "val", accn.alias("accn"), y.alias("fy"), F.lit("FY").alias("fp"), F.lit("10-K").alias("form"))
+    facts = year.withColumn("f", F.explode(F.when((k + y) % 5 == 2, F.array(fact, fact)).otherwise(F.array(fact)))).groupBy("k").agg(F.sort_array(F.collect_list("f")).alias("f"))
+    facts = facts.select(k.cast("string").alias("entity"), F.to_json(F.struct(F.struct(F.struct(F.struct(F.struct(F.col("f").alias("units/1")).alias("units")).alias("Quantity")).alias("us-gaap")).alias("facts"))).alias("value"))
+    filed = year.where((k + y) % 5 != 3).groupBy("k").agg(F.sort_array(F.collect_list(F.struct(accn.alias("a"), F.concat(y + 1, F.lit("-02-01T00:00:00Z")).alias("t")))).alias("f"))
+    filed = filed.select(k.cast("string").alias("entity"), F.to_json(F.struct(F.struct(F.struct(F.col("f.a").alias("accessionNumber"), F.col("f.t").alias("acceptanceDateTime")).alias("recent")).alias("filings"))).alias("value"))
+    unit = F.when((k + y) % 5 == 1, "units/2").otherwise("units/1")
+    selectors = year.select(accn.alias("name"), k.cast("string").alias("entity"), F.lit("us-gaap").alias("taxonomy"), F.lit("Quantity").alias("concept"), unit.alias("unit"), accn.alias("accn"), F.lit("10-K").alias("form"), y.alias("fy"), F.lit("FY").alias("fp"), F.concat(y, F.lit("-12-31")).alias("end"), F.concat(y, F.lit("-01-01")).alias("start"), F.when(k % 2 == 0, 0.5).alias("scale"), (k % 3 == 0).alias("negate"))
+    out = K.select_facts(K.facts(facts), K.accepted(filed), selectors, "2000-01-01")
+    return out.select("name", "status", (F.round("value", 6) + 0.0).alias("value"), "pointer", F.date_format("accepted_at", "yyyy-MM-dd").alias("accepted_at"))
+
+
+QUERIES["filing_facts"] = _filings
+SQL["filing_facts"] = """
+WITH t AS (SELECT l_suppkey AS k, year(l_shipdate) AS y, sum(l_quantity) AS val FROM lineitem GROUP BY ALL),
+p AS (SELECT *, sum(CASE WHEN (k + y) % 5 = 2 THEN 2 ELSE 1 END) OVER (PARTITION BY k ORDER BY y) - CASE WHEN (k + y) % 5 = 2 THEN 2 ELSE 1 END AS i FROM t)
+SELECT name, status, CASE WHEN status = 'ok' THEN round(val * CASE WHEN k % 2 = 0 THEN 0.5 ELSE 1 END * CASE WHEN k % 3 = 0 THEN -1 ELSE 1 END, 6) + 0.0 END AS value, pointer, accepted_at FROM (
+  SELECT 'a' || k || '-' || y AS name, k, val, CASE WHEN (k + y) % 5 = 1 THEN 'missing' WHEN (k + y) % 5 = 2 THEN 'ambiguous' WHEN (k + y) % 5 = 3 THEN 'unaccepted' WHEN y >= 1999 THEN 'late' ELSE 'ok' END AS status,
+    CASE WHEN (k + y) % 5 <> 1 THEN '/facts/us-gaap/Quantity/units/units~11/' || CAST(i AS BIGINT) END AS pointer, CASE WHEN (k + y) % 5 <> 3 THEN (y + 1) || '-02-01' END AS accepted_at FROM p)
+"""
