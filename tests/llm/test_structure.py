@@ -262,7 +262,7 @@ def test_queries_over_the_smallest_tables(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-@pytest.mark.parametrize("name", ["op11_quality_rules", "op12_conversation_repair"])
+@pytest.mark.parametrize("name", ["op11_quality_rules", "op12_conversation_repair", "op13_periodic_runs"])
 def test_queries_agree_with_sql(spark, name):
     import duckdb
 
@@ -274,7 +274,7 @@ def test_queries_agree_with_sql(spark, name):
     want = con.sql(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, at).toPandas()[list(want.columns)]
     key = want.columns[0]
-    assert got.sort_values(key).reset_index(drop=True).astype(str).equals(want.sort_values(key).reset_index(drop=True).astype(str))
+    assert got.sort_values(key).reset_index(drop=True).astype(object).fillna(-1).astype(str).replace(r"\.0$", "", regex=True).equals(want.sort_values(key).reset_index(drop=True).astype(object).fillna(-1).astype(str).replace(r"\.0$", "", regex=True))
 
 
 def test_repair_sql_agrees_on_odd_conversations():

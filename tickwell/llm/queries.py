@@ -25,4 +25,5 @@ ORACLE_SQL = {
     "op10_exact_top_k": topk.SQL,
     "op11_quality_rules": repetition.SQL,
     "op12_conversation_repair": conversations.SQL,
+    "op13_periodic_runs": runs.SQL,
 }

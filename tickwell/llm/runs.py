@@ -258,3 +258,29 @@ def digests(found: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     short_batches(spark)
     return digests(periodic_runs(table(spark, sf_dir, "documents")))
+
+
+def _sql() -> str:
+    """The query in DuckDB's SQL. A run of at least max(6, 4 q) words has equal windows of five words q apart all along it, so pairs of equal windows give
+    all candidates; one that lies inside a candidate of a smaller period has not its smallest period."""
+    byte = "list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::UBIGINT)), lambda v, w: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::UBIGINT)), lambda c, b: {byte}), 4294967295::UBIGINT)"
+    empty = sha256(b"").hexdigest()
+    return rf"""
+WITH d AS (SELECT doc_id, doc_id::VARCHAR AS key, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, w, len(w) AS n, CAST({crc} AS BIGINT) AS h FROM d), g AS (SELECT *, h // 10 AS g FROM h), a AS (SELECT *, g % nullif(n, 0) AS a FROM g), p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+x AS (SELECT doc_id, n, i, w[CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END + 1] AS word FROM p, LATERAL (SELECT unnest(range(n)) AS i)),
+five AS (SELECT doc_id, n, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS five FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+pairs AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM five l JOIN five r ON l.doc_id = r.doc_id AND l.five = r.five AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+cand AS (SELECT doc_id, min(i) AS start, max(i) - min(i) + 5 + q AS length, q AS period FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island HAVING max(i) - min(i) + 5 + q >= greatest({LEAST_WORDS}, {LEAST_TIMES} * q)),
+runs AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cand s WHERE s.doc_id = c.doc_id AND s.period < c.period AND s.start <= c.start AND s.start + s.length >= c.start + c.length)),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY i)) AS collapsed_sha256 FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, coalesce(runs_sha256, '{empty}') AS runs_sha256, coalesce(collapsed_sha256, '{empty}') AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+SQL = _sql()
