@@ -144,6 +144,8 @@ def resolve(found: DataFrame, pointers: DataFrame, keys: Sequence[str] = ("doc",
     asked = asked.select(*keys, "pointer", "steps", F.explode(prefix).alias("p")).select(*keys, "pointer", "steps", "p.*")
     held = found.select(*keys, "path", "kind", "size", "text", "number")
     rows = asked.join(held, [*keys, "path"], "left")
+    whole = c("path") == c("pointer")  # the text of an object that is only passed through is not carried further
+    rows = rows.withColumns({"text": F.when(whole, c("text")), "number": F.when(whole, c("number"))})
     deepest = F.max_by(F.struct("reached", "kind", "size", "text", "number"), F.when(c("kind").isNotNull(), c("reached")))
     rows = rows.groupBy(*keys, "pointer").agg(F.first("steps").alias("steps"), deepest.alias("at"))
     step = F.try_element_at("steps", c("at.reached") + 1)
