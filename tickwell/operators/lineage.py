@@ -304,6 +304,10 @@ def reconciliation_problems(e: Evidence) -> DataFrame:
 
 
 def problems(found: DataFrame) -> DataFrame:
-    """(doc, rule, at) of all rules above, for a node table with the columns target and doc."""
+    """(doc, rule, at) of all rules above, for a node table with the columns target and doc. Each set of rules is a query of its own, whose rows are written."""
     e = evidence(found)
-    return citation_problems(e).unionByName(inventory_problems(e)).unionByName(time_problems(e)).unionByName(reconciliation_problems(e))
+    parts = [stored(rules(e), rules.__name__) for rules in (citation_problems, inventory_problems, time_problems, reconciliation_problems)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
