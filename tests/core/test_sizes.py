@@ -1,6 +1,9 @@
 """Tables that grow stay out of the driver: joins with them merge, whatever Spark takes their size for."""
 
+from pyspark.sql import functions as F
+
 from tickwell.operators import intervals as V
+from tickwell.operators import research as R
 
 
 def plan(df, capsys):
@@ -20,3 +23,10 @@ def test_active_flags_are_counted_by_cell_and_not_broadcast(spark, capsys):
         hit = [x for x in f if (x.driver, x.target) == (r.driver, r.target) and x.effective <= r.evaluation and (x.resolved is None or r.evaluation < x.resolved)]
         assert r.active == len(hit) and r.codes == sorted({x.code for x in hit if x.code}) and r.falsified == (r.study % 4 == 0 and r.study % 25 <= r.evaluation)
         assert r.statistical == ("invalidated" if hit else "descriptive_only" if r.falsified else "accepted")
+
+
+def test_metrics_of_gates_are_not_broadcast(spark, capsys):
+    metrics = spark.range(30).select(F.col("id").alias("run_id"), F.explode(F.expr("array('pc', 'pbo', 'pbo')")).alias("metric"), F.lit(0.01).alias("value"))
+    out = R.gates(metrics)
+    assert plan(out, capsys).count("BroadcastExchange") == 1  # the rules
+    assert out.where("gate = 'gate1_contamination'").select("passed", "missing").distinct().collect() == [(False, ["isolation_days"])]

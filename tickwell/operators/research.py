@@ -71,7 +71,7 @@ def gates(metrics: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
     spark = metrics.sparkSession
     rules = spark.createDataFrame(list(GATES), "gate string, metric string, op string, threshold double")
     need = metrics.select(*by).distinct().crossJoin(F.broadcast(rules))
-    rows = need.join(metrics, [*by, "metric"], "left")
+    rows = need.join(metrics.hint("merge"), [*by, "metric"], "left")  # never sent whole: the size of exploded metrics is not known beforehand
     ok = F.when(F.col("op") == ">=", F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
     told = F.concat_ws(" ", "metric", "op", F.col("threshold").cast("string"))
     return rows.groupBy(*by, "gate").agg(
