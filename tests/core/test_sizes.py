@@ -30,3 +30,13 @@ def test_metrics_of_gates_are_not_broadcast(spark, capsys):
     out = R.gates(metrics)
     assert plan(out, capsys).count("BroadcastExchange") == 1  # the rules
     assert out.where("gate = 'gate1_contamination'").select("passed", "missing").distinct().collect() == [(False, ["isolation_days"])]
+
+
+def test_edges_and_what_is_known_are_not_broadcast(spark, capsys, monkeypatch):
+    seen = []
+    edges = spark.range(1, 40).selectExpr("id AS src", "explode(array(2 * id, 2 * id + 1)) AS dst")
+    whole = type(edges).checkpoint
+    monkeypatch.setattr(type(edges), "checkpoint", lambda df, *a: (seen.append(plan(df, capsys)), whole(df, *a))[1])
+    got = {r.node: r.depth for r in R.reachable(edges, spark.range(3, 4).selectExpr("id AS node")).collect()}
+    assert seen and not any("Broadcast" in p for p in seen)
+    assert got == {n: n.bit_length() - 2 for n in range(3, 80) if bin(n)[2:4] == "11"}

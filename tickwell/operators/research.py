@@ -84,13 +84,13 @@ def verdict(of_gates: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """(root, node, depth): nodes reachable from each root over edges (src, dst), at their least depth. Each round joins only what the last one found; paths longer than ``most`` raise."""
+    """(root, node, depth): nodes reachable from each root over edges (src, dst), at their least depth. Each round joins only what the last one found, by shuffles: neither the edges nor what is known go through the driver. Paths longer than ``most`` raise."""
     checkpoints(edges.sparkSession)
     frontier = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct()
     seen = frontier
     for depth in range(1, most + 1):
-        step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("root", F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct()
-        frontier = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").checkpoint()
+        step = frontier.join(edges.select(F.col("src").alias("node"), "dst").hint("merge"), "node").select("root", F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct()
+        frontier = step.join(seen.select("root", "node").hint("merge"), ["root", "node"], "left_anti").checkpoint()
         if not frontier.limit(1).count():
             return seen
         seen = seen.unionByName(frontier)
