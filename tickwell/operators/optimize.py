@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickwell.sources.shared import stored
+
 
 def shrink(returns: np.ndarray, method: str = "constant_correlation") -> tuple[np.ndarray, float]:
     """Covariance (1/T) drawn towards equal correlations, or towards its diagonal, as far as its estimation error asks for; and that intensity. Flat series keep a zero row."""
@@ -40,53 +42,103 @@ def shrink(returns: np.ndarray, method: str = "constant_correlation") -> tuple[n
     return (out + (1e-15 - low) * np.eye(n) if low < 1e-15 else out), alpha
 
 
-def moments(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, i, j, s, p, a, b), i <= j: means over time of x_i x_j, of its squared error, and of the third-order terms x_i^3 x_j and x_i x_j^3 less their products.
+#: Assets of a block, about: a task holds the series of two blocks and matrices of their pairs.
+BLOCK = 512
+_MOMENTS = ("s", "p", "a", "b", "vi", "vj")
 
-    ``returns``: (by, t, asset, ret), once each. Times at which an asset of the group is missing do not count. Sums are combined before they are
-    shuffled; no panel is gathered.
-    """
-    keys = list(by)
-    known = returns.where("ret IS NOT NULL").select(*keys, "t", "asset", F.col("ret").cast("double").alias("ret"))
-    group = keys or [F.lit(0)]
+
+def _series(returns: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, asset, x, block, blocks): an asset's returns in the order of time, at the times at which no asset of the group is missing. Assets are dealt to blocks by hash."""
+    known = stored(returns.where("ret IS NOT NULL").select(*keys, "t", "asset", F.col("ret").cast("double").alias("ret")), "returns")
     n = known.select(*keys, "asset").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     full = known.groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("__k"))
     full = (full.join(n, keys) if keys else full.crossJoin(n)).where("__k = __n").select(*keys, "t")
-    rows = known.join(full, [*keys, "t"], "left_semi")
-    mean = F.avg("ret").over(Window.partitionBy(*group, "asset"))
-    x = rows.select(*keys, "t", "asset", (F.col("ret") - mean).alias("x"))
-    left, right = x.withColumnsRenamed({"asset": "i", "x": "u"}), x.withColumnsRenamed({"asset": "j", "x": "v"})
-    pair = left.join(right, [*keys, "t"]).where("i <= j")
-    u, v = F.col("u"), F.col("v")
-    out = pair.groupBy(*keys, "i", "j").agg(F.avg(u * v).alias("s"), F.avg(u * u * v * v).alias("p2"), F.avg(u * u * u * v).alias("a3"), F.avg(u * v * v * v).alias("b3"))
-    out = out.withColumn("p", F.col("p2") - F.col("s") * F.col("s"))
-    var = out.where("i = j").select(*keys, "i", F.col("s").alias("vi"))
-    out = out.join(var, [*keys, "i"]).join(var.withColumnsRenamed({"i": "j", "vi": "vj"}), [*keys, "j"])
-    return out.select(*keys, "i", "j", "s", "p", (F.col("a3") - F.col("vi") * F.col("s")).alias("a"), (F.col("b3") - F.col("vj") * F.col("s")).alias("b"), "vi", "vj")
+    per = known.join(full, [*keys, "t"], "left_semi").where("asset IS NOT NULL").groupBy(*keys, "asset").agg(F.array_sort(F.collect_list(F.struct("t", "ret"))).alias("x"))
+    per = per.join(n, keys) if keys else per.crossJoin(n)
+    blocks = F.ceil(F.col("__n") / BLOCK).cast("int")
+    return stored(per.select(*keys, "asset", F.col("x.ret").alias("x"), F.pmod(F.xxhash64("asset"), blocks).cast("int").alias("block"), blocks.alias("blocks")), "series")
+
+
+def _by_blocks(series: DataFrame, keys: list[str], columns: str, make: Callable[[pd.Series, dict], pd.DataFrame]) -> DataFrame:
+    """(keys, columns): ``make`` of a row of the group and of the moments of all pairs i <= j of two blocks, for every two blocks of a group. A series is sent once a block; pairs are not."""
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least("block", b).alias("left"), F.greatest("block", b).alias("right")))
+    rows = series.withColumn("__p", F.explode(pairs)).select(*series.columns, "__p.*")
+
+    def run(one: pd.DataFrame) -> pd.DataFrame:
+        first, one = one.iloc[0], one.sort_values("asset")
+        one_block = first["left"] == first["right"]
+        sides = [one[one["block"] == first[side]] for side in ("left", "right")]
+        if any(side.empty for side in sides):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        (i, u), (j, v) = ((side["asset"].to_numpy(), np.stack(side["x"].to_numpy()).astype(float)) for side in sides)
+        u, v = u - u.mean(axis=1, keepdims=True), v - v.mean(axis=1, keepdims=True)
+        t = u.shape[1]
+        at, to = np.triu_indices(len(i)) if one_block else np.indices((len(i), len(j))).reshape(2, -1)
+        s, p2, a3, b3 = ((x @ y.T / t)[at, to] for x, y in ((u, v), (u**2, v**2), (u**3, v), (u, v**3)))
+        vi, vj, i, j = (u**2).mean(axis=1)[at], (v**2).mean(axis=1)[to], i[at], j[to]
+        m = {"i": i, "j": j, "s": s, "p": p2 - s * s, "a": a3 - vi * s, "b": b3 - vj * s, "vi": vi, "vj": vj}
+        back = i > j
+        for x, y in (("i", "j"), ("a", "b"), ("vi", "vj")):
+            m[x], m[y] = np.where(back, m[y], m[x]), np.where(back, m[x], m[y])
+        out = make(first, m)
+        for k in reversed(keys):
+            out.insert(0, k, first[k])
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), columns.format(kinds["asset"])])
+    return rows.groupBy(*keys, "left", "right").applyInPandas(run, schema)
+
+
+def moments(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, i, j, s, p, a, b, vi, vj), i <= j: means over time of x_i x_j, of its squared error, of the third-order terms x_i^3 x_j and x_i x_j^3 less their products, and the two variances.
+
+    ``returns``: (by, t, asset, ret), once each. Times at which an asset of the group is missing do not count. No panel is gathered: a task multiplies two
+    blocks of series.
+    """
+    keys = list(by)
+    return _by_blocks(_series(returns, keys), keys, f"i {{0}}, j {{0}}, {', '.join(f'{m} double' for m in _MOMENTS)}", lambda _, m: pd.DataFrame(m))
+
+
+def _scales(m: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.sqrt(np.maximum(m["vi"], 1e-30)), np.sqrt(np.maximum(m["vj"], 1e-30))
+
+
+def _sums(_: pd.Series, m: dict) -> pd.DataFrame:
+    """What a shrinkage needs of the pairs of two blocks: one row."""
+    off, (di, dj), s = m["i"] != m["j"], _scales(m), m["s"]
+    whole = lambda x: float(x[off].sum())
+    return pd.DataFrame({
+        "n": [int(off.sum())], "corr": whole(s / (di * dj)), "error": float((np.where(off, 2.0, 1.0) * m["p"]).sum()), "own": float(m["p"][~off].sum()), "tilt": whole(dj / di * m["a"] + di / dj * m["b"]),
+        "ss": whole(s * s), "sd": whole(s * di * dj), "dd": whole(m["vi"] * m["vj"]),
+    })
+
+
+def _drawn(first: pd.Series, m: dict) -> pd.DataFrame:
+    """Covariances of the pairs of two blocks, drawn towards the target of their group."""
+    (di, dj), alpha, r = _scales(m), first["alpha"], first["mean_corr"]
+    target = np.where(m["i"] != m["j"], r * di * dj, m["s"])
+    return pd.DataFrame({"i": m["i"], "j": m["j"], "cov": alpha * target + (1 - alpha) * m["s"], "alpha": alpha, "mean_corr": r})
 
 
 def shrunk(returns: DataFrame, by: Sequence[str] = (), method: str = "constant_correlation") -> DataFrame:
-    """(by, i, j, cov, alpha, mean_corr), i <= j: ``shrink`` of each group from the table of its moments, in columns, for any number of assets.
+    """(by, i, j, cov, alpha, mean_corr), i <= j: ``shrink`` of each group from its moments, for any number of assets.
 
+    Moments are made twice, block by block, for the sums that give the intensity and for the covariances: that costs less than to keep them.
     The matrix is not shifted where its least eigenvalue is zero, which it is only if the intensity is zero or a series is flat.
     """
     if method not in ("constant_correlation", "diagonal"):
         raise ValueError(f"unknown method {method!r}")
     keys, c = list(by), F.col
-    m = moments(returns, by).withColumns({"di": F.sqrt(F.greatest("vi", F.lit(1e-30))), "dj": F.sqrt(F.greatest("vj", F.lit(1e-30)))})
-    off, twice = c("i") < c("j"), F.when(c("i") < c("j"), 2.0).otherwise(1.0)
-    r = F.lit(0.0) if method == "diagonal" else F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c("mean_corr")))
-    terms = m.groupBy(*keys).agg(
-        F.coalesce(F.avg(F.when(off, c("s") / (c("di") * c("dj")))), F.lit(0.0)).alias("mean_corr"), F.sum(twice * c("p")).alias("error"), F.sum(F.when(~off, c("p"))).alias("own"),
-        F.coalesce(F.sum(F.when(off, c("dj") / c("di") * c("a") + c("di") / c("dj") * c("b"))), F.lit(0.0)).alias("tilt"),
-        F.coalesce(F.sum(F.when(off, c("s") * c("s"))), F.lit(0.0)).alias("ss"), F.coalesce(F.sum(F.when(off, c("s") * c("di") * c("dj"))), F.lit(0.0)).alias("sd"), F.coalesce(F.sum(F.when(off, c("vi") * c("vj"))), F.lit(0.0)).alias("dd"),
-    )
+    names = ("corr", "error", "own", "tilt", "ss", "sd", "dd")
+    series = _series(returns, keys)
+    terms = _by_blocks(series, keys, f"n long, {', '.join(f'{x} double' for x in names)}", _sums).groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
+    mean = F.when(c("n") > 0, c("corr") / F.nullif(c("n"), F.lit(0).cast("long"))).otherwise(0.0)
+    r = F.lit(0.0) if method == "diagonal" else F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean))
     gap = 2 * (c("ss") - 2 * r * c("sd") + r * r * c("dd"))
     alpha = F.when(gap <= 1e-300, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c("error") - c("own") - r * c("tilt")) / gap)))
-    terms = terms.select(*keys, r.alias("r"), alpha.alias("alpha"))
-    out = m.join(terms, keys) if keys else m.crossJoin(terms)
-    target = F.when(off, c("r") * c("di") * c("dj")).otherwise(c("s"))
-    return out.select(*keys, "i", "j", (c("alpha") * target + (1 - c("alpha")) * c("s")).alias("cov"), "alpha", c("r").alias("mean_corr"))
+    terms = terms.select(*keys, r.alias("mean_corr"), alpha.alias("alpha"))
+    return _by_blocks(series.join(terms, keys) if keys else series.crossJoin(terms), keys, "i {0}, j {0}, cov double, alpha double, mean_corr double", _drawn)
 
 
 def covariances(returns: DataFrame, by: Sequence[str] = (), method: str = "constant_correlation") -> DataFrame:
