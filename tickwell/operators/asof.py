@@ -16,12 +16,12 @@ SLICE = "day"
 
 
 def _carried(both: DataFrame, by: Sequence[str], of_slice: Column, back: bool) -> DataFrame:
-    """(by, __slice, __carry): what the nearest earlier (or later) slice of the key with a match hands over."""
+    """(by, __slice, __carry): what the nearest earlier (or later) slice of the key with a match hands over. There are as many as keys and slices, so a join with them merges."""
     slices = both.groupBy(*by, "__slice").agg(of_slice.alias("__own"))
     w = Window.partitionBy(*by).orderBy("__slice")
     w = w.rowsBetween(Window.unboundedPreceding, -1) if back else w.rowsBetween(1, Window.unboundedFollowing)
     pick = F.last if back else F.first
-    return slices.select(*by, "__slice", pick("__own", ignorenulls=True).over(w).alias("__carry"))
+    return slices.select(*by, "__slice", pick("__own", ignorenulls=True).over(w).alias("__carry")).hint("merge")
 
 
 def _on(by: Sequence[str]) -> Column:

@@ -14,7 +14,7 @@ Tables hold many studies at once, keyed by ``study``. Windows run over one study
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tickwell.operators import asof
 from tickwell.operators.intervals import LADDER
 from tickwell.operators.leadlag import HORIZONS, OUTCOMES, WINDOWS, half_life
+from tickwell.sources.shared import stored
 
 #: Columns of sealed results besides their key.
 RESULT = (
@@ -95,7 +96,7 @@ def _close(a: Column, b: Column, near: float = 1e-9) -> Column:
 def contract_problems(s: Sealed, parts: Mapping[str, str], domain: str = "") -> DataFrame:
     """L1: each of ``parts`` (name, canonical text that is fixed, or empty for any) is there, as fixed, with the digest of its own text."""
     spark = s.studies.sparkSession
-    need = s.studies.select("study").crossJoin(spark.createDataFrame(list(parts.items()), "part string, fixed string"))
+    need = s.studies.select("study").crossJoin(F.broadcast(spark.createDataFrame(list(parts.items()), "part string, fixed string")))
     rows = need.join(s.contracts, ["study", "part"], "left")
     text = F.concat(F.lit(domain), _c("part"), F.lit("\0"), _c("json"))
     ok = ((_c("fixed") == "") | (_c("fixed") == _c("json"))) & (F.sha2(text.cast("binary"), 256) == _c("sha256"))
@@ -172,7 +173,7 @@ def member_table(s: Sealed, policy: Policy) -> DataFrame:
     at = _positions(s).withColumn("sum", F.sum(_c("usable").cast("int")).over(so_far))
     per = at.groupBy("study").agg(F.sort_array(F.collect_list(F.struct("pos", "session", "usable", "sum"))).alias("a"))  # one row a session
     k = s.lineages.groupBy("study").agg((3 + F.count(F.when(~_c("name").isin(*PRIMARY), 1))).alias("x_parameters"))
-    rows = per.join(k, "study").crossJoin(specs).withColumns({"from": F.size("a") - _c("window"), "to": F.size("a") - _c("horizon")})
+    rows = per.join(k, "study").crossJoin(F.broadcast(specs)).withColumns({"from": F.size("a") - _c("window"), "to": F.size("a") - _c("horizon")})
     rows = rows.withColumns({
         "x_expected": F.when(_c("from") < 0, 0).otherwise(F.greatest(F.lit(0), _c("window") - _c("horizon") + 1)), "train": F.greatest(F.lit(policy.oos_train), policy.per_parameter * _c("x_parameters")),
         "x_required": F.greatest(F.lit(policy.min_observations), policy.per_parameter * _c("x_parameters")),
@@ -240,7 +241,7 @@ def member_problems(s: Sealed, policy: Policy) -> DataFrame:
 def family_problems(s: Sealed, policy: Policy) -> DataFrame:
     """L13 (the family is covered once each), L14 (outcomes of one design agree), L15 (family-wide q-values), L16 (half-lives, expiry sessions, counts and the overall status)."""
     spark = s.studies.sparkSession
-    every = s.studies.select("study").crossJoin(spark.createDataFrame([(w, o, h) for w in WINDOWS for o in OUTCOMES for h in HORIZONS], "window int, outcome string, horizon int"))
+    every = s.studies.select("study").crossJoin(F.broadcast(spark.createDataFrame([(w, o, h) for w in WINDOWS for o in OUTCOMES for h in HORIZONS], "window int, outcome string, horizon int")))
     times = s.results.groupBy(*_KEY).count()
     cover = every.join(times, _KEY, "left").where("count IS NULL OR count > 1").unionByName(times.join(every, _KEY, "left_anti"), allowMissingColumns=True)
     out = cover.select("study", F.lit("L13").alias("rule"), _member().alias("at"))
@@ -296,7 +297,7 @@ def family_problems(s: Sealed, policy: Policy) -> DataFrame:
     life = _close(_c("half_life"), _c("x_half_life")) & _c("recalibration").eqNullSafe(session(F.lit(policy.recalibration))) & _c("half_life_session").eqNullSafe(session(_c("steps"))) & _c("maximum").eqNullSafe(session(F.lit(policy.validity)))
     out = out.unionByName(_told(rows, {"L16": life}, _member()))
 
-    statuses = s.studies.select("study").crossJoin(spark.createDataFrame([(x,) for x in LADDER], "status string"))
+    statuses = s.studies.select("study").crossJoin(F.broadcast(spark.createDataFrame([(x,) for x in LADDER], "status string")))
     own = s.results.groupBy("study", _c("statistical_status").alias("status")).count()
     tally = statuses.join(own, ["study", "status"], "left").fillna(0, ["count"]).join(s.counts, ["study", "status"], "left")
     out = out.unionByName(_told(tally, {"L16": _c("n") == _c("count")}, F.concat(F.lit("count/"), _c("status"))))
@@ -306,8 +307,13 @@ def family_problems(s: Sealed, policy: Policy) -> DataFrame:
 
 
 def violations(s: Sealed, parts: Mapping[str, str], families: Mapping[str, str], policy: Policy = Policy()) -> DataFrame:
-    """(study, rule, at): one row for each rule that a sealed study breaks and where; none for a study that replays."""
-    out = contract_problems(s, parts)
-    for more in (lineage_problems(s), session_problems(s), evidence_problems(s, families), member_problems(s, policy), family_problems(s, policy)):
+    """(study, rule, at): one row for each rule that a sealed study breaks and where; none for a study that replays.
+
+    Each set of rules is a query of its own, whose rows are written. Sealed tables are joined by merges: they repeat themselves, so that their files are far smaller than their rows.
+    """
+    s = Sealed(**{f.name: getattr(s, f.name).hint("merge") for f in fields(s)})
+    sets = (lambda: contract_problems(s, parts), lambda: lineage_problems(s), lambda: session_problems(s), lambda: evidence_problems(s, families), lambda: member_problems(s, policy), lambda: family_problems(s, policy))
+    out, *others = [stored(rules(), "violations") for rules in sets]
+    for more in others:
         out = out.unionByName(more)
     return out.select(_c("study").cast("long").alias("study"), "rule", "at")

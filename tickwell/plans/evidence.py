@@ -204,16 +204,17 @@ def sealed_studies(spark: SparkSession, d: str) -> P.Sealed:
     k = F.col("study")
     base = table(spark, d, "supplier").select(F.col("s_suppkey").alias("study"))
     weeks = table(spark, d, "orders").select(F.date_trunc("week", "o_orderdate").alias("t")).distinct().withColumn("i", F.row_number().over(Window.orderBy("t")) - 1)  # a row a week
+    weeks = stored(weeks, "weeks")
     ends = weeks.agg(F.count(F.lit(1)).cast("int").alias("n"))
     day = lambda t: F.date_format(t, "yyyy-MM-dd")
-    grid = base.crossJoin(weeks).select("study", "i", day("t").alias("session"), "t")
+    grid = base.crossJoin(F.broadcast(weeks)).select("study", "i", day("t").alias("session"), "t")
     hours = lambda h: F.col("t") + F.make_dt_interval(F.lit(0), F.lit(h))
     schedules = grid.select("study", F.lit("source").alias("side"), "session", hours(8).alias("open_at"), hours(20).alias("close_at")).unionByName(grid.select("study", F.lit("target").alias("side"), "session", hours(9).alias("open_at"), hours(15).alias("close_at")))
     before = weeks.select((F.col("i") + 1).alias("i"), day("t").alias("source_session"))
-    links = grid.join(before, "i").select("study", "source_session", F.col("session").alias("target_session")).where((k % 25 != 3) | (F.col("i") != 40))
+    links = grid.join(F.broadcast(before), "i").select("study", "source_session", F.col("session").alias("target_session")).where((k % 25 != 3) | (F.col("i") != 40))
     named = weeks.crossJoin(ends).agg(*[F.max(F.when(F.col("i") == p, day("t"))).alias(n) for n, p in (("s0", F.lit(0)), ("s1", F.lit(1)), ("last", F.col("n") - 1), ("est", F.col("n") - 11), ("ev2", F.col("n") - 9), ("ev4", F.col("n") - 7), ("x3", F.col("n") - 8), ("x5", F.col("n") - 6), ("b0", F.col("n") - 5))], F.max("n").cast("int").alias("n"))
     late = k % 3 == 0
-    studies = base.crossJoin(named).withColumns({"f": k % 25, "estimation": F.col("est"), "evaluation": F.when(late, F.col("ev4")).otherwise(F.col("ev2")), "e": F.col("n") - 11})
+    studies = base.crossJoin(F.broadcast(named)).withColumns({"f": k % 25, "estimation": F.col("est"), "evaluation": F.when(late, F.col("ev4")).otherwise(F.col("ev2")), "e": F.col("n") - 11})
     contracts = base.select("study", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(t or "{}").alias("json")) for p, t in PARTS.items()])).alias("c")).select("study", "c.*")
     contracts = contracts.withColumn("sha256", F.when((k % 25 == 1) & (F.col("part") == "config"), "0").otherwise(F.sha2(F.concat("part", F.lit("\0"), "json").cast("binary"), 256)))
     line = lambda name, kind, timing, first, last, n: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("return_kind"), F.lit(timing).alias("timing_domain"), F.col(first).alias("first"), F.col(last).alias("last"), n.alias("observations"))
@@ -230,7 +231,7 @@ def sealed_studies(spark: SparkSession, d: str) -> P.Sealed:
     flags = studies.where("f IN (6, 17)").select("study", F.when(F.col("f") == 6, "Bad Code").otherwise("halt").alias("code"), F.when(F.col("f") == 6, F.col("last")).otherwise(F.col("s1")).alias("effective"), F.lit(None).cast("string").alias("resolved"))
     diagnostics = studies.where("f IN (7, 18)").select("study", F.lit("regime").alias("family"), F.when(F.col("f") == 7, "primary").otherwise("auxiliary").alias("role"), F.when(F.col("f") == 18, "falsifies").otherwise("supports").alias("status"), F.col("s1").alias("as_of"))
     members = spark.createDataFrame([(w, o, h) for w in P.WINDOWS for o in P.OUTCOMES for h in P.HORIZONS], "window int, outcome string, horizon int")
-    r = studies.crossJoin(members).withColumns({
+    r = studies.crossJoin(F.broadcast(members)).withColumns({
         "here": (F.col("window") == 63) & (F.col("outcome") == "gap") & (F.col("horizon") == 2),
         "usable": F.expr("window - horizon + 1"), "driver": F.expr("(case outcome when 'gap' then 0.3D when 'intraday' then 0.2D else 0.5D end) * (1 - pow(0.6D, horizon))"), "mse": F.expr("if(outcome = 'total', 2D, 1D)"),
         "falls": F.expr("study % 3 = 0"), "ratio": F.expr("if(outcome = 'total', 1.5D, 1D)"),
@@ -244,7 +245,7 @@ def sealed_studies(spark: SparkSession, d: str) -> P.Sealed:
     gates = {g: F.lit(True) for g in true} | {"standardized_magnitude": F.col("big"), "not_expired_at_historical_evaluation": ~F.col("falls"), "no_active_point_in_time_invalidation": ~flagged, "no_auxiliary_falsification": ~falsified}
     fault = lambda f, bad, good: F.when((F.col("f") == f) & F.col("here"), bad).otherwise(good)
     life = F.lit(0.6931471805599453) / -F.log(F.lit(0.6))
-    results = r.join(weeks.select(F.col("i").alias("p"), day("t").alias("base_first")), F.expr("p = e - window + 1")).join(weeks.select(F.col("i").alias("p2"), day("t").alias("base_last")), F.expr("p2 = e - horizon + 1"))
+    results = r.join(F.broadcast(weeks.select(F.col("i").alias("p"), day("t").alias("base_first"))), F.expr("p = e - window + 1")).join(F.broadcast(weeks.select(F.col("i").alias("p2"), day("t").alias("base_last"))), F.expr("p2 = e - horizon + 1"))
     results = results.where(~((F.col("f") == 13) & F.col("here"))).select(
         "study", "window", "outcome", "horizon", "base_first", "base_last", F.col("usable").cast("long").alias("expected"), fault(8, F.lit(50), F.col("usable")).cast("long").alias("usable"), F.lit(40).cast("long").alias("required"), F.lit(4).cast("long").alias("parameters"),
         fault(14, F.col("driver") + 0.001, F.col("driver")).alias("driver"), F.col("standardized"), (F.col("driver") - 0.01).alias("low"), (F.col("driver") + 0.01).alias("high"), F.expr("(1 + horizon) / 2000D").alias("raw_p"), fault(15, F.lit(0.004), F.lit(0.003)).alias("q_value"),
@@ -255,7 +256,7 @@ def sealed_studies(spark: SparkSession, d: str) -> P.Sealed:
         primary.alias("primary_status"), F.when(flagged, "invalidated").when(every & falsified, "descriptive_only").otherwise(primary).alias("statistical_status"), reasons.alias("reasons"),
     )
     got = results.groupBy("study", F.col("statistical_status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-    counts = base.crossJoin(spark.createDataFrame([(x,) for x in V.LADDER], "status string")).join(got, ["study", "status"], "left").fillna(0, ["n"])
+    counts = base.crossJoin(F.broadcast(spark.createDataFrame([(x,) for x in V.LADDER], "status string"))).join(got, ["study", "status"], "left").fillna(0, ["n"])
     counts = counts.withColumn("n", F.when((k % 25 == 20) & (F.col("status") == "quarantined"), 1).otherwise(F.col("n")))
     overall = F.when(F.col("f") == 21, "quarantined").when(flagged, "invalidated").when(late, "expired").when(falsified, "descriptive_only").otherwise("accepted_associations")
     sealed = {"studies": studies.select("study", "estimation", "evaluation", overall.alias("overall")), "contracts": contracts, "lineages": lineages, "schedules": schedules, "links": links, "flags": flags, "diagnostics": diagnostics, "results": results, "counts": counts}
