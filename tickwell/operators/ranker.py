@@ -89,7 +89,7 @@ def prepared(panel: DataFrame, features: Sequence[str], label: str, roles: DataF
     bit = F.expr("shiftleft(1L, fold)")
     mask = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, bit)), F.lit(0).cast("long")).alias(role)
     by_date = roles.groupBy("ts").agg(mask("train"), mask("test"))
-    rows = panel.dropna(subset=[*features, label]).join(by_date, "ts")
+    rows = panel.dropna(subset=[*features, label]).join(F.broadcast(by_date), "ts")  # a row a date
     steps = [i / settings.bins for i in range(1, settings.bins)]
     first = rows.where(F.col("train").bitwiseAND(F.lit(1)) != 0).agg(*[F.percentile_approx(f, steps, 10_000).alias(f"q{i}") for i, f in enumerate(features)]).first()
     cuts = [sorted(set(first[f"q{i}"] or [])) for i in range(len(features))]
@@ -239,8 +239,9 @@ def importance(grid: Grid, spark) -> DataFrame:  # noqa: ANN001
 
 def walk_forward(panel: DataFrame, features: Sequence[str], label: str, n_splits: int = 4, test_months: int = 6, purge: int = 5, seeds: Sequence[int] = tuple(range(42, 52)), settings: Settings = Settings(trees=100), least: int = 5) -> Ranked:
     """Expanding training dates, the last ``n_splits`` blocks of months as tests, ``purge`` dates dropped before each. ``panel``: (ts, asset, features, label).
-    Rows that lack a feature or the label do not count; no fold at all raises."""
-    dates = panel.dropna(subset=[*features, label]).select("ts").distinct()
+    Rows that lack a feature or the label do not count; no fold at all raises. The rows that count and their dates are written once, as they are read several times."""
+    panel = stored(panel.dropna(subset=[*features, label]), "ranker-panel")
+    dates = stored(panel.select("ts").distinct(), "ranker-dates")
     at = dates.withColumn("pos", F.row_number().over(Window.orderBy("ts")) - 1)  # a row a date
     roles = splits.walk_forward_months(dates, n_splits, test_months, None, purge).join(at, "pos").select("ts", "fold", "role")
     return _ranked(panel, features, label, roles, seeds, settings, least)
@@ -248,7 +249,8 @@ def walk_forward(panel: DataFrame, features: Sequence[str], label: str, n_splits
 
 def holdout(panel: DataFrame, features: Sequence[str], label: str, share: float = 0.7, seed: int = 42, settings: Settings = Settings(), least: int = 5, min_train: int = 120) -> Ranked | None:
     """One model on the dates that hold the first ``share`` of the rows, tested on the later ones; None below ``min_train`` rows."""
-    per = panel.dropna(subset=[*features, label]).groupBy("ts").count()
+    panel = stored(panel.dropna(subset=[*features, label]), "ranker-panel")
+    per = panel.groupBy("ts").count()
     w = Window.orderBy("ts")  # a row a date
     counted = per.withColumns({"upto": F.sum("count").over(w), "all": F.sum("count").over(Window.partitionBy(F.lit(0)))})
     total = counted.agg(F.max("all")).first()[0] or 0
