@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 _ITEM = "~i"
 _NODE = "struct<path: string, parent: string, shape: string, name: string, place: int, depth: int, value: variant>"
 _OBJECT, _LIST = "try_variant_get({}, '$', 'map<string,variant>')", "try_variant_get({}, '$', 'array<variant>')"
+#: Fixed value: levels that are taken apart a row at a time; what is below a node of that depth is taken apart at once.
+_STEPS = 3
 #: Fixed value: an instant of RFC 3339, with its offset.
 RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})\z"
 _RULE = (
@@ -34,26 +36,57 @@ def nodes(documents: DataFrame, value: str = "value", keep: Sequence[str] = ("do
         F.lit(None).cast("int").alias("place"), F.lit(0).alias("depth"), F.try_parse_json(F.col(value)).alias("value"),
     ).cast(_NODE)
     out = documents.select(*keep, root.alias("n"))
-    child = "named_struct('path', n.path || '/' || {step}, 'parent', n.path, 'shape', n.shape || '/' || {shape}, 'name', {name}, 'place', {place}, 'depth', n.depth + 1, 'value', {value})"
-    escaped = "replace(replace(e.key, '~', '~0'), '/', '~1')"
-    of_object = child.format(step=escaped, shape=escaped, name="e.key", place="cast(null as int)", value="e.value")
-    of_list = child.format(step="i", shape=f"'{_ITEM}'", name="cast(null as string)", place="i", value="x")
-    below = f"coalesce(transform(map_entries({_OBJECT.format('n.value')}), e -> {of_object}), transform({_LIST.format('n.value')}, (x, i) -> {of_list}), array())"
-    for depth in range(most):
-        out = out.select(*keep, F.explode(F.expr(f"if(n.depth = {depth}, concat(array(n), cast({below} as array<{_NODE}>)), array(n))")).alias("n"))
+
+    def below(n: str, d: int) -> str:
+        child = f"named_struct('path', {n}.path || '/' || {{step}}, 'parent', {n}.path, 'shape', {n}.shape || '/' || {{shape}}, 'name', {{name}}, 'place', {{place}}, 'depth', {n}.depth + 1, 'value', {{value}})"
+        escaped = f"replace(replace(e{d}.key, '~', '~0'), '/', '~1')"
+        of_object = child.format(step=escaped, shape=escaped, name=f"e{d}.key", place="cast(null as int)", value=f"e{d}.value")
+        of_list = child.format(step=f"i{d}", shape=f"'{_ITEM}'", name="cast(null as string)", place=f"i{d}", value=f"x{d}")
+        both = f"coalesce(transform(map_entries({_OBJECT.format(f'{n}.value')}), e{d} -> {of_object}), transform({_LIST.format(f'{n}.value')}, (x{d}, i{d}) -> {of_list}), array())"
+        return f"cast({both} as array<{_NODE}>)"
+
+    def tree(n: str, d: int) -> str:
+        return f"concat(array({n}), flatten(transform({below(n, d)}, n{d} -> {tree(f'n{d}', d + 1)})))" if d < most else f"array({n})"
+
+    steps = min(_STEPS, most)
+    for depth in range(steps):
+        out = out.select(*keep, F.explode(F.expr(f"if(n.depth = {depth}, concat(array(n), {below('n', depth)}), array(n))")).alias("n"))
+    out = out.select(*keep, F.explode(F.expr(f"if(n.depth = {steps}, {tree('n', steps)}, array(n))")).alias("n"))
     out = out.select(*keep, "n.*").withColumns({"__o": F.expr(_OBJECT.format("value")), "__l": F.expr(_LIST.format("value"))})
-    is_text = F.col("kind") == "string"
-    kind = F.expr("schema_of_variant(value)")
-    kind = (
-        F.when(F.col("value").isNull(), "invalid").when(F.col("__o").isNotNull(), "object").when(F.col("__l").isNotNull(), "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean")
-        .when(kind == "VOID", "null").when((kind == "BIGINT") | kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "integer").otherwise("number")
-    )
+    kind = F.when(F.col("value").isNull(), "invalid").when(F.col("__o").isNotNull(), "object").when(F.col("__l").isNotNull(), "array").otherwise(_plain_kind(F.expr("schema_of_variant(value)")))
     size = F.coalesce(F.size(F.map_keys("__o")), F.size("__l"))
     deep = (F.col("depth") == most) & (size > 0)
     out = out.withColumn("kind", F.when(deep, F.raise_error(F.lit(f"a document is nested deeper than {most}"))).otherwise(kind))
-    number = F.when(F.col("kind").isin("integer", "number"), F.expr("try_variant_get(value, '$', 'double')"))
-    text = F.when(is_text, F.expr("try_variant_get(value, '$', 'string')")).otherwise(F.to_json("value"))
-    return out.select(*keep, "path", "parent", "shape", "name", "place", "depth", "value", "kind", size.alias("size"), F.map_keys("__o").alias("keys"), text.alias("text"), number.alias("number"))
+    told = [_told(F.col("value"), F.col("kind"), n).alias(n) for n in ("text", "number")]
+    return out.select(*keep, "path", "parent", "shape", "name", "place", "depth", "value", "kind", size.alias("size"), F.map_keys("__o").alias("keys"), *told)
+
+
+def _plain_kind(schema: Column) -> Column:
+    is_integer = (schema == "BIGINT") | schema.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
+    return F.when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").when(schema == "VOID", "null").when(is_integer, "integer").otherwise("number")
+
+
+def _told(value: Column, kind: Column, what: str) -> Column:
+    if what == "number":
+        return F.when(kind.isin("integer", "number"), F.try_variant_get(value, "$", "double"))
+    return F.when(kind == "string", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+
+
+def members(found: DataFrame, fields: Mapping[str, tuple[str, str]], keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` and, for each of ``fields`` (name: steps, what), the kind, text or number, as ``nodes`` tells them, of the node ``steps`` (plain
+    names with / between them; none: itself) below the column value of a node; null where there is none. Each value is looked up once."""
+    own = {s: f"__v{i}" for i, s in enumerate(dict.fromkeys(s for s, _ in fields.values()))}
+    rows = found.select(*keep, *[(F.try_variant_get("value", F.lit("$." + s.replace("/", ".")), "variant") if s else F.col("value")).alias(v) for s, v in own.items()])
+    rows = rows.select(*keep, *own.values(), *[F.schema_of_variant(v).alias(f"{v}_is") for v in own.values()])
+
+    def told(steps: str, what: str) -> Column:
+        value, schema = F.col(own[steps]), F.col(f"{own[steps]}_is")
+        if what == "text":
+            return F.when(schema == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+        kind = F.when(schema.startswith("OBJECT<"), "object").when(schema.startswith("ARRAY<"), "array").otherwise(_plain_kind(schema))
+        return F.when(value.isNotNull(), kind if what == "kind" else _told(value, kind, what))
+
+    return rows.select(*keep, *[told(*f).alias(n) for n, f in fields.items()])
 
 
 def rules(contract: str, schema: Mapping) -> list[tuple]:

@@ -60,13 +60,20 @@ NEAR = 1e-12
 _c = F.col
 
 
+def members(found: DataFrame, shape: str, fields: Mapping[str, str], keys: Sequence[str] = ("target", "doc")) -> DataFrame:
+    """(keys, at, fields): a row for each node of ``shape``, with nodes below it as columns; a name that ends in # is the number, in ? the kind, else the text.
+
+    The columns come from the node's own value, so nothing is shuffled; a document that is there twice has its rows twice.
+    """
+    what = lambda name: "number" if name.endswith("#") else "kind" if name.endswith("?") else "text"
+    rows = found.where(_c("shape") == shape).withColumn("at", _c("path"))
+    return D.members(rows, {n.rstrip("#?"): (s, what(n)) for n, s in fields.items()}, [*keys, "at"])
+
+
 def records(found: DataFrame, shape: str, fields: Mapping[str, str], keys: Sequence[str] = ("target", "doc")) -> DataFrame:
-    """(keys, at, fields): one row for each node of ``shape``, with nodes below it as columns; a name that ends in # is the number, in ? the kind, else the text."""
-    steps = shape.count("/")
-    at = F.regexp_extract("path", f"^(?:/[^/]*){{{steps}}}", 0)
-    rows = found.where(_c("shape").isin(shape, *[f"{shape}/{s}" for s in fields.values()])).withColumn("at", at)
-    own = lambda name: "number" if name.endswith("#") else "kind" if name.endswith("?") else "text"
-    return rows.groupBy(*keys, "at").agg(*[F.max(F.when(_c("shape") == f"{shape}/{s}", _c(own(n)))).alias(n.rstrip("#?")) for n, s in fields.items()])
+    """``members`` with one row for each (keys, at)."""
+    rows = members(found, shape, fields, keys)
+    return rows.groupBy(*keys, "at").agg(*[F.max(n).alias(n) for n in (n.rstrip("#?") for n in fields)])
 
 
 def _instant(text: Column) -> Column:
@@ -91,8 +98,8 @@ def inputs(found: DataFrame) -> DataFrame:
 
 
 def citations(found: DataFrame) -> DataFrame:
-    """One row for each lineage record."""
-    return records(found.where("target = 'artifact'"), "/lineage/~i", {
+    """A row for each lineage record (``members``)."""
+    return members(found.where("target = 'artifact'"), "/lineage/~i", {
         "parameter_pointer": "parameter_pointer", "source": "artifact_id", "of": "target", "json_pointer": "json_pointer", "reported": "reported_value", "reported_kind?": "reported_value", "reported_number#": "reported_value",
         "operation": "normalization/operation", "factor": "normalization/factor", "factor_number#": "normalization/factor", "available_at": "available_at",
         "available_source": "availability_ref/artifact_id", "available_of": "availability_ref/target", "available_pointer": "availability_ref/json_pointer",
@@ -100,7 +107,7 @@ def citations(found: DataFrame) -> DataFrame:
 
 
 class Evidence(NamedTuple):
-    """A node table and what is read from it; ``evidence`` writes each to the shared folder once."""
+    """A node table without texts, which are told from values where they are asked for, and what is read from it; ``evidence`` writes each to the shared folder once."""
 
     found: DataFrame
     heads: DataFrame
@@ -109,22 +116,23 @@ class Evidence(NamedTuple):
 
 
 def evidence(found: DataFrame) -> Evidence:
-    found = stored(found, "nodes")
+    found = stored(found.select("target", "doc", "path", "shape", "place", "value", "kind", "size", "keys", "number"), "nodes")
     return Evidence(found, *(stored(f(found), f.__name__) for f in (heads, inputs, citations)))
 
 
 def required(found: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pointers that each calculation must cite, (doc, pointer), and its parameters that are missing or not of its kind, (doc, rule, at).
 
-    ``kinds``: (doc, kind_of). The rule tables hold a row for each fixed field.
+    ``kinds``: (doc, kind_of). The rule tables hold a row for each fixed field and are broadcast: they have a few keys, which all documents share.
     """
     spark = found.sparkSession
     cited = [(k, p, f if isinstance(f, str) else f[0], None if isinstance(f, str) else f[1]) for k, s in FIELDS.items() for p, fs in s.items() for f in fs]
     known = cited + [(k, p, f, None) for k, s in CONTAINERS.items() for p, fs in s.items() for f in fs]
-    below = found.where("target = 'artifact' AND (path = '/parameters' OR path LIKE '/parameters/%')").join(kinds, "doc")
+    below = found.where("target = 'artifact' AND kind IN ('object', 'array') AND (path = '/parameters' OR path LIKE '/parameters/%')").join(kinds, "doc")
     generic = F.regexp_replace("shape", "^(/parameters/periods/~i/fields)/[^/]+", r"$1/~k")
     below = below.select("doc", "kind_of", "path", "keys", "size", generic.alias("shape"), _c("kind").alias("node"), F.expr("try_variant_get(value, '$.included', 'string')").alias("included"))
-    table = lambda rows: spark.createDataFrame(rows, "kind_of string, shape string, field string, included_is string")
+    rule = lambda r: F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("kind_of", "shape", "field", "included_is"), r, strict=True)])
+    table = lambda rows: F.broadcast(spark.range(0, 1, 1, 1).select(F.inline(F.array(*map(rule, rows)))))
     fits = _c("included_is").isNull() | (_c("included_is") == _c("included"))
     hit = below.join(table(cited), ["kind_of", "shape"]).where(fits)
     names = F.when(_c("field") == "~i", F.expr("if(node = 'array' and size > 0, transform(sequence(0, size - 1), i -> cast(i as string)), array())"))
@@ -140,19 +148,22 @@ def required(found: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pointers, odd
 
 
-def carried(own: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node, value): the greatest value among a node's own and those of everything it rests on over ``edges`` (src rests on dst).
+def carried(own: DataFrame, edges: DataFrame, most: int = 64, values: Sequence[str] = ("value",)) -> DataFrame:
+    """(node, values): for each of ``values`` the greatest among a node's own and those of everything it rests on over ``edges`` (src rests on dst).
 
-    ``own``: (node, value). A round joins only what has changed in the one before, and the last changes nothing, so cycles end too;
+    ``own``: (node, values). A round joins only what has changed in the one before, and the last changes nothing, so cycles end too;
     a chain that is longer than ``most`` raises.
     """
     checkpoints(own.sparkSession)
-    state = own.select("node", "value").checkpoint()
+    state = own.select("node", *values).checkpoint()
     changed = state
     for _ in range(most):
-        told = edges.join(changed.withColumnRenamed("node", "dst"), "dst").groupBy(_c("src").alias("node")).agg(F.max("value").alias("news"))
-        both = state.join(told, "node", "left").select("node", F.greatest("value", "news").alias("value"), F.coalesce((_c("news") > _c("value")) | (_c("value").isNull() & _c("news").isNotNull()), F.lit(False)).alias("new")).checkpoint()
-        changed, state = both.where("new").select("node", "value"), both.select("node", "value")
+        told = edges.join(changed.withColumnRenamed("node", "dst"), "dst").groupBy(_c("src").alias("node")).agg(*[F.max(v).alias(f"news_{v}") for v in values])
+        grown = F.lit(False)
+        for v in values:
+            grown = grown | F.coalesce((_c(f"news_{v}") > _c(v)) | (_c(v).isNull() & _c(f"news_{v}").isNotNull()), F.lit(False))
+        both = state.join(told, "node", "left").select("node", *[F.greatest(v, f"news_{v}").alias(v) for v in values], grown.alias("new")).checkpoint()
+        changed, state = both.where("new").select("node", *values), both.select("node", *values)
         if changed.isEmpty():
             return state
     raise ValueError(f"a chain is longer than {most} edges")
@@ -169,26 +180,31 @@ def citation_problems(e: Evidence) -> DataFrame:
 
     parameter_unresolved, source_unresolved; reported_differs (from the cited value); normalization (an operation misused);
     parameter_differs (from the normalised value); available_late; availability_unread; availability_differs; role (the source is no input of
-    the role that the parameter needs). A citation that does not resolve breaks nothing else about values.
+    the role that the parameter needs). A citation that does not resolve breaks nothing else about values. A pointer resolves where a node has it as
+    its path, so all pointers of a citation meet the node table in one join, and those that are null meet nothing.
     """
     of, head, used = e.citations, e.heads, e.inputs
-    rows = of.join(head.select("doc", _c("kind").alias("kind_of"), "cutoff"), "doc")
-    asked = rows.select(F.lit("artifact").alias("target"), "doc", _c("parameter_pointer").alias("pointer"))
-    asked = asked.unionByName(rows.select(_c("of").alias("target"), _c("source").alias("doc"), _c("json_pointer").alias("pointer")))
-    asked = asked.unionByName(rows.where("available_pointer IS NOT NULL").select(_c("available_of").alias("target"), _c("available_source").alias("doc"), _c("available_pointer").alias("pointer")))
-    read = D.resolve(e.found, asked, ("target", "doc"))
-
-    def with_read(rows: DataFrame, name: str, target: Column, doc: Column, pointer: Column) -> DataFrame:
-        side = read.select(*[_c(k).alias(f"{name}_{k}") for k in ("target", "doc", "pointer", "status", "kind", "text", "number")])
-        joined = rows.join(side, (target == _c(f"{name}_target")) & (doc == _c(f"{name}_doc")) & (pointer == _c(f"{name}_pointer")), "left")
-        return joined.drop(f"{name}_target", f"{name}_doc", f"{name}_pointer")
-
-    rows = with_read(rows, "given", F.lit("artifact"), _c("doc"), _c("parameter_pointer"))
-    rows = with_read(rows, "cited", _c("of"), _c("source"), _c("json_pointer"))
-    rows = with_read(rows, "instant", _c("available_of"), _c("available_source"), _c("available_pointer"))
+    null = F.lit(None).cast("string")
+    ask = lambda name, target, doc, pointer, own: F.struct(F.lit(name).alias("name"), target.alias("target"), doc.alias("source"), pointer.alias("path"), own.alias("own"))
+    own = F.struct(*[k for k in of.columns if k not in ("doc", "at")])
+    none = F.when(F.lit(False), own)
+    asks = F.array(
+        ask("given", F.lit("artifact"), _c("doc"), _c("parameter_pointer"), own), ask("cited", _c("of"), _c("source"), _c("json_pointer"), none),
+        ask("instant", _c("available_of"), _c("available_source"), _c("available_pointer"), none),
+    )
+    asked = of.select("doc", "at", F.inline(asks)).where("name = 'given' OR (target IS NOT NULL AND source IS NOT NULL AND path IS NOT NULL)")
+    held = e.found.where("value IS NOT NULL").select("target", _c("doc").alias("source"), "path", "value")
+    status = F.when(_c("path").isNull(), null).when(_c("value").isNull(), "unresolved").otherwise("resolved").alias("status")
+    read = asked.join(held, ["target", "source", "path"], "left").withColumn("status", status)
+    read = D.members(read, {k: ("", k) for k in ("kind", "text", "number")}, ["doc", "at", "name", "own", "status"])
+    read = read.select("doc", "at", "name", "own", F.struct("status", "kind", "text", "number").alias("read"))
+    read = read.join(head.select("doc", _c("kind").alias("kind_of"), "cutoff"), "doc")
+    names = ("given", "cited", "instant")
+    rows = read.groupBy("doc", "at", "kind_of", "cutoff").agg(F.max("own").alias("own"), *[F.max(F.when(_c("name") == n, _c("read"))).alias(n) for n in names])
+    rows = rows.select("doc", "at", "kind_of", "cutoff", "own.*", *[_c(f"{n}.{k}").alias(f"{n}_{k}") for n in names for k in ("status", "kind", "text", "number")])
     roles = used.groupBy("doc", "source").agg(F.collect_set("role").alias("roles"))
     rows = rows.join(roles, ["doc", "source"], "left")
-    need = F.lit(None).cast("string")
+    need = null
     for kind, pattern, role in reversed(ROLES):
         need = F.when((_c("kind_of") == kind) & _c("parameter_pointer").rlike(pattern), role).otherwise(need)
     good = (_c("given_status") == "resolved") & (_c("cited_status") == "resolved")
@@ -217,7 +233,7 @@ def citation_problems(e: Evidence) -> DataFrame:
 def inventory_problems(e: Evidence) -> DataFrame:
     """(doc, rule, at): what calculations declare against what they use.
 
-    no_subject; input_unused and input_undeclared (sources of inputs and of citations, two anti-joins; a normalization of filings is held to its
+    no_subject; input_unused and input_undeclared (sources of inputs and of citations, a full join; a normalization of filings is held to its
     inputs of the role assumption); coverage_missing, coverage_unexpected, coverage_repeated (pointers of parameters that must be and are
     cited); parameter_missing and parameter_unexpected; kind (no rules for this kind of calculation).
     """
@@ -228,15 +244,17 @@ def inventory_problems(e: Evidence) -> DataFrame:
     declared = used.where("kind_of <> 'sec-companyfacts-normalization' OR role = 'assumption'").select("doc", "source").distinct()
     cited = of.select("doc", F.explode(F.array_compact(F.array("source", "available_source"))).alias("source")).distinct()
     need, odd = required(e.found, head.where(_c("kind_of").isin(*FIELDS)))
-    pointers = of.select("doc", _c("parameter_pointer").alias("pointer")).where("pointer IS NOT NULL")
-    repeated = pointers.groupBy("doc", "pointer").count().where("count > 1")
+    both = lambda a, b, keys: a.withColumn("left", F.lit(True)).join(b.withColumn("right", F.lit(True)), keys, "full")
+    rule = lambda broken, name: F.when(F.coalesce(broken, F.lit(False)), name)
+    per = of.where("parameter_pointer IS NOT NULL").groupBy("doc", _c("parameter_pointer").alias("pointer")).agg((F.min("at") != F.max("at")).alias("again"), F.first("kind_of").alias("kind_of"))
+    covered = both(need, per, ["doc", "pointer"]).select("doc", "pointer", F.explode(F.array_compact(F.array(
+        rule(_c("right").isNull(), "coverage_missing"), rule(_c("left").isNull() & _c("kind_of").isin(*FIELDS), "coverage_unexpected"), rule(_c("again"), "coverage_repeated"),
+    ))).alias("rule"))
+    sources = both(declared, cited, ["doc", "source"]).where("left IS NULL OR right IS NULL")
     parts = [
         told(head.join(subject, "doc", "left_anti"), "no_subject", F.lit("/inputs")),
-        told(declared.join(cited, ["doc", "source"], "left_anti"), "input_unused", _c("source")),
-        told(cited.join(declared, ["doc", "source"], "left_anti"), "input_undeclared", _c("source")),
-        told(need.join(pointers.distinct(), ["doc", "pointer"], "left_anti"), "coverage_missing", _c("pointer")),
-        told(pointers.distinct().join(need, ["doc", "pointer"], "left_anti").join(head.where(_c("kind_of").isin(*FIELDS)), "doc", "left_semi"), "coverage_unexpected", _c("pointer")),
-        told(repeated, "coverage_repeated", _c("pointer")),
+        sources.select("doc", F.when(_c("left").isNull(), "input_undeclared").otherwise("input_unused").alias("rule"), _c("source").alias("at")),
+        covered.select("doc", "rule", _c("pointer").alias("at")),
         told(head.where(~F.coalesce(_c("kind_of").isin(*FIELDS), F.lit(False))), "kind", F.lit("/calculation_type")),
         odd,
     ]
@@ -257,9 +275,9 @@ def time_problems(e: Evidence) -> DataFrame:
     mine = head.where("type <> 'source'").select("doc", "entity", "cutoff", "created", "type")
     rows = used.join(mine, "doc")
     up = head.select(_c("doc").alias("source"), _c("entity").alias("other"))
-    for name in ("cutoff", "created"):
-        got = carried(head.select(_c("doc").alias("node"), _c(name).alias("value")), edges)
-        up = up.join(got.select(_c("node").alias("source"), _c("value").alias(f"upstream_{name}")), "source", "left")
+    times = ("cutoff", "created")
+    got = carried(head.select(_c("doc").alias("node"), *times), edges, values=times)
+    up = up.join(got.select(_c("node").alias("source"), *[_c(n).alias(f"upstream_{n}") for n in times]), "source", "left")
     rows = rows.join(up, "source")
     rules = {
         "upstream_cutoff": _c("upstream_cutoff") > _c("cutoff"),

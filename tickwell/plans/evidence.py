@@ -40,11 +40,18 @@ CONVERSATION = {
 }
 
 
+def _turns(spark: SparkSession, d: str, *columns) -> DataFrame:
+    """conv_id and ``columns`` of each turn, dealt out by conversation. A turn is few bytes and its nodes are much work, so the number of parts is
+    given: one that follows the bytes leaves the work of all documents to a task or two."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return table(spark, d, "conversations").select("conv_id", *columns).repartition(parts, "conv_id")
+
+
 def conversations(spark: SparkSession, d: str) -> DataFrame:
     """(doc, value): each conversation as JSON, with faults that follow from its number."""
     k = F.col("conv_id")
     turn = F.struct("turn", "role", "text")
-    per = table(spark, d, "conversations").groupBy(k).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    per = _turns(spark, d, "turn", "role", "text").groupBy(k).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     text = F.to_json(F.struct(
         F.when(k % 29 != 0, "conversation").otherwise("talk").alias("artifact_type"), k, F.concat(F.lit("2024-01-"), F.lpad((1 + k % 33).cast("string"), 2, "0"), F.lit("T08:00:00"), F.when(k % 10 == 0, "").otherwise("+01:00")).alias("created_at"),
         F.when(k % 5 == 0, (k % 4) / 2.0).alias("share"), F.when(k % 13 == 0, k).alias("extra/one"), F.when(k % 6 != 0, F.col("turns.role")).alias("roles"),
@@ -113,8 +120,8 @@ UNION ALL SELECT -1 - doc, '', 'no_document', NULL, NULL, NULL FROM g
 def artifacts(spark: SparkSession, d: str) -> DataFrame:
     """(target, doc, value): for each conversation a valuation over its lengths of texts, its two sources with their snapshots, and a piece
     of research that rests on it. The number of the conversation modulo 23 gives the one fault that is planted."""
-    one = F.struct("turn", "role", F.length("text").cast("double").alias("fcf"))
-    per = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("k")).agg(F.sort_array(F.collect_list(one)).alias("rows"))
+    one = F.struct("turn", "role", "fcf")
+    per = _turns(spark, d, "turn", "role", F.length("text").cast("double").alias("fcf")).groupBy(F.col("conv_id").alias("k")).agg(F.sort_array(F.collect_list(one)).alias("rows"))
     per = per.select("k", F.col("rows.fcf").alias("fcf"), F.transform("rows.role", lambda x: F.coalesce(x, F.lit("none"))).alias("labels"), (F.col("k") % 23).alias("f")).withColumn("n", F.size("fcf"))
     per = per.withColumns({
         "waccs": F.expr("if(f = 14, array(0.1D, 0.11D, 0.12D), array(0.09D, 0.1D, 0.11D))"), "growths": F.expr("array(0.01D, 0.02D, 0.03D)"),
